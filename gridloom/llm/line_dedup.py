@@ -25,8 +25,8 @@ def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__th"),
-        F.split(F.col(f"`{text_col}`"), "\n").alias("__lines"),
     )
+    lines = F.split(F.col(f"__row.`{text_col}`"), "\n").alias("__lines")  # only the text itself is exchanged
 
     def at(i):
         lines = [F.get("__lines", i + k) for k in range(window)]
@@ -36,7 +36,7 @@ def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         )
 
     windows = (
-        rows.where(F.size("__lines") >= window)
+        rows.select("__id", "__th", lines).where(F.size("__lines") >= window)
         .select("__id", "__th", F.inline(F.transform(F.sequence(F.lit(0), F.size("__lines") - window), at)))
         .where("solid").drop("solid")
         .withColumn("__me", F.struct("__id", "__th", "at"))
@@ -44,7 +44,7 @@ def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated = cut(windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("__me").alias("__first")).where("n > 1"))
     later = salted_join(windows, repeated.drop("n"), ["h1", "h2"], hot_keys(repeated, ["h1", "h2"], "n"), F.col("__me")).where("__me != __first")
     covered = later.groupBy(F.col("__id").alias("__cid"), F.col("__th").alias("__cth")).agg(F.collect_set("at").alias("__starts"))
-    joined = rows.join(covered, F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__th") == F.col("__cth")), "left")
+    joined = rows.join(covered, F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__th") == F.col("__cth")), "left").withColumn("__lines", lines)
     n = F.greatest(F.size("__lines"), F.lit(0))  # size of null is -1 or null
     gone = F.flatten(F.transform("__starts", lambda s: F.array(*[s + k for k in range(window)])))
     left = F.when(F.col("__starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone))

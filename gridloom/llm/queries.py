@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, sharding
+from . import html_extract, line_dedup, packing, quality_rules, secrets, sharding, toxicity
 
-_MODULES = [quality_rules, sharding, line_dedup]
+_MODULES = [quality_rules, sharding, html_extract, secrets, toxicity, packing, line_dedup]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}

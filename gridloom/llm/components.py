@@ -1,0 +1,29 @@
+"""Connected components of an edge table, by label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, hot_keys, number, salted_join
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every end of an edge (a, b): the least node of its component. Nodes are not null strings.
+
+    Each round a node takes the least label among itself and its neighbours, then the label of that label, so
+    the rounds grow with the logarithm of a component's diameter or so. Only node ids and labels move; hubs are
+    spread over salts. Every round is written to the shared folder.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+    hubs = cut(hot_keys(both.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n"))
+    while True:
+        seen = salted_join(both, labels.withColumnRenamed("node", "a"), ["a"], hubs, F.col("b"))
+        least = seen.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("__least"))
+        stepped = cut(labels.join(least, "node").select("node", "label", F.least("label", "__least").alias("next")))
+        if not number(stepped, F.count_if(F.col("next") != F.col("label"))):
+            return labels
+        heads = stepped.select(F.col("node").alias("next"), F.col("next").alias("jump"))
+        hot = hot_keys(stepped.groupBy("next").agg(F.count("*").alias("n")), ["next"], "n")
+        labels = cut(salted_join(stepped.select("node", "next"), heads, ["next"], hot, F.col("node")).select("node", F.col("jump").alias("label")))

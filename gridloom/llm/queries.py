@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, line_dedup, ngram_jaccard, packing, quality_rules, secrets, sharding, toxicity
+from . import decontaminate, html_extract, kneser_ney, line_dedup, ngram_jaccard, packing, quality_rules, secrets, sharding, toxicity
 
-_MODULES = [quality_rules, sharding, ngram_jaccard, decontaminate, html_extract, secrets, toxicity, packing, line_dedup]
+_MODULES = [quality_rules, sharding, ngram_jaccard, decontaminate, html_extract, secrets, toxicity, kneser_ney, packing, line_dedup]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}

@@ -1,8 +1,86 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages from documents to packed sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; run() writes each stage's result
+as Parquet in the shared folder and reads it again. All but the last stage return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm.common import cut, shared_dir, table
+from gridloom.llm.decontaminate import find_benchmark
+from gridloom.llm.kneser_ney import classify
+from gridloom.llm.line_dedup import dedup_line_windows
+from gridloom.llm.ngram_jaccard import classes
+from gridloom.llm.packing import pack
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text are those of a row of gone (doc_id, text_hash)."""
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__th")), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return without(docs, classify(docs, table(spark, sf_dir, "labels")).where("not kept"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of repeated three-line windows; those left with no word go. n_chars follows the text."""
+    cleaned = dedup_line_windows(docs)
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    kind = dict(docs.dtypes)["n_chars"]
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+    return cleaned.where(left).withColumn("n_chars", n_chars).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked texts: the first by id, then text hash; of repeated rows one."""
+    found = cut(classes(docs))
+    kept = without(docs, found.where("not keep"))
+    repeated = found.where("keep and class_docs > 1").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if repeated.isEmpty():
+        return kept
+    # rows that repeat a kept one's id and text: one of each, pre-aggregated
+    with_hash = kept.withColumn("__th", F.xxhash64("text"))
+    marked = with_hash.join(repeated.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__rh")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__rh")), "left_semi")
+    one = marked.groupBy("doc_id", "__th").agg(F.any_value(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return without(kept, repeated).unionByName(one)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark segment is found."""
+    return without(docs, find_benchmark(docs, table(spark, sf_dir, "benchmark")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences of the permitted lengths."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark),
+    ("best-fit packing", packing),
+]
+
+#: SQL can express neither the language model nor the alignments; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all documents."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/{uuid.uuid4()}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -1,29 +1,40 @@
-"""Connected components of an edge table, by label propagation with pointer jumping."""
+"""Connected components of an edge table, by contraction with pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, number, salted_join
+from .common import cut, hot_keys, salted_join
+
+
+def jump(pointers: DataFrame, heads: DataFrame) -> DataFrame:
+    """(node, label) with each label replaced by the label's own in heads; popular labels are spread over salts."""
+    hot = hot_keys(pointers.groupBy("label").agg(F.count("*").alias("n")), ["label"], "n")
+    on = heads.select(F.col("node").alias("label"), F.col("label").alias("__up"))
+    return salted_join(pointers, on, ["label"], hot, F.col("node"), "left").select("node", F.coalesce("__up", "label").alias("label"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every end of an edge (a, b): the least node of its component. Nodes are not null strings.
 
-    Each round a node takes the least label among itself and its neighbours, then the label of that label, so
-    the rounds grow with the logarithm of a component's diameter or so. Only node ids and labels move; hubs are
-    spread over salts. Every round is written to the shared folder.
+    Each round every node points to the least of itself and its neighbours; two pointer jumps shorten the chains;
+    then the edges are drawn between what their ends point to, and loops and repeats go. Edges only get fewer, and
+    the rounds grow with the logarithm of the longest chain. Every round is written to the shared folder.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
-    hubs = cut(hot_keys(both.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n"))
-    while True:
-        seen = salted_join(both, labels.withColumnRenamed("node", "a"), ["a"], hubs, F.col("b"))
-        least = seen.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("__least"))
-        stepped = cut(labels.join(least, "node").select("node", "label", F.least("label", "__least").alias("next")))
-        if not number(stepped, F.count_if(F.col("next") != F.col("label"))):
-            return labels
-        heads = stepped.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        hot = hot_keys(stepped.groupBy("next").agg(F.count("*").alias("n")), ["next"], "n")
-        labels = cut(salted_join(stepped.select("node", "next"), heads, ["next"], hot, F.col("node")).select("node", F.col("jump").alias("label")))
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    labels = None
+    while not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        near = cut(ends.groupBy("node").agg(F.min("other").alias("__least"), F.count("*").alias("n")))
+        pointers = near.select("node", F.least("node", "__least").alias("label"))
+        for _ in range(2):
+            pointers = cut(jump(pointers, pointers))
+        labels = pointers if labels is None else cut(jump(labels, pointers))
+        hubs = hot_keys(near.select("node", "n"), ["node"], "n")
+        drawn = edges
+        for end, other in (("a", "b"), ("b", "a")):
+            at = drawn.withColumnRenamed(end, "node")
+            drawn = salted_join(at, pointers, ["node"], hubs, F.col(other)).select(F.col("label").alias(end), other)
+        edges = cut(drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

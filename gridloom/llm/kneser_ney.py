@@ -1,22 +1,24 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is over characters. Counts of n-grams are tables, sharded by n-gram; probabilities come from joins of
-those tables, order by order. Documents are dealt over chunks; a chunk's n-grams are looked up once, by a join
-with the probabilities, and come back to the chunk's documents. The even and the odd chunks train a model each,
-and every document is scored by the model of the other half, so none is scored by a model that has seen it.
+those tables, order by order. Runs of input rows form chunks; a chunk's n-grams are looked up once, by a join
+with the probabilities, and come back to the chunk's documents. Texts fall into two halves by their hash; each
+half's trusted texts train a model, and every text is scored by the model of the other half, so none is scored
+by a model that has seen it or a copy of it.
 A document is kept if its perplexity is at most a quantile of the trusted documents' in its language.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, n_blocks, salted_join, shared_dir, table
+from .common import cut, hot_keys, salted_join, shared_dir, table
 
 ORDER = 5
 #: The quantile of the trusted documents' perplexities, and by what factor a document may be above it.
@@ -25,8 +27,10 @@ QUANTILE, SLACK = 0.99, 1.1
 ERRORS = 2.0
 #: Languages with fewer trusted documents than this go by the quantile of all languages.
 MIN_TRUSTED = 30
-#: Documents whose n-grams are looked up together, on average.
-CHUNK_ROWS = 4096
+#: Consecutive rows of an input partition whose n-grams are looked up together, at most.
+CHUNK_ROWS = 8192
+#: More trusted ids than this are joined by an exchange, not broadcast.
+MAX_BROADCAST_IDS = 4_000_000
 #: Characters that are hashed at a time.
 SLICE = 1 << 19
 START, END = "\x02", "\x03"
@@ -111,11 +115,9 @@ def grams_in(pieces: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray
     return text, at, h[at], piece[at]
 
 
-def count_grams(docs: pa.Table, trusted: pa.Table) -> tuple[list[str], list[int]]:
-    """The distinct n-grams of a chunk's documents, and how often each is in trusted ones."""
-    good = set(trusted.column("doc_id").to_pylist())
-    ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
-    known, grams, counts = GramTable(), [], np.zeros(0, np.int64)
+def count_grams(texts: list[str | None], halves: list[int | None]) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of texts, and how often each is in the trusted ones of either half; halves: None if not trusted."""
+    known, grams, counts = GramTable(), [], np.zeros((2, 0), np.int64)
     for pieces, owners in parts(texts):
         text, at, h, piece = grams_in(pieces)
         place = known.find(h)
@@ -125,20 +127,28 @@ def count_grams(docs: pa.Table, trusted: pa.Table) -> tuple[list[str], list[int]
             known.add(fresh)
             grams += [text[i : i + ORDER] for i in at[new[first]].tolist()]
             place[new] = known.find(h[new])
-        weight = np.array([ids[o] in good for o in owners], np.int64)[piece]
-        counts = np.r_[counts, np.zeros(len(grams) - len(counts), np.int64)] + np.bincount(place, weights=weight, minlength=len(grams)).astype(np.int64)
-    return grams, counts.tolist()
+            counts = np.c_[counts, np.zeros((2, len(grams) - counts.shape[1]), np.int64)]
+        for half in (0, 1):
+            weight = np.array([halves[o] == half for o in owners], float)[piece]
+            counts[half] += np.bincount(place, weights=weight, minlength=len(grams)).astype(np.int64)
+    return grams, counts
 
 
-def score_texts(texts: list[str | None], grams: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sum of the n-grams' log-probabilities, sum of their squares, number of n-grams) of each text."""
+def score_texts(texts: list[str | None], halves: np.ndarray, grams: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of the n-grams' log-probabilities, sum of their squares, number of n-grams) of each text.
+
+    logs: [half, n-gram], by the model of either half; halves: of each text, which is scored by the other's.
+    """
     known = GramTable()
     known.add(gram_hashes("".join(grams))[::ORDER] if grams else np.zeros(0, np.uint64))
     total, squares, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     for pieces, owners in parts(texts):
         _, _, h, piece = grams_in(pieces)
         owner = np.asarray(owners)[piece]
-        log = logs[known.find(h)]
+        place = known.find(h)
+        if len(place) and place.min() < 0:
+            raise ValueError("input partitions changed between the two passes; checkpoint the input")
+        log = logs[1 - halves[owner], place]
         total += np.bincount(owner, weights=log, minlength=len(texts))
         squares += np.bincount(owner, weights=log * log, minlength=len(texts))
         n += np.bincount(owner, minlength=len(texts))
@@ -196,47 +206,62 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 
 
 def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, text_hash, lang, trusted, n_chars, perplexity, error of its logarithm): one row a row of df. trusted: a table of doc_id."""
-    kind = dict(df.dtypes)[id_col]
-    chunks = 2 * n_blocks(df.count(), 2 * CHUNK_ROWS)
-    th = F.xxhash64(F.col(f"`{text_col}`"))
-    chunk = lambda id_, other: F.pmod(F.when(id_.isNull(), other).otherwise(F.xxhash64(F.lit(3), id_)), F.lit(chunks)).cast("int").alias("chunk")
-    docs = df.select(
-        chunk(F.col(f"`{id_col}`"), th), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), th.alias("text_hash"), F.col(f"`{text_col}`").alias("text"),
-    )
-    good = trusted.select(F.col("doc_id").cast(kind).alias("doc_id")).where("doc_id is not null").distinct()
-    good = cut(good.select(chunk(F.col("doc_id"), F.lit(0).cast("long")), "doc_id"))
-
-    def count(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        grams, counts = count_grams(left, right)
-        c = key[0].as_py()
-        return pa.table({"chunk": pa.array([c] * len(grams), pa.int32()), "gram": pa.array(grams, pa.string()), "n": pa.array(counts, pa.int64())})
-
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4()}"
-    docs.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(count, "chunk int, gram string, n long").write.parquet(path)
-    found = df.sparkSession.read.schema("chunk int, gram string, n long").parquet(path)
-    halves = [F.sum(F.when(F.col("chunk") % 2 == h, F.col("n")).otherwise(0)).alias(f"c{h}") for h in (0, 1)]
-    p = log_probabilities(cut(found.groupBy("gram").agg(*halves)))
-    other = F.when(F.col("chunk") % 2 == 0, F.col("p1")).otherwise(F.col("p0"))
-    looked = found.select("chunk", "gram").join(p, "gram").select("chunk", "gram", F.log(other).cast("float").alias("logp"), F.lit(None).cast(kind).alias("doc_id"))
-    side = looked.unionByName(good.select("chunk", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("float").alias("logp"), "doc_id"))
-
-    def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        table_ = right.filter(pc.is_valid(right.column("gram")))
-        ids = left.column("doc_id").to_pylist()
-        good_ids = set(right.filter(pc.is_null(right.column("gram"))).column("doc_id").to_pylist())
-        total, squares, n = score_texts(left.column("text").to_pylist(), table_.column("gram").to_pylist(), table_.column("logp").to_numpy())
+    """(doc_id, text_hash, lang, trusted, perplexity, error of its logarithm): one row a row of df. trusted: a table of doc_id.
+
+    df must be read twice alike (a scan, or a checkpoint): chunks are runs of rows of its partitions. Should they
+    differ in the second pass, an n-gram is missing and the job ends with an error.
+    """
+    spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
+    conf = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(conf, None) is None:  # else the splits would follow the number of executors alive
+        spark.conf.set(conf, spark.sparkContext.defaultParallelism)
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    good = cut(trusted.select(F.col("doc_id").cast(kind).alias("__id")).where("__id is not null").distinct())
+    few = good.count() <= MAX_BROADCAST_IDS
+    docs = rows.join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", F.col("__id").isNotNull().alias("trusted"), "text")
+    if not few:
+        path = f"{shared_dir(spark)}/{uuid.uuid4()}"
+        docs.write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+    at = F.monotonically_increasing_id()
+    chunk = F.shiftright(at, 33) * (1 << 33) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / CHUNK_ROWS)
+    th = F.xxhash64("text")
+    docs = docs.select(chunk.cast("long").alias("chunk"), "doc_id", "lang", "trusted", th.alias("text_hash"), F.pmod(th, F.lit(2)).cast("int").alias("half"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, texts, halves = None, [], []
+
+        def done() -> pa.RecordBatch:
+            grams, counts = count_grams(texts, halves)
+            texts.clear()
+            halves.clear()
+            return pa.RecordBatch.from_arrays([pa.array([own] * len(grams), pa.int64()), pa.array(grams, pa.string()), pa.array(counts[0]), pa.array(counts[1])], ["chunk", "gram", "c0", "c1"])
+
+        for batch in batches:
+            for c, t, h, good_ in zip(*(batch.column(n).to_pylist() for n in ("chunk", "text", "half", "trusted"))):
+                if c != own and own is not None:
+                    yield done()
+                own = c
+                texts.append(t)
+                halves.append(h if good_ else None)
+        if own is not None:
+            yield done()
+
+    path, schema = f"{shared_dir(spark)}/{uuid.uuid4()}", "chunk long, gram string, c0 long, c1 long"
+    docs.select("chunk", "text", "half", "trusted").mapInArrow(count, schema).write.parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    p = log_probabilities(cut(found.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))))
+    looked = found.select("chunk", "gram").join(p, "gram").select("chunk", "gram", *[F.log(f"p{h}").cast("float").alias(f"l{h}") for h in (0, 1)])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        logs = np.stack([right.column(f"l{h}").to_numpy() for h in (0, 1)]).astype(np.float64)
+        total, squares, n = score_texts(left.column("text").to_pylist(), left.column("half").to_numpy(), right.column("gram").to_pylist(), logs)
         mean = total / np.maximum(n, 1)
         error = np.sqrt(np.maximum(squares / np.maximum(n, 1) - mean * mean, 0) / np.maximum(n, 1))
-        return pa.table({
-            "doc_id": left.column("doc_id"), "text_hash": left.column("text_hash"), "lang": left.column("lang"), "trusted": pa.array([i in good_ids for i in ids], pa.bool_()),
-            "n_chars": pa.array((n - 1).astype(np.int64)), "perplexity": pa.array(np.exp(-mean)), "error": pa.array(error),
-        })
+        return left.select(["doc_id", "text_hash", "lang", "trusted"]).append_column("perplexity", pa.array(np.exp(-mean))).append_column("error", pa.array(error))
 
-    schema = f"doc_id {kind}, text_hash long, lang string, trusted boolean, n_chars long, perplexity double, error double"
-    return docs.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(score, schema)
+    schema = f"doc_id {kind}, text_hash long, lang string, trusted boolean, perplexity double, error double"
+    return docs.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its rows written to the shared folder, so that later jobs neither recompute nor lose them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its rows written as a table in the shared folder and read again.
+
+    Later jobs neither recompute nor lose them. A table rather than checkpoint(): it is compressed, and the plan
+    that reads it carries nothing of the one that made it, whose constraints would pile up from round to round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def number(df: DataFrame, value: Column) -> float:

@@ -10,7 +10,6 @@ A document is kept if its perplexity is at most a quantile of the trusted docume
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, salted_join, shared_dir, table
+from .common import cut, hot_keys, salted_join, table
 
 ORDER = 5
 #: The quantile of the trusted documents' perplexities, and by what factor a document may be above it.
@@ -220,9 +219,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     few = good.count() <= MAX_BROADCAST_IDS
     docs = rows.join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", F.col("__id").isNotNull().alias("trusted"), "text")
     if not few:
-        path = f"{shared_dir(spark)}/{uuid.uuid4()}"
-        docs.write.parquet(path)
-        docs = spark.read.schema(docs.schema).parquet(path)
+        docs = cut(docs)
     at = F.monotonically_increasing_id()
     chunk = F.shiftright(at, 33) * (1 << 33) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / CHUNK_ROWS)
     th = F.xxhash64("text")
@@ -247,9 +244,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         if own is not None:
             yield done()
 
-    path, schema = f"{shared_dir(spark)}/{uuid.uuid4()}", "chunk long, gram string, c0 long, c1 long"
-    docs.select("chunk", "text", "half", "trusted").mapInArrow(count, schema).write.parquet(path)
-    found = spark.read.schema(schema).parquet(path)
+    found = cut(docs.select("chunk", "text", "half", "trusted").mapInArrow(count, "chunk long, gram string, c0 long, c1 long"))
     p = log_probabilities(cut(found.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))))
     looked = found.select("chunk", "gram").join(p, "gram").select("chunk", "gram", *[F.log(f"p{h}").cast("float").alias(f"l{h}") for h in (0, 1)])
 

@@ -18,9 +18,9 @@ def jump(pointers: DataFrame, heads: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every end of an edge (a, b): the least node of its component. Nodes are not null strings.
 
-    Each round every node points to the least of itself and its neighbours; two pointer jumps shorten the chains;
-    then the edges are drawn between what their ends point to, and loops and repeats go. Edges only get fewer, and
-    the rounds grow with the logarithm of the longest chain. Every round is written to the shared folder.
+    Each round every node points to the least of itself and its neighbours; pointer jumps lead it to the end of its
+    chain; then the edges are drawn between what their ends point to, and loops and repeats go. Edges only get fewer, and
+    rounds and jumps grow with the logarithm of the longest chain. Every round is written to the shared folder.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     labels = None
@@ -28,8 +28,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         near = cut(ends.groupBy("node").agg(F.min("other").alias("__least"), F.count("*").alias("n")))
         pointers = near.select("node", F.least("node", "__least").alias("label"))
-        for _ in range(2):
-            pointers = cut(jump(pointers, pointers))
+        moved = True
+        while moved:
+            further = cut(jump(pointers.select("node", "label"), pointers.select("node", "label")).join(pointers.withColumnRenamed("label", "before"), "node"))
+            moved = not further.where("label != before").isEmpty()
+            pointers = further.select("node", "label")
         labels = pointers if labels is None else cut(jump(labels, pointers))
         hubs = hot_keys(near.select("node", "n"), ["node"], "n")
         drawn = edges

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, hot_keys, salted_join, table
 
-ORDER = 5
+ORDER = 4
 #: The quantile of the trusted documents' perplexities, and by what factor a document may be above it.
 QUANTILE, SLACK = 0.99, 1.1
 #: How many standard errors of its mean log-probability a document has to be above, so that short ones aren't rejected by chance.

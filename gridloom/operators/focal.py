@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
-ALONG_ROW = Window.partitionBy("r").orderBy("c")
-ALONG_COL = Window.partitionBy("c").orderBy("r")
+
+def along_row():
+    return Window.partitionBy("r").orderBy("c")
+
+
+def along_col():
+    return Window.partitionBy("c").orderBy("r")
 
 
 def neighbourhood(df: DataFrame, value: str = "z") -> DataFrame:
@@ -27,10 +32,10 @@ def neighbourhood(df: DataFrame, value: str = "z") -> DataFrame:
         side, other = (F.lag(v).over(w), F.lead(v).over(w)) if step < 0 else (F.lead(v).over(w), F.lag(v).over(w))
         return F.coalesce(side, F.col(v) * 2 - other)
 
-    rows = df.withColumns({"__w": beside(value, ALONG_ROW, -1), "__e": beside(value, ALONG_ROW, 1)})
+    rows = df.withColumns({"__w": beside(value, along_row(), -1), "__e": beside(value, along_row(), 1)})
     out = {"z4": F.col("__w"), "z5": F.col(value), "z6": F.col("__e")}
-    out |= {f"z{k}": beside(v, ALONG_COL, -1) for k, v in ((1, "__w"), (2, value), (3, "__e"))}
-    out |= {f"z{k}": beside(v, ALONG_COL, 1) for k, v in ((7, "__w"), (8, value), (9, "__e"))}
+    out |= {f"z{k}": beside(v, along_col(), -1) for k, v in ((1, "__w"), (2, value), (3, "__e"))}
+    out |= {f"z{k}": beside(v, along_col(), 1) for k, v in ((7, "__w"), (8, value), (9, "__e"))}
     return rows.withColumns(out).drop("__w", "__e")
 
 
@@ -56,7 +61,7 @@ def simple_gradient(df: DataFrame, dx: float, dy: float, value: str = "z") -> Da
         a, b = F.lag(value).over(w), F.lead(value).over(w)
         return F.when(a.isNotNull() & b.isNotNull(), (b - a) / (2 * step)).otherwise((F.coalesce(b, F.col(value)) - F.coalesce(a, F.col(value))) / step)
 
-    return df.withColumns({"gx": slope(ALONG_ROW, dx), "gy": slope(ALONG_COL, dy)})
+    return df.withColumns({"gx": slope(along_row(), dx), "gy": slope(along_col(), dy)})
 
 
 def _mirrored(df: DataFrame, values: list[str], k: int, w, weights: list[float]) -> DataFrame:
@@ -80,14 +85,14 @@ def _mirrored(df: DataFrame, values: list[str], k: int, w, weights: list[float])
 def box_mean(df: DataFrame, values: list[str], k: int) -> DataFrame:
     """df with each value replaced by its mean over (2k + 1) squared cells."""
     w = [1 / (2 * k + 1)] * (2 * k + 1)
-    return _mirrored(_mirrored(df, values, k, ALONG_ROW, w), values, k, ALONG_COL, w)
+    return _mirrored(_mirrored(df, values, k, along_row(), w), values, k, along_col(), w)
 
 
 def gaussian(df: DataFrame, values: list[str], sigma: float = 2.0, truncate: float = 4.0) -> DataFrame:
     k = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (o / sigma) ** 2) for o in range(-k, k + 1)]
     w = [x / sum(raw) for x in raw]
-    return _mirrored(_mirrored(df, values, k, ALONG_ROW, w), values, k, ALONG_COL, w)
+    return _mirrored(_mirrored(df, values, k, along_row(), w), values, k, along_col(), w)
 
 
 def lee_filter(df: DataFrame, value: str, k: int = 2) -> DataFrame:
@@ -105,9 +110,9 @@ def median3(df: DataFrame, value: str) -> DataFrame:
     def edge(v: str, w) -> tuple[Column, Column]:
         return F.coalesce(F.lag(v).over(w), F.col(v)), F.coalesce(F.lead(v).over(w), F.col(v))
 
-    a, b = edge(value, ALONG_ROW)
+    a, b = edge(value, along_row())
     wide = df.withColumns({"__a": a, "__b": b})
-    columns = [F.col(v) for v in ("__a", value, "__b")] + [x for v in ("__a", value, "__b") for x in edge(v, ALONG_COL)]
+    columns = [F.col(v) for v in ("__a", value, "__b")] + [x for v in ("__a", value, "__b") for x in edge(v, along_col())]
     return wide.withColumn("__nine", F.array(*columns)).withColumn(value, F.get(F.array_sort("__nine"), F.lit(4))).drop("__a", "__b", "__nine")
 
 
@@ -120,8 +125,8 @@ def dilate(mask: DataFrame, n: int) -> DataFrame:
 def near(df: DataFrame, mask: Column, n: int, name: str) -> DataFrame:
     """df with a boolean column: is a cell of the mask within n rows and columns? Separable maxima, for full grids."""
     along = lambda w: w.rangeBetween(-n, n)
-    rows = df.withColumn("__m", F.max(mask.cast("int")).over(along(ALONG_ROW)))
-    return rows.withColumn(name, F.max("__m").over(along(ALONG_COL)) == 1).drop("__m")
+    rows = df.withColumn("__m", F.max(mask.cast("int")).over(along(along_row())))
+    return rows.withColumn(name, F.max("__m").over(along(along_col())) == 1).drop("__m")
 
 
 def ensure_db(df: DataFrame, value: str) -> DataFrame:

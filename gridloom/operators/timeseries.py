@@ -87,7 +87,6 @@ def fill_cascading(vals: Column | str) -> Column:
 
     def step(out: Column, i: Column) -> Column:
         own = F.get(v, i)
-        behind = F.get(F.filter(F.transform(F.sequence(i - 1, F.lit(0), F.lit(-1)), lambda k: F.get(out, k)), lambda x: x.isNotNull()), F.lit(0))
         back = F.when(i > 0, F.element_at(out, -1))
         ahead = F.get(F.filter(F.transform(F.sequence(F.least(i + 1, n - 1), n - 1), lambda k: F.get(v, k)), lambda x: x.isNotNull()), F.lit(0))
         return F.concat(out, F.array(F.coalesce(own, back, ahead, F.lit(0.0))))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NEIGHBOURS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
+from .lineage import cut
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, order: list[str], keep: list[str]) -> DataFrame:
@@ -83,9 +83,10 @@ def nearest_points(queries: DataFrame, targets: DataFrame, id_col: str, target_i
             pairs = pairs.where(~exclude)
         d = F.hypot(F.col("x") - F.col("__tx"), F.col("y") - F.col("__ty"))
         best = pairs.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct(d.alias("dist"), F.col(target_id).alias(target_id)))), 1, k).alias("__best"))
-        found = open_.join(best, id_col, "left").withColumn("__gap", gap)
-        # a target outside the ring is further than radius cells from the moved point, so from the query too, less the move
-        settled = (F.size("__best") >= k) & (F.get("__best", F.lit(k - 1))["dist"] <= F.lit(radius * cell)) if radius < reach else F.lit(True)
+        found = cut(open_.join(best, id_col, "left").withColumn("__gap", gap))
+        # a target outside the ring is further than radius cells from the moved point, and the way there makes an obtuse angle with the move
+        limit = F.hypot(F.col("__gap"), F.lit(radius * cell))
+        settled = (F.size("__best") >= k) & (F.get("__best", F.lit(k - 1))["dist"] <= limit) if radius < reach else F.lit(True)
         out = found.where(settled & F.col("__best").isNotNull()).select(id_col, F.posexplode("__best").alias("__p", "__n")).select(id_col, F.col(f"__n.{target_id}").alias(target_id), F.col("__n.dist").alias("dist"), (F.col("__p") + 1).alias("nth"))
         done = out if done is None else done.unionByName(out)
         if radius >= reach:

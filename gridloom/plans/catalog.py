@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import join_queries, metric_queries, raster_queries, registry, scalar_queries, table_queries, time_queries  # noqa: F401
+from . import join_queries, metric_queries, model_queries, raster_queries, registry, scalar_queries, table_queries, time_queries  # noqa: F401
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES

@@ -33,32 +33,44 @@ def log_factorial(x: Column) -> Column:
     return series - shift
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value made once: a one-element array as its binding."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def hypergeometric(u: Column, population: Column, good: Column, draws: Column) -> Column:
     """The number of good ones in `draws` draws without replacement: the inverse of the distribution at u.
 
     The walk covers nine standard deviations and twelve more on each side; beyond lies less than 1e-18.
     """
-    pop, k, n = (c.cast("double") for c in (population, good, draws))
-    low, high = F.greatest(F.lit(0.0), n - (pop - k)), F.least(n, k)
-    mode = F.floor((n + 1) * (k + 1) / (pop + 2)).cast("double")
-    sd = F.sqrt(F.greatest(F.lit(0.0), n * k / F.greatest(pop, F.lit(1.0)) * (1 - k / F.greatest(pop, F.lit(1.0))) * (pop - n) / F.greatest(pop - 1, F.lit(1.0))))
-    first, last = F.greatest(low, F.floor(mode - 9 * sd - 12)), F.least(high, F.ceil(mode + 9 * sd + 12))
+    def bounds(i: Column) -> Column:
+        pop, k, n = i["pop"], i["k"], i["n"]
+        share = k / F.greatest(pop, F.lit(1.0))
+        sd = F.sqrt(F.greatest(F.lit(0.0), n * share * (1 - share) * (pop - n) / F.greatest(pop - 1, F.lit(1.0))))
+        mode = F.floor((n + 1) * (k + 1) / (pop + 2)).cast("double")
+        low, high = F.greatest(F.lit(0.0), n - (pop - k)), F.least(n, k)
+        return F.struct(
+            i["u"].alias("u"), pop.alias("pop"), k.alias("k"), n.alias("n"), low.alias("low"), high.alias("high"),
+            F.greatest(low, F.floor(mode - 9 * sd - 12)).alias("first"), F.least(high, F.ceil(mode + 9 * sd + 12)).alias("last"),
+        )
 
     def choose(a: Column, b: Column) -> Column:
         return log_factorial(a) - log_factorial(b) - log_factorial(a - b)
 
-    start = F.struct(
-        F.exp(choose(k, first) + choose(pop - k, n - first) - choose(pop, n)).alias("p"), F.lit(0.0).alias("below"), first.alias("x")
-    )
+    def walk(i: Column) -> Column:
+        pop, k, n, first, last = (i[c] for c in ("pop", "k", "n", "first", "last"))
+        start = F.struct(F.exp(choose(k, first) + choose(pop - k, n - first) - choose(pop, n)).alias("p"), F.lit(0.0).alias("below"), first.alias("x"))
+
+        def step(s: Column, x: Column) -> Column:
+            p = s["p"] * (k - x) * (n - x) / ((x + 1) * (pop - k - n + x + 1))
+            below = s["below"] + s["p"]
+            return F.when(below >= i["u"], s).otherwise(F.struct(p.alias("p"), below.alias("below"), F.least(x + 1.0, last).alias("x")))
 
-    def step(s: Column, x: Column) -> Column:
-        x = x.cast("double")
-        p = s["p"] * (k - x) * (n - x) / ((x + 1) * (pop - k - n + x + 1))
-        below = s["below"] + s["p"]
-        return F.when(below >= u, s).otherwise(F.struct(p.alias("p"), below.alias("below"), F.least(x + 1, last).alias("x")))
+        found = F.aggregate(F.sequence(first.cast("long"), last.cast("long")), start, step, lambda s: s["x"].cast("long"))
+        return F.when(i["low"] >= i["high"], i["low"].cast("long")).otherwise(found)
 
-    walk = F.aggregate(F.sequence(first.cast("long"), last.cast("long")), start, step, lambda s: s["x"].cast("long"))
-    return F.when(low >= high, low.cast("long")).otherwise(walk)
+    given = F.struct(u.alias("u"), *[c.cast("double").alias(name) for name, c in (("pop", population), ("k", good), ("n", draws))])
+    return let(let(given, bounds), walk)
 
 
 def _draw(node: Column, rows: Column, capacity: Column, seed: int) -> Column:
@@ -69,8 +81,7 @@ def _draw(node: Column, rows: Column, capacity: Column, seed: int) -> Column:
     def step(s: Column, i: Column) -> Column:
         room = F.get(capacity, i)
         x = hypergeometric(uniform(seed, node, i), s["room"], room, s["rows"])
-        # a one-element array as a let-binding, so that the walk runs once
-        return F.get(F.transform(F.array(x), lambda v: F.struct((s["rows"] - v).alias("rows"), (s["room"] - room).alias("room"), F.concat(s["out"], F.array(v)).alias("out"))), F.lit(0))
+        return let(x, lambda v: F.struct((s["rows"] - v).alias("rows"), (s["room"] - room).alias("room"), F.concat(s["out"], F.array(v)).alias("out")))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(capacity) - 1), start, step, lambda s: s["out"])
 
@@ -88,8 +99,8 @@ def communication_matrix(spark, rows: list[int], capacities: list[int], seed: in
     )
     levels = math.ceil(math.log2(max(1, len(rows))))
     for level in range(levels):
-        if level == 8:
-            df = df.repartition(256, "node")
+        if level in (3, 9):  # eight nodes, and again five hundred
+            df = df.repartition(2 ** level, "node")
         half = F.floor(F.size("rows") / 2).cast("int")
         left = F.slice("rows", F.lit(1), half)
         n = F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x)

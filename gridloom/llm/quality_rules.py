@@ -84,18 +84,16 @@ def host_verdicts(stats: DataFrame) -> DataFrame:
     """
     rules = list(HOST_LIMITS)
     hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"), *[F.count_if(r).alias(r) for r in rules])
-    pooled = hosts.agg(F.sum("host_docs").alias("__n"), F.count("*").alias("__h"), F.sum(F.col("host_docs").cast("double") ** 2).alias("__n2"), *[F.sum(r).alias(f"__{r}") for r in rules])
-    spread = hosts.crossJoin(F.broadcast(pooled)).agg(
-        F.first("__n").alias("__n"), F.first("__h").alias("__h"), F.first("__n2").alias("__n2"), *[F.first(f"__{r}").alias(f"__{r}") for r in rules],
-        *[F.sum(F.col("host_docs") * (F.col(r) / F.col("host_docs") - F.col(f"__{r}") / F.col("__n")) ** 2).alias(f"__ss_{r}") for r in rules],
-    )
-    out = hosts.crossJoin(F.broadcast(spread))  # one row
+    pooled = hosts.agg(F.sum("host_docs").alias("n"), F.count("*").alias("h"), F.sum(F.col("host_docs").cast("double") ** 2).alias("n2"), *[F.sum(r).alias(r) for r in rules]).first()
+    n = float(pooled["n"] or 1)
+    mean = {r: (pooled[r] or 0) / n for r in rules}
+    squares = hosts.agg(*[F.sum(F.col("host_docs") * (F.col(r) / F.col("host_docs") - mean[r]) ** 2).alias(r) for r in rules]).first()
+    out = hosts
     for r in rules:
-        m = F.col(f"__{r}") / F.col("__n")
-        within = m * (1 - m)
-        between = (F.col(f"__ss_{r}") - (F.col("__h") - 1) * within) / F.greatest(F.col("__n") - F.col("__n2") / F.col("__n"), F.lit(1.0))
-        strength = F.when(between > 0, F.least(F.greatest(within / between - 1, F.lit(1.0)), F.lit(MAX_PRIOR_STRENGTH))).otherwise(MAX_PRIOR_STRENGTH)
-        out = out.withColumn(f"host_rate_{r}", (F.col(r) + strength * m) / (F.col("host_docs") + strength))
+        within = mean[r] * (1 - mean[r])
+        between = ((squares[r] or 0.0) - (pooled["h"] - 1) * within) / max(n - (pooled["n2"] or 0.0) / n, 1.0)
+        strength = min(max(within / between - 1, 1.0), MAX_PRIOR_STRENGTH) if between > 0 else MAX_PRIOR_STRENGTH
+        out = out.withColumn(f"host_rate_{r}", (F.col(r) + strength * mean[r]) / (F.col("host_docs") + strength))
     ok = F.lit(True)
     for r, limit in HOST_LIMITS.items():
         ok = ok & (F.col(f"host_rate_{r}") <= limit)

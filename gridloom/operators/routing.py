@@ -1,7 +1,7 @@
 """Flow over elevation grids: filling, single and multiple flow directions, accumulation, height above drainage.
 
-Edges are a table made by a neighbour join. Accumulation goes level by level from the sources down, each round one
-join and one aggregation over the cells that are ready; pointer jumping walks the receiver forest in as many
+Edges are a table made by a neighbour join. Accumulation goes tile by tile, rounds exchanging what crosses tile borders;
+pointer jumping walks the receiver forest in as many
 rounds as the logarithm of its depth. Filling in priority order is sequential by nature: it runs as one task for
 each independent basin that the caller names, and the level fill without increments is a fixed point of joins.
 """
@@ -19,6 +19,8 @@ from .components import OFFSETS, neighbours
 from .lineage import cut
 
 EPSILON = 1e-6
+#: Side of the tiles that accumulation works through.
+TILE = 256
 #: How wide the flow is towards sides and corners.
 SIDE_WIDTH, CORNER_WIDTH = 0.5, 0.354
 
@@ -105,28 +107,73 @@ def receivers(edges: DataFrame) -> DataFrame:
     return best.select("r", "c", "b.r2", "b.c2")
 
 
-def accumulate(cells: DataFrame, edges: DataFrame, seeds: list[str]) -> DataFrame:
+def _route_tile(edges: pa.Table, given: pa.Table, k: int, size: int) -> tuple[dict, dict]:
+    """What passes through each cell of a tile, and what leaves it for cells of others, from what is given to its cells."""
+    down: dict[tuple[int, int], list] = {}
+    waits: dict[tuple[int, int], int] = {}
+    own = set()
+    for r, c, r2, c2, w in zip(*(edges.column(n).to_pylist() for n in ("r", "c", "r2", "c2", "weight"))):
+        down.setdefault((r, c), []).append(((r2, c2), w))
+        own.add((r, c))
+    columns = [given.column(f"d{i}").to_numpy() for i in range(k)]
+    value = {}
+    for n, (r, c) in enumerate(zip(given.column("r").to_pylist(), given.column("c").to_pylist())):
+        value[r, c] = np.array([col[n] for col in columns])
+        own.add((r, c))
+    inside = own | {d for (r, c), ds in down.items() for d, _ in ds if d[0] // size == r // size and d[1] // size == c // size}
+    for cell, ds in down.items():
+        for d, _ in ds:
+            if d in inside:
+                waits[d] = waits.get(d, 0) + 1
+    todo, out = [x for x in inside if not waits.get(x)], {}
+    while todo:
+        cell = todo.pop()
+        v = value.get(cell)
+        for d, w in down.get(cell, ()):
+            if v is not None:
+                target = value if d in inside else out
+                target[d] = target[d] + v * w if d in target else v * w
+            if d in inside:
+                waits[d] -= 1
+                if not waits[d]:
+                    todo.append(d)
+    return value, out
+
+
+def accumulate(cells: DataFrame, edges: DataFrame, seeds: list[str], size: int = TILE) -> DataFrame:
     """cells with acc_<s> for each seed column: its own value and what flows in along the weighted edges.
 
-    Level by level: a cell is ready once all cells above it are done. Many seeds travel in one pass.
+    Each tile passes what it was given down its own edges in one task; what leaves it is given to the next tiles in
+    the next round. Rounds are as many as the most tile borders that water crosses; a round reads only the tiles
+    that were given something and exchanges only border cells. Many seeds travel in one pass.
     """
-    accs = [f"acc_{s}" for s in seeds]
-    edges = cut(edges.select("r", "c", "r2", "c2", "weight"))
-    indeg = edges.groupBy(F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.count("*").alias("wait"))
-    cur = cut(cells.join(indeg, ["r", "c"], "left").select(*cells.columns, F.coalesce("wait", F.lit(0)).alias("wait"), *[F.col(s).cast("double").alias(a) for s, a in zip(seeds, accs)]))
-    done = None
+    k = len(seeds)
+    tile = lambda: {"tr": F.floor(F.col("r") / size).cast("int"), "tc": F.floor(F.col("c") / size).cast("int")}
+    edges = cut(edges.select("r", "c", "r2", "c2", "weight").withColumns(tile()))
+    given = cells.select("r", "c", *[F.col(s).cast("double").alias(f"d{i}") for i, s in enumerate(seeds)])
+    schema = "r int, c int, inside boolean, " + ", ".join(f"d{i} double" for i in range(k))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        passed, left_over = _route_tile(left, right, k, size)
+        rows = [(*cell, True, *v) for cell, v in passed.items()] + [(*cell, False, *v) for cell, v in left_over.items()]
+        cols = list(zip(*rows)) or [()] * (3 + k)
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), *[pa.array(x, pa.float64()) for x in cols[3:]]], names=["r", "c", "inside", *[f"d{i}" for i in range(k)]])
+
+    total = None
+    sums = [F.sum(f"d{i}").alias(f"d{i}") for i in range(k)]
     while True:
-        ready = cur.where("wait = 0").drop("wait")
-        if ready.isEmpty():
+        given = cut(given.withColumns(tile()))
+        if given.isEmpty():
             break
-        ready = cut(ready)
-        done = ready if done is None else done.unionByName(ready)
-        sent = edges.join(ready.select("r", "c", *accs), ["r", "c"]).groupBy(F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.count("*").alias("__n"), *[F.sum(F.col(a) * F.col("weight")).alias(f"__{a}") for a in accs])
-        cur = cut(
-            cur.where("wait > 0").join(sent, ["r", "c"], "left")
-            .select(*cells.columns, (F.col("wait") - F.coalesce("__n", F.lit(0))).alias("wait"), *[(F.col(a) + F.coalesce(f"__{a}", F.lit(0.0))).alias(a) for a in accs])
-        )
-    return done
+        active = edges.join(given.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+        out = cut(active.groupBy("tr", "tc").cogroup(given.groupBy("tr", "tc")).applyInArrow(run, schema))
+        passed = out.where("inside").drop("inside")
+        total = passed if total is None else total.unionByName(passed)
+        given = out.where("NOT inside").groupBy("r", "c").agg(*sums)
+    if total is None:
+        return cells.withColumns({f"acc_{s}": F.col(s).cast("double") for s in seeds})
+    total = total.groupBy("r", "c").agg(*sums)
+    return cells.join(total, ["r", "c"], "left").select(*cells.columns, *[F.coalesce(f"d{i}", F.lit(0.0)).alias(f"acc_{s}") for i, s in enumerate(seeds)])
 
 
 def height_above_drainage(cells: DataFrame, recv: DataFrame, drainage: Column, z: str = "z") -> DataFrame:

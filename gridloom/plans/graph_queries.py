@@ -62,44 +62,60 @@ def gr07(t):
     return W.priority_fill(t.dem).select("r", "c", R("zf"))
 
 
-@query("gr07_level_fill")
+@query(
+    "gr07_level_fill",
+    DEM + """, f AS MATERIALIZED (SELECT r, c, z, (r IN (0, 11) OR c IN (0, 49)) AS edge FROM dem WHERE r < 12), e AS MATERIALIZED (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM f a JOIN f b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND NOT (a.r = b.r AND a.c = b.c)),
+    up(r, c, level) AS (SELECT r, c, z FROM f WHERE edge UNION SELECT x.r, x.c, greatest(x.z, up.level) FROM up JOIN e ON e.r2 = up.r AND e.c2 = up.c JOIN f x ON x.r = e.r AND x.c = e.c AND NOT x.edge) SELECT r, c, min(level) AS zf FROM up GROUP BY 1, 2""",
+)
 def gr07b(t):
     d = t.dem.where("r < 12")
     return W.level_fill(d, 12, 50).select("r", "c", "zf")
 
 
-def _flow(t):
-    """A slope with bumps, without pits: the ramp and a little of the column."""
-    cells = t.ramp.where("r < 8 AND c < 12").select("r", "c", (F.col("z") * 10 + F.pmod(F.col("r") * 7 + F.col("c") * 3, F.lit(5)) * 0.3).alias("z"))
-    filled = W.priority_fill(cells)
-    return filled, W.flow_edges(filled, 30.0, 30.0)
+def _flow(t, rows=8, cols=12):
+    """A slope with bumps: the ramp and a little of the column. Pits keep what flows into them."""
+    cells = t.ramp.where(f"r < {rows} AND c < {cols}").select("r", "c", (F.col("z") * 10 + F.pmod(F.col("r") * 7 + F.col("c") * 3, F.lit(5)) * 0.3).alias("zf"))
+    return cells, W.flow_edges(cells, 30.0, 30.0)
 
 
-@query("gr08_accumulation")
+def _flow_sql(rows: int, cols: int) -> str:
+    return sql_with("ramp", recursive=True) + f""", f AS MATERIALIZED (SELECT r, c, z * 10 + ((r * 7 + c * 3) % 5) * 0.3 AS z FROM ramp WHERE r < {rows} AND c < {cols}),
+e0 AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2, (a.z - b.z) / CASE WHEN a.r <> b.r AND a.c <> b.c THEN sqrt(1800.0) ELSE 30.0 END AS s, CASE WHEN a.r <> b.r AND a.c <> b.c THEN 0.354 ELSE 0.5 END AS w,
+  CASE b.r - a.r WHEN -1 THEN b.c - a.c + 1 WHEN 0 THEN CASE WHEN b.c < a.c THEN 3 ELSE 4 END ELSE b.c - a.c + 6 END AS k FROM f a JOIN f b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.z > b.z),
+e AS MATERIALIZED (SELECT *, s * w / sum(s * w) OVER (PARTITION BY r, c) AS weight, row_number() OVER (PARTITION BY r, c ORDER BY s DESC, k) AS nth FROM e0)"""
+
+
+_ACC = ", flow(r, c, one, paved) AS (SELECT r, c, 1.0::DOUBLE, (c > 2)::INT::DOUBLE FROM f UNION ALL SELECT e.r2, e.c2, one * weight, paved * weight FROM flow JOIN e ON e.r = flow.r AND e.c = flow.c)"
+
+
+@query("gr08_accumulation", _flow_sql(4, 6) + _ACC + " SELECT r, c, round(sum(one), 6) AS acc_one FROM flow GROUP BY 1, 2")
 def gr08(t):
-    cells, edges = _flow(t)
+    cells, edges = _flow(t, 4, 6)
     return W.accumulate(cells.withColumn("one", F.lit(1.0)), edges, ["one"]).select("r", "c", R("acc_one"))
 
 
-@query("gr09_weighted_accumulation")
+@query("gr09_weighted_accumulation", _flow_sql(4, 6) + _ACC + " SELECT r, c, round(sum(one), 6) AS acc_one, round(sum(paved), 6) AS acc_paved FROM flow GROUP BY 1, 2")
 def gr09(t):
-    cells, edges = _flow(t)
-    both = cells.withColumns({"one": F.lit(1.0), "paved": (F.col("c") > 6).cast("double")})
+    cells, edges = _flow(t, 4, 6)
+    both = cells.withColumns({"one": F.lit(1.0), "paved": (F.col("c") > 2).cast("double")})
     return W.accumulate(both, edges, ["one", "paved"]).select("r", "c", R("acc_one"), R("acc_paved"))
 
 
-@query("gr10_receivers")
+@query("gr10_receivers", _flow_sql(8, 12) + " SELECT r, c, r2, c2 FROM e WHERE nth = 1")
 def gr10(t):
     return W.receivers(_flow(t)[1])
 
 
-@query("gr11_height_above_drainage")
+@query(
+    "gr11_height_above_drainage",
+    _flow_sql(8, 12) + ", walk(r, c, tr, tc) AS (SELECT r, c, r, c FROM f UNION ALL SELECT walk.r, walk.c, e.r2, e.c2 FROM walk JOIN e ON e.r = tr AND e.c = tc AND nth = 1 WHERE tc <> 0), d AS (SELECT walk.r, walk.c, min(f.z) AS zd FROM walk JOIN f ON f.r = tr AND f.c = tc WHERE tc = 0 GROUP BY 1, 2) SELECT f.r, f.c, round(CASE WHEN zd IS NULL THEN 0 ELSE greatest(z - zd, 0) END, 6) AS hand FROM f LEFT JOIN d ON d.r = f.r AND d.c = f.c",
+)
 def gr11(t):
     cells, edges = _flow(t)
-    return W.height_above_drainage(cells, W.receivers(edges), F.col("c") == 0).select("r", "c", R("hand"))
+    return W.height_above_drainage(cells, W.receivers(edges), F.col("c") == 0, "zf").select("r", "c", R("hand"))
 
 
-@query("gr12_share_to_receiver")
+@query("gr12_share_to_receiver", _flow_sql(8, 12) + " SELECT r, c, round(weight, 6) AS share FROM e WHERE nth = 1")
 def gr12(t):
     edges = _flow(t)[1]
     return W.share_to_receiver(edges, W.receivers(edges)).select("r", "c", R("share"))

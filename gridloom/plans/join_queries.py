@@ -155,12 +155,17 @@ def jn16(t):
     return cut.select("id", "part", *[R(F.col(c), c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("jn17_exact_line_distance")
+_SEG = _TRI + ", g AS (SELECT id, x1 AS a, y1 AS b, x2 AS c, y2 AS d FROM p UNION ALL SELECT id, x2, y2, x3, y3 FROM p UNION ALL SELECT id, x3, y3, x1, y1 FROM p)"
+_DIST = _SEG + ", q AS (SELECT c_custkey AS qid, c_custkey * 3 % 101 * 1.0 AS x, c_acctbal / 100 AS y FROM customer WHERE c_custkey % 50 = 0), k AS (SELECT qid, x, y, a, b, c, d, least(greatest(((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2), 0), 1) AS t FROM q, g) SELECT qid, round(min(sqrt((x - a - t * (c - a)) ** 2 + (y - b - t * (d - b)) ** 2)), 6) AS dist FROM k GROUP BY 1"
+
+
+@query("jn17_exact_line_distance", _DIST)
 def jn17(t):
+    """Spot checks: a stated set of points against all lines."""
     rings = _triangles(t).withColumn("pts", F.concat("ring", F.slice("ring", 1, 1)))
     segs = joins.segments(rings, "id")
     _, q = _pts(t)
-    spot = q.where("qid % 50 = 0")  # spot checks of a few points against all lines
+    spot = q.where("qid % 50 = 0")
     return spot.join(F.broadcast(segs), F.lit(True)).groupBy("qid").agg(R(F.min(joins.segment_distance(F.col("x"), F.col("y"))), "dist"))
 
 
@@ -221,7 +226,10 @@ def jn26(t):
     return segs.agg(R(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), "total"))
 
 
-@query("jn27_length_in_buffer")
+@query(
+    "jn27_length_in_buffer",
+    _SEG + ", k AS (SELECT id, (c - a) ** 2 + (d - b) ** 2 AS q2, 2 * ((a - 25) * (c - a) + (b - 12) * (d - b)) AS q1, (a - 25) ** 2 + (b - 12) ** 2 - 64 AS q0 FROM g), s AS (SELECT *, q1 * q1 - 4 * q2 * q0 AS disc FROM k) SELECT id, round(sum(CASE WHEN disc > 0 THEN greatest(least((-q1 + sqrt(greatest(disc, 0))) / (2 * q2), 1) - greatest((-q1 - sqrt(greatest(disc, 0))) / (2 * q2), 0), 0) * sqrt(q2) ELSE 0 END), 6) AS len FROM s GROUP BY 1",
+)
 def jn27(t):
     """Length of lines within a circle, by the closed form for a segment and a circle."""
     from ..operators.density import length_in_circle

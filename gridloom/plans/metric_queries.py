@@ -8,6 +8,7 @@ from ..functions import scalar as S
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import ranking
+from .join_queries import _DIST
 from .registry import query, sql_with
 
 R = lambda c, n=None, d=6: F.round(c, d).alias(n or c)
@@ -155,7 +156,7 @@ def dq04(t):
     return t.samples.groupBy("event").agg(F.count_if(F.col("f2").isNull()).alias("gaps"), R(F.min("f2"), "lo", 2), R(F.max("f2"), "hi", 2))
 
 
-@query("dq05_spot_check")
+@query("dq05_spot_check", _DIST)
 def dq05(t):
     """Fast nearest distance against the exact one at sampled points."""
     from .join_queries import jn17

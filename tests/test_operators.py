@@ -78,7 +78,8 @@ def test_patches_equal_brute_force(spark, tile):
     assert {frozenset(g) for g in groups.values()} == patches_of(mask)
 
 
-def test_fill_drains_and_accumulation_keeps_mass(spark):
+@pytest.mark.parametrize("tile", [3, 256])
+def test_fill_drains_and_accumulation_keeps_mass(spark, tile):
     rng = np.random.default_rng(42)
     z = rng.random((10, 12)) * 5 - 0.3 * np.arange(10)[:, None]
     z[4:7, 4:8] = -20  # a pit
@@ -87,7 +88,7 @@ def test_fill_drains_and_accumulation_keeps_mass(spark):
         assert min(filled[i + a, j + b] for a, b in components.OFFSETS) < filled[i, j]
     cells = grid(spark, filled).withColumnRenamed("z", "zf").withColumn("one", F.lit(1.0))
     edges = routing.flow_edges(cells, 30.0, 30.0)
-    done = routing.accumulate(cells, edges, ["one"])
+    done = routing.accumulate(cells, edges, ["one"], tile)
     edge = F.col("r").isin(0, 9) | F.col("c").isin(0, 11)
     row = routing.ledger(done, edges, "one", edge).first()
     assert row.total == 120 and math.isclose(row.out, 120, abs_tol=1e-9) and row.lost == 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -17,13 +17,20 @@ from .lineage import cut
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, order: list[str], keep: list[str]) -> DataFrame:
     """left with `keep` of the right row of the same keys that is nearest in time; null without one.
 
-    Ties go to the first by `order`. The right rows of a key are gathered into one sorted array and the nearest is
-    taken from it, so the join gives one row a left row.
+    Ties go to the first by `order`. Both sides are first reduced to one row a key and day, so a key has no more
+    rows than the calendar has days, however often it occurs; a window finds the last day before and the first
+    after; the result is joined back.
     """
-    packed = right.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(right_time, *[c for c in dict.fromkeys([*order, *keep]) if c != right_time]))).alias("__all"))
-    distance = lambda x: F.abs(F.datediff(F.col(left_time), x[right_time]))
-    scored = F.transform("__all", lambda x: F.struct(distance(x).alias("__d"), *[x[o].alias(f"__o{i}") for i, o in enumerate(order)], x.alias("__x")))
-    return left.join(packed, by, "left").withColumn("__best", F.array_min(scored)["__x"]).select(*left.columns, *[F.col(f"__best.{k}").alias(k) for k in keep])
+    day = lambda c: F.unix_date(F.col(c)).alias("__day")
+    first = right.groupBy(*by, day(right_time)).agg(F.min(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(*keep).alias("kept"))).alias("__r"))
+    asked = left.select(*by, day(left_time)).distinct().where("__day IS NOT NULL")
+    both = asked.join(first, [*by, "__day"], "full")
+    w = Window.partitionBy(*by).orderBy("__day")
+    seen = F.when(F.col("__r").isNotNull(), F.struct(F.col("__day").alias("d"), F.col("__r").alias("r")))
+    near = both.select(*by, "__day", F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("b"))
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.d") - F.col("__day")).alias("gap"), F.col(f"{c}.r").alias("r")))
+    best = near.select(*by, "__day", F.array_min(F.array_compact(F.array(gap("a"), gap("b"))))["r"]["kept"].alias("__kept"))
+    return left.withColumn("__day", F.unix_date(F.col(left_time))).join(best, [*by, "__day"], "left").select(*left.columns, *[F.col(f"__kept.{k}").alias(k) for k in keep])
 
 
 def cascaded_match(left: DataFrame, right: DataFrame, levels: list[list[str]], left_time: str, right_time: str, order: list[str], keep: list[str]) -> DataFrame:
@@ -67,6 +74,8 @@ def nearest_points(queries: DataFrame, targets: DataFrame, id_col: str, target_i
     area = max(box["max_x"] - box["min_x"], extent / 1000) * max(box["max_y"] - box["min_y"], extent / 1000)
     cell = cell or max(math.sqrt(area / box["n"] * 4 * k), extent / 4096)
     cx, cy = F.floor(F.col("x") / cell).cast("long"), F.floor(F.col("y") / cell).cast("long")
+    if k == 1 and exclude is None:  # of targets at one place only the first can be nearest
+        targets = targets.groupBy("x", "y").agg(F.min(target_id).alias(target_id))
     spots = targets.select(F.col(target_id), F.col("x").alias("__tx"), F.col("y").alias("__ty"), cx.alias("__gx"), cy.alias("__gy"))
     open_, done, radius = queries.select(F.col(id_col), "x", "y"), None, 1
     reach = math.ceil(extent / cell) + 1
@@ -82,7 +91,12 @@ def nearest_points(queries: DataFrame, targets: DataFrame, id_col: str, target_i
         if exclude is not None:
             pairs = pairs.where(~exclude)
         d = F.hypot(F.col("x") - F.col("__tx"), F.col("y") - F.col("__ty"))
-        best = pairs.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct(d.alias("dist"), F.col(target_id).alias(target_id)))), 1, k).alias("__best"))
+        one = F.struct(d.alias("dist"), F.col(target_id).alias(target_id))
+        if k == 1:
+            best = pairs.groupBy(id_col).agg(F.array(F.min(one)).alias("__best"))
+        else:
+            first_k = pairs.select(id_col, one.alias("__o")).withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy("__o"))).where(F.col("__n") <= k)
+            best = first_k.groupBy(id_col).agg(F.array_sort(F.collect_list("__o")).alias("__best"))
         found = cut(open_.join(best, id_col, "left").withColumn("__gap", gap))
         # a target outside the ring is further than radius cells from the moved point, and the way there makes an obtuse angle with the move
         limit = F.hypot(F.col("__gap"), F.lit(radius * cell))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Ranges that values are dealt over.
 RANGES = 128
 
@@ -48,11 +50,23 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> Dat
 
 
 def ordinal_ranks(df: DataFrame, value: str, tie: list[str], by: list[str] | None = None) -> DataFrame:
-    """df with `rank` 1, 2, ...: by value, ties by the tie columns. Equal values share a task, nothing else does."""
+    """df with `rank` 1, 2, ... (in each group): by value, ties by the tie columns, nulls first.
+
+    One sort by ranges of all those columns, so not even equal values have to share a task. Rows are numbered within
+    their task; the tasks' row counts, a short table, give what lies before each.
+    """
     by = by or []
-    before = running_sums(value_counts(df, value, by), value, ["n"], by).drop("n")
-    within = Window.partitionBy(*by, value).orderBy(*tie)
-    return df.join(before, [*by, value]).withColumn("rank", F.col("before_n") + F.row_number().over(within)).drop("before_n")
+    keys = [*by, value, *tie]
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    task, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(task.alias("__task")).agg(F.count("*").alias("__n"))
+    before = counts.select("__task", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = placed.withColumn("__task", task).join(F.broadcast(before), "__task").withColumn("rank", F.col("__before") + within + 1)
+    if by:
+        first = ranked.groupBy(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)]).agg(F.min("rank").alias("__first"))
+        on = [F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]
+        ranked = ranked.join(first, on).withColumn("rank", F.col("rank") - F.col("__first") + 1)
+    return ranked.select(*df.columns, "rank")
 
 
 def percentile_ranks(df: DataFrame, value: str, tie: list[str]) -> DataFrame:

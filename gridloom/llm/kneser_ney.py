@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hot_keys, salted_join, table
@@ -22,6 +22,8 @@ from .common import cut, hot_keys, salted_join, table
 ORDER = 4
 #: The quantile of the trusted documents' perplexities, and by what factor a document may be above it.
 QUANTILE, SLACK = 0.99, 1.1
+#: Width of the grid, in the logarithm of the perplexity, that quantiles are taken on.
+STEP = 1e-4
 #: How many standard errors of its mean log-probability a document has to be above, so that short ones aren't rejected by chance.
 ERRORS = 2.0
 #: Languages with fewer trusted documents than this go by the quantile of all languages.
@@ -259,6 +261,18 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return docs.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(score, schema)
 
 
+def quantiles(scored: DataFrame, share: float) -> DataFrame:
+    """(lang, n, q): a quantile of each language's perplexities, from counts on a grid of STEP in their logarithm.
+
+    Counts don't depend on the order in which they are merged, so neither does the quantile; the grid bounds them.
+    """
+    bins = scored.groupBy("lang", F.floor(F.log("perplexity") / STEP).alias("bin")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("lang")
+    up_to = bins.select("lang", "bin", F.sum("c").over(w.orderBy("bin")).alias("up_to"), F.sum("c").over(w).alias("n"))
+    at = up_to.where(F.col("up_to") >= F.ceil(F.col("n") * share)).groupBy("lang").agg(F.min("bin").alias("bin"), F.first("n").alias("n"))
+    return at.select("lang", "n", F.exp((F.col("bin") + 1) * STEP).alias("q"))
+
+
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, text_hash, lang, perplexity, threshold, kept): one row a row of df.
 
@@ -270,14 +284,12 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted; other columns of df are not read. An empty df gives no rows.
     """
     scored = cut(perplexities(df, labels.where("quality = 1"), id_col, text_col, lang_col))  # figures only, no texts
-    # the sketch's error in rank is below 1e-4
-    at = F.percentile_approx("perplexity", QUANTILE, 10_000)
     good = scored.where("trusted")
-    every = good.agg(at.alias("q")).first()["q"]
-    of_lang = good.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("n"), at.alias("q")).where(F.col("n") >= MIN_TRUSTED)
+    every = quantiles(good.withColumn("lang", F.lit("")), QUANTILE).first()
+    of_lang = quantiles(good, QUANTILE).where(F.col("n") >= MIN_TRUSTED)
     hot = hot_keys(scored.groupBy("lang").agg(F.count("*").alias("n")), ["lang"], "n")
-    scored = salted_join(scored, of_lang.select(F.col("__lang").alias("lang"), "q"), ["lang"], hot, F.col("text_hash"), "left")
-    limit = F.coalesce("q", F.lit(every if every is not None else float("inf")))
+    scored = salted_join(scored, of_lang.select("lang", "q"), ["lang"], hot, F.col("text_hash"), "left")
+    limit = F.coalesce("q", F.lit(every["q"] if every else float("inf")))
     threshold = limit * SLACK * F.exp(ERRORS * F.col("error"))
     return scored.select("doc_id", "text_hash", "lang", "perplexity", threshold.alias("threshold"), (F.col("perplexity") <= threshold).alias("kept"))
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import connected_components
 from .lineage import cut
 
 TILE = 512
@@ -45,29 +46,6 @@ def _label_tile(table: pa.Table) -> pa.Table:
     return pa.table({"r": pa.array([r for r, _ in cells], pa.int32()), "c": pa.array([c for _, c in cells], pa.int32()), "part": pa.array([label[x] for x in cells], pa.int64())})
 
 
-def min_labels(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component of edges (a, b), by contraction to the ends of pointer chains."""
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    labels = None
-    while not edges.isEmpty():
-        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pointers = cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")))
-        while True:
-            up = pointers.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            further = cut(pointers.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")))
-            pointers = further.select("node", "label")
-            if further.where("moved").isEmpty():
-                break
-        if labels is None:
-            labels = pointers
-        else:
-            labels = cut(labels.join(pointers.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
-        at = lambda c: pointers.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-        drawn = edges.join(at("a"), "a").join(at("b"), "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-        edges = cut(drawn.where("a < b").distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-
-
 def label_patches(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """(r, c, patch) for the cells of a mask (r, c): patch is the same for connected cells, and differs else."""
     tr, tc = F.floor(F.col("r") / tile).cast("int"), F.floor(F.col("c") / tile).cast("int")
@@ -76,7 +54,7 @@ def label_patches(mask: DataFrame, tile: int = TILE) -> DataFrame:
     rim = lambda a: F.pmod(F.col(a), F.lit(tile)).isin(0, tile - 1)
     border = parts.where(rim("r") | rim("c"))
     pairs = neighbours(border, "part").where("part != part2").select(F.col("part").alias("a"), F.col("part2").alias("b"))
-    merged = min_labels(pairs)
+    merged = connected_components(pairs)
     return parts.join(merged.withColumnRenamed("node", "part"), "part", "left").select("r", "c", F.coalesce("label", "part").alias("patch"))
 
 

@@ -1,84 +1,33 @@
-"""Shared helpers: reading, lineage cuts, skew-safe joins and Arrow row mapping."""
+"""Shared helpers: reading, repeatable draws and Arrow row mapping; lineage cuts and skew-safe joins of the library."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, shared_dir
+from ..operators.skew import hot_keys, salted_join
+
+__all__ = ["WORD", "cut", "hot_keys", "map_rows", "n_blocks", "salted_join", "shared_dir", "table", "uniform"]
+
 #: A word of the contracts: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Keys with more than this share of the rows are hot; by counting there are at most 1 / HOT_SHARE.
-HOT_SHARE = 1 / 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or one of our own where it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="gridloom-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its rows written as a table in the shared folder and read again.
-
-    Later jobs neither recompute nor lose them. A table rather than checkpoint(): it is compressed, and the plan
-    that reads it carries nothing of the one that made it, whose constraints would pile up from round to round.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def number(df: DataFrame, value: Column) -> float:
-    """One aggregate over df, as a Python number (0 for null)."""
-    return df.agg(value.alias("v")).first()["v"] or 0
-
-
 def uniform(*parts: Column | int | str) -> Column:
     """A number in (0, 1) that depends on the parts alone, so that a task run again draws the same."""
     h = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) * F.lit(2.0**-53)
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than `share` of the rows, with `__salts`: over how many salts to spread each.
-
-    counts: one row a key, with its number of rows in column n. At most 1 / share keys come back, whatever
-    the size of counts, so the result may be broadcast.
-    """
-    total = number(counts, F.sum(n))
-    step = max(1.0, total * share)
-    return counts.where(F.col(n) > step).select(*keys, F.ceil(F.col(n) / F.lit(step)).cast("int").alias("__salts"))
-
-
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
-    """Equi-join of big with small (one row a key), hot keys of big being spread over salts.
-
-    hot comes from hot_keys(); spread: an expression over big that differs from row to row. Keys are not null.
-    """
-    hot = hot.select(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], "__salts")
-    def salts(df: DataFrame) -> DataFrame:
-        on = [F.col(k) == F.col(f"__hot_{i}") for i, k in enumerate(keys)]
-        return df.join(F.broadcast(hot), on, "left").drop(*[f"__hot_{i}" for i in range(len(keys))])
-    left = salts(big).withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
-    right = salts(small).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
-
-
 def map_rows(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 512) -> DataFrame:
     """f over slices of at most `rows` rows, as columns of Python values; one Python pass, in Arrow batches."""
     spark = df.sparkSession

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import WORD, cut, hot_keys, map_rows, salted_join, table
-from .components import connected_components
 
 N, THRESHOLD = 5, 0.8
 #: Pairs at the threshold are found with this probability at least; more hashes than MAX_HASHES are not used.

@@ -12,6 +12,13 @@ WGS84_A, WGS84_E2 = 6378137.0, 6.69437999014e-3
 KM_LON, KM_LAT = 111.320, 110.574
 TAN_SLOPE_MIN = 0.001
 CN_IMPERVIOUS = 98.0
+# Decibels of digital numbers; hazard weights, reaches (m) and tiers; retention (mm) and wet curve numbers.
+DN_FACTOR, DN_OFFSET = 20.0, 55.0
+HAZARD_LOW, HAZARD_WATER, HAZARD_DENSITY = 0.45, 0.35, 0.20
+LOW_REACH, WATER_REACH = 18.0, 600.0
+TIER_2, TIER_3 = 0.35, 0.55
+RETENTION, RETENTION_OFFSET, INITIAL_LOSS, LATER_LOSS = 25400.0, 254.0, 0.2, 0.8
+WET_UP, WET_BASE, WET_SLOPE = 23.0, 10.0, 0.13
 
 
 def as_col(x: Column | str | float) -> Column:
@@ -50,7 +57,7 @@ def linear_to_db(x: Column) -> Column:
 
 
 def dn_to_db(dn: Column) -> Column:
-    return F.log10(F.greatest(dn, F.lit(1.0))) * 20.0 - 55.0
+    return F.log10(F.greatest(dn, F.lit(1.0))) * DN_FACTOR - DN_OFFSET
 
 
 def normalized_difference(a: Column, b: Column) -> Column:
@@ -172,13 +179,13 @@ def surface_curvatures(z: dict[int, Column], dx: Column, dy: Column) -> tuple[Co
 
 
 def wet_curve_number(cn: Column) -> Column:
-    return cn * 23.0 / (cn * 0.13 + 10.0)
+    return cn * WET_UP / (cn * WET_SLOPE + WET_BASE)
 
 
 def runoff(rain: Column, cn: Column) -> Column:
     """Depth of direct runoff by the curve-number method."""
-    s = F.lit(25400.0) / cn - 254.0
-    return F.when(rain > s * 0.2, F.pow(rain - s * 0.2, F.lit(2.0)) / (rain + s * 0.8)).otherwise(0.0)
+    s = F.lit(RETENTION) / cn - RETENTION_OFFSET
+    return F.when(rain > s * INITIAL_LOSS, F.pow(rain - s * INITIAL_LOSS, F.lit(2.0)) / (rain + s * LATER_LOSS)).otherwise(0.0)
 
 
 def mixed_curve_number(paved: Column, pervious_cn: float) -> Column:
@@ -200,14 +207,14 @@ def cagr(first: Column, last: Column, years: Column | float) -> Column:
 
 
 def hazard_index(elevation: Column, lowest: Column, water_m: Column, density: Column) -> Column:
-    low = F.lit(1.0) - clip((elevation - lowest) / 18.0, 0.0, 1.0)
-    near = F.lit(1.0) - clip(water_m / 600.0, 0.0, 1.0)
-    return low * 0.45 + near * 0.35 + density * 0.20
+    low = F.lit(1.0) - clip((elevation - lowest) / LOW_REACH, 0.0, 1.0)
+    near = F.lit(1.0) - clip(water_m / WATER_REACH, 0.0, 1.0)
+    return low * HAZARD_LOW + near * HAZARD_WATER + density * HAZARD_DENSITY
 
 
 def hazard_tier(index: Column) -> Column:
-    """1 below 0.35, 2 below 0.55, else 3."""
-    return F.when(index >= 0.55, 3).when(index >= 0.35, 2).otherwise(1)
+    """1 below TIER_2, 2 below TIER_3, else 3."""
+    return F.when(index >= TIER_3, 3).when(index >= TIER_2, 2).otherwise(1)
 
 
 def growth_risk(grown: Column, low: Column, near: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import ranking
@@ -14,8 +13,6 @@ from .registry import query, sql_with
 R = lambda c, n=None, d=6: F.round(c, d).alias(n or c)
 AGREE, SCORED, PAIR, SAMPLES, DEM = (sql_with(x) for x in ("agree", "scored", "img_pair", "samples", "dem"))
 _CT = ", x AS (SELECT count(*) FILTER (WHERE a AND b)::DOUBLE AS tp, count(*) FILTER (WHERE a AND NOT b)::DOUBLE AS fp, count(*) FILTER (WHERE NOT a AND b)::DOUBLE AS fn, count(*) FILTER (WHERE NOT a AND NOT b)::DOUBLE AS tn FROM agree)"
-_AUC = "(SELECT sum(CASE WHEN y = 1 THEN below + n0 / 2.0 END) FROM (SELECT 1))"
-POS = F.col
 
 
 def _auc_sql(source: str, score: str = "s", label: str = "y = 1") -> str:

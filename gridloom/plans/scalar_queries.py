@@ -9,7 +9,6 @@ from .registry import query, sql_with
 
 R = lambda c, n, d=6: F.round(c, d).alias(n)
 IMG, DEM, PAIR = sql_with("img"), sql_with("dem"), sql_with("img_pair")
-HV = lambda k: F.col(k)
 
 
 @query("sc01_db_linear", IMG + " SELECT r, c, round(pow(10, v / 10), 6) AS linear, round(10 * log10(greatest(v, 1e-10)), 6) AS db FROM img")

@@ -9,7 +9,6 @@ from ..operators import metrics, ranking, resample, stats
 from .registry import query, sql_with
 
 R = lambda c, n, d=6: F.round(c, d).alias(n)
-L = lambda c, n: F.expr(c).cast("long").alias(n)
 IMG, DEM, PAIR, SAMPLES, AGREE, CUBE = (sql_with(x) for x in ("img", "dem", "img_pair", "samples", "agree", "cube"))
 
 

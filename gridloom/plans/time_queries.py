@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
 from ..operators import ranking
 from ..operators import timeseries as T
 from .registry import query, sql_with

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
 import re
 
 import numpy as np

@@ -103,7 +103,7 @@ def cp13(t):
     ok = F.pmod("z", F.lit(9.0)) != 0
     full = fill_nearest(t.dem.withColumn("z", F.when(ok, F.col("z"))), "z", F.col("z").isNotNull())
     gaps = t.dem.agg(F.count_if(~ok).alias("filled")).first()["filled"]
-    return full.where("z IS NOT NULL").agg(F.count("*").alias("cells")).withColumn("filled", F.lit(gaps))
+    return full.where("z IS NOT NULL").agg(F.count("*").alias("cells")).withColumn("filled", F.lit(gaps).cast("long"))
 
 
 @query("cp14_dual_impact", DEM + ", x AS (SELECT r, c, z / 51 AS s, z AS base, z + c / 10.0 AS scen FROM dem), k AS (SELECT (1 + (s >= 0.2)::INT + (s >= 0.4)::INT + (s >= 0.6)::INT + (s >= 0.8)::INT) >= 4 AS prone, (scen - base) * 100 / greatest(base, 1e-6) >= 5 AS more_ FROM x) SELECT more_::INT * 2 + prone::INT AS impact, count(*) AS n FROM k GROUP BY 1")

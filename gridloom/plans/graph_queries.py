@@ -121,7 +121,7 @@ def gr12(t):
     return W.share_to_receiver(edges, W.receivers(edges)).select("r", "c", R("share"))
 
 
-@query("gr13_mass_balance", "SELECT 96.0 AS total, 0.0 AS missing")
+@query("gr13_mass_balance", sql_with("ramp") + " SELECT count(*)::DOUBLE AS total, 0.0::DOUBLE AS missing FROM ramp WHERE r < 8 AND c < 12")
 def gr13(t):
     cells, edges = _flow(t)
     done = W.accumulate(cells.withColumn("one", F.lit(1.0)), edges, ["one"])

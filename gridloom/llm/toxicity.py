@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import cut, map_rows, table
 
 #: Labelled rows of each class that the lexicon and the scale are fitted on, at most (first by a hash of the id).
 FIT_ROWS = 6000
@@ -158,7 +158,9 @@ def fitting_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     seen = seen.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     picked = [seen.where(F.col("__toxic") == c).orderBy(F.xxhash64("__id"), "__id").limit(FIT_ROWS) for c in (0, 1)]
     chosen = picked[0].unionByName(picked[1])  # bounded: 2 * FIT_ROWS ids
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", F.col("__toxic").cast("int").alias("toxic"))
+    joined = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    # rows that share an id teach once, so that the bound holds whatever repeats
+    return joined.groupBy("__id").agg(F.min("text").alias("text"), F.max("__toxic").cast("int").alias("toxic")).drop("__id")
 
 
 def learn_insults(rows: DataFrame) -> dict[str, float]:
@@ -201,7 +203,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = fitting_rows(docs, labels)
+    rows = cut(fitting_rows(docs, labels))  # bounded; read three times
     insults = learn_insults(rows)
 
     def measure(cols: dict[str, list]) -> dict[str, list]:

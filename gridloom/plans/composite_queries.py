@@ -16,7 +16,7 @@ DEM = sql_with("dem")
 
 
 def _pair(t):
-    return t.img_pair.where("r < 96").select("r", "c", (F.col("a") * 10 - 15).alias("wet"), (F.col("b") * 10 - 15).alias("dry"), "ref")
+    return t.img_pair.select("r", "c", (F.col("a") * 10 - 15).alias("wet"), (F.col("b") * 10 - 15).alias("dry"), "ref")
 
 
 @query("cp01_label_pools")
@@ -49,7 +49,7 @@ def cp05(t):
 
 @query("cp06_route_flow")
 def cp06(t):
-    return C.route_flow(t.ramp.where("r < 5 AND c < 9").select("r", "c", "z"), 30.0, 30.0).select("r", "c", R("acc_area", d=3))
+    return C.route_flow(t.ramp, 30.0, 30.0).select("r", "c", R("acc_area", d=3))
 
 
 @query("cp07_agreement", DEM + """, o AS (SELECT *, z > 44 AS f, z < 3 AS g FROM dem), n AS (SELECT o.*, EXISTS (SELECT 1 FROM dem x WHERE x.z < 3 AND abs(x.r - o.r) <= 2 AND abs(x.c - o.c) <= 2) AS near FROM o)

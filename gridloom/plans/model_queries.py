@@ -188,7 +188,7 @@ def ml14(t):
 
 @query("ml15_change_test")
 def ml15(t):
-    g = t.img_pair.select("r", "c", (F.col("a") + 1).alias("dry"), (F.col("b") + 1).alias("wet"), "ref").where("r < 64")
+    g = t.img_pair.select("r", "c", (F.col("a") + 1).alias("dry"), (F.col("b") + 1).alias("wet"), "ref")
     return M.change_test(g, "dry", "wet", "ref").groupBy("ref", "change").agg(F.count("*").alias("n"))
 
 

@@ -113,6 +113,11 @@ def rf12(t):
     return resample.nearest_resample(t.dem, t.dem.where("r < 20").select("r", "c"), 1.5, ["z"])
 
 
+@query("rf12_nearest_resample_whole", DEM + " SELECT t.r, t.c, dem.z FROM dem t LEFT JOIN dem ON dem.r = floor((t.r + 0.5) / 1.5) AND dem.c = floor((t.c + 0.5) / 1.5)")
+def rf12w(t):
+    return resample.nearest_resample(t.dem, t.dem.select("r", "c"), 1.5, ["z"])
+
+
 @query("rf12_mode_resample", DEM + ", k AS (SELECT floor(r / 4)::INT AS r, floor(c / 4)::INT AS c, (z % 5)::INT AS v, count(*) AS n FROM dem GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY n DESC, v) AS nth FROM k) SELECT r, c, v FROM o WHERE nth = 1")
 def rf12m(t):
     return resample.mode_resample(t.dem.select("r", "c", F.pmod("z", F.lit(5.0)).cast("int").alias("v")), 4, "v")

@@ -7,11 +7,16 @@ cross join. Candidates of a bucket are reduced before anything else happens to t
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .skew import hot_keys, salted_join
+
+#: So many rounds of upstream() are kept as one table.
+MERGE_ROUNDS = 16
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, order: list[str], keep: list[str]) -> DataFrame:
@@ -168,9 +173,23 @@ def rasterize(polygons: DataFrame, id_col: str, ring: str = "ring") -> DataFrame
     return spans.select(id_col, "r", F.explode(F.sequence("a", "b")).alias("c"))
 
 
-def upstream(tree: DataFrame, seeds: DataFrame, id_col: str = "id", down: str = "next_down", rounds: int = 64) -> DataFrame:
-    """The seeds and everything that drains to them: a recursive query over the edges."""
-    spark = tree.sparkSession
-    tree.select(F.col(id_col).alias("id"), F.col(down).alias("down")).where("id != down").createOrReplaceTempView("__tree")
-    seeds.select(F.col(id_col).alias("id")).createOrReplaceTempView("__seeds")
-    return spark.sql(f"WITH RECURSIVE up(id, depth) AS (SELECT id, 0 FROM __seeds UNION ALL SELECT t.id, depth + 1 FROM up JOIN __tree t ON t.down = up.id WHERE depth < {rounds}) SELECT DISTINCT id FROM up")
+def upstream(tree: DataFrame, seeds: DataFrame, id_col: str = "id", down: str = "next_down") -> DataFrame:
+    """The seeds and everything that drains to them, however far upstream.
+
+    Every round joins the nodes that the last round found with the edges and keeps those that no round has found yet,
+    until there are none; a cycle ends it too. Rounds are as many as the longest chain above a seed.
+    """
+    edges = cut(tree.select(F.col(id_col).alias("id"), F.col(down).alias("down")).where("id != down"))
+    hot = hot_keys(edges.groupBy("down").agg(F.count("*").alias("n")), ["down"], "n")
+    front = cut(seeds.select(F.col(id_col).alias("id")).distinct())
+    found = [front]
+    while True:
+        met = salted_join(edges, front.select(F.col("id").alias("down")).where("down IS NOT NULL"), ["down"], hot, F.col("id")).select("id").distinct()
+        for part in found:
+            met = met.join(part, "id", "left_anti")
+        front = cut(met)
+        if front.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(front)
+        if len(found) == MERGE_ROUNDS:
+            found = [cut(reduce(DataFrame.unionByName, found))]

@@ -2,8 +2,8 @@
 
 Edges are a table made by a neighbour join. Accumulation goes tile by tile, rounds exchanging what crosses tile borders;
 pointer jumping walks the receiver forest in as many
-rounds as the logarithm of its depth. Filling in priority order is sequential by nature: it runs as one task for
-each independent basin that the caller names, and the level fill without increments is a fixed point of joins.
+rounds as the logarithm of its depth. Filling floods tiles in priority order, rounds exchanging their rims; the level
+fill without increments is a fixed point of joins.
 """
 
 from __future__ import annotations
@@ -55,20 +55,86 @@ def fill_basin(z: np.ndarray, outlets: np.ndarray, epsilon: float = EPSILON) ->
     return out
 
 
-def priority_fill(df: DataFrame, basin: str | None = None, outlet: Column | None = None, epsilon: float = EPSILON) -> DataFrame:
-    """df (r, c, z) with zf, filled in priority order; one task a basin, whose grid must fit in it."""
-    cells = df.withColumns({"__b": F.col(basin) if basin else F.lit(0), "__o": outlet if outlet is not None else F.lit(False)})
-
-    def run(t: pa.Table) -> pa.Table:
-        r, c, z = (t.column(k).to_numpy() for k in ("r", "c", "z"))
-        grid, outs = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan), np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), bool)
-        grid[r - r.min(), c - c.min()] = z
-        outs[r - r.min(), c - c.min()] = t.column("__o").to_numpy(zero_copy_only=False)
-        zf = fill_basin(grid, outs, epsilon)
-        return pa.table({"r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32()), "zf": pa.array(zf[r - r.min(), c - c.min()])})
-
-    filled = cells.select("__b", "r", "c", "z", "__o").groupBy("__b").applyInArrow(run, "r int, c int, zf double")
-    return df.join(filled, ["r", "c"])
+def _flood_tile(cells: pa.Table, halo: pa.Table, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r, c, zf) of a tile's cells: the lowest level at which each drains to its seeds or to the halo; inf where it cannot yet."""
+    r, c, z = (cells.column(k).to_numpy(zero_copy_only=False) for k in ("r", "c", "z"))
+    hr, hc, level = (halo.column(k).to_numpy(zero_copy_only=False) for k in ("r", "c", "level"))
+    r0, c0 = r.min() - 1, c.min() - 1
+    h, w = r.max() - r0 + 2, c.max() - c0 + 2
+    ground = np.full((h, w), np.nan)
+    ground[r - r0, c - c0] = z
+    out = np.where(np.isnan(ground), np.nan, np.inf)
+    seed = cells.column("seed").to_numpy(zero_copy_only=False) & ~np.isnan(z)
+    heap = []
+    for i, j, v in zip((r[seed] - r0).tolist(), (c[seed] - c0).tolist(), z[seed].tolist()):
+        out[i, j] = v
+        heap.append((v, i, j))
+    heap += [(v, i, j) for v, i, j in zip(level.tolist(), (hr - r0).tolist(), (hc - c0).tolist()) if -1 <= i <= h and -1 <= j <= w]
+    heapq.heapify(heap)
+    while heap:
+        v, i, j = heapq.heappop(heap)
+        if 0 <= i < h and 0 <= j < w and out[i, j] < v:
+            continue
+        for a, b in OFFSETS:
+            y, x = i + a, j + b
+            if 0 <= y < h and 0 <= x < w and out[y, x] > v:
+                new = max(ground[y, x], v + epsilon)
+                if new < out[y, x]:
+                    out[y, x] = new
+                    heapq.heappush(heap, (new, y, x))
+    return r, c, out[r - r0, c - c0]
+
+
+def priority_fill(df: DataFrame, basin: str | None = None, outlet: Column | None = None, epsilon: float = EPSILON, size: int = TILE) -> DataFrame:
+    """df (r, c, z) with zf, the least surface from which every cell drains to the border of its basin or an outlet,
+    each step down being epsilon at least. NaN cells are walls, and so are other basins.
+
+    It is the least, over the paths from a cell to a border or outlet, of what the path raises the cell to. Each tile
+    is flooded in one task from its own borders and outlets and from what its neighbours' rims have come to; only rims
+    are exchanged, and a round floods only the tiles whose neighbours' rims went down. Rounds are as many as the most
+    tile borders that a way out crosses.
+    """
+    # null basins are a basin
+    cells = df.select("r", "c", F.col("z").cast("double").alias("z"), (F.to_json(F.struct(F.col(basin).alias("b"))) if basin else F.lit("")).alias("b"), F.coalesce(outlet if outlet is not None else F.lit(False), F.lit(False)).alias("seed"))
+    tile = lambda r, c: {"tr": F.floor(F.col(r) / size).cast("int"), "tc": F.floor(F.col(c) / size).cast("int")}
+    keys = ["b", "tr", "tc"]
+    cells = cut(cells.withColumns(tile("r", "c")))
+    # the extent of a basin by way of its tiles, so that no basin is one key of the cells' join
+    tiles = cut(cells.groupBy(keys).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")))
+    extent = tiles.groupBy("b").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+    rim = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
+    cells = cut(cells.join(tiles.select(keys).join(extent, "b"), keys).select(*keys, "r", "c", "z", (F.col("seed") | rim).alias("seed")))
+
+    def flood(key: tuple, left: pa.Table, right: pa.Table, whole: bool) -> pa.Table:
+        r, c, zf = _flood_tile(left, right, epsilon) if left.num_rows else (np.array([], "int32"), np.array([], "int32"), np.array([]))
+        if whole:  # cells within walls keep their height
+            zf = np.where(np.isinf(zf), left.column("z").to_numpy(zero_copy_only=False), zf)
+        else:
+            keep = (np.isin(r % size, (0, size - 1)) | np.isin(c % size, (0, size - 1))) & np.isfinite(zf)
+            r, c, zf = r[keep], c[keep], zf[keep]
+        return pa.table({"b": pa.array([key[0].as_py()] * len(r), pa.string()), "r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32()), "level": pa.array(zf, pa.float64())})
+
+    def flooded(some: DataFrame, halo: DataFrame, whole: bool) -> DataFrame:
+        run = lambda key, left, right: flood(key, left, right, whole)
+        return some.groupBy(keys).cogroup(halo.groupBy(keys)).applyInArrow(run, "b string, r int, c int, level double")
+
+    # every rim cell goes to the tiles that one of its neighbours lies in
+    around = F.array_distinct(F.array(*[F.struct(F.floor((F.col("r") + a) / size).cast("int").alias("tr"), F.floor((F.col("c") + b) / size).cast("int").alias("tc")) for a, b in OFFSETS]))
+    halo = df.sparkSession.createDataFrame([], "b string, r int, c int, level double, tr int, tc int")
+    active = cells
+    while True:
+        given = flooded(active, halo.join(active.select(keys).distinct(), keys, "left_semi"), False)
+        given = given.withColumns({"own": F.struct(*[x.alias(n) for n, x in tile("r", "c").items()]), "t": F.explode(around)}).where("t != own").select("b", "r", "c", "level", "t.tr", "t.tc")
+        before = halo.withColumnRenamed("level", "was")
+        at = [*keys, "r", "c"]
+        merged = cut(given.join(before, at, "full").select(*at, F.least("level", "was").alias("level"), F.coalesce(F.col("level") < F.coalesce("was", F.lit(float("inf"))), F.lit(False)).alias("down")))
+        halo = merged.select("b", "r", "c", "level", "tr", "tc")
+        lower = cut(merged.where("down").select(keys).distinct().join(tiles.select(keys), keys, "left_semi"))
+        if lower.isEmpty():
+            break
+        active = cells.join(lower, keys, "left_semi")
+    filled = flooded(cells, halo.join(tiles.select(keys), keys, "left_semi"), True)
+    return df.join(filled.select("r", "c", F.col("level").alias("zf")), ["r", "c"])
 
 
 def level_fill(df: DataFrame, rows: int, cols: int, rounds: int = 1000) -> DataFrame:

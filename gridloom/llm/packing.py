@@ -53,12 +53,90 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list
     return where, load, [next(x for x in lengths if x >= n) for n in load]
 
 
+class Remaining:
+    """Counts of the items that no bin holds or has planned for yet, by size."""
+
+    def __init__(self, sizes: list[int], longest: int):
+        self.free, self.planned = [0] * (longest + 1), [0] * (longest + 1)
+        for x in sizes:
+            self.free[x] += 1
+        self.below = [x if n else x - 1 for x, n in enumerate(self.free)]  # towards the next size with free items
+        self.below[0] = 0
+
+    def largest(self, size: int) -> int:
+        """The largest size up to this one that has free items, 0 without one."""
+        end = size
+        while end and not self.free[end]:
+            end = self.below[end] if self.below[end] < end else end - 1
+        while size > end:
+            size, self.below[size] = (self.below[size] if self.below[size] < size else size - 1), end
+        return end
+
+    def plan(self, room: int) -> list[tuple[int, int]]:
+        """(size, how many) that would fill a room, from large to small."""
+        out, size = [], self.largest(room)
+        while size:
+            n = min(self.free[size], room // size)
+            out.append((size, n))
+            room -= n * size
+            size = self.largest(min(room, size - 1))
+        return out
+
+    def take(self, size: int) -> None:
+        """An item goes to a bin that is open: one that was planned for, if there is one."""
+        of = self.planned if self.planned[size] else self.free
+        of[size] -= 1
+
+    def reserve(self, plan: list[tuple[int, int]]) -> None:
+        for size, n in plan:
+            self.free[size] -= n
+            self.planned[size] += n
+
+
+def planned_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
+    """As best_fit, but a new bin takes the length that costs least for each word of the load that it would reach: its
+    item and the best fill by items still to come that no open bin has planned for. Items go to the fullest bin whatever
+    was planned, so a bin may stay emptier than its plan; lengths are those that bins were opened with."""
+    lengths = tuple(sorted(lengths))
+    remaining = Remaining(sizes, max(lengths))
+    where, load, length, room = [0] * len(sizes), [], [], []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        size = sizes[i]
+        at = bisect_left(room, (size, -1))
+        remaining.take(size)
+        if at < len(room):
+            _, b = room.pop(at)
+        else:
+            b = len(load)
+            plans = {x: remaining.plan(x - size) for x in lengths if x >= size}
+            best = min(plans, key=lambda x: (open_cost(x, size + sum(a * n for a, n in plans[x])), -x))
+            remaining.reserve(plans[best])
+            load.append(0)
+            length.append(best)
+        where[i] = b
+        load[b] += size
+        if load[b] < length[b]:
+            insort(room, (length[b] - load[b], b))
+    return where, load, length
+
+
+def downsized(load: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[int]:
+    """The smallest length that holds each load."""
+    return [next(x for x in sorted(lengths) if x >= n) for n in load]
+
+
+def joint_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
+    """The cheaper of planned_fit, its bins downsized, and best_fit."""
+    where, load, _ = planned_fit(sizes, lengths)
+    return min((where, load, downsized(load, lengths)), best_fit(sizes, lengths), key=lambda x: sum(open_cost(n, 1) for n in x[2]))
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, piece, first_word, n_words, bin_block, bin, bin_length, bin_load, offset): one row a piece.
 
     A document takes its words and one end mark. One longer than the largest length is cut into full pieces and
     a rest; every piece is packed. Rows are dealt by hash over blocks of about block_rows; each block is packed
-    by best_fit in one task, from the sizes alone. Null and empty texts are a piece of the end mark alone;
+    by joint_fit in one task, from the sizes alone. Null and empty texts are a piece of the end mark alone;
     repeated rows are packed each; null ids are kept; other columns of df are not read. An empty df gives no rows.
     """
     kind, longest = dict(df.dtypes)[id_col], max(lengths)
@@ -79,7 +157,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths:
         for i in order:
             for k in range(-(-cols["size"][i] // longest)):
                 out.append((cols["doc_id"][i], k, k * longest, min(longest, cols["size"][i] - k * longest)))
-        where, load, length = best_fit([x[3] for x in out], lengths)
+        where, load, length = joint_fit([x[3] for x in out], lengths)
         filled, offsets = [0] * len(load), []
         for x, b in zip(out, where):
             offsets.append(filled[b])

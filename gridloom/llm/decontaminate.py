@@ -2,64 +2,83 @@
 
 Benchmark items are cut into overlapping segments. Where a text holds a segment of m characters with at most e
 edits, it shares with it at least r - q * e of any r of the segment's q-grams, all on diagonals (position in the
-text minus position in the segment) that differ by at most 2e. So shared q-grams are counted in overlapping
-bands of diagonals; a band that meets the bound is verified by an alignment within the band.
+text minus position in the item) that differ by at most 2e. So shared q-grams are counted in overlapping
+bands of diagonals; a band that meets the bound is verified by an alignment within the band. q is chosen by the
+length of the segment so that the bound is 1 at least: no match within the budget is lost at any length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, n_blocks, table
+from .common import cut, map_rows, n_blocks, table
 
+#: The longest q-grams; segments whose bound would not be positive take shorter ones.
 Q = 10
 #: Edits allowed, as a share of a segment's characters.
 EDIT_RATE = 0.07
-#: Items longer than LONGEST are cut into segments of SEGMENT characters, STRIDE apart.
-SEGMENT, STRIDE, LONGEST = 128, 64, 192
+#: Items longer than a segment are cut into segments of so many characters, STRIDE apart: a run of SEGMENT + STRIDE - 1
+#: characters of an item always holds a whole segment.
+SEGMENT, STRIDE = 80, 16
+#: Items of fewer characters are no evidence.
+MIN_CHARS = 20
 #: q-grams found in more places of the index are left out where the bound stays positive without them.
 COMMON = 8
 #: Characters of benchmark text that are indexed and broadcast at a time; a larger benchmark takes more passes.
-MAX_PART_CHARS = 16_000_000
-#: Characters of text that are hashed at a time.
-SLICE = 1 << 20
+MAX_PART_CHARS = 4_000_000
+#: Code points that are hashed at a time, and of documents that are searched together.
+SLICE, TOGETHER = 1 << 15, 1 << 16
 
-_BITS = 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Stands between documents that are searched together, more often than any budget; texts have a space in its place.
+_GAP = "￿" * (int(SEGMENT * EDIT_RATE) + 2)
 
 
-def normal(text: str) -> str:
-    """Lower case, and every white-space character as a space; of the same length, so positions stay."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return low.translate(_SPACES)
+def budget_of(length: int) -> int:
+    return int(length * EDIT_RATE)
+
 
+def q_of(length: int) -> int:
+    """The longest q up to Q for which length - q + 1 q-grams are more than q times the budget."""
+    return min(Q, length // (budget_of(length) + 1))
 
-_SPACES = {c: " " for c in (*range(9, 14), 0x85, 0xA0)}
+
+def lower(text: str) -> str:
+    """Lower case of the same length, so positions stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Code points, every white-space character as a space."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    points[(points - np.uint32(9) < 5) | (points == 0x85) | (points == 0xA0)] = 32
+    return points
 
 
-def gram_hashes(points: np.ndarray) -> np.ndarray:
+def normal(text: str) -> np.ndarray:
+    return codes(lower(text.replace("￿", " ")))
+
+
+def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of the q code points from each position, by doubling."""
-    n = len(points) - Q + 1
+    n = len(points) - q + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     by_width, width, h = {1: points.astype(np.uint64)}, 1, None
     power = {1: _MULT}
-    while width * 2 <= Q:
+    while width * 2 <= q:
         a = by_width[width]
         by_width[width * 2] = a[:-width] * power[width] + a[width:]
         power[width * 2] = np.uint64(int(power[width]) ** 2 % 2**64)
         width *= 2
     done = 0
     for w in sorted(by_width, reverse=True):
-        if Q - done >= w:
+        if q - done >= w:
             part = by_width[w][done : done + n]
             h = part.copy() if h is None else h * power[w] + part
             done += w
@@ -68,63 +87,74 @@ def gram_hashes(points: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def segments(text: str) -> list[tuple[int, str]]:
-    if len(text) <= LONGEST:
-        return [(0, text)]
-    starts = [*range(0, len(text) - SEGMENT, STRIDE), len(text) - SEGMENT]
-    return [(s, text[s : s + SEGMENT]) for s in starts]
+def starts_of(length: int) -> list[int]:
+    """Where an item's segments start; one no longer than a segment is a segment itself."""
+    return [0] if length <= SEGMENT else [*range(0, length - SEGMENT, STRIDE), length - SEGMENT]
 
 
-class Index:
-    """The q-grams of distinct segments: hashes in order, with the places where each is found."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        where: dict[str, list[tuple[int, int]]] = {}
-        for item, text in items:
-            for start, segment in segments(normal(text)):
-                if len(segment) >= Q:
-                    where.setdefault(segment, []).append((item, start))
-        self.texts = sorted(where)
-        self.places = [sorted(set(where[t])) for t in self.texts]
-        self.length = np.array([len(t) for t in self.texts], np.int64)
-        self.budget = (self.length * EDIT_RATE).astype(np.int64)
-        h = [gram_hashes(codes(t)) for t in self.texts]
-        seg = np.repeat(np.arange(len(h)), [len(x) for x in h])
-        pos = np.concatenate([np.arange(len(x)) for x in h]) if h else np.zeros(0, np.int64)
-        grams = np.concatenate(h) if h else np.zeros(0, np.uint64)
+class Grams:
+    """The q-grams, of one q, of distinct items: hashes in order, with their places in the items' joined text."""
+
+    def __init__(self, q: int, items: list[tuple[np.ndarray, list[int]]]):
+        """items: (code points, item numbers with this text)."""
+        self.q, self.owners = q, [o for _, o in items]
+        self.points = np.concatenate([p for p, _ in items])
+        at = np.cumsum([0] + [len(p) for p, _ in items])
+        seg = [(a + s, i, s, min(SEGMENT, len(p))) for i, ((p, _), a) in enumerate(zip(items, at.tolist())) for s in starts_of(len(p))]
+        #: Of each segment its place in the joined text, its item, its place in the item, its length and budget.
+        self.start, self.item, self.offset, self.length = (np.array(x, np.int64) for x in zip(*seg))
+        self.budget = np.array([budget_of(m) for m in self.length.tolist()], np.int64)
+        place = np.concatenate([np.arange(a, a + len(p) - q + 1) for (p, _), a in zip(items, at.tolist())])
+        grams = np.concatenate([gram_hashes(p, q) for p, _ in items])
         _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
-        often = count[inverse]
-        keep, rank = np.ones(len(grams), bool), np.zeros(len(grams), np.int64)
-        order = np.lexsort((pos, -often, seg))
-        first = np.searchsorted(seg[order], np.arange(len(h)))
-        rank[order] = np.arange(len(order)) - first[seg[order]]  # the commonest of a segment have the lowest rank
-        spare = np.bincount(seg, minlength=len(h)) - Q * self.budget - 1 - np.maximum(2, self.length // 16)
-        keep &= ~((often > COMMON) & (rank < spare[seg]))
-        self.bound = np.maximum(1, np.bincount(seg[keep], minlength=len(h)) - Q * self.budget)
-        order = np.argsort(grams[keep], kind="stable")
-        self.grams, self.seg, self.pos = grams[keep][order], seg[keep][order], pos[keep][order]
-        self.sieve = np.zeros(1 << _BITS, bool)
-        self.sieve[self.grams >> np.uint64(64 - _BITS)] = True
+        often = np.zeros(len(self.points) + 1, np.int64)
+        often[place] = count[inverse]
+        last = self.start + self.length - q  # of a segment's last gram
+        keep = self.rarer(often, last)
+        kept = np.r_[0, np.cumsum(keep & (often[:-1] > 0))]
+        self.bound = kept[last + 1] - kept[self.start] - q * self.budget
+        use = keep[place]
+        order = np.argsort(grams[use], kind="stable")
+        self.grams, self.place = grams[use][order], place[use][order]
+        # segments that hold a gram: starts ascend, and so do ends
+        self.first_seg = np.searchsorted(last, self.place, "left")
+        self.segs = np.searchsorted(self.start, self.place, "right") - self.first_seg
+        self.shift = np.uint64(64 - min(24, max(12, len(grams).bit_length() + 5)))
+        self.sieve = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.sieve[self.grams >> self.shift] = True
+
+    def rarer(self, often: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which places of the joined text to keep: without the commonest grams that every segment around can spare."""
+        votes, around = np.zeros(len(self.points), np.int64), np.zeros(len(self.points), np.int64)
+        common = np.r_[0, np.cumsum(often[:-1] > COMMON)]
+        for a, b, e, m in zip(self.start.tolist(), (last + 1).tolist(), self.budget.tolist(), self.length.tolist()):
+            around[a:b] += 1
+            spare = b - a - self.q * e - 1 - max(2, m // 16)
+            if spare > 0 and common[b] > common[a]:
+                top = np.argsort(-often[a:b], kind="stable")[:spare] + a
+                votes[top[often[top] > COMMON]] += 1
+        return (votes == 0) | (votes < around)
 
     def candidates(self, points: np.ndarray) -> list[tuple[int, int, int]]:
         """(segment, lowest diagonal, highest diagonal) of the bands that meet the bound, overlapping ones merged."""
-        at_, seg_ = [], []
+        at_, entry_ = [], []
         for start in range(0, len(points), SLICE):
-            h = gram_hashes(points[start : start + SLICE + Q - 1])
-            hit = np.flatnonzero(self.sieve[h >> np.uint64(64 - _BITS)])
-            low, high = np.searchsorted(self.grams, h[hit], "left"), np.searchsorted(self.grams, h[hit], "right")
-            n = high - low
-            hit, low, n = hit[n > 0], low[n > 0], n[n > 0]
-            if not len(hit):
-                continue
-            entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at_.append(np.repeat(hit + start, n) - self.pos[entry])
-            seg_.append(self.seg[entry])
+            h = gram_hashes(points[start : start + SLICE + self.q - 1], self.q)
+            hit = np.flatnonzero(self.sieve[h >> self.shift])
+            low = np.searchsorted(self.grams, h[hit], "left")
+            real = self.grams[np.minimum(low, len(self.grams) - 1)] == h[hit]
+            hit, low = hit[real], low[real]
+            if len(hit):
+                n = np.searchsorted(self.grams, h[hit], "right") - low
+                entry_.append(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                at_.append(np.repeat(hit + start, n))
         if not at_:
             return []
-        diagonal, seg = np.concatenate(at_), np.concatenate(seg_)
-        width = 2 * self.budget[seg] + 1
-        cell = diagonal // width
+        entry = np.concatenate(entry_)
+        n = self.segs[entry]
+        diagonal = np.repeat(np.concatenate(at_) - self.place[entry], n)
+        seg = np.repeat(self.first_seg[entry] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cell = diagonal // (2 * self.budget[seg] + 1)
         order = np.lexsort((cell, seg))
         seg, cell = seg[order], cell[order]
         edge = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (cell[1:] != cell[:-1])])
@@ -144,20 +174,58 @@ class Index:
                 found.append((s, low, high))
         return found
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item, start in the item, edits, start, end) of the segments found in the text, code points."""
-        text = normal(text or "")
+    def matches(self, points: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(item, start in the item, edits, start, end) of the segments found, code points."""
         out = []
-        points = codes(text)
-        for s, low, high in self.candidates(points) if len(text) >= Q else ():
-            segment, e = self.texts[s], int(self.budget[s])
-            a, b = max(0, low - e), min(len(text), high + len(segment) + e + 1)
-            exact = text.find(segment, a, b)
-            found = (0, exact, exact + len(segment)) if exact >= 0 else banded(codes(segment), points[a:b], low - a, high - a, e)
+        for s, low, high in self.candidates(points):
+            g, m, e = int(self.start[s]), int(self.length[s]), int(self.budget[s])
+            segment = self.points[g : g + m]
+            low, high = low + g, high + g  # where the segment would start
+            exact = next((t for t in range(max(0, low), min(high, len(points) - m) + 1) if np.array_equal(points[t : t + m], segment)), None)
+            a, b = max(0, low - e), min(len(points), high + m + e + 1)
+            found = (0, exact - a, exact - a + m) if exact is not None else banded(segment, points[a:b], low - a, high - a, e)
             if found:
-                edits, x, y = found
-                off = 0 if exact >= 0 else a
-                out += [(item, start, edits, x + off, y + off) for item, start in self.places[s]]
+                out += [(item, int(self.offset[s]), found[0], found[1] + a, found[2] + a) for item in self.owners[self.item[s]]]
+        return out
+
+
+class Index:
+    """Grams of all items, by q."""
+
+    def __init__(self, items: list[tuple[int | None, str]], min_chars: int = MIN_CHARS):
+        self.ids, by_text = [i for i, _ in items], {}
+        for n, (_, text) in enumerate(items):
+            if len(text) >= max(1, min_chars):
+                by_text.setdefault(normal(text).tobytes(), []).append(n)
+        by_q: dict[int, list] = {}
+        for raw, owners in sorted(by_text.items()):
+            points = np.frombuffer(raw, np.uint32)
+            by_q.setdefault(q_of(min(SEGMENT, len(points))), []).append((points, owners))
+        self.grams = [Grams(q, group) for q, group in sorted(by_q.items())]
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int | None, int, int, int, int]]:
+        """(place of the text, item id, start in the item, edits, start, end) of every segment found, texts searched together."""
+        out, held, size = [], [], 0
+
+        def done() -> None:
+            joined = _GAP.join(t for _, t in held)
+            starts = np.cumsum([0] + [len(t) + len(_GAP) for _, t in held])
+            points = codes(lower(joined))
+            for grams in self.grams:
+                for item, start, edits, a, b in grams.matches(points):
+                    k = int(np.searchsorted(starts, a, "right")) - 1
+                    out.append((held[k][0], self.ids[item], start, edits, a - int(starts[k]), b - int(starts[k])))
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if text and self.grams:
+                held.append((i, text.replace("￿", " ")))
+                size += len(text)
+                if size >= TOGETHER:
+                    done()
+                    size = 0
+        if held:
+            done()
         return out
 
 
@@ -189,36 +257,48 @@ def banded(segment: np.ndarray, window: np.ndarray, low: int, high: int, budget:
         source = np.maximum.accumulate(np.where(flat == low_flat, shift, 0))
         cost, start = low_flat + shift, origin[source]
         cost[~inside] = far
+        if cost.min() > budget:
+            return None
     j = int(cost.argmin())
-    if cost[j] > budget:
-        return None
     return int(cost[j]), int(start[j]), int(first + j + m)
 
 
-def find_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_benchmark(
+    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_chars: int = MIN_CHARS, part_chars: int = MAX_PART_CHARS
+) -> DataFrame:
     """(doc_id, text_hash, item_id, item_start, edits, start, end): one row for each segment found in each row of df.
 
-    Positions are code points. Null and empty texts hold nothing; items that are null or shorter than Q
-    characters are no evidence and never found; equal items are each reported; repeated rows of df are each
-    searched; null ids are kept; other columns of either table are not read. Empty tables give no rows.
+    Positions are code points. Null and empty texts hold nothing; very long texts are searched whole, slice by slice;
+    items that are null or shorter than min_chars are no evidence and never found; equal items are each reported;
+    repeated rows of df are each searched; null ids are kept; other columns of either table are not read. Empty
+    tables give no rows. A benchmark of more than part_chars characters is searched part by part, one index in memory
+    at a time.
     """
     kind, item_kind = dict(df.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
-    parts = n_blocks(int(items.agg(F.sum(F.length("text"))).first()[0] or 0), MAX_PART_CHARS)
+    parts = n_blocks(int(items.agg(F.sum(F.length("text"))).first()[0] or 0), part_chars)
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
     schema = f"doc_id {kind}, text_hash long, item_id {item_kind}, item_start int, edits int, start int, end int"
     names = [x.split()[0] for x in schema.split(", ")]
-    found = None
-    for part in range(parts):
+
+    def searched(part: int) -> tuple[DataFrame, Callable[[], None]]:
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        index = df.sparkSession.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in own.collect()]))
+        index = df.sparkSession.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in own.collect()], min_chars))  # bounded: one part
 
-        def search(cols: dict[str, list], index=index) -> dict[str, list]:
-            rows = [(d, h, *m) for d, h, text in zip(cols["doc_id"], cols["text_hash"], cols["text"]) for m in index.value.matches(text)]
+        def search(cols: dict[str, list]) -> dict[str, list]:
+            rows = [(cols["doc_id"][i], cols["text_hash"][i], *m) for i, *m in index.value.search(cols["text"])]
             return dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
 
-        one = map_rows(docs, search, schema)
-        found = one if found is None else found.unionByName(one)
+        return map_rows(docs, search, schema), index.destroy
+
+    if parts == 1:
+        return searched(0)[0]
+    found = None
+    for part in range(parts):
+        rows, release = searched(part)
+        rows = cut(rows)
+        release()
+        found = rows if found is None else found.unionByName(rows)
     return found
 
 

@@ -146,27 +146,75 @@ def edits(a, b):
     return min(prev)
 
 
-def contaminated(text, items):
-    text = decontaminate.normal(text or "")
+def contaminated(text, items, min_chars=decontaminate.MIN_CHARS):
+    text = decontaminate.lower(text or "").replace("\n", " ")
     for _, item in items:
-        for _, seg in decontaminate.segments(decontaminate.normal(item)):
-            if len(seg) >= decontaminate.Q and edits(seg, text) <= int(len(seg) * decontaminate.EDIT_RATE):
+        item = decontaminate.lower(item).replace("\n", " ")
+        for start in decontaminate.starts_of(len(item)) if len(item) >= min_chars else ():
+            seg = item[start : start + decontaminate.SEGMENT]
+            if edits(seg, text) <= decontaminate.budget_of(len(seg)):
                 return True
     return False
 
 
-def test_lemma_filter_loses_nothing():
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete", "one more"])
+def test_lemma_filter_loses_nothing_at_any_length(kind):
+    rng, letters = random.Random(4), "abcdefghijklmnopqrstuvwxyz  "
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    found = 0
+    for length in range(1, 201):
+        item = draw(length)
+        start = rng.choice(decontaminate.starts_of(length))
+        seg = list(item[start : start + decontaminate.SEGMENT])
+        budget = decontaminate.budget_of(len(seg)) + (kind == "one more")
+        for k in range(budget, 0, -1):  # edits spread evenly leave the fewest q-grams
+            p = k * len(seg) // (budget + 1)
+            seg[p : p + (kind != "insert")] = [] if kind == "delete" else ["#"]
+        text = draw(rng.randrange(30)) + "".join(seg) + draw(rng.randrange(30))
+        texts = [None, "0 1 2", text, ""]
+        got = decontaminate.Index([(7, item)], 1).search(texts)
+        assert any(r[0] == 2 for r in got) == contaminated(text, [(7, item)], 1), (item, text)
+        for place, who, at, e, a, b in got:
+            part = decontaminate.lower(texts[place][a:b])
+            own = item[at : at + decontaminate.SEGMENT]
+            assert who == 7 and e <= decontaminate.budget_of(len(own)) and abs(len(part) - len(own)) <= e
+            assert edits(own, part) <= e
+        found += bool(got)
+    assert found == 200 or kind == "one more"
+
+
+def test_lemma_filter_on_prose():
     rng = random.Random(4)
     items = [(k, sentence(rng, n)) for k, n in enumerate((9, 20, 30, 60))]
     index = decontaminate.Index(items)
-    for k in range(60):
-        seg = rng.choice(index.texts)
-        letters = list(seg)
-        for _ in range(rng.randrange(int(len(seg) * 0.1) + 1)):
+    texts = []
+    for _ in range(60):
+        item = rng.choice(items)[1]
+        start = rng.choice(decontaminate.starts_of(len(item)))
+        letters = list(item[start : start + decontaminate.SEGMENT])
+        for _ in range(rng.randrange(int(len(letters) * 0.1) + 1)):
             p = rng.randrange(len(letters))
             letters[p : p + rng.randrange(2)] = rng.choice(["", "q", "zz"])
-        text = sentence(rng, 20)[: rng.randrange(100)] + "".join(letters) + sentence(rng, 5)
-        assert bool(index.matches(text)) == contaminated(text, items), text
+        texts.append(sentence(rng, 20)[: rng.randrange(100)] + "".join(letters) + sentence(rng, 5))
+    got = {place for place, *_ in index.search(texts)}
+    assert got == {i for i, text in enumerate(texts) if contaminated(text, items)} and 0 < len(got) < len(texts)
+
+
+def test_a_part_of_an_item_is_found_wherever_it_lies():
+    rng = random.Random(9)
+    item = sentence(rng, 60)
+    index = decontaminate.Index([(1, item)])
+    run = decontaminate.SEGMENT + decontaminate.STRIDE - 1
+    assert all(index.search(["before " + item[s : s + run] + " after"]) for s in range(len(item) - run + 1))
+
+
+def test_parts_of_a_benchmark_find_what_one_part_finds(spark):
+    rng = random.Random(3)
+    items = [(k, sentence(rng, 20)) for k in range(12)]
+    docs = spark.createDataFrame([(i, sentence(rng, 9) + items[i][1] + sentence(rng, 9)) for i in range(12)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.find_benchmark(docs, bench, part_chars=n).collect())) for n in (10**6, 300))
+    assert one == many and {r[0] for r in one} == set(range(12))
 
 
 def test_base_spans():

@@ -1,10 +1,11 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is over characters. Counts of n-grams are tables, sharded by n-gram; probabilities come from joins of
-those tables, order by order. Runs of input rows form chunks; a chunk's n-grams are looked up once, by a join
-with the probabilities, and come back to the chunk's documents. Texts fall into two halves by their hash; each
-half's trusted texts train a model, and every text is scored by the model of the other half, so none is scored
-by a model that has seen it or a copy of it.
+those tables, order by order. Runs of input rows form chunks. One pass over the texts writes a table: each chunk's
+documents, compressed, and its distinct n-grams with their counts, packed by shard. The shards' counts make the
+model; a chunk's n-grams are then looked up shard by shard, and what they come to goes back to the chunk's
+documents. Texts fall into two halves by their hash; each half's trusted texts train a model, and every text is
+scored by the model of the other half, so none is scored by a model that has seen it or a copy of it.
 A document is kept if its perplexity is at most a quantile of the trusted documents' in its language.
 """
 
@@ -14,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hot_keys, salted_join, table
 
-ORDER = 4
+ORDER = 5
 #: The quantile of the trusted documents' perplexities, and by what factor a document may be above it.
 QUANTILE, SLACK = 0.99, 1.1
 #: Width of the grid, in the logarithm of the perplexity, that quantiles are taken on.
@@ -28,8 +30,12 @@ STEP = 1e-4
 ERRORS = 2.0
 #: Languages with fewer trusted documents than this go by the quantile of all languages.
 MIN_TRUSTED = 30
-#: Consecutive rows of an input partition whose n-grams are looked up together, at most.
-CHUNK_ROWS = 8192
+#: Consecutive rows of an input partition whose n-grams are looked up together: a chunk ends once it has so many characters or rows.
+CHUNK_CHARS, CHUNK_ROWS = 16_000_000, 65_536
+#: n-grams fall into so many shards for each shuffle partition of the session.
+SHARDS = 2
+#: Bins of the grid that are summed up to find where a quantile lies.
+COARSE = 1000
 #: More trusted ids than this are joined by an exchange, not broadcast.
 MAX_BROADCAST_IDS = 4_000_000
 #: Characters that are hashed at a time.
@@ -135,21 +141,29 @@ def count_grams(texts: list[str | None], halves: list[int | None]) -> tuple[list
     return grams, counts
 
 
-def score_texts(texts: list[str | None], halves: np.ndarray, grams: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def packed(grams: list[str], counts: np.ndarray, shards: int) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
+    """(shard, n-grams one after the other in order, their counts in either half) for each shard that has any."""
+    order = np.array(sorted(range(len(grams)), key=grams.__getitem__), np.int64)
+    hashes = gram_hashes("".join(grams))[::ORDER]
+    shard = ((hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)[order]
+    order = order[np.argsort(shard, kind="stable")]
+    edge = np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
+    return [(k, "".join([grams[i] for i in order[a:b].tolist()]), counts[0, order[a:b]], counts[1, order[a:b]]) for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+
+
+def score_texts(texts: list[str | None], halves: np.ndarray, grams: str, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sum of the n-grams' log-probabilities, sum of their squares, number of n-grams) of each text.
 
-    logs: [half, n-gram], by the model of either half; halves: of each text, which is scored by the other's.
+    grams: one after the other; logs: [half, n-gram], by the model of either half; halves: of each text, which is
+    scored by the other's.
     """
     known = GramTable()
-    known.add(gram_hashes("".join(grams))[::ORDER] if grams else np.zeros(0, np.uint64))
+    known.add(gram_hashes(grams)[::ORDER])
     total, squares, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     for pieces, owners in parts(texts):
         _, _, h, piece = grams_in(pieces)
         owner = np.asarray(owners)[piece]
-        place = known.find(h)
-        if len(place) and place.min() < 0:
-            raise ValueError("input partitions changed between the two passes; checkpoint the input")
-        log = logs[1 - halves[owner], place]
+        log = logs[1 - halves[owner], known.find(h)]
         total += np.bincount(owner, weights=log, minlength=len(texts))
         squares += np.bincount(owner, weights=log * log, minlength=len(texts))
         n += np.bincount(owner, minlength=len(texts))
@@ -170,9 +184,9 @@ def discounts(counts: DataFrame) -> dict[str, float]:
 
 
 def log_probabilities(counts: DataFrame) -> DataFrame:
-    """(gram, p0, p1): the probability of each n-gram's last character given those before it, by either half's model.
+    """(shard, gram, p0, p1): the probability of each n-gram's last character given those before it, by either half's model.
 
-    counts: (gram, c0, c1), all n-grams that are looked up, with their counts in the halves' trusted documents.
+    counts: (shard, gram, c0, c1), all n-grams that are looked up, with their counts in the halves' trusted documents.
     Lower orders count distinct continuations. Level by level, a probability is the discounted share of its count
     plus the context's left-over mass times the probability of one order less; a context that the half has not
     seen hands on the lower order whole. Order 0 is uniform over the characters and an unknown one.
@@ -188,7 +202,8 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
         gone = [
             F.when(F.col(f"c{h}") >= 3, d[f"d3_{h}"]).when(F.col(f"c{h}") == 2, d[f"d2_{h}"]).when(F.col(f"c{h}") == 1, d[f"d1_{h}"]).otherwise(0.0) for h in (0, 1)
         ]
-        level = levels[k].select("gram", F.substring("gram", 1, k - 1).alias("context"), "c0", "c1", *[g.alias(f"g{h}") for h, g in enumerate(gone)])
+        shard = ["shard"] if k == ORDER else []
+        level = levels[k].select(*shard, "gram", F.substring("gram", 1, k - 1).alias("context"), "c0", "c1", *[g.alias(f"g{h}") for h, g in enumerate(gone)])
         contexts = level.groupBy("context").agg(*[F.sum(f"{x}{h}").alias(f"{t}{h}") for h in (0, 1) for x, t in (("c", "total"), ("g", "left"))])
         grams = level.join(contexts, "context")
         lower = [uniform, uniform]
@@ -200,76 +215,103 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
             seen = (F.col(f"c{h}") - F.col(f"g{h}") + F.col(f"left{h}") * lower[h]) / F.col(f"total{h}")
             return F.when(F.col(f"total{h}") > 0, seen).otherwise(lower[h]).alias(f"p{h}")
 
-        p = grams.select("gram", mixed(0), mixed(1))
+        p = grams.select(*shard, "gram", mixed(0), mixed(1))
         if k < ORDER:
             p = cut(p)
     return p
 
 
+def squeezed(rows: pa.Table) -> bytes:
+    """Rows as a compressed stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, text_hash, lang, trusted, perplexity, error of its logarithm): one row a row of df. trusted: a table of doc_id.
 
-    df must be read twice alike (a scan, or a checkpoint): chunks are runs of rows of its partitions. Should they
-    differ in the second pass, an n-gram is missing and the job ends with an error.
+    df is read once. Texts longer than a chunk are a chunk of their own, read piece by piece.
     """
     spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
-    conf = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(conf, None) is None:  # else the splits would follow the number of executors alive
-        spark.conf.set(conf, spark.sparkContext.defaultParallelism)
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     good = cut(trusted.select(F.col("doc_id").cast(kind).alias("__id")).where("__id is not null").distinct())
-    few = good.count() <= MAX_BROADCAST_IDS
-    docs = rows.join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", F.col("__id").isNotNull().alias("trusted"), "text")
-    if not few:
-        docs = cut(docs)
-    at = F.monotonically_increasing_id()
-    chunk = F.shiftright(at, 33) * (1 << 33) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / CHUNK_ROWS)
+    good = F.broadcast(good) if good.count() <= MAX_BROADCAST_IDS else good
+    docs = rows.join(good, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", F.col("__id").isNotNull().alias("trusted"), "text")
     th = F.xxhash64("text")
-    docs = docs.select(chunk.cast("long").alias("chunk"), "doc_id", "lang", "trusted", th.alias("text_hash"), F.pmod(th, F.lit(2)).cast("int").alias("half"), "text")
+    docs = docs.select("doc_id", th.alias("text_hash"), "lang", "trusted", F.pmod(th, F.lit(2)).cast("int").alias("half"), "text")
+    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted_as = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("grams", pa.string()), ("c0", pa.list_(pa.int64())), ("c1", pa.list_(pa.int64())), ("docs", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, texts, halves = None, [], []
+        chunk, held, size, n = TaskContext.get().partitionId() << 33, [], 0, 0
 
-        def done() -> pa.RecordBatch:
-            grams, counts = count_grams(texts, halves)
-            texts.clear()
-            halves.clear()
-            return pa.RecordBatch.from_arrays([pa.array([own] * len(grams), pa.int64()), pa.array(grams, pa.string()), pa.array(counts[0]), pa.array(counts[1])], ["chunk", "gram", "c0", "c1"])
+        def done() -> Iterator[pa.RecordBatch]:
+            own = pa.Table.from_batches(held)
+            half = [h if good else None for h, good in zip(own.column("half").to_pylist(), own.column("trusted").to_pylist())]
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "shard": -1, "docs": squeezed(own)}], schema=counted_as)
+            for k, grams, c0, c1 in packed(*count_grams(own.column("text").to_pylist(), half), shards):
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "shard": k, "grams": grams, "c0": c0, "c1": c1}], schema=counted_as)
 
         for batch in batches:
-            for c, t, h, good_ in zip(*(batch.column(n).to_pylist() for n in ("chunk", "text", "half", "trusted"))):
-                if c != own and own is not None:
-                    yield done()
-                own = c
-                texts.append(t)
-                halves.append(h if good_ else None)
-        if own is not None:
-            yield done()
-
-    found = cut(docs.select("chunk", "text", "half", "trusted").mapInArrow(count, "chunk long, gram string, c0 long, c1 long"))
-    p = log_probabilities(cut(found.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))))
-    looked = found.select("chunk", "gram").join(p, "gram").select("chunk", "gram", *[F.log(f"p{h}").cast("float").alias(f"l{h}") for h in (0, 1)])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                held.append(part)
+                size, n = size + part.column("text").nbytes, n + part.num_rows
+                if size >= CHUNK_CHARS or n >= CHUNK_ROWS:
+                    yield from done()
+                    chunk, size, n = chunk + 1, 0, 0
+                    held.clear()
+        if held:
+            yield from done()
+
+    found = cut(docs.mapInArrow(count, "chunk long, shard int, grams string, c0 array<long>, c1 array<long>, docs binary"))
+    wanted = found.where("shard >= 0")
+
+    def total(key: tuple, t: pa.Table) -> pa.Table:
+        grams = "".join(t.column("grams").to_pylist())
+        _, first, inverse = np.unique(gram_hashes(grams)[::ORDER], return_index=True, return_inverse=True)
+        sums = [np.bincount(inverse, weights=t.column(c).combine_chunks().flatten().to_numpy(), minlength=len(first)).astype(np.int64) for c in ("c0", "c1")]
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(first), pa.int32()), "gram": [grams[ORDER * i : ORDER * (i + 1)] for i in first.tolist()], "c0": sums[0], "c1": sums[1]})
+
+    counts = cut(wanted.select("shard", "grams", "c0", "c1").groupBy("shard").applyInArrow(total, "shard int, gram string, c0 long, c1 long"))
+    p = log_probabilities(counts).select("shard", "gram", *[F.log(f"p{h}").cast("float").alias(f"l{h}") for h in (0, 1)])
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes = gram_hashes("".join(right.column("gram").to_pylist()))[::ORDER]
+        order = np.argsort(hashes)
+        hashes, logs = hashes[order], [right.column(f"l{h}").to_numpy()[order] for h in (0, 1)]
+        at = [np.searchsorted(hashes, gram_hashes(g)[::ORDER]) for g in left.column("grams").to_pylist()]
+        return pa.table({"chunk": left.column("chunk"), "grams": left.column("grams"), **{f"l{h}": pa.array([logs[h][i] for i in at], pa.list_(pa.float32())) for h in (0, 1)}})
+
+    looked = wanted.select("chunk", "shard", "grams").groupBy("shard").cogroup(p.groupBy("shard")).applyInArrow(look_up, "chunk long, grams string, l0 array<float>, l1 array<float>")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        logs = np.stack([right.column(f"l{h}").to_numpy() for h in (0, 1)]).astype(np.float64)
-        total, squares, n = score_texts(left.column("text").to_pylist(), left.column("half").to_numpy(), right.column("gram").to_pylist(), logs)
+        logs = np.stack([right.column(f"l{h}").combine_chunks().flatten().to_numpy() for h in (0, 1)]).astype(np.float64)
+        own = pa.ipc.open_stream(left.column("docs")[0].as_py()).read_all()
+        total, squares, n = score_texts(own.column("text").to_pylist(), own.column("half").to_numpy(), "".join(right.column("grams").to_pylist()), logs)
         mean = total / np.maximum(n, 1)
         error = np.sqrt(np.maximum(squares / np.maximum(n, 1) - mean * mean, 0) / np.maximum(n, 1))
-        return left.select(["doc_id", "text_hash", "lang", "trusted"]).append_column("perplexity", pa.array(np.exp(-mean))).append_column("error", pa.array(error))
+        return own.select(["doc_id", "text_hash", "lang", "trusted"]).append_column("perplexity", pa.array(np.exp(-mean))).append_column("error", pa.array(error))
 
     schema = f"doc_id {kind}, text_hash long, lang string, trusted boolean, perplexity double, error double"
-    return docs.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(score, schema)
+    return found.where("shard = -1").select("chunk", "docs").groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def quantiles(scored: DataFrame, share: float) -> DataFrame:
     """(lang, n, q): a quantile of each language's perplexities, from counts on a grid of STEP in their logarithm.
 
-    Counts don't depend on the order in which they are merged, so neither does the quantile; the grid bounds them.
+    Counts don't depend on the order in which they are merged, so neither does the quantile; the grid bounds them. Sums
+    over COARSE bins tell where the quantile lies; only bins there are gone through.
     """
-    bins = scored.groupBy("lang", F.floor(F.log("perplexity") / STEP).alias("bin")).agg(F.count("*").alias("c"))
+    bins = scored.groupBy("lang", F.floor(F.log("perplexity") / STEP).alias("bin")).agg(F.count("*").alias("c")).withColumn("coarse", F.floor(F.col("bin") / COARSE))
     w = Window.partitionBy("lang")
-    up_to = bins.select("lang", "bin", F.sum("c").over(w.orderBy("bin")).alias("up_to"), F.sum("c").over(w).alias("n"))
-    at = up_to.where(F.col("up_to") >= F.ceil(F.col("n") * share)).groupBy("lang").agg(F.min("bin").alias("bin"), F.first("n").alias("n"))
+    wide = bins.groupBy("lang", "coarse").agg(F.sum("c").alias("c"))
+    wide = wide.select("lang", "coarse", F.sum("c").over(w.orderBy("coarse")).alias("up_to"), (F.sum("c").over(w.orderBy("coarse")) - F.col("c")).alias("before"), F.sum("c").over(w).alias("n"))
+    wide = wide.withColumn("need", F.ceil(F.col("n") * share)).where("before < need AND need <= up_to").drop("up_to")
+    near = bins.join(wide, ["lang", "coarse"]).select("lang", "bin", "n", "need", (F.sum("c").over(w.orderBy("bin")) + F.col("before")).alias("up_to"))
+    at = near.where("up_to >= need").groupBy("lang").agg(F.min("bin").alias("bin"), F.first("n").alias("n"))
     return at.select("lang", "n", F.exp((F.col("bin") + 1) * STEP).alias("q"))
 
 
@@ -280,7 +322,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     threshold is the QUANTILE of the perplexities of its language's trusted documents (of all trusted ones if the
     language has fewer than MIN_TRUSTED) times SLACK, and as much more as ERRORS standard errors of the
     document's own mean log-probability. Without trusted documents nothing is rejected. A null or empty text
-    is its end mark alone; a null language is the language ''; repeated rows are scored alike; a null id is never
+    is its end mark alone; a very long one is read whole; a null language is the language ''; repeated rows are scored alike; a null id is never
     trusted; other columns of df are not read. An empty df gives no rows.
     """
     scored = cut(perplexities(df, labels.where("quality = 1"), id_col, text_col, lang_col))  # figures only, no texts

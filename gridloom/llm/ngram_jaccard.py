@@ -15,7 +15,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -24,8 +24,10 @@ from .common import WORD, cut, hot_keys, map_rows, salted_join, table
 N, THRESHOLD = 5, 0.8
 #: Pairs at the threshold are found with this probability at least; more hashes than MAX_HASHES are not used.
 RECALL, MAX_HASHES = 0.9999, 128
-#: Sets, and n-grams of all sets, in one block of a candidate group.
+#: Sets, and n-grams of all sets, in one block of a candidate group or bucket.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 2_000_000
+#: Pairs that are counted at a time.
+PAIRS = 2_000_000
 
 _word = re.compile(WORD)
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -76,8 +78,8 @@ class Grams:
 def minhash_bands(grams: np.ndarray, bands: int, rows: int, seeds: np.ndarray) -> np.ndarray:
     """One 64-bit hash a band: of its rows' least hashes under as many hash functions."""
     least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), 4096):
-        part = grams[at : at + 4096]
+    for at in range(0, len(grams), 512):
+        part = grams[at : at + 512]
         with np.errstate(over="ignore"):
             h = part[None, :] * seeds[:, :1] + seeds[:, 1:]
             h ^= h >> np.uint64(32)
@@ -111,8 +113,10 @@ def links_of(sets: list[np.ndarray], cross: int, threshold: float = THRESHOLD) -
     both = np.zeros((n, n), np.float32)
     few = max(2, min(48, n // 16))
     for c in range(2, few + 1):  # n-grams of exactly c sets
-        first = edge[count == c]
-        if len(first):
+        all_first = edge[count == c]
+        step = max(1, PAIRS // (c * (c - 1) // 2))
+        for at in range(0, len(all_first), step):
+            first = all_first[at : at + step]
             own = np.stack([owner[first + k] for k in range(c)])
             flat = np.concatenate([own[i] * n + own[j] for i in range(c) for j in range(i + 1, c)])  # owners ascend
             both += np.bincount(flat, minlength=n * n).reshape(n, n)
@@ -150,6 +154,23 @@ def forest(close: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def blocks_of() -> list[Column]:
+    """Aggregates over sets: into how many blocks they go, and how many they are."""
+    return [F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("n")]
+
+
+def bucket_units(stars: DataFrame, sets: DataFrame, placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(set, units, bands) for the sets of those groups that send fewer texts if each bucket is verified by itself."""
+    inside = cut(stars.select("set", "band", "bucket").join(placed.where("blocks > 1").select("set", "label", "grams"), "set"))
+    buckets = cut(inside.groupBy("band", "bucket").agg(*blocks_of(), F.any_value("label").alias("label")))  # one label a bucket
+    sends = cut(buckets.groupBy("label").agg(F.sum(F.col("n") * F.col("blocks")).alias("sends")))
+    cheaper = sizes.join(sends, "label").where("sends < n * blocks").select("label")
+    rows = salted_join(inside, cheaper, ["label"], hot_keys(sends, ["label"], "sends"), F.struct("set", "band"))
+    rows = salted_join(rows, buckets.select("band", "bucket", "blocks"), ["band", "bucket"], hot_keys(buckets, ["band", "bucket"], "n"), F.col("set"))
+    units = rows.groupBy("set").agg(F.collect_list(F.struct(F.concat_ws(":", "band", "bucket").alias("unit"), "blocks", "band")).alias("units"))  # at most one a band
+    return units.join(sets.select("set", "bands"), "set")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, class_id, n_links, class_docs, keep): one row a row of df.
 
@@ -157,8 +178,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ASCII white space separates) is THRESHOLD or more; a class is what links connect. class_id: the least id of
     the class; n_links: how many other rows the row is linked with, copies included; keep: true for the rows
     whose id and text are those of the class's first row by id, then text hash. A text of fewer than N words is
-    one n-gram; null texts and texts without words are linked with nothing and kept; repeated rows are copies; a
-    null id sorts last. Other columns of df are not read. An empty df gives no rows.
+    one n-gram, a very long one is taken whole; null texts and texts without words are linked with nothing and kept;
+    repeated rows are copies; a null id sorts last. Other columns of df are not read. An empty df gives no rows.
     """
     kind = dict(df.dtypes)[id_col]
     bands, rows = bands_and_rows()
@@ -186,29 +207,38 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     candidates = groups.withColumnRenamed("node", "set").join(sets.select("set", "copies", "first", "grams"), "set")
     candidates = cut(candidates.select("set", "label", "copies", "grams", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__th")))
-    sizes = candidates.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("n"))
-    sizes = cut(sizes)
-    hot = hot_keys(sizes, ["label"], "n")
-    placed = salted_join(candidates, sizes.select("label", "blocks"), ["label"], hot, F.col("set"))
+    sizes = cut(candidates.groupBy("label").agg(*blocks_of()))
+    placed = salted_join(candidates, sizes.select("label", "blocks"), ["label"], hot_keys(sizes, ["label"], "n"), F.col("set"))
+    units = F.array(F.struct(F.col("label").alias("unit"), F.col("blocks"), F.lit(-1).alias("band")))
+    if sizes.where("blocks > 1").isEmpty():  # then every group is one task as it is
+        placed = placed.select("set", "copies", "__id", "__th", units.alias("units"), F.lit(None).cast("array<long>").alias("bands"))
+    else:
+        placed = cut(placed)
+        own_units = bucket_units(stars, sets, placed, sizes).withColumnRenamed("units", "__units")
+        placed = placed.join(own_units, "set", "left").select("set", "copies", "__id", "__th", F.coalesce("__units", units).alias("units"), "bands")
     texts = hashed.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_hash").eqNullSafe(F.col("__th")))
+    texts = texts.select("set", "copies", "text", "bands", F.inline("units"))
     block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
-    sent = texts.select("set", "label", "copies", "text", block.alias("block"), F.inline(pairs))
+    sent = texts.select("set", "unit", "band", "bands", "copies", "text", block.alias("block"), F.inline(pairs))
 
     def verify(t: pa.Table) -> pa.Table:
         seen: dict[str, tuple] = {}
-        for s, c, b, text in zip(*(t.column(n).to_pylist() for n in ("set", "copies", "block", "text"))):
-            seen.setdefault(s, (b, s, c, text))  # repeated rows of a representative
+        for s, c, b, text, own_bands in zip(*(t.column(n).to_pylist() for n in ("set", "copies", "block", "text", "bands"))):
+            seen.setdefault(s, (b, s, c, text, own_bands))  # repeated rows of a representative
         own = sorted(seen.values(), key=lambda x: x[:2])
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        i, j, band = (t.column(n)[0].as_py() for n in ("i", "j", "band"))
         close = links_of([grams_of.of(x[3]) for x in own], sum(x[0] == i for x in own) if i != j else 0)
+        for k in range(band):  # a pair that shares an earlier band is verified there
+            at = np.array([x[4][k] for x in own], np.int64)
+            close &= at[:, None] != at[None, :]
         copies = np.array([x[2] for x in own], np.int64)
         linked = (close | close.T) @ copies
         rows_ = [(own[k][1], None, int(linked[k])) for k in np.flatnonzero(linked)] + [(own[a][1], own[b][1], 0) for a, b in forest(close)]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows_) if rows_ else ([], [], []), arrow)], schema=arrow)
 
     arrow = pa.schema([("a", pa.string()), ("b", pa.string()), ("links", pa.int64())])
-    verified = cut(sent.groupBy("label", "i", "j").applyInArrow(verify, "a string, b string, links long"))
+    verified = cut(sent.groupBy("unit", "i", "j").applyInArrow(verify, "a string, b string, links long"))
     linked = verified.where("b is null").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
     labels = connected_components(verified.where("b is not null").select("a", "b")).withColumnRenamed("node", "set")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut, shared_dir
 from ..operators.skew import hot_keys, salted_join
 
-__all__ = ["WORD", "cut", "hot_keys", "map_rows", "n_blocks", "salted_join", "shared_dir", "table", "uniform"]
+__all__ = ["WORD", "cut", "hot_keys", "map_rows", "n_blocks", "pinned_splits", "salted_join", "shared_dir", "table", "uniform"]
 
 #: A word of the contracts: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,3 +49,17 @@ def map_rows(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], sch
 
 def n_blocks(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
+
+
+@contextmanager
+def pinned_splits(spark: SparkSession) -> Iterator[None]:
+    """Within it, scans split files alike however many executors are alive; the session's own setting goes first and comes back."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)

@@ -1,10 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is over characters. Counts of n-grams are tables, sharded by n-gram; probabilities come from joins of
-those tables, order by order. Runs of input rows form chunks. One pass over the texts writes a table: each chunk's
-documents, compressed, and its distinct n-grams with their counts, packed by shard. The shards' counts make the
-model; a chunk's n-grams are then looked up shard by shard, and what they come to goes back to the chunk's
-documents. Texts fall into two halves by their hash; each half's trusted texts train a model, and every text is
+those tables, order by order. Runs of input rows form chunks. One pass over the texts writes each chunk's distinct
+n-grams with their counts, packed by shard. The shards' counts make the model; a chunk's n-grams are then looked up
+shard by shard, and what they come to goes to the chunk's documents, which a second pass sends there compressed. Texts fall into two halves by their hash; each half's trusted texts train a model, and every text is
 scored by the model of the other half, so none is scored by a model that has seen it or a copy of it.
 A document is kept if its perplexity is at most a quantile of the trusted documents' in its language.
 """
@@ -15,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, salted_join, table
+from .common import cut, hot_keys, pinned_splits, salted_join, table
 
 ORDER = 5
 #: The quantile of the trusted documents' perplexities, and by what factor a document may be above it.
@@ -30,10 +30,12 @@ STEP = 1e-4
 ERRORS = 2.0
 #: Languages with fewer trusted documents than this go by the quantile of all languages.
 MIN_TRUSTED = 30
-#: Consecutive rows of an input partition whose n-grams are looked up together: a chunk ends once it has so many characters or rows.
-CHUNK_CHARS, CHUNK_ROWS = 16_000_000, 65_536
+#: Consecutive rows of an input partition whose n-grams are looked up together: a chunk ends once it has so many bytes or rows.
+CHUNK_BYTES, CHUNK_ROWS = 32_000_000, 65_536
 #: n-grams fall into so many shards for each shuffle partition of the session.
 SHARDS = 2
+#: Log-probabilities go to the chunks in steps of one by this, down to LEAST_LOG.
+LOG_STEPS, LEAST_LOG = 1024, -31.9
 #: Bins of the grid that are summed up to find where a quantile lies.
 COARSE = 1000
 #: More trusted ids than this are joined by an exchange, not broadcast.
@@ -41,6 +43,7 @@ MAX_BROADCAST_IDS = 4_000_000
 #: Characters that are hashed at a time.
 SLICE = 1 << 19
 START, END = "\x02", "\x03"
+CHANGED = "input partitions changed between the two passes; checkpoint the input"
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 21
@@ -141,14 +144,25 @@ def count_grams(texts: list[str | None], halves: list[int | None]) -> tuple[list
     return grams, counts
 
 
-def packed(grams: list[str], counts: np.ndarray, shards: int) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
-    """(shard, n-grams one after the other in order, their counts in either half) for each shard that has any."""
+def squeeze(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed(grams: list[str], counts: np.ndarray, shards: int) -> list[tuple[int, bytes, bytes]]:
+    """(shard, n-grams one after the other in order, their counts in either half), compressed, for each shard that has any."""
     order = np.array(sorted(range(len(grams)), key=grams.__getitem__), np.int64)
     hashes = gram_hashes("".join(grams))[::ORDER]
     shard = ((hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)[order]
     order = order[np.argsort(shard, kind="stable")]
     edge = np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
-    return [(k, "".join([grams[i] for i in order[a:b].tolist()]), counts[0, order[a:b]], counts[1, order[a:b]]) for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+    return [
+        (k, squeeze("".join([grams[i] for i in order[a:b].tolist()]).encode()), squeeze(counts[:, order[a:b]].astype(np.int32).tobytes()))
+        for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a
+    ]
 
 
 def score_texts(texts: list[str | None], halves: np.ndarray, grams: str, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,8 +176,10 @@ def score_texts(texts: list[str | None], halves: np.ndarray, grams: str, logs: n
     total, squares, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     for pieces, owners in parts(texts):
         _, _, h, piece = grams_in(pieces)
-        owner = np.asarray(owners)[piece]
-        log = logs[1 - halves[owner], known.find(h)]
+        owner, place = np.asarray(owners)[piece], known.find(h)
+        if len(place) and place.min() < 0:
+            raise ValueError(CHANGED)
+        log = logs[1 - halves[owner], place]
         total += np.bincount(owner, weights=log, minlength=len(texts))
         squares += np.bincount(owner, weights=log * log, minlength=len(texts))
         n += np.bincount(owner, minlength=len(texts))
@@ -199,104 +215,109 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     p = None
     for k in range(1, ORDER + 1):
         d = discounts(levels[k])
-        gone = [
-            F.when(F.col(f"c{h}") >= 3, d[f"d3_{h}"]).when(F.col(f"c{h}") == 2, d[f"d2_{h}"]).when(F.col(f"c{h}") == 1, d[f"d1_{h}"]).otherwise(0.0) for h in (0, 1)
-        ]
-        shard = ["shard"] if k == ORDER else []
-        level = levels[k].select(*shard, "gram", F.substring("gram", 1, k - 1).alias("context"), "c0", "c1", *[g.alias(f"g{h}") for h, g in enumerate(gone)])
-        contexts = level.groupBy("context").agg(*[F.sum(f"{x}{h}").alias(f"{t}{h}") for h in (0, 1) for x, t in (("c", "total"), ("g", "left"))])
-        grams = level.join(contexts, "context")
+        shard, around = ["shard"] if k == ORDER else [], Window.partitionBy(F.substring("gram", 1, k - 1))  # no more rows than characters
+
+        def parts_of(h: int) -> list[Column]:
+            """own and rest: a probability is its n-gram's own part and that of one order less, times the rest."""
+            c = F.col(f"c{h}")
+            gone = F.when(c >= 3, d[f"d3_{h}"]).when(c == 2, d[f"d2_{h}"]).when(c == 1, d[f"d1_{h}"]).otherwise(0.0)
+            total = F.sum(c).over(around)
+            return [F.when(total > 0, (c - gone) / total).otherwise(0.0).alias(f"own{h}"), F.when(total > 0, F.sum(gone).over(around) / total).otherwise(1.0).alias(f"rest{h}")]
+
+        grams = levels[k].select(*shard, "gram", *parts_of(0), *parts_of(1))
         lower = [uniform, uniform]
         if k > 1:
             grams = grams.withColumn("suffix", F.substring("gram", 2, k - 1)).join(p.withColumnRenamed("gram", "suffix"), "suffix")
             lower = [F.col("p0"), F.col("p1")]
-
-        def mixed(h: int) -> Column:
-            seen = (F.col(f"c{h}") - F.col(f"g{h}") + F.col(f"left{h}") * lower[h]) / F.col(f"total{h}")
-            return F.when(F.col(f"total{h}") > 0, seen).otherwise(lower[h]).alias(f"p{h}")
-
-        p = grams.select(*shard, "gram", mixed(0), mixed(1))
+        p = grams.select(*shard, "gram", *[(F.col(f"own{h}") + F.col(f"rest{h}") * lower[h]).alias(f"p{h}") for h in (0, 1)])
         if k < ORDER:
             p = cut(p)
     return p
 
 
-def squeezed(rows: pa.Table) -> bytes:
-    """Rows as a compressed stream."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(rows)
-    return sink.getvalue().to_pybytes()
-
-
 def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, text_hash, lang, trusted, perplexity, error of its logarithm): one row a row of df. trusted: a table of doc_id.
 
-    df is read once. Texts longer than a chunk are a chunk of their own, read piece by piece.
+    df must be read twice alike (a scan within pinned_splits, or a checkpoint): chunks are runs of rows of its
+    partitions. Should they differ in the second pass, the job ends with an error. Texts longer than a chunk are a
+    chunk of their own, read piece by piece.
     """
     spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     good = cut(trusted.select(F.col("doc_id").cast(kind).alias("__id")).where("__id is not null").distinct())
-    good = F.broadcast(good) if good.count() <= MAX_BROADCAST_IDS else good
-    docs = rows.join(good, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", F.col("__id").isNotNull().alias("trusted"), "text")
+    few = good.count() <= MAX_BROADCAST_IDS
+    docs = rows.join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", F.col("__id").isNotNull().alias("trusted"), "text")
+    if not few:
+        docs = cut(docs)
     th = F.xxhash64("text")
     docs = docs.select("doc_id", th.alias("text_hash"), "lang", "trusted", F.pmod(th, F.lit(2)).cast("int").alias("half"), "text")
     shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted_as = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("grams", pa.string()), ("c0", pa.list_(pa.int64())), ("c1", pa.list_(pa.int64())), ("docs", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
         chunk, held, size, n = TaskContext.get().partitionId() << 33, [], 0, 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            own = pa.Table.from_batches(held)
-            half = [h if good else None for h, good in zip(own.column("half").to_pylist(), own.column("trusted").to_pylist())]
-            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "shard": -1, "docs": squeezed(own)}], schema=counted_as)
-            for k, grams, c0, c1 in packed(*count_grams(own.column("text").to_pylist(), half), shards):
-                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "shard": k, "grams": grams, "c0": c0, "c1": c1}], schema=counted_as)
-
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 held.append(part)
                 size, n = size + part.column("text").nbytes, n + part.num_rows
-                if size >= CHUNK_CHARS or n >= CHUNK_ROWS:
-                    yield from done()
-                    chunk, size, n = chunk + 1, 0, 0
-                    held.clear()
+                if size >= CHUNK_BYTES or n >= CHUNK_ROWS:
+                    yield chunk, pa.Table.from_batches(held)
+                    chunk, held, size, n = chunk + 1, [], 0, 0
         if held:
-            yield from done()
+            yield chunk, pa.Table.from_batches(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, own in chunks(batches):
+            half = [h if good else None for h, good in zip(own.column("half").to_pylist(), own.column("trusted").to_pylist())]
+            found = packed(*count_grams(own.column("text").to_pylist(), half), shards)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.binary())],
+                names=["chunk", "shard", "grams", "counts"],
+            )
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, own in chunks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+                out.write_table(own.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
 
-    found = cut(docs.mapInArrow(count, "chunk long, shard int, grams string, c0 array<long>, c1 array<long>, docs binary"))
-    wanted = found.where("shard >= 0")
+    wanted = cut(docs.mapInArrow(count, "chunk long, shard int, grams binary, counts binary"))
 
     def total(key: tuple, t: pa.Table) -> pa.Table:
-        grams = "".join(t.column("grams").to_pylist())
+        grams = "".join(unsqueeze(g).decode() for g in t.column("grams").to_pylist())
+        counts = np.concatenate([np.frombuffer(unsqueeze(c), np.int32).reshape(2, -1) for c in t.column("counts").to_pylist()], axis=1)
         _, first, inverse = np.unique(gram_hashes(grams)[::ORDER], return_index=True, return_inverse=True)
-        sums = [np.bincount(inverse, weights=t.column(c).combine_chunks().flatten().to_numpy(), minlength=len(first)).astype(np.int64) for c in ("c0", "c1")]
+        sums = [np.bincount(inverse, weights=c, minlength=len(first)).astype(np.int64) for c in counts]
         return pa.table({"shard": pa.array([key[0].as_py()] * len(first), pa.int32()), "gram": [grams[ORDER * i : ORDER * (i + 1)] for i in first.tolist()], "c0": sums[0], "c1": sums[1]})
 
-    counts = cut(wanted.select("shard", "grams", "c0", "c1").groupBy("shard").applyInArrow(total, "shard int, gram string, c0 long, c1 long"))
-    p = log_probabilities(counts).select("shard", "gram", *[F.log(f"p{h}").cast("float").alias(f"l{h}") for h in (0, 1)])
+    counts = cut(wanted.select("shard", "grams", "counts").groupBy("shard").applyInArrow(total, "shard int, gram string, c0 long, c1 long"))
+    steps = [F.round(F.greatest(F.log(f"p{h}"), F.lit(LEAST_LOG)) * LOG_STEPS).cast("short").alias(f"l{h}") for h in (0, 1)]
+    p = log_probabilities(counts).select("shard", "gram", *steps)
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes = gram_hashes("".join(right.column("gram").to_pylist()))[::ORDER]
         order = np.argsort(hashes)
-        hashes, logs = hashes[order], [right.column(f"l{h}").to_numpy()[order] for h in (0, 1)]
-        at = [np.searchsorted(hashes, gram_hashes(g)[::ORDER]) for g in left.column("grams").to_pylist()]
-        return pa.table({"chunk": left.column("chunk"), "grams": left.column("grams"), **{f"l{h}": pa.array([logs[h][i] for i in at], pa.list_(pa.float32())) for h in (0, 1)}})
+        hashes, logs = hashes[order], np.stack([right.column(f"l{h}").to_numpy()[order] for h in (0, 1)])
+        found = [squeeze(logs[:, np.searchsorted(hashes, gram_hashes(unsqueeze(g).decode())[::ORDER])].tobytes()) for g in left.column("grams").to_pylist()]
+        return pa.table({"chunk": left.column("chunk"), "grams": left.column("grams"), "logs": pa.array(found, pa.binary())})
 
-    looked = wanted.select("chunk", "shard", "grams").groupBy("shard").cogroup(p.groupBy("shard")).applyInArrow(look_up, "chunk long, grams string, l0 array<float>, l1 array<float>")
+    looked = wanted.select("chunk", "shard", "grams").groupBy("shard").cogroup(p.groupBy("shard")).applyInArrow(look_up, "chunk long, grams binary, logs binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        logs = np.stack([right.column(f"l{h}").combine_chunks().flatten().to_numpy() for h in (0, 1)]).astype(np.float64)
+        if left.num_rows != 1:
+            raise ValueError(CHANGED)
         own = pa.ipc.open_stream(left.column("docs")[0].as_py()).read_all()
-        total, squares, n = score_texts(own.column("text").to_pylist(), own.column("half").to_numpy(), "".join(right.column("grams").to_pylist()), logs)
-        mean = total / np.maximum(n, 1)
+        grams = "".join(unsqueeze(g).decode() for g in right.column("grams").to_pylist())
+        logs = [np.frombuffer(unsqueeze(x), np.int16).reshape(2, -1) for x in right.column("logs").to_pylist()]
+        logs = np.concatenate(logs, axis=1).astype(np.float64) / LOG_STEPS if logs else np.zeros((2, 0))
+        sums, squares, n = score_texts(own.column("text").to_pylist(), own.column("half").to_numpy(), grams, logs)
+        mean = sums / np.maximum(n, 1)
         error = np.sqrt(np.maximum(squares / np.maximum(n, 1) - mean * mean, 0) / np.maximum(n, 1))
         return own.select(["doc_id", "text_hash", "lang", "trusted"]).append_column("perplexity", pa.array(np.exp(-mean))).append_column("error", pa.array(error))
 
     schema = f"doc_id {kind}, text_hash long, lang string, trusted boolean, perplexity double, error double"
-    return found.where("shard = -1").select("chunk", "docs").groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(score, schema)
+    return docs.mapInArrow(send, "chunk long, docs binary").groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def quantiles(scored: DataFrame, share: float) -> DataFrame:
@@ -325,7 +346,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     is its end mark alone; a very long one is read whole; a null language is the language ''; repeated rows are scored alike; a null id is never
     trusted; other columns of df are not read. An empty df gives no rows.
     """
-    scored = cut(perplexities(df, labels.where("quality = 1"), id_col, text_col, lang_col))  # figures only, no texts
+    with pinned_splits(df.sparkSession):
+        scored = cut(perplexities(df, labels.where("quality = 1"), id_col, text_col, lang_col))  # figures only, no texts
     good = scored.where("trusted")
     every = quantiles(good.withColumn("lang", F.lit("")), QUANTILE).first()
     of_lang = quantiles(good, QUANTILE).where(F.col("n") >= MIN_TRUSTED)

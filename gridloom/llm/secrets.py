@@ -1,7 +1,13 @@
-"""Secret scans: fixed patterns, and a linear-chain conditional random field that tags what they miss."""
+"""Secret scans: fixed patterns, and a linear-chain conditional random field that tags what they miss.
+
+The field learns from windows around what the base patterns find, and from variants of them: other names for the key,
+other ways to assign, values of other alphabets and lengths, no key at all; and from decoys that are no secrets. So it
+tags by shape and context what the patterns' key words and alphabets don't list.
+"""
 
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -20,15 +26,17 @@ BASE = {
 _HEX_LONG = re.compile(r"[0-9a-f]{24}")
 CRF = "crf"
 
-#: Documents and windows that the field is fitted on, at most: those first by a hash of their id.
-FIT_DOCS, FIT_WINDOWS, FIT_TOKENS = 600, 3000, 48
+#: What the field is fitted on, at most: documents (those first by a hash), windows of a document, windows in all, tokens of a window.
+FIT_DOCS, FIT_OF_DOC, FIT_WINDOWS, FIT_TOKENS = 600, 16, 6000, 48
 FIT_ROUNDS, RATE, RIDGE = 60, 0.5, 1e-4
 O, B, I = 0, 1, 2
 
-_TOKEN = re.compile(r"[\w+/.=\-]+|[^\w\s]")
-_KEY_LIKE = re.compile(r"password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential|bearer|auth|login|user|key")
-#: A cheap sieve for documents worth fitting on.
-_WORTH = r"(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{8}|[0-9a-f]{20}"
+_TOKEN = re.compile(r"[\w+/.\-]+(?:={1,2}(?!\w))?|[^\w\s]")
+# Names of keys that a secret follows, and names that a plain value follows.
+_SECRET_NAME = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|signing|encryption|license)[_-]?key|credential|bearer|(?:^|[_.\-])o?auth(?:$|[_.\-]|orization)")
+_PLAIN_NAME = re.compile(r"user|login|name|mail|host|port|path|file|url|date|time|version|lang|color|colour|title|size|count|checksum|(?:^|[_.\-])(?:id|key)(?:$|[_.\-])")
+#: Documents worth fitting on hold one of these, in lower case.
+_WORTH = ("password", "passwd", "secret", "token", "api_key", "apikey", "akia")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -62,17 +70,24 @@ def shape(token: str) -> str:
 
 
 def word(token: str) -> str:
-    """A token's name as context: symbols and key-like words as they are, any other word by nothing."""
+    """A token's name as context: symbols as they are, names of keys by their kind, any other word by nothing."""
     if len(token) == 1 and not token.isalnum():
         return token
+    if len(token) > 40:
+        return "-"
     t = token.lower().strip("._-=")
-    m = _KEY_LIKE.search(t)
-    return m[0].replace("_", "") if m else "-"
+    return "secret" if _SECRET_NAME.search(t) else "plain" if _PLAIN_NAME.search(t) else "-"
+
+
+def flag_of(token: str, name: str) -> int:
+    """A token's part in the file feature: 2 for the name of a secret, 1 for a mix of letters and digits."""
+    return 2 * (name == "secret") + (len(token) > 8 and any(map(str.isdigit, token)) and any(map(str.isalpha, token)))
 
 
 def file_feature(tokens: list[str]) -> int:
-    """0 to 3: does the text have key-like words, and does it have tokens that mix letters and digits."""
-    return 2 * any(len(t) > 1 and word(t) != "-" for t in tokens) + any(len(t) > 8 and any(map(str.isdigit, t)) for t in tokens)
+    """0 to 3: does the text name secrets, and does it have tokens that mix letters and digits."""
+    flags = [flag_of(t, word(t)) for t in tokens]
+    return 2 * any(f & 2 for f in flags) + any(f & 1 for f in flags)
 
 
 #: Feature templates: what of which neighbour. Positions beyond the text have the value '#'.
@@ -110,22 +125,28 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def fit(windows: list[tuple[list[str], list[int], int]]) -> Field:
-    """Maximum likelihood with a ridge, by full-batch AdaGrad; forward and backward sums over all windows at once."""
+def looks_of(tokens: list[str]) -> list[tuple[str, str]]:
+    """All that the field sees of tokens: shape and word."""
+    return [(shape(t), word(t)) for t in tokens]
+
+
+def fit(windows: list[tuple[list[tuple[str, str]], list[int], int]]) -> Field:
+    """Maximum likelihood with a ridge, by full-batch AdaGrad; forward and backward sums over all windows at once.
+
+    windows: looks of tokens, their labels, and the file feature."""
     index: dict[tuple[str, int, str], int] = {}
     length = max((len(t) for t, _, _ in windows), default=1)
     n = max(1, len(windows))
     feats = np.zeros((n, length, len(TEMPLATES)), np.int32)
     gold, mask, file_of = np.zeros((n, length), np.int64), np.zeros((n, length), bool), np.zeros(n, np.int64)
     index[("none", 0, "")] = 0
-    for r, (tokens, labels, kind) in enumerate(windows):
+    for r, (looks, labels, kind) in enumerate(windows):
         file_of[r] = kind
-        mask[r, : len(tokens)] = True
-        gold[r, : len(tokens)] = labels
-        looks = {"s": [shape(t) for t in tokens], "w": [word(t) for t in tokens]}
-        for t in range(len(tokens)):
+        mask[r, : len(looks)] = True
+        gold[r, : len(looks)] = labels
+        for t in range(len(looks)):
             for k, (name, off) in enumerate(TEMPLATES):
-                value = looks[name][t + off] if 0 <= t + off < len(tokens) else "#"
+                value = looks[t + off][name == "w"] if 0 <= t + off < len(looks) else "#"
                 feats[r, t, k] = index.setdefault((name, off, value), len(index))
     weights, moves, files = np.zeros((len(index), 3)), np.zeros((3, 3)), np.zeros((4, 3))
     squares = [np.full_like(x, 1e-8) for x in (weights, moves, files)]
@@ -162,7 +183,7 @@ def fit(windows: list[tuple[list[str], list[int], int]]) -> Field:
     return Field({k: weights[i].astype(np.float32) for k, i in index.items()}, moves, files.astype(np.float32))
 
 
-def windows_of(text: str) -> list[tuple[list[str], list[int], int]]:
+def windows_of(text: str) -> list[tuple[list[str], list[int]]]:
     """Labelled windows of FIT_TOKENS tokens: those around the base's secrets, and the first one without any."""
     found = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
     tokens = [t for t, _, _ in found]
@@ -172,29 +193,105 @@ def windows_of(text: str) -> list[tuple[list[str], list[int], int]]:
             k += 1
         if k < len(spans) and b > spans[k][0]:
             labels[i] = I if i and labels[i - 1] != O and found[i - 1][2] > spans[k][0] else B
-    kind, out, done, plain = file_feature(tokens), [], -1, False
+    out, plain = [], False
     for at in range(0, len(tokens), FIT_TOKENS):
         part = slice(at, at + FIT_TOKENS)
         if any(labels[part]) or not plain:
             plain |= not any(labels[part])
-            out.append((tokens[part], labels[part], kind))
+            out.append((tokens[part], labels[part]))
     return out
 
 
-def fitting_sample(df: DataFrame, id_col: str, text_col: str) -> list[tuple[list[str], list[int], int]]:
-    """At most FIT_WINDOWS labelled windows of the first FIT_DOCS documents (by a hash) that hold secret-like text."""
-    docs = (
-        df.where(F.col(f"`{text_col}`").rlike(_WORTH))
-        .select(F.xxhash64(F.lit(11), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
-        .orderBy("h", "text").limit(FIT_DOCS)
-    )
+# What variants of windows are made of.
+_NAMES = "pwd passphrase password passcode secret client_secret token access_token auth_token api_key apikey access_key private_key signing_key credential bearer db_password oauth authorization".split()
+_DECOY_NAMES = "name user login host path file url date version lang color title size count id key".split()
+_JOINTS = (["="], [":"], ["=", '"'], [":", '"'], ["=", "'"], [":", "'"], ["=", ">", '"'], ['"', ":", '"'], ["-", ">"])
+_MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def value(rng: random.Random, style: str) -> list[str]:
+    """Tokens of a secret: a password, a key of mixed case, one in hexadecimal, a password with symbols, lines of a key."""
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    if style == "password":
+        return [draw("abcdefghijklmnopqrstuvwxyz", rng.randrange(4, 9)) + draw("0123456789", rng.randrange(1, 5))] if rng.random() < 0.5 else [draw(_MIXED, rng.randrange(8, 17)) + draw("0123456789", 2)]
+    if style == "mixed":
+        return [draw(_MIXED + rng.choice(["", "+/", "-_"]), rng.randrange(28, 72)) + rng.choice(["", "", "="])]
+    if style == "hex":
+        return [draw("0123456789abcdef", rng.choice([16, 20, 22, 32, 40, 64]))]
+    if style == "symbols":
+        return [x for k in range(rng.randrange(2, 4)) for x in ([rng.choice("!@#$%&*")] if k else []) + [draw(_MIXED, rng.randrange(2, 7))]]
+    return [draw(_MIXED + "+/", 64) for _ in range(rng.randrange(2, 5))]
+
+
+def decoy(rng: random.Random, plain: list[str]) -> list[str]:
+    """Tokens that look like an assignment or a key and aren't secret."""
+    some = lambda: rng.choice(plain)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    return rng.choice([
+        [rng.choice(_DECOY_NAMES), *rng.choice(_JOINTS), some()], [rng.choice(_DECOY_NAMES), *rng.choice(_JOINTS), digits(rng.randrange(1, 12))], [rng.choice(_DECOY_NAMES), "=", f"{digits(1)}.{digits(2)}.{digits(1)}"],
+        [rng.choice(_NAMES), some(), some()], ["the", rng.choice(_NAMES), "of", some()], [rng.choice(_NAMES), ":", some()], [f"{digits(4)}-{digits(2)}-{digits(2)}"], [digits(rng.choice([8, 10, 16]))],
+        ["https", ":", "/", "/", f"www.{some()}.com/{some()}/{some()}-{some()}/{digits(4)}"], [f"{some()}.{digits(2)}", "@", f"{some()}.org"], [f"/usr/lib/{some()}/{some()}.py"],
+        [some().capitalize() + some().capitalize() + some().capitalize()], [f"{some()}_{some()}_{some()}"], [some().upper()], ["#", digits(6)], [f"{some()}-{some()}-{some()}-{digits(2)}"],
+    ])
+
+
+def variants(tokens: list[str], labels: list[int], rng: random.Random) -> list[tuple[list[str], list[int]]]:
+    """Windows in which the first secret has another name, joint or value, or no name; and one with decoys in their place."""
+    plain = [t for t, y in zip(tokens, labels) if y == O and t.isalpha()] or ["word"]
+    if B not in labels:
+        at = rng.randrange(len(tokens) + 1)
+        part = decoy(rng, plain)
+        return [(tokens[:at] + part + tokens[at:], labels[:at] + [O] * len(part) + labels[at:])]
+    i = labels.index(B)
+    j = i + 1
+    while j < len(labels) and labels[j] == I:
+        j += 1
+    start = next((k for k in range(max(0, i - 4), i) if word(tokens[k]) == "secret"), i)
+    out = []
+    for style in ("password", "mixed", "hex", "symbols", "lines", "bare"):
+        joint = rng.choice([x for x in _JOINTS if style != "symbols" or x[-1] in "\"'"])
+        if style == "bare":
+            part, head = value(rng, "mixed"), [rng.choice(plain)] * (rng.random() < 0.5)
+        elif style == "lines":
+            part, head = value(rng, style), [*"-----", "BEGIN", rng.choice(["PRIVATE", "RSA", "OPENSSH"]), "KEY", *"-----"] if rng.random() < 0.5 else [rng.choice(_NAMES), ":"]
+        else:
+            part, head = value(rng, style), [rng.choice(_NAMES), *joint]
+        tail = [joint[-1]] if joint[-1] in "\"'" and style != "bare" else []
+        kept = tokens[j + (j < len(tokens) and tokens[j] in "\"'") :]
+        marks = [O] * (start + len(head)) + [B] + [I] * (len(part) - 1) + [O] * (len(tail) + len(kept))
+        out.append((tokens[:start] + head + part + tail + kept, [y if k < start + len(head) + len(part) + len(tail) else labels[len(labels) - len(marks) + k] for k, y in enumerate(marks)]))
+    for _ in range(2):
+        part = decoy(rng, plain)
+        out.append((tokens[:start] + part + tokens[j:], labels[:start] + [O] * len(part) + labels[j:]))
+    return out
+
+
+def fitting_sample(df: DataFrame, id_col: str, text_col: str) -> list[tuple[list[tuple[str, str]], list[int], int]]:
+    """At most FIT_WINDOWS labelled windows, variants included, of the first FIT_DOCS documents (by a hash) that hold secret-like text.
+
+    The hashes are picked first, so that no task is sent more than their texts."""
+    text = F.col(f"`{text_col}`")
+    hashed = df.select(F.xxhash64(F.lit(11), F.col(f"`{id_col}`"), text).alias("h"), text.alias("text"))
+    worth = F.lit(False)
+    for name in _WORTH:
+        worth = worth | F.contains(F.lower("text"), F.lit(name))
+    first = [r["h"] for r in hashed.where(worth).select("h").distinct().orderBy("h").limit(FIT_DOCS).collect()]
 
     def cutout(cols: dict[str, list]) -> dict[str, list]:
-        got = [(h, i, *w) for h, text in zip(cols["h"], cols["text"]) for i, w in enumerate(windows_of(text)) if i < 16]
-        return {"h": [x[0] for x in got], "i": [x[1] for x in got], "tokens": [[t[:80] for t in x[2]] for x in got], "labels": [x[3] for x in got], "kind": [x[4] for x in got]}
+        out: dict[str, list] = {"h": [], "i": [], "shapes": [], "words": [], "labels": [], "kind": []}
+        for h, text in zip(cols["h"], cols["text"]):
+            rng = random.Random(h)
+            own = windows_of(text)[:FIT_OF_DOC]
+            for i, (tokens, labels) in enumerate([*own, *(v for w in own for v in variants(*w, rng))]):
+                looks = looks_of(tokens[: 2 * FIT_TOKENS])
+                for name, x in zip(out, (h, i, [a for a, _ in looks], [b for _, b in looks], labels[: 2 * FIT_TOKENS], file_feature(tokens))):
+                    out[name].append(x)
+        return out
 
-    rows = map_rows(docs, cutout, "h long, i int, tokens array<string>, labels array<int>, kind int").orderBy("h", "i").limit(FIT_WINDOWS).collect()
-    return [(list(r["tokens"]), list(r["labels"]), r["kind"]) for r in rows]
+    of_first = hashed.where(F.col("h").isin(first)) if first else hashed.limit(0)
+    one = of_first.groupBy("h").agg(F.min("text").alias("text"))  # of repeated rows one
+    rows = map_rows(one, cutout, "h long, i int, shapes array<string>, words array<string>, labels array<int>, kind int").orderBy("i", "h").limit(FIT_WINDOWS).collect()
+    return [(list(zip(r["shapes"], r["words"])), list(r["labels"]), r["kind"]) for r in rows]
 
 
 class Tagger:
@@ -217,7 +314,7 @@ class Tagger:
         if len(self.known) >= self.MAX_KNOWN:
             self.known.clear()
         w = word(token)
-        flag = 2 * (len(token) > 1 and w != "-") + (len(token) > 8 and any(map(str.isdigit, token)))
+        flag = flag_of(token, w)
         look = shape(token), w, flag
         i = self.looks.get(look)
         if i is None:
@@ -277,9 +374,10 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id and spans: array of (start, end, kind), code points, end exclusive, by start, then kind; one row a row.
 
     Kinds: assign, access and hex (the base patterns, every match), crf (what the field tags elsewhere: spans
-    that touch no base span). The field is fitted on a bounded sample labelled by the base patterns, see
-    fitting_sample; it is applied to every whole text. A null or empty text has no spans; repeated rows are
-    tagged alike; a null id is kept; other columns of df are not read. An empty df gives no rows.
+    that touch no base span). The field is fitted on a bounded sample labelled by the base patterns and on variants of
+    its windows, see fitting_sample; it is applied to every whole text, very long ones too. Where no text holds a base
+    secret it has nothing to learn from and tags nothing. A null or empty text has no spans; repeated rows are tagged
+    alike; a null id is kept; other columns of df are not read. An empty df gives no rows.
     """
     kind = dict(df.dtypes)[id_col]
     field = fit(fitting_sample(df, id_col, text_col))

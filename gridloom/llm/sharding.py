@@ -1,9 +1,9 @@
 """Uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
 A uniformly random permutation of all rows sends a random number of rows from each input partition to each
-bucket. Those numbers follow a multivariate hypergeometric law with both margins fixed. We draw them first
-(recursive halving over the partitions), permute each partition locally, send its rows to buckets by those
-counts, and permute each bucket again. One exchange of the rows; shard sizes differ by at most one row.
+shard. Those numbers follow a multivariate hypergeometric law with both margins fixed. We draw them first
+(recursive halving over the partitions), permute each partition locally, send its rows to shards by those
+counts, and permute each shard again. One exchange of the rows; shard sizes differ by at most one row.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from .common import table, uniform
 
 LAW = "rows"
 N_SHARDS = 24
-#: A shard of more rows than this is made of several buckets, each permuted by a task of its own.
-ROWS_PER_BUCKET = 2_000_000
-#: A matrix of more bytes than this is joined by an exchange, not broadcast.
+#: A shard of more rows than this is permuted by several tasks.
+ROWS_PER_TASK = 2_000_000
+#: A table of more bytes than this is joined by an exchange, not broadcast.
 MAX_BROADCAST_BYTES = 64 << 20
+CHANGED = "input partitions changed between the two readings; checkpoint the input"
 
 
 def log_factorial(x: Column) -> Column:
@@ -74,7 +75,7 @@ def hypergeometric(u: Column, population: Column, good: Column, draws: Column) -
 
 
 def _draw(node: Column, rows: Column, capacity: Column, seed: int) -> Column:
-    """How many of `rows` rows go to each bucket of the given capacities: multivariate, bucket by bucket."""
+    """How many of `rows` rows go to each shard of the given capacities: multivariate, shard by shard."""
     total = F.aggregate(capacity, F.lit(0).cast("long"), lambda a, x: a + x)
     start = F.struct(rows.cast("long").alias("rows"), total.alias("room"), F.array().cast("array<bigint>").alias("out"))
 
@@ -86,82 +87,92 @@ def _draw(node: Column, rows: Column, capacity: Column, seed: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(capacity) - 1), start, step, lambda s: s["out"])
 
 
-def communication_matrix(spark, rows: list[int], capacities: list[int], seed: int) -> DataFrame:
-    """(block, counts): how many rows of each partition go to each bucket.
+def communication_matrix(margins: DataFrame, most: int, seed: int) -> DataFrame:
+    """(block, counts): how many rows of each partition go to each shard.
 
-    rows: rows of each partition; capacities: rows of each bucket; the sums are equal. The partitions are
-    halved again and again; each half's share of every bucket is drawn, so the draws of a level are independent
-    and run in parallel.
+    margins: one row, rows: array of (block, n), the rows of each partition, at most `most` of them; room: array of the
+    rows of each shard; the sums are equal. The partitions are halved again and again; each half's share of every shard
+    is drawn, so the draws of a level are independent and run in parallel.
     """
-    df = spark.range(1).select(
-        F.lit(1).cast("long").alias("node"), F.lit(0).alias("block"),
-        F.lit(rows).cast("array<bigint>").alias("rows"), F.lit(capacities).cast("array<bigint>").alias("room"),
-    )
-    levels = math.ceil(math.log2(max(1, len(rows))))
-    for level in range(levels):
+    df = margins.select(F.lit(1).cast("long").alias("node"), "rows", "room")
+    for level in range(math.ceil(math.log2(max(2, most)))):
         if level in (3, 9):  # eight nodes, and again five hundred
             df = df.repartition(2 ** level, "node")
         half = F.floor(F.size("rows") / 2).cast("int")
         left = F.slice("rows", F.lit(1), half)
-        n = F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x)
+        n = F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x["n"])
         df = df.withColumn("__take", F.when(F.size("rows") > 1, _draw(F.col("node"), n, F.col("room"), seed)))
         kids = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("block"), left.alias("rows"), F.col("__take").alias("room")),
-            F.struct(
-                (F.col("node") * 2 + 1).alias("node"), (F.col("block") + half).alias("block"),
-                F.slice("rows", half + 1, F.size("rows") - half).alias("rows"), F.zip_with("room", "__take", lambda a, b: a - b).alias("room"),
-            ),
+            F.struct((F.col("node") * 2).alias("node"), left.alias("rows"), F.col("__take").alias("room")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), F.slice("rows", half + 1, F.size("rows") - half).alias("rows"), F.zip_with("room", "__take", lambda a, b: a - b).alias("room")),
         )
-        same = F.array(F.struct("node", "block", "rows", "room"))
-        df = df.select(F.inline(F.when(F.size("rows") > 1, kids).otherwise(same)))
-    return df.select("block", F.col("room").alias("counts"))
+        df = df.select(F.inline(F.when(F.size("rows") > 1, kids).otherwise(F.array(F.struct("node", "rows", "room")))))
+    whole = F.when(F.size("rows") > 1, F.raise_error(F.lit(CHANGED)).cast("int")).otherwise(F.get("rows", F.lit(0))["block"])
+    return df.where(F.size("rows") > 0).select(whole.alias("block"), F.col("room").alias("counts"))
+
+
+def place_in(ends: Column, at: Column, most: int) -> Column:
+    """How many of the ascending ends are at most `at`, by binary search."""
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        open_, right = s["lo"] < s["hi"], F.get(ends, mid) <= at
+        return F.struct(F.when(open_ & right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi"))
 
+    start = F.struct(F.lit(0).alias("lo"), F.size(ends).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), start, step, lambda s: s["lo"])
 
-def shuffle_into_shards(df: DataFrame, key: Column, n_shards: int = N_SHARDS, rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 7) -> DataFrame:
+
+def shuffle_into_shards(df: DataFrame, key: Column, n_shards: int = N_SHARDS, rows_per_task: int = ROWS_PER_TASK, seed: int = 7) -> DataFrame:
     """df with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 in each shard): a uniform shuffle.
 
     key: an expression over df that tells rows apart (rows with equal keys may swap places, so it should cover
-    what differs). Nulls in any column are kept; repeated rows each get a slot of their own; an empty df gives
-    an empty result. Input columns named shard or slot are replaced.
+    what differs). Nulls in any column are kept; very long texts travel once; repeated rows each get a slot of their own;
+    an empty df gives an empty result. Input columns named shard or slot are replaced.
 
-    df must be read twice alike (a scan, or a checkpoint): the first pass counts the rows of each partition,
-    the second sends them. Should the partitions differ, the second pass raises an error.
+    One plan reads df twice (a scan, or a checkpoint): to count the rows of each partition, and to send them; a shard
+    of more than rows_per_task rows is counted once more, so that several tasks can number it. Partitions that gain or
+    lose rows between the readings end the job with an error.
     """
-    spark = df.sparkSession
-    conf = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(conf, None) is None:  # else the splits would follow the number of executors alive
-        spark.conf.set(conf, spark.sparkContext.defaultParallelism)
     keep = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
-    counted = {r["b"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("b")).agg(F.count("*").alias("n")).collect()}
-    rows = [counted.get(b, 0) for b in range(max(counted, default=0) + 1)]
-    total = sum(rows)
-    per_shard = max(1, math.ceil(total / n_shards / rows_per_bucket))
-    buckets = n_shards * per_shard
-    edges = [total * j // buckets for j in range(buckets + 1)]
-    matrix = communication_matrix(spark, rows, [b - a for a, b in zip(edges, edges[1:])], seed)
+    total, partitions = df.count(), max(1, df.rdd.getNumPartitions())
+    tasks = max(1, math.ceil(total / n_shards / rows_per_task))
+    capacity = F.array(*[F.lit(total * (j + 1) // n_shards - total * j // n_shards).cast("long") for j in range(n_shards)])
+    counted = df.groupBy(F.spark_partition_id().alias("block")).agg(F.count("*").alias("n"))
+    margins = counted.agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("rows")).select("rows", capacity.alias("room"))  # a number a partition
+    matrix = communication_matrix(margins, 2 * partitions, seed)
     matrix = matrix.select(
         F.col("block").alias("__block"),
-        F.slice(F.aggregate("counts", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))), 2, buckets).alias("__ends"),
-    )
-    if len(rows) * buckets * 8 <= MAX_BROADCAST_BYTES:
-        matrix = F.broadcast(matrix)
-    local = (
-        df.select(F.struct(*keep).alias("__row"), key.alias("__key"))
-        .sortWithinPartitions(F.xxhash64(F.lit(seed), "__key"), "__key")
-        .withColumn("__at", F.monotonically_increasing_id())
-        .withColumn("__block", F.shiftright("__at", 33).cast("int"))
-        .withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+        F.slice(F.aggregate("counts", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))), 2, n_shards).alias("__ends"),
     )
-    sent = local.join(matrix, "__block", "left").select(
-        "__row", "__key", "__block", "__at",
-        F.when(F.col("__at") < F.element_at("__ends", -1), F.size(F.filter("__ends", lambda e: e <= F.col("__at"))))
-        .otherwise(F.raise_error(F.lit("input partitions changed between the two passes; checkpoint the input"))).cast("long").alias("__bucket"),
-    )
-    again = F.expr("row_number() over (partition by __bucket order by xxhash64(%d, __key, __block, __at), __key, __block, __at) - 1" % (seed + 1))
-    shard = F.floor(F.col("__bucket") / per_shard).cast("int")
-    first = lambda j, n: F.floor(F.lit(total).cast("decimal(38,0)") * j / F.lit(n)).cast("long")
-    placed = sent.withColumn("__slot", again.cast("long"))
-    return placed.select("__row.*", shard.alias("shard"), (F.col("__slot") + first(F.col("__bucket"), buckets) - first(shard, n_shards)).alias("slot"))
+    small = lambda t, size: F.broadcast(t) if size <= MAX_BROADCAST_BYTES else t
+    matrix = small(matrix, partitions * (n_shards + 4) * 8)
+
+    def sent(row: Column) -> DataFrame:
+        local = (
+            df.select(row.alias("__row"), key.alias("__key"))
+            .sortWithinPartitions(F.xxhash64(F.lit(seed), "__key"), "__key")
+            .withColumn("__at", F.monotonically_increasing_id())
+            .withColumn("__block", F.shiftright("__at", 33).cast("int"))
+            .withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+        )
+        shard = F.when(F.col("__at") < F.element_at("__ends", -1), place_in(F.col("__ends"), F.col("__at"), n_shards)).otherwise(F.raise_error(F.lit(CHANGED)).cast("int"))
+        draw = F.xxhash64(F.lit(seed + 1), "__key", "__block", "__at")
+        return local.join(matrix, "__block", "left").select("__row", "__key", "__block", "__at", shard.alias("shard"), F.pmod(draw, F.lit(tasks)).cast("int").alias("__task"))
+
+    w = "(partition by shard, __task order by xxhash64(%d, __key, __block, __at), __key, __block, __at)" % (seed + 2)
+    placed = sent(F.struct(*keep)).select("__row", "shard", "__task", F.expr(f"row_number() over {w} - 1").cast("long").alias("slot"), F.expr(f"lead(1) over {w} is null").alias("__last"))
+    full = F.get(capacity, F.col("shard"))
+    if tasks > 1:  # tasks draw their rows, so where each begins in its shard has to be counted
+        sizes = sent(F.lit(0)).groupBy("shard", "__task").agg(F.count("*").alias("n"))
+        begins = sizes.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("__task", "n"))).alias("of"), F.sum("n").alias("n"))
+        begin = F.aggregate(F.filter("of", lambda x: x["__task"] < F.col("t.__task")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        begins = begins.select("shard", "n", "of", F.explode("of").alias("t")).select("shard", F.col("t.__task").alias("__task"), begin.alias("__begin"), F.col("n").alias("__n"))
+        placed = placed.join(small(begins, n_shards * tasks * 32), ["shard", "__task"])
+        slot = F.when(F.col("__n") == full, F.col("slot") + F.col("__begin")).otherwise(F.raise_error(F.lit(CHANGED)).cast("long"))
+    else:
+        slot = F.when(~F.col("__last") | (F.col("slot") + 1 == full), F.col("slot")).otherwise(F.raise_error(F.lit(CHANGED)).cast("long"))
+    return placed.select("__row.*", "shard", slot.alias("slot"))
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,19 @@ def test_bad_host_rejects_its_good_documents(spark):
     assert 0.5 < got[100].host_rate_short < 60 / 63
 
 
+def test_a_planted_bad_host_is_rejected_by_the_query_and_no_other(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, rng.randrange(25, 60)) if rng.random() > 0.08 else "too short", f"host{i % 12}") for i in range(1500)]
+    rows += [(5000 + i, "# $ % | < > " * 30 if i % 5 < 3 else sentence(rng, 40), "spam.example") for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = quality_rules.op1_quality_rules(spark, str(tmp_path)).collect()
+    bad = {r.doc_id for r in got if not r.host_ok}
+    assert bad == {5000 + i for i in range(120)}
+    # without the verdict of the host 48 of them would stay
+    assert sum(r.doc_id in bad and not r.base_failed for r in got) == 48 and not any(r.kept for r in got if r.doc_id in bad)
+    assert all(r.kept == (not r.base_failed) for r in got if r.doc_id not in bad)
+
+
 def test_shards_are_exact_gapless_and_repeatable(spark):
     df = spark.range(1003).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.pmod("id", F.lit(5)).cast("string")).alias("text")).repartition(7)
     df.write.mode("overwrite").parquet(path := spark.conf.get("spark.checkpoint.dir") + "/shards")
@@ -52,6 +65,29 @@ def test_shards_are_exact_gapless_and_repeatable(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+@pytest.mark.parametrize("change,per_task", [(-1, 1000), (1, 1000), (1, 10)])
+def test_shards_notice_partitions_that_change(spark, change, per_task, monkeypatch):
+    """What is counted and what is sent differ by a row."""
+    df = spark.range(0, 300, 1, 3).select(F.col("id").alias("doc_id"))
+    made = sharding.communication_matrix
+    other = lambda x: F.transform("rows", lambda r: F.struct(r["block"].alias("block"), F.when(r["block"] == 1, r["n"] + x).when(r["block"] == 2, r["n"] - x).otherwise(r["n"]).alias("n")))
+    monkeypatch.setattr(sharding, "communication_matrix", lambda margins, most, seed: made(margins.withColumn("rows", other(change)), most, seed))
+    with pytest.raises(Exception, match="partitions changed"):
+        sharding.shuffle_into_shards(df, F.struct("doc_id"), 4, per_task).collect()
+
+
+def test_shards_are_uniform(spark):
+    """Where a row comes to lie does not depend on where it was."""
+    df = spark.range(0, 4000, 1, 4).select(F.col("id").alias("doc_id"))
+    rows = sharding.shuffle_into_shards(df, F.struct("doc_id"), 4, 400).collect()
+    for part in range(4):
+        own = [r for r in rows if r.doc_id // 1000 == part]
+        for shard in range(4):
+            of = [r.slot for r in own if r.shard == shard]
+            assert abs(len(of) - 250) < 70 and abs(sum(of) / len(of) - 500) < 90
+            assert abs(sum(r.doc_id % 1000 for r in own if r.shard == shard) / len(of) - 500) < 90
+
+
 def test_hypergeometric_law(spark):
     n = 200_000
     x = sharding.hypergeometric(sharding.uniform(5, F.col("id")), F.lit(60), F.lit(25), F.lit(12))
@@ -63,7 +99,8 @@ def test_hypergeometric_law(spark):
 
 def test_communication_matrix_margins(spark):
     rows, caps = [5, 0, 100, 37, 1, 9], [50, 51, 51]
-    m = {r.block: r.counts for r in sharding.communication_matrix(spark, rows, caps, 3).collect()}
+    margins = spark.createDataFrame([([(b, n) for b, n in enumerate(rows)], caps)], "rows array<struct<block: int, n: long>>, room array<long>")
+    m = {r.block: r.counts for r in sharding.communication_matrix(margins, len(rows), 3).collect()}
     assert [sum(m[b]) for b in range(6)] == rows and [sum(c) for c in zip(*(m[b] for b in range(6)))] == caps
 
 
@@ -74,7 +111,7 @@ def dedup(rows):
         lines, gone = text.split("\n"), set()
         for p in range(len(lines) - 2):
             w = tuple(lines[p : p + 3])
-            if "".join(w).strip(" ") == "":
+            if "".join(w).strip(" \t\x0b\x0c\r") == "":
                 continue
             if w in seen:
                 gone |= {p, p + 1, p + 2}
@@ -86,6 +123,7 @@ def dedup(rows):
 def test_line_dedup(spark):
     rows = [r for r in documents() if r[0] is not None and r[1] is not None]
     want = dedup(sorted({(r[0], r[1]) for r in rows}))
+    assert "\t" in line_dedup.BLANK and line_dedup.dedup_line_windows(frame(spark, [(n, "\t\n \n\r", None, None, 0, *rows[0][5:]) for n in (1, 2)])).where("n_removed > 0").isEmpty()
     got = line_dedup.dedup_line_windows(frame(spark, rows)).collect()
     assert all(r.text == want[r.doc_id] for r in got) and any(r.n_removed for r in got)
 
@@ -310,6 +348,27 @@ def test_grammar_marks_and_weighs():
     assert weigh("dummkopf") > 0 and weigh("i will kill you") > 0 and weigh("kill the lights") == 0
 
 
+def weigh_by_hand(symbols):
+    """Every insult and threat of a clause by its surroundings, without a machine."""
+    total = 0.0
+    for i, s in enumerate(symbols):
+        near = lambda kind, lo, hi: kind in symbols[max(0, lo) : max(0, hi)]
+        aimed = near("t", i - toxicity.TARGET_REACH, i) or near("t", i + 1, i + 1 + toxicity.TARGET_REACH)
+        factor = (toxicity.REPORTED if near("r", 0, i) else 1) * (toxicity.NEGATED if near("n", i - toxicity.NEGATION_REACH, i) else 1)
+        if s[0] == "i":
+            total += int(s[1:]) * toxicity.LEVEL * factor * (toxicity.TARGETED if aimed else 1)
+        elif s == "h" and aimed:
+            total += toxicity.THREAT_WEIGHT * factor
+    return total
+
+
+def test_composed_machine_equals_rules_by_hand():
+    rng, g = random.Random(4), toxicity.Grammar({})
+    for _ in range(400):
+        clause = [rng.choice(["o", "o", "o", "t", "n", "r", "h", "i3", "i16", "i60"]) for _ in range(rng.randrange(12))]
+        assert math.isclose(g.clause(clause), weigh_by_hand(clause), abs_tol=1e-9), clause
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     rows, marks = [], []

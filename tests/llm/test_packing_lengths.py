@@ -34,3 +34,34 @@ def test_a_packing_is_whole_and_never_dearer():
             held[b] += x
         assert held == load and all(a <= b for a, b in zip(load, length))
         assert cost(length) <= cost(packing.best_fit(sizes)[2])
+
+
+def test_final_downsizing_lowers_the_cost():
+    rng = random.Random(7)
+    shrunk = 0
+    for _ in range(20):
+        sizes = [rng.randrange(600, 4097) for _ in range(60)]
+        for k in range(len(packing.LENGTHS)):
+            _, load, length = packing.best_fit(sizes, packing.LENGTHS[k:])
+            final = packing.downsized(load)
+            shrunk += sum(a < b for a, b in zip(final, length))
+            assert cost(packing.joint_fit(sizes)[2]) <= cost(final) <= cost(length)
+    assert shrunk > 10
+
+
+def test_each_single_length_is_dearer():
+    rng = random.Random(3)
+    sizes = [rng.choice([150, 300, 700, 1300]) for _ in range(500)]
+    joint = packing.joint_fit(sizes)[2]
+    assert len(set(joint)) > 1
+    for k, length in enumerate(packing.LENGTHS):
+        if length >= max(sizes):
+            load = packing.best_fit(sizes, packing.LENGTHS[k : k + 1])[1]
+            assert cost(joint) < cost([length] * len(load))
+
+
+def test_packing_is_the_same_however_the_rows_are_split(spark):
+    rows = [(i, "w " * (i % 50 * 7)) for i in range(300)] + [(7, "same words here")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted(map(tuple, packing.pack(df.repartition(n), block_rows=100).collect())) for n in (1, 6))
+    assert one == many and len({r[4] for r in one if r[0] == 7}) > 2  # equal rows are in several blocks

@@ -60,3 +60,26 @@ def test_run_equals_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter({i: sum(r.n_words for r in got if r.doc_id == i) for i in {r.doc_id for r in got}}) == want
     assert 42 not in want and 43 not in want and 40 not in want and len(want) > 35
+
+
+def test_stages_keep_columns_of_any_name_and_stand_empty_tables(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["\n".join(sentence(rng, 9) for _ in range(5)) for _ in range(12)]
+    texts += [texts[0], None, "", texts[1] + "\nend"]
+    cols = "doc_id long, text string, lang string, n_lines int, n_removed int, text_hash string, keep boolean, `a.b` int, __row int"
+    rows = [(i, t, "en", 1, 2, "h", True, 3, 4) for i, t in enumerate(texts)] + [(3, texts[3], "en", 9, 2, "h", True, 3, 4)]
+    spark.createDataFrame([(i, 1) for i in range(12)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, sentence(rng, 30)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, some in (("full", rows), ("empty", [])):
+        spark.createDataFrame(some, cols).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, stage
+            got = {r.doc_id: r for r in out.collect()}
+            assert all((r.n_removed, r.text_hash, r.keep, r["a.b"], r["__row"]) == (2, "h", True, 3, 4) for r in got.values()), stage
+            if name == "full":
+                assert got[13].text is None and got[14].text == "" and got[3].n_lines == (1 if stage == "n-gram Jaccard join" else got[3].n_lines), stage
+                assert (12 in got, 15 in got) == ((False, False) if stage == "n-gram Jaccard join" else (stage != "line dedup", True)), stage
+            else:
+                assert not got

@@ -126,18 +126,21 @@ def downsized(load: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[int]:
 
 
 def joint_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """The cheaper of planned_fit, its bins downsized, and best_fit."""
-    where, load, _ = planned_fit(sizes, lengths)
-    return min((where, load, downsized(load, lengths)), best_fit(sizes, lengths), key=lambda x: sum(open_cost(n, 1) for n in x[2]))
+    """The cheapest of several packings, the bins of each downsized to their contents: planned_fit, and best_fit with all
+    lengths, with all but the smallest, and so on to the largest alone."""
+    lengths = tuple(sorted(lengths))
+    tries = [planned_fit(sizes, lengths), *(best_fit(sizes, lengths[k:]) for k in range(len(lengths)))]
+    return min(((where, load, downsized(load, lengths)) for where, load, _ in tries), key=lambda x: sum(open_cost(n, 1) for n in x[2]))
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, piece, first_word, n_words, bin_block, bin, bin_length, bin_load, offset): one row a piece.
 
     A document takes its words and one end mark. One longer than the largest length is cut into full pieces and
-    a rest; every piece is packed. Rows are dealt by hash over blocks of about block_rows; each block is packed
-    by joint_fit in one task, from the sizes alone. Null and empty texts are a piece of the end mark alone;
-    repeated rows are packed each; null ids are kept; other columns of df are not read. An empty df gives no rows.
+    a rest; every piece is packed. Rows are dealt by hash over blocks of about block_rows, equal rows by their number too;
+    each block is packed by joint_fit in one task, from the sizes alone, so the result is the same however df is split.
+    Null and empty texts are a piece of the end mark alone; very long ones are counted whole; repeated rows are packed
+    each; null ids are kept; other columns of df are not read. An empty df gives no rows.
     """
     kind, longest = dict(df.dtypes)[id_col], max(lengths)
     rows = df.select(
@@ -145,8 +148,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths:
         F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"),
     )
     blocks = n_blocks(df.count(), block_rows)
-    # equal rows spread by position; whichever block a row is in, it is packed whole
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    # equal rows are counted and numbered, so that many of them spread over blocks
+    rows = rows.groupBy("doc_id", "size", "h").agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    rows = rows.select("doc_id", "size", "h", F.pmod(F.xxhash64("h", "k"), F.lit(blocks)).cast("int").alias("block"))
     schema = f"doc_id {kind}, piece int, first_word long, n_words long, bin_block int, bin long, bin_length int, bin_load long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,10 @@ from .common import WORD, cut, hot_keys, map_rows, salted_join, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
-#: A host is rejected if the shrunk failure rate of a rule is above this.
-HOST_LIMITS = {"short": 0.5, "repeated": 0.5, "symbols": 0.6, "dup_lines": 0.6}
+RULES = ("short", "repeated", "symbols", "dup_lines")
+#: A host's limit for a rule has LIFT times the odds of the rate of all documents, and is MIN_LIMIT at least. A host is rejected
+#: if its shrunk rate is above the limit by more than ERRORS standard deviations of its posterior.
+LIFT, MIN_LIMIT, ERRORS = 4.0, 0.2, 1.645
 #: A document fails the symbol rule above this many symbols a 100 word characters, the line rule above this percentage of repeated lines.
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 10, 30
 #: Hosts' pseudo-documents are at most this many, however alike the hosts are.
@@ -80,30 +82,31 @@ def host_verdicts(stats: DataFrame) -> DataFrame:
 
     The beta prior of a rule has the pooled rate as its mean; its strength comes from the variance of the
     hosts' rates beyond that of sampling (method of moments, hosts weighted by their documents), between 1 and
-    MAX_PRIOR_STRENGTH documents. A host is rejected if one of its shrunk rates is above the rule's limit.
+    MAX_PRIOR_STRENGTH documents. A host is rejected if, for one of the rules, hardly any of its posterior is below the limit
+    that the pooled rate sets: a rate with LIFT times its odds, MIN_LIMIT at least.
     """
-    rules = list(HOST_LIMITS)
+    rules = list(RULES)
     hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"), *[F.count_if(r).alias(r) for r in rules])
     pooled = hosts.agg(F.sum("host_docs").alias("n"), F.count("*").alias("h"), F.sum(F.col("host_docs").cast("double") ** 2).alias("n2"), *[F.sum(r).alias(r) for r in rules]).first()
     n = float(pooled["n"] or 1)
     mean = {r: (pooled[r] or 0) / n for r in rules}
     squares = hosts.agg(*[F.sum(F.col("host_docs") * (F.col(r) / F.col("host_docs") - mean[r]) ** 2).alias(r) for r in rules]).first()
-    out = hosts
+    out, ok = hosts, F.lit(True)
     for r in rules:
         within = mean[r] * (1 - mean[r])
         between = ((squares[r] or 0.0) - (pooled["h"] - 1) * within) / max(n - (pooled["n2"] or 0.0) / n, 1.0)
         strength = min(max(within / between - 1, 1.0), MAX_PRIOR_STRENGTH) if between > 0 else MAX_PRIOR_STRENGTH
-        out = out.withColumn(f"host_rate_{r}", (F.col(r) + strength * mean[r]) / (F.col("host_docs") + strength))
-    ok = F.lit(True)
-    for r, limit in HOST_LIMITS.items():
-        ok = ok & (F.col(f"host_rate_{r}") <= limit)
+        rate = (F.col(r) + strength * mean[r]) / (F.col("host_docs") + strength)
+        out = out.withColumn(f"host_rate_{r}", rate)
+        limit = max(MIN_LIMIT, LIFT * mean[r] / (1 + (LIFT - 1) * mean[r]))
+        ok = ok & (rate - ERRORS * F.sqrt(rate * (1 - rate) / (F.col("host_docs") + strength + 1)) <= limit)
     return out.select("host", "host_docs", *[f"host_rate_{r}" for r in rules], ok.alias("host_ok"))
 
 
 def host_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row a row of df: doc_id, host, the document's figures, its host's shrunk rates, base_failed and kept.
 
-    A null text has no words and fails as short; a null host is the host ''. Repeated rows count as often as
+    A null text has no words and fails as short; a very long one is read whole; a null host is the host ''. Repeated rows count as often as
     they stand. Other columns of df are not read, whatever their names. An empty df gives no rows.
     """
     stats = cut(document_stats(df, id_col, text_col, host_col))  # figures only, no texts
@@ -115,7 +118,7 @@ def host_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rates = [F.round(f"host_rate_{r}", 6).alias(f"host_rate_{r}") for r in HOST_LIMITS]
+    rates = [F.round(f"host_rate_{r}", 6).alias(f"host_rate_{r}") for r in RULES]
     return host_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", *rates, "host_ok")
 
 
@@ -142,9 +145,9 @@ h AS (SELECT host, count(*) AS host_docs, {", ".join(f"count(*) FILTER (WHERE {c
 p AS (SELECT sum(host_docs)::DOUBLE AS n, count(*) AS hosts, sum(host_docs::DOUBLE ** 2) AS n2, {", ".join(f"sum(f_{r}) / sum(host_docs) AS m_{r}" for r in _RULES)} FROM h),
 v AS (SELECT {", ".join(f"(sum(host_docs * (f_{r} / host_docs - m_{r}) ** 2) - (any_value(hosts) - 1) * any_value(m_{r} * (1 - m_{r}))) / greatest(any_value(n - n2 / n), 1.0) AS v_{r}" for r in _RULES)} FROM h, p),
 k AS (SELECT {", ".join(f"CASE WHEN v_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 1.0), {MAX_PRIOR_STRENGTH}) ELSE {MAX_PRIOR_STRENGTH} END AS k_{r}" for r in _RULES)} FROM p, v),
-r AS (SELECT host, host_docs::BIGINT AS host_docs, {", ".join(f"(f_{r} + k_{r} * m_{r}) / (host_docs + k_{r}) AS host_rate_{r}" for r in _RULES)} FROM h, p, k)
+r AS (SELECT host, host_docs::BIGINT AS host_docs, {", ".join(f"(f_{r} + k_{r} * m_{r}) / (host_docs + k_{r}) AS host_rate_{r}, k_{r}, greatest({MIN_LIMIT}, {LIFT} * m_{r} / (1 + {LIFT - 1} * m_{r})) AS limit_{r}" for r in _RULES)} FROM h, p, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept, host_docs,
   {", ".join(f"round(host_rate_{r}, 6) AS host_rate_{r}" for r in _RULES)}, host_ok
-FROM (SELECT s.*, r.*, {_RULES["short"]} OR {_RULES["repeated"]} AS base_failed, {" AND ".join(f"host_rate_{r} <= {x}" for r, x in HOST_LIMITS.items())} AS host_ok FROM s JOIN r USING (host))
+FROM (SELECT s.*, r.*, {_RULES["short"]} OR {_RULES["repeated"]} AS base_failed, {" AND ".join(f"host_rate_{r} - {ERRORS} * sqrt(host_rate_{r} * (1 - host_rate_{r}) / (host_docs + k_{r} + 1)) <= limit_{r}" for r in _RULES)} AS host_ok FROM s JOIN r USING (host))
 """
 }

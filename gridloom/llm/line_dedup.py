@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import cut, hot_keys, salted_join, table
 
 WINDOW = 3
+#: A line of these alone is blank.
+BLANK = " \t\x0b\x0c\r"
 
 
 def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -19,7 +21,7 @@ def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows merged. A dropped line so always has an earlier copy that stays.
 
     Adds n_lines and n_removed (long; input columns of these names are replaced). A null text stays null, with
-    0 lines; texts of fewer lines than the window stay as they are; rows with the same id and text are one
+    0 lines; texts of fewer lines than the window stay as they are; very long ones are read whole; rows with the same id and text are one
     document and are treated alike; a null id is an id that sorts first. All other columns are kept.
     """
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
@@ -32,7 +34,7 @@ def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lines = [F.get("__lines", i + k) for k in range(window)]
         return F.struct(
             F.xxhash64(*lines).alias("h1"), F.xxhash64(F.lit(1), *lines).alias("h2"), i.cast("int").alias("at"),
-            (F.trim(F.concat_ws("", *lines)) != "").alias("solid"),
+            (F.btrim(F.concat_ws("", *lines), F.lit(BLANK)) != "").alias("solid"),
         )
 
     windows = (
@@ -68,7 +70,7 @@ LINES_SQL = r"""
   wins AS (SELECT doc_id, pos, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS win
            FROM lined WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
   later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth
-            FROM wins WHERE win IS NOT NULL AND trim(replace(win, chr(10), '')) <> '') WHERE nth > 1),
+            FROM wins WHERE win IS NOT NULL AND trim(replace(win, chr(10), ''), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '') WHERE nth > 1),
   gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (VALUES (0), (1), (2)) AS o(k)),
   kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text,
                   count(*) AS n_lines, count(g.pos) AS n_removed

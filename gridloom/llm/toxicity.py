@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are read as symbols (insult, threat, target, negation, reported speech, other). Small transducers rewrite
-the symbols of a clause one after the other: they mark what is reported, what is negated and what is aimed at
-someone; a last one weighs the marked symbols. They are composed into one machine. A document's score is a
-logistic function of the weights of its matched clauses.
+Words are read as symbols (insult of a level, threat, target, negation, reported speech, other). Five small weighted
+transducers rewrite the symbols of a clause one after the other: what is reported weighs less, what is negated weighs
+less, what follows a target is aimed; threats match if aimed, and insults match, aimed ones with more weight. Weights
+stand on the transitions and multiply when the five are composed into one machine; a clause's weight is the sum over its
+matches. Targets that follow are marked before, by a transducer that reads the clause from its end. A document's score is
+a logistic function of the weights of its matched clauses.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from .common import cut, map_rows, table
 #: Labelled rows of each class that the lexicon and the scale are fitted on, at most (first by a hash of the id).
 FIT_ROWS = 6000
 #: A word or a beginning of words is an insult if it stands in so many toxic rows, and so much more often than in others.
-MIN_ROWS, MIN_LIFT, MAX_LEXICON = 3, 15.0, 20_000
+MIN_ROWS, MIN_LIFT = 3, 15.0
+#: Lexicon entries that are learned, at most: those with the highest odds.
+MAX_LEXICON = 20_000
 STEMS = range(3, 9)
 HOLD_OUT = 1
 THRESHOLD = 0.7
@@ -38,56 +42,76 @@ _CLAUSE = re.compile(r"[.!?;:\n,]+")
 #: What marks do to a weight; how far a negation and a target reach, in words.
 NEGATED, REPORTED, TARGETED, THREAT_WEIGHT = 0.25, 0.4, 1.25, 6.0
 NEGATION_REACH, TARGET_REACH = 3, 4
+#: Insults have levels: their log-odds in steps of so much, up to so many.
+LEVEL, LEVELS = 0.25, 60
 
 
 class Transducer:
-    """A sequential transducer: (state, symbol) -> (state, symbol); state 0 starts."""
+    """A weighted sequential transducer: (state, symbol) -> (state, symbol, weight); state 0 starts."""
 
-    def __init__(self, moves: dict[tuple[int, str], tuple[int, str]]):
+    def __init__(self, moves: dict[tuple[int, str], tuple[int, str, float]]):
         self.moves = moves
 
     def symbols(self) -> set[str]:
         return {s for _, s in self.moves}
 
     def outputs(self) -> set[str]:
-        return {o for _, o in self.moves.values()}
+        return {o for _, o, _ in self.moves.values()}
 
     def compose(self, then: Transducer) -> Transducer:
-        """The transducer that applies self, then `then`, in one pass: the reachable part of the product."""
+        """The transducer that applies self, then `then`, in one pass: the reachable part of the product, weights multiplied."""
         number, todo, moves = {(0, 0): 0}, [(0, 0)], {}
         while todo:
             a, b = pair = todo.pop()
             for s in self.symbols():
                 if (a, s) not in self.moves:
                     continue
-                a2, mid = self.moves[a, s]
-                b2, out = then.moves[b, mid]
+                a2, mid, w = self.moves[a, s]
+                b2, out, v = then.moves[b, mid]
                 if (a2, b2) not in number:
                     number[a2, b2] = len(number)
                     todo.append((a2, b2))
-                moves[number[pair], s] = number[a2, b2], out
+                moves[number[pair], s] = number[a2, b2], out, w * v
         return Transducer(moves)
 
 
-def marker(alphabet: set[str], trigger: str, mark: str, reach: int | None, marked: tuple[str, ...]) -> Transducer:
-    """Appends `mark` to symbols that begin with one of `marked` and follow the trigger within `reach` words."""
+#: The symbols that words are read as: other, target, negation, report, threat, and insult by level. An aimed one ends in '!'.
+WORDS = ["o", "t", "n", "r", "h", *(f"i{k}" for k in range(1, LEVELS + 1))]
+
+
+def after(alphabet: set[str], trigger: str, reach: int | None, weight: float = 1.0, mark: str = "") -> Transducer:
+    """Weighs, and marks, insults and threats that follow the trigger within `reach` words (None: to the clause's end)."""
     last = 1 if reach is None else reach
     moves = {}
     for state, s in product(range(last + 1), alphabet):
-        after = last if s[0] == trigger else state if reach is None else max(0, state - 1)
-        moves[state, s] = after, s + mark if state and s[0] in marked else s
+        to = last if s == trigger else state if reach is None else max(0, state - 1)
+        hit = state and s[0] in "ih"
+        moves[state, s] = to, s + mark if hit and not s.endswith("!") else s, weight if hit else 1.0
     return Transducer(moves)
 
 
-def grammar() -> Transducer:
-    """Reported speech, then negation, then targets: symbols i (insult) and h (threat) gain the marks > ~ !."""
-    machine = marker(set("oinrth"), "r", ">", None, ("i", "h"))
-    machine = machine.compose(marker(machine.outputs(), "n", "~", NEGATION_REACH, ("i", "h")))
-    return machine.compose(marker(machine.outputs(), "t", "!", TARGET_REACH, ("i", "h")))
+def threats(alphabet: set[str]) -> Transducer:
+    """An aimed threat is a match; one that isn't is nothing."""
+    return Transducer({(0, s): (0, *{"h!": ("T", THREAT_WEIGHT), "h": ("o", 1.0)}.get(s, (s, 1.0))) for s in alphabet})
+
+
+def insults(alphabet: set[str]) -> Transducer:
+    """An insult is a match with its level's weight, aimed ones with more; what isn't a match is nothing."""
+    moves = {(0, s): (0, s if s == "T" else "o", 1.0) for s in alphabet}
+    for s in alphabet:
+        if s[0] == "i":
+            moves[0, s] = 0, "I", int(s[1:].rstrip("!")) * LEVEL * (TARGETED if s.endswith("!") else 1.0)
+    return Transducer(moves)
 
 
-def factor(symbol: str) -> float:
-    return (NEGATED if "~" in symbol else 1) * (REPORTED if ">" in symbol else 1) * (TARGETED if "!" in symbol else 1)
+def grammar() -> tuple[Transducer, Transducer]:
+    """(targets that follow, read from the clause's end; reported speech, negation, targets, threats and insults in one)."""
+    following = after(set(WORDS), "t", TARGET_REACH, mark="!")
+    machine = after(following.outputs(), "r", None, REPORTED)
+    machine = machine.compose(after(machine.outputs(), "n", NEGATION_REACH, NEGATED))
+    machine = machine.compose(after(machine.outputs(), "t", TARGET_REACH, mark="!"))
+    machine = machine.compose(threats(machine.outputs()))
+    return following, machine.compose(insults(machine.outputs()))
 
 
 class Grammar:
@@ -96,47 +120,41 @@ class Grammar:
     MAX_KNOWN = 300_000
 
     def __init__(self, insults: dict[str, float]):
-        self.insults, self.machine, self.known = insults, grammar().moves, {}
+        following, machine = grammar()
+        self.insults, self.following, self.machine, self.known = insults, following.moves, machine.moves, {}
 
-    def read(self, word: str) -> tuple[str, float]:
-        """The word's symbol and, of an insult, its weight: that of the word or its weightiest listed beginning."""
+    def read(self, word: str) -> str:
+        """The word's symbol; of an insult with the level of the word or of its weightiest listed beginning."""
         if len(self.known) >= self.MAX_KNOWN:
             self.known.clear()
         weight = self.insults.get(word, 0.0)
         for k in STEMS:
             if len(word) > k:
                 weight = max(weight, self.insults.get(word[:k] + "*", 0.0))
-        symbol = "i" if weight else "h" if word in THREAT else "n" if word in NEGATION else "r" if word in REPORT else "t" if word in TARGET else "o"
-        found = self.known[word] = symbol, weight
-        return found
-
-    def clause(self, words: list[tuple[str, float]]) -> float:
-        """Insults weigh by their marks; one that a target follows is aimed too; a threat weighs only if aimed."""
-        total = 0.0
-        # backwards the machine sees targets that follow; negation and report only count forwards
-        forward = self.run(words)
-        backward = self.run(words[::-1])[::-1]
-        for (symbol, weight), f, b in zip(words, forward, backward):
-            aimed = f if "!" in f else f + "!" * ("!" in b)
-            if symbol == "i":
-                total += weight * factor(aimed)
-            elif symbol == "h" and "!" in aimed:
-                total += THREAT_WEIGHT * factor(aimed)
+        level = min(LEVELS, max(1, round(weight / LEVEL)))
+        symbol = f"i{level}" if weight else "h" if word in THREAT else "n" if word in NEGATION else "r" if word in REPORT else "t" if word in TARGET else "o"
+        self.known[word] = symbol
+        return symbol
+
+    def clause(self, symbols: list[str]) -> float:
+        """The sum of the weights of the matches."""
+        state, marked = 0, []
+        for s in reversed(symbols):
+            state, out, _ = self.following[state, s]
+            marked.append(out)
+        state, total = 0, 0.0
+        for s in reversed(marked):
+            state, out, weight = self.machine[state, s]
+            if out != "o":
+                total += weight
         return total
 
-    def run(self, words: list[tuple[str, float]]) -> list[str]:
-        state, out = 0, []
-        for symbol, _ in words:
-            state, marked = self.machine[state, symbol]
-            out.append(marked)
-        return out
-
     def features(self, text: str | None) -> tuple[float, float]:
         """ln(1 + weight of all matched clauses), and that weight by the number of words."""
         text = (text or "").lower()
         known, read = self.known, self.read
         words = _WORD.findall(text)
-        if not any((known.get(w) or read(w))[0] in "ih" for w in words):
+        if not any((known.get(w) or read(w))[0] in "ih" for w in words):  # no clause can match
             return 0.0, 0.0
         total = sum(self.clause([known.get(w) or read(w) for w in _WORD.findall(part)]) for part in _CLAUSE.split(text))
         return math.log1p(total), total / (len(words) + 30)
@@ -198,8 +216,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """doc_id, held_out, score (0 to 1) and predicted (1 if the score is THRESHOLD or more), one row a row of df.
 
     labels: doc_id and toxic; rows that are held out (crc32 of the id mod 3 is 1) or null teach nothing. Without
-    any labelled row every score is the same low one. A null or empty text has no clause; repeated rows score
-    alike; a null id isn't held out; other columns of df are not read. An empty df gives no rows.
+    any labelled row every score is the same low one. A null or empty text has no clause; a very long one is read whole;
+    repeated rows score alike; a null id isn't held out; other columns of df are not read. An empty df gives no rows.
     """
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

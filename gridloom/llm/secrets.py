@@ -27,8 +27,8 @@ _HEX_LONG = re.compile(r"[0-9a-f]{24}")
 CRF = "crf"
 
 #: What the field is fitted on, at most: documents (those first by a hash), windows of a document, windows in all, tokens of a window.
-FIT_DOCS, FIT_OF_DOC, FIT_WINDOWS, FIT_TOKENS = 600, 16, 6000, 48
-FIT_ROUNDS, RATE, RIDGE = 60, 0.5, 1e-4
+FIT_DOCS, FIT_OF_DOC, FIT_WINDOWS, FIT_TOKENS = 600, 16, 3000, 40
+FIT_ROUNDS, RATE, RIDGE = 40, 0.5, 1e-4
 O, B, I = 0, 1, 2
 
 _TOKEN = re.compile(r"[\w+/.\-]+(?:={1,2}(?!\w))?|[^\w\s]")
@@ -152,28 +152,28 @@ def fit(windows: list[tuple[list[tuple[str, str]], list[int], int]]) -> Field:
     squares = [np.full_like(x, 1e-8) for x in (weights, moves, files)]
     onehot = np.eye(3)
     tokens_total = max(1, int(mask.sum()))
+    flat = feats.reshape(-1)
     for _ in range(FIT_ROUNDS if windows else 0):
         e = weights[feats].sum(2) + files[file_of][:, None, :]
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
+        psi, step = np.exp(e - e.max(2, keepdims=True)), np.exp(moves)
+        alpha, beta = np.ones_like(e), np.ones_like(e)  # both scaled to sum to one at each token
+        alpha[:, 0] = psi[:, 0] / psi[:, 0].sum(1, keepdims=True)
         for t in range(1, length):
-            step = np.logaddexp.reduce(alpha[:, t - 1, :, None] + moves[None], axis=1) + e[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], step, alpha[:, t - 1])
+            a = (alpha[:, t - 1] @ step) * psi[:, t]
+            alpha[:, t] = np.where(mask[:, t, None], a / a.sum(1, keepdims=True), alpha[:, t - 1])
         for t in range(length - 2, -1, -1):
-            step = np.logaddexp.reduce(moves[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where(mask[:, t + 1, None], step, 0)
-        z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        p = np.exp(np.minimum(0, alpha + beta - z[:, None, None])) * mask[..., None]
+            b = (psi[:, t + 1] * beta[:, t + 1]) @ step.T
+            beta[:, t] = np.where(mask[:, t + 1, None], b / b.sum(1, keepdims=True), 1)
+        p = alpha * beta
+        p *= mask[..., None] / p.sum(2, keepdims=True)
         gap = (onehot[gold] * mask[..., None] - p) / tokens_total
-        g_w = np.zeros_like(weights)
-        for k in range(len(TEMPLATES)):
-            np.add.at(g_w, feats[:, :, k].ravel(), gap.reshape(-1, 3))
+        g_w = np.stack([np.bincount(flat, np.repeat(gap[..., y].ravel(), len(TEMPLATES)), len(index)) for y in range(3)], 1)
         g_w[0] = 0
-        g_f = np.zeros_like(files)
-        np.add.at(g_f, file_of, gap.sum(1))
-        pair = alpha[:, :-1, :, None] + moves[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
+        g_f = np.stack([np.bincount(file_of, gap[..., y].sum(1), 4) for y in range(3)], 1)
         both = mask[:, 1:]
-        g_m = -(np.exp(np.minimum(0, pair)) * both[..., None, None]).sum((0, 1))
+        ahead = (psi[:, 1:] * beta[:, 1:])[both]
+        pair = alpha[:, :-1][both][:, :, None] * step * ahead[:, None, :]
+        g_m = -(pair / pair.sum((1, 2), keepdims=True)).sum(0)
         np.add.at(g_m, (gold[:, :-1][both], gold[:, 1:][both]), 1)
         g_m /= tokens_total
         for x, g, s in zip((weights, moves, files), (g_w, g_m, g_f), squares):
@@ -283,8 +283,8 @@ def fitting_sample(df: DataFrame, id_col: str, text_col: str) -> list[tuple[list
             rng = random.Random(h)
             own = windows_of(text)[:FIT_OF_DOC]
             for i, (tokens, labels) in enumerate([*own, *(v for w in own for v in variants(*w, rng))]):
-                looks = looks_of(tokens[: 2 * FIT_TOKENS])
-                for name, x in zip(out, (h, i, [a for a, _ in looks], [b for _, b in looks], labels[: 2 * FIT_TOKENS], file_feature(tokens))):
+                looks = looks_of(tokens[: FIT_TOKENS + 24])
+                for name, x in zip(out, (h, i, [a for a, _ in looks], [b for _, b in looks], labels[: FIT_TOKENS + 24], file_feature(tokens))):
                     out[name].append(x)
         return out
 

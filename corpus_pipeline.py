@@ -21,45 +21,67 @@ from gridloom.llm.packing import pack
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose id and text are those of a row of gone (doc_id, text_hash)."""
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__th")), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("__gone_doc_id"), F.col("text_hash").alias("__gone_text_hash")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_doc_id")) & F.xxhash64("text").eqNullSafe(F.col("__gone_text_hash")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps.
+
+    Null and empty texts are kept (they are an end mark alone), repeated rows go or stay together, extra columns stay as they
+    are, and an empty table stays empty.
+    """
     return without(docs, classify(docs, table(spark, sf_dir, "labels")).where("not kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later occurrences of repeated three-line windows; those left with no word go. n_chars follows the text."""
-    cleaned = dedup_line_windows(docs)
+    """Documents without later occurrences of repeated three-line windows; those left with no word go.
+
+    n_chars, where there is one, follows the text. Null texts and texts in which nothing repeats stay as they are, empty ones
+    too; repeated rows are cleaned alike; all other columns stay, whatever their names; an empty table stays empty.
+    """
+    cleaned = dedup_line_windows(docs.select(F.struct("*").alias("__whole"), "doc_id", "text"))
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    kind = dict(docs.dtypes)["n_chars"]
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
-    return cleaned.where(left).withColumn("n_chars", n_chars).select(docs.columns)
+    now = {c: F.col(f"__whole.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in now:
+        now["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(now["n_chars"])
+    return cleaned.where(left).select(*[c.alias(name) for name, c in now.items()])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked texts: the first by id, then text hash; of repeated rows one."""
+    """One document of each class of linked texts: the first by id, then text hash; of repeated rows one.
+
+    Of rows that repeat an id and text and differ elsewhere the first by their other columns stays. Null texts and texts
+    without a word are linked with nothing and stay; extra columns stay; an empty table stays empty.
+    """
     found = cut(classes(docs))
     kept = without(docs, found.where("not keep"))
     repeated = found.where("keep and class_docs > 1").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     if repeated.isEmpty():
         return kept
     # rows that repeat a kept one's id and text: one of each, pre-aggregated
-    with_hash = kept.withColumn("__th", F.xxhash64("text"))
-    marked = with_hash.join(repeated.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__rh")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__rh")), "left_semi")
-    one = marked.groupBy("doc_id", "__th").agg(F.any_value(F.struct(*docs.columns)).alias("row")).select("row.*")
+    again = repeated.select(F.col("doc_id").alias("__again_doc_id"), F.col("text_hash").alias("__again_text_hash"))
+    marked = kept.join(again, F.col("doc_id").eqNullSafe(F.col("__again_doc_id")) & (F.xxhash64("text") == F.col("__again_text_hash")), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = marked.groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
     return without(kept, repeated).unionByName(one)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark segment is found."""
+    """Documents in which no benchmark segment is found.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; extra columns stay; an empty table, of
+    either kind, takes nothing away.
+    """
     return without(docs, find_benchmark(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences of the permitted lengths."""
+    """Pieces of the documents, packed into sequences of the permitted lengths.
+
+    Null and empty texts are a piece of the end mark alone; repeated rows are packed each; of the columns only the id
+    goes on; an empty table gives no rows.
+    """
     return pack(docs)
 
 

@@ -116,6 +116,42 @@ def nearest_points(queries: DataFrame, targets: DataFrame, id_col: str, target_i
             return done
 
 
+def line_distance(queries: DataFrame, segs: DataFrame, id_col: str, cell: float | None = None) -> DataFrame:
+    """(id, dist): each query's distance from the nearest of all segments (x1, y1)-(x2, y2). Queries have x and y, and an id each.
+
+    Segments stand in every grid cell that their box covers. Queries look at growing squares of cells around them; one leaves
+    once its best distance lies within its square, the others go on with twice the radius. No segments: no rows.
+    """
+    box = segs.agg(F.count("*").alias("n"), *[f(g(f"{c}1", f"{c}2")).alias(f"{f.__name__}_{c}") for c in "xy" for f, g in ((F.min, F.least), (F.max, F.greatest))], F.avg(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length")).first()
+    if not box["n"]:
+        return queries.select(id_col).limit(0).withColumn("dist", F.lit(0.0))
+    width, height = box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]
+    extent = max(width, height, 1e-9)
+    cell = cell or max(math.sqrt(max(width, extent / 1000) * max(height, extent / 1000) / box["n"] * 4), box["length"], extent / 4096)
+    at = lambda c: F.floor(c / cell).cast("long")
+    spots = segs.select("x1", "y1", "x2", "y2").distinct()
+    spots = spots.withColumn("__gx", F.explode(F.sequence(at(F.least("x1", "x2")), at(F.greatest("x1", "x2"))))).withColumn("__gy", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
+    spots = cut(spots)
+    qx, qy = (F.least(F.greatest(F.col(c), F.lit(box[f"min_{c}"])), F.lit(box[f"max_{c}"])) for c in "xy")
+    open_ = queries.select(F.col(id_col), "x", "y").withColumns({"__gap": F.hypot(F.col("x") - qx, F.col("y") - qy), "__ox": at(qx), "__oy": at(qy)})
+    done, radius, reach = None, 1, math.ceil(extent / cell) + 1
+    while True:
+        rings = F.sequence(F.lit(-radius), F.lit(radius))
+        seen = open_.withColumn("__dx", F.explode(rings)).withColumn("__dy", F.explode(rings)).withColumns({"__gx": F.col("__ox") + F.col("__dx"), "__gy": F.col("__oy") + F.col("__dy")})
+        best = seen.join(spots, ["__gx", "__gy"]).groupBy(id_col).agg(F.min(segment_distance(F.col("x"), F.col("y"))).alias("dist"))
+        found = cut(open_.join(best, id_col, "left"))
+        # what lies outside the square is further than radius cells from the point moved to the box, at an obtuse angle with the move
+        settled = F.lit(True) if radius >= reach else F.col("dist") <= F.hypot(F.col("__gap"), F.lit(radius * cell))
+        out = found.where(F.col("dist").isNotNull() & settled).select(id_col, "dist")
+        done = out if done is None else done.unionByName(out)
+        if radius >= reach:
+            return done
+        open_ = found.where(~F.coalesce(settled, F.lit(False))).drop("dist")
+        radius = min(radius * 2, reach)
+        if open_.isEmpty():
+            return done
+
+
 def segments(lines: DataFrame, id_col: str, points: str = "pts") -> DataFrame:
     """(id, part, x1, y1, x2, y2): the consecutive pairs of an array of points (x, y)."""
     pairs = F.transform(F.sequence(F.lit(0), F.size(points) - 2), lambda i: F.struct(i.alias("part"), F.get(points, i)["x"].alias("x1"), F.get(points, i)["y"].alias("y1"), F.get(points, i + 1)["x"].alias("x2"), F.get(points, i + 1)["y"].alias("y2")))

@@ -40,7 +40,7 @@ def classification(df: DataFrame, score: str, label: Column, threshold: float =
         F.coalesce(F.try_divide(tp * 2.0, tp * 2.0 + fp + fn), F.lit(0.0)).alias("f1"), F.try_divide(tn, tn + fp).alias("specificity"), "tp", "fp", "fn", "tn",
     )
     area = auc(df, score, label, by).select(*by, "auc")
-    return out.join(F.broadcast(area), by) if by else out.withColumn("auc", F.lit(area.first()["auc"]))
+    return out.join(area, by) if by else out.withColumn("auc", F.lit(area.first()["auc"]))
 
 
 def brier(df: DataFrame, score: str, label: Column) -> DataFrame:

@@ -83,7 +83,7 @@ def weighted_unlabelled(recipe: Recipe, negative_weight: float = 0.5) -> FitPred
 def labelled_share(recipe: Recipe, block: str) -> FitPredict:
     """Scores divided by how likely a positive is labelled, which held-out blocks with positives tell."""
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        held = F.broadcast(sampling.held_out_blocks(train, block, recipe.label, seed=recipe.seed))  # a fifth of the blocks
+        held = sampling.held_out_blocks(train, block, recipe.label, seed=recipe.seed)  # a fifth of the blocks
         model = fit(train.join(held, block, "left_anti"), recipe)
         share = scores(model, train.join(held, block, "left_semi").where(F.col(recipe.label) == 1)).agg(F.avg("score").alias("c")).first()["c"] or 1.0
         return scores(model, test).withColumn("score", F.least(F.col("score") / share, F.lit(1.0)))

@@ -18,7 +18,7 @@ RANGES = 128
 def ranged(df: DataFrame, value: str, by: list[str], ranges: int = RANGES) -> DataFrame:
     """df with `__range`, which grows with the value; ranges hold about equally many rows, equal values share one."""
     edges = df.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000).alias("__edges"))
-    joined = df.join(F.broadcast(edges), by, "left") if by else df.withColumn("__edges", F.lit(edges.first()["__edges"]).cast(f"array<{dict(df.dtypes)[value]}>"))
+    joined = df.join(edges, by, "left") if by else df.withColumn("__edges", F.lit(edges.first()["__edges"]).cast(f"array<{dict(df.dtypes)[value]}>"))
     return joined.withColumn("__range", F.coalesce(F.size(F.filter(F.array_distinct("__edges"), lambda e: e < F.col(value))), F.lit(0))).drop("__edges")
 
 
@@ -33,7 +33,7 @@ def running_sums(df: DataFrame, value: str, sums: list[str], by: list[str] | Non
     over = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     offsets = totals.select(*by, "__range", *[F.coalesce(F.sum(f"__{s}").over(over), F.lit(0)).alias(f"__off_{s}") for s in sums])
     within = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(F.broadcast(offsets), [*by, "__range"])
+    out = df.join(offsets, [*by, "__range"])
     out = out.withColumns({f"before_{s}": F.col(f"__off_{s}") + F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums})
     return out.drop("__range", *[f"__off_{s}" for s in sums])
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .ranking import ordinal_ranks
 
+#: Groups that are dealt into folds together, on average.
+DEALT = 10_000
+
 
 def draw(keys: list[str], seed: int) -> Column:
     """A uniform number in [0, 1) of the keys and the seed."""
@@ -33,7 +39,7 @@ def balanced(df: DataFrame, label: str, keys: list[str], seed: int = 42) -> Data
 def stratified_split(df: DataFrame, label: str, keys: list[str], share: float = 0.7, seed: int = 42) -> DataFrame:
     """df with `train`: exactly that share of each class, rounded down."""
     n = df.groupBy(label).agg(F.floor(F.count("*") * share).alias("__cut"))
-    return hash_ranks(df, keys, [label], seed).join(F.broadcast(n), label).withColumn("train", F.col("rank") <= F.col("__cut")).drop("rank", "__cut")
+    return hash_ranks(df, keys, [label], seed).join(n, label).withColumn("train", F.col("rank") <= F.col("__cut")).drop("rank", "__cut")
 
 
 def stratified_folds(df: DataFrame, label: str, keys: list[str], k: int = 5, seed: int = 42) -> DataFrame:
@@ -44,29 +50,27 @@ def stratified_folds(df: DataFrame, label: str, keys: list[str], k: int = 5, see
 def group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """(group, fold): whole groups to folds, so that the classes are spread as evenly as greedy dealing can.
 
-    Groups (spatial blocks, a table of hundreds) go in order of the spread of their class counts, ties at random;
-    each to the fold where the spread of the folds' class shares comes out least.
+    Groups go in order of the spread of their class counts, ties at random; each to the fold where the spread of the
+    folds' class shares comes out least. Groups are dealt by hash over parts of about DEALT, each part by itself in one task.
     """
-    counts = df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    rows = counts.orderBy(F.desc(F.abs(F.col("p") - F.col("n"))), draw([group], seed), group).collect()
-    total = [max(1, sum(r[c] for r in rows)) for c in "pn"]
-    folds = [[0, 0] for _ in range(k)]
-    out = []
-    for r in rows:
-        add = (r["p"], r["n"])
-
-        def spread(f: int) -> tuple[float, int]:
-            s = 0.0
-            for c in (0, 1):
-                shares = [(folds[g][c] + (add[c] if g == f else 0)) / total[c] for g in range(k)]
-                mean = sum(shares) / k
-                s += (sum((x - mean) ** 2 for x in shares) / k) ** 0.5
-            return round(s, 12), sum(folds[f])
-
-        best = min(range(k), key=spread)
-        folds[best] = [a + b for a, b in zip(folds[best], add)]
-        out.append((r[group], best))
-    return df.sparkSession.createDataFrame(out, f"{group} {dict(df.dtypes)[group]}, fold int")
+    counts = df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) == 0).alias("__n"))
+    counts = cut(counts.withColumn("__u", draw([group], seed)))
+    parts = max(1, -(-counts.count() // DEALT))
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(gap=-(rows["__p"] - rows["__n"]).abs()).sort_values(["gap", "__u", group])
+        add = rows[["__p", "__n"]].to_numpy(float) / np.maximum(1, rows[["__p", "__n"]].sum().to_numpy(float))
+        sizes, share, folds = np.zeros(k), np.zeros((k, 2)), []
+        for x, n in zip(add, (rows["__p"] + rows["__n"]).tolist()):
+            after = share[None] + np.eye(k)[:, :, None] * x  # [fold, folds then, class]
+            spread = np.round(after.std(1).sum(1), 12)
+            best = min(range(k), key=lambda f: (spread[f], sizes[f]))
+            share[best] += x
+            sizes[best] += n
+            folds.append(best)
+        return pd.DataFrame({group: rows[group], "fold": np.array(folds, np.int32)})
+
+    return counts.groupBy(F.pmod(F.xxhash64(F.lit(seed + 1), group), F.lit(parts))).applyInPandas(deal, f"`{group}` {dict(df.dtypes)[group]}, fold int")
 
 
 def fold_of_unseen(block: Column, k: int = 5) -> Column:

@@ -86,7 +86,7 @@ def cp10(t):
 def cp11(t):
     from ..operators.timeseries import regular_days
 
-    days = t.events.where("event_type = 'signup' AND event_id % 40 = 0").select(F.to_date("ts").alias("d"))
+    days = t.events.where("event_type = 'signup'").select(F.to_date("ts").alias("d"))
     return C.event_windows(days, regular_days(t.daily, "d", "mm"), gap=2, pad=2, peaks=4).withColumn("peak_mm", F.round("peak_mm", 4))
 
 
@@ -135,4 +135,16 @@ def cp17(t):
 def stream_windows(t):
     from ..streaming.events import daily_counts, run_once
 
-    return run_once(t.spark, t.folder, "events", daily_counts).withColumn("start", F.to_date("start"))
+    return run_once(t.spark, t.folder, "events", daily_counts, ["event_type", "start"]).withColumn("start", F.to_date("start"))
+
+
+@query(
+    "st_user_sessions",
+    "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 DAY THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e), "
+    "k AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 2 DAY AS b, count(*) AS n FROM s GROUP BY user_id, nth) SELECT user_id, epoch(a)::BIGINT AS start, n FROM k WHERE b <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
+)
+def stream_sessions(t):
+    """Sessions that the watermark has closed."""
+    from ..streaming.events import run_once, user_sessions
+
+    return run_once(t.spark, t.folder, "events", user_sessions, ["user_id", "start"], "append").select("user_id", F.unix_timestamp("start").alias("start"), "n")

@@ -64,88 +64,68 @@ def gr07(t):
 
 @query(
     "gr07_level_fill",
-    DEM + """, f AS MATERIALIZED (SELECT r, c, z, (r IN (0, 11) OR c IN (0, 49)) AS edge FROM dem WHERE r < 12), e AS MATERIALIZED (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM f a JOIN f b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND NOT (a.r = b.r AND a.c = b.c)),
-    up(r, c, level) AS (SELECT r, c, z FROM f WHERE edge UNION SELECT x.r, x.c, greatest(x.z, up.level) FROM up JOIN e ON e.r2 = up.r AND e.c2 = up.c JOIN f x ON x.r = e.r AND x.c = e.c AND NOT x.edge) SELECT r, c, min(level) AS zf FROM up GROUP BY 1, 2""",
+    DEM + """, m AS (SELECT max(r) AS mr FROM dem), f AS MATERIALIZED (SELECT r, c, z, (r IN (0, mr) OR c IN (0, 49)) AS edge FROM dem, m), o AS (SELECT i - 1 AS dr, j - 1 AS dc FROM range(3) a(i), range(3) b(j) WHERE i <> 1 OR j <> 1),
+    up(r, c, level) AS (SELECT r, c, z FROM f WHERE edge UNION SELECT x.r, x.c, greatest(x.z, up.level) FROM up, o JOIN f x ON x.r = up.r + dr AND x.c = up.c + dc AND NOT x.edge) SELECT r, c, min(level) AS zf FROM up GROUP BY 1, 2""",
 )
 def gr07b(t):
-    d = t.dem.where("r < 12")
-    return W.level_fill(d, 12, 50).select("r", "c", "zf")
+    return W.level_fill(t.dem, _last_row(t.dem) + 1, WIDTH).select("r", "c", "zf")
 
 
 def _last_row(df):
     return df.agg(F.max("r").alias("r")).first()["r"] or 0
 
 
-# Queries named ..._whole run on the whole table; their namesakes and the SQL of those run on a corner of it. The whole has
-# SQL where that takes a row a cell or an edge; enumerating every path would not end.
-@query("gr07_level_fill_whole")
-def gr07w(t):
-    return W.level_fill(t.dem, _last_row(t.dem) + 1, WIDTH).select("r", "c", "zf")
-
-
-def _flow(t, rows=8, cols=12):
-    """A slope with bumps: the ramp and a little of the column. Pits keep what flows into them."""
-    return _slope(t.ramp.where(f"r < {rows} AND c < {cols}"))
-
-
 def _slope(ramp):
+    """A slope with bumps: the ramp and a little of the column. Pits keep what flows into them."""
     cells = ramp.select("r", "c", (F.col("z") * 10 + F.pmod(F.col("r") * 7 + F.col("c") * 3, F.lit(5)) * 0.3).alias("zf"))
     return cells, W.flow_edges(cells, 30.0, 30.0)
 
 
-def _flow_sql(rows: int, cols: int) -> str:
-    return sql_with("ramp", recursive=True) + f""", f AS MATERIALIZED (SELECT r, c, z * 10 + ((r * 7 + c * 3) % 5) * 0.3 AS z FROM ramp WHERE r < {rows} AND c < {cols}),
-e0 AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2, (a.z - b.z) / CASE WHEN a.r <> b.r AND a.c <> b.c THEN sqrt(1800.0) ELSE 30.0 END AS s, CASE WHEN a.r <> b.r AND a.c <> b.c THEN 0.354 ELSE 0.5 END AS w,
-  CASE b.r - a.r WHEN -1 THEN b.c - a.c + 1 WHEN 0 THEN CASE WHEN b.c < a.c THEN 3 ELSE 4 END ELSE b.c - a.c + 6 END AS k FROM f a JOIN f b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.z > b.z),
-e AS MATERIALIZED (SELECT *, s * w / sum(s * w) OVER (PARTITION BY r, c) AS weight, row_number() OVER (PARTITION BY r, c ORDER BY s DESC, k) AS nth FROM e0)"""
-
-
-#: The same edges over the whole ramp, by equal keys.
-_WHOLE = sql_with("ramp") + """, f AS MATERIALIZED (SELECT r, c, z * 10 + ((r * 7 + c * 3) % 5) * 0.3 AS z FROM ramp), o AS (SELECT i - 1 AS dr, j - 1 AS dc FROM range(3) a(i), range(3) b(j) WHERE i <> 1 OR j <> 1),
+#: Cells of the slope and edges downhill, the steepest first. Accumulation has no SQL: enumerating every path would not end.
+_FLOW = sql_with("ramp", recursive=True) + """, f AS MATERIALIZED (SELECT r, c, z * 10 + ((r * 7 + c * 3) % 5) * 0.3 AS z FROM ramp), o AS (SELECT i - 1 AS dr, j - 1 AS dc FROM range(3) a(i), range(3) b(j) WHERE i <> 1 OR j <> 1),
 n AS (SELECT r, c, z, r + dr AS r2, c + dc AS c2, dr, dc FROM f, o),
 e0 AS (SELECT n.r, n.c, n.r2, n.c2, (n.z - b.z) / CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(1800.0) ELSE 30.0 END AS s, CASE WHEN dr <> 0 AND dc <> 0 THEN 0.354 ELSE 0.5 END AS w, CASE dr WHEN -1 THEN dc + 1 WHEN 0 THEN CASE WHEN dc < 0 THEN 3 ELSE 4 END ELSE dc + 6 END AS k FROM n JOIN f b ON b.r = n.r2 AND b.c = n.c2 WHERE n.z > b.z),
 e AS MATERIALIZED (SELECT *, s * w / sum(s * w) OVER (PARTITION BY r, c) AS weight, row_number() OVER (PARTITION BY r, c ORDER BY s DESC, k) AS nth FROM e0)"""
-_ACC = ", flow(r, c, one, paved) AS (SELECT r, c, 1.0::DOUBLE, (c > 2)::INT::DOUBLE FROM f UNION ALL SELECT e.r2, e.c2, one * weight, paved * weight FROM flow JOIN e ON e.r = flow.r AND e.c = flow.c)"
 
 
-@query("gr08_accumulation", _flow_sql(4, 6) + _ACC + " SELECT r, c, round(sum(one), 6) AS acc_one FROM flow GROUP BY 1, 2")
+@query("gr08_accumulation")
 def gr08(t):
-    cells, edges = _flow(t, 4, 6)
+    cells, edges = _slope(t.ramp)
     return W.accumulate(cells.withColumn("one", F.lit(1.0)), edges, ["one"]).select("r", "c", R("acc_one"))
 
 
-@query("gr09_weighted_accumulation", _flow_sql(4, 6) + _ACC + " SELECT r, c, round(sum(one), 6) AS acc_one, round(sum(paved), 6) AS acc_paved FROM flow GROUP BY 1, 2")
+@query("gr09_weighted_accumulation")
 def gr09(t):
-    cells, edges = _flow(t, 4, 6)
+    cells, edges = _slope(t.ramp)
     both = cells.withColumns({"one": F.lit(1.0), "paved": (F.col("c") > 2).cast("double")})
     return W.accumulate(both, edges, ["one", "paved"]).select("r", "c", R("acc_one"), R("acc_paved"))
 
 
-@query("gr10_receivers", _flow_sql(8, 12) + " SELECT r, c, r2, c2 FROM e WHERE nth = 1")
+@query("gr10_receivers", _FLOW + " SELECT r, c, r2, c2 FROM e WHERE nth = 1")
 def gr10(t):
-    return W.receivers(_flow(t)[1])
+    return W.receivers(_slope(t.ramp)[1])
 
 
 @query(
     "gr11_height_above_drainage",
-    _flow_sql(8, 12) + ", walk(r, c, tr, tc) AS (SELECT r, c, r, c FROM f UNION ALL SELECT walk.r, walk.c, e.r2, e.c2 FROM walk JOIN e ON e.r = tr AND e.c = tc AND nth = 1 WHERE tc <> 0), d AS (SELECT walk.r, walk.c, min(f.z) AS zd FROM walk JOIN f ON f.r = tr AND f.c = tc WHERE tc = 0 GROUP BY 1, 2) SELECT f.r, f.c, round(CASE WHEN zd IS NULL THEN 0 ELSE greatest(z - zd, 0) END, 6) AS hand FROM f LEFT JOIN d ON d.r = f.r AND d.c = f.c",
+    _FLOW + ", walk(r, c, tr, tc) AS (SELECT r, c, r, c FROM f UNION ALL SELECT walk.r, walk.c, e.r2, e.c2 FROM walk JOIN e ON e.r = tr AND e.c = tc AND nth = 1 WHERE tc <> 0), d AS (SELECT walk.r, walk.c, min(f.z) AS zd FROM walk JOIN f ON f.r = tr AND f.c = tc WHERE tc = 0 GROUP BY 1, 2) SELECT f.r, f.c, round(CASE WHEN zd IS NULL THEN 0 ELSE greatest(z - zd, 0) END, 6) AS hand FROM f LEFT JOIN d ON d.r = f.r AND d.c = f.c",
 )
 def gr11(t):
-    cells, edges = _flow(t)
+    cells, edges = _slope(t.ramp)
     return W.height_above_drainage(cells, W.receivers(edges), F.col("c") == 0, "zf").select("r", "c", R("hand"))
 
 
-@query("gr12_share_to_receiver", _flow_sql(8, 12) + " SELECT r, c, round(weight, 6) AS share FROM e WHERE nth = 1")
+@query("gr12_share_to_receiver", _FLOW + " SELECT r, c, round(weight, 6) AS share FROM e WHERE nth = 1")
 def gr12(t):
-    edges = _flow(t)[1]
+    edges = _slope(t.ramp)[1]
     return W.share_to_receiver(edges, W.receivers(edges)).select("r", "c", R("share"))
 
 
-@query("gr13_mass_balance", sql_with("ramp") + " SELECT count(*)::DOUBLE AS total, 0.0::DOUBLE AS missing FROM ramp WHERE r < 8 AND c < 12")
+@query("gr13_mass_balance", sql_with("ramp") + " SELECT count(*)::DOUBLE AS total, 0.0::DOUBLE AS missing FROM ramp")
 def gr13(t):
-    cells, edges = _flow(t)
+    cells, edges = _slope(t.ramp)
     done = W.accumulate(cells.withColumn("one", F.lit(1.0)), edges, ["one"])
-    edge = F.col("r").isin(0, 7) | F.col("c").isin(0, 11)
+    edge = F.col("r").isin(0, _last_row(t.ramp)) | F.col("c").isin(0, WIDTH - 1)
     return W.ledger(done, edges, "one", edge).select(R("total"), F.abs(F.round(F.col("total") - F.col("out") - F.col("lost"), 6)).alias("missing"))
 
 
@@ -156,49 +136,6 @@ def gr14(t):
     return route_flow(t.ramp, 30.0, 30.0).select("r", "c", R("zf"), R("acc_area"))
 
 
-@query("gr15_edge_inflow", sql_with("dem") + ", h AS (SELECT r, c, z, CASE WHEN c - lag(c) OVER w <= 4 THEN 0 ELSE 1 END AS new FROM dem WHERE z > 35 AND r < 20 WINDOW w AS (PARTITION BY r ORDER BY c)), g AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY c) AS run FROM h) SELECT r, run::BIGINT AS run, min(c) AS first, max(c) AS last, sum(z) AS inflow FROM g GROUP BY 1, 2")
+@query("gr15_edge_inflow", sql_with("dem") + ", h AS (SELECT r, c, z, CASE WHEN c - lag(c) OVER w <= 4 THEN 0 ELSE 1 END AS new FROM dem WHERE z > 35 WINDOW w AS (PARTITION BY r ORDER BY c)), g AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY c) AS run FROM h) SELECT r, run::BIGINT AS run, min(c) AS first, max(c) AS last, sum(z) AS inflow FROM g GROUP BY 1, 2")
 def gr15(t):
-    return W.crossing_inflow(t.dem.where("r < 20"), ["r"], "c", F.col("z") > 35, "z").withColumn("run", F.col("run").cast("long"))
-
-
-@query("gr08_accumulation_whole")
-def gr08w(t):
-    cells, edges = _slope(t.ramp)
-    return W.accumulate(cells.withColumn("one", F.lit(1.0)), edges, ["one"]).select("r", "c", R("acc_one"))
-
-
-@query("gr09_weighted_accumulation_whole")
-def gr09w(t):
-    cells, edges = _slope(t.ramp)
-    both = cells.withColumns({"one": F.lit(1.0), "paved": (F.col("c") > 2).cast("double")})
-    return W.accumulate(both, edges, ["one", "paved"]).select("r", "c", R("acc_one"), R("acc_paved"))
-
-
-@query("gr10_receivers_whole", _WHOLE + " SELECT r, c, r2, c2 FROM e WHERE nth = 1")
-def gr10w(t):
-    return W.receivers(_slope(t.ramp)[1])
-
-
-@query("gr11_height_above_drainage_whole")
-def gr11w(t):
-    cells, edges = _slope(t.ramp)
-    return W.height_above_drainage(cells, W.receivers(edges), F.col("c") == 0, "zf").select("r", "c", R("hand"))
-
-
-@query("gr12_share_to_receiver_whole", _WHOLE + " SELECT r, c, round(weight, 6) AS share FROM e WHERE nth = 1")
-def gr12w(t):
-    edges = _slope(t.ramp)[1]
-    return W.share_to_receiver(edges, W.receivers(edges)).select("r", "c", R("share"))
-
-
-@query("gr13_mass_balance_whole", sql_with("ramp") + " SELECT count(*)::DOUBLE AS total, 0.0::DOUBLE AS missing FROM ramp")
-def gr13w(t):
-    cells, edges = _slope(t.ramp)
-    done = W.accumulate(cells.withColumn("one", F.lit(1.0)), edges, ["one"])
-    edge = F.col("r").isin(0, _last_row(t.ramp)) | F.col("c").isin(0, WIDTH - 1)
-    return W.ledger(done, edges, "one", edge).select(R("total"), F.abs(F.round(F.col("total") - F.col("out") - F.col("lost"), 6)).alias("missing"))
-
-
-@query("gr15_edge_inflow_whole", sql_with("dem") + ", h AS (SELECT r, c, z, CASE WHEN c - lag(c) OVER w <= 4 THEN 0 ELSE 1 END AS new FROM dem WHERE z > 35 WINDOW w AS (PARTITION BY r ORDER BY c)), g AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY c) AS run FROM h) SELECT r, run::BIGINT AS run, min(c) AS first, max(c) AS last, sum(z) AS inflow FROM g GROUP BY 1, 2")
-def gr15w(t):
     return W.crossing_inflow(t.dem, ["r"], "c", F.col("z") > 35, "z").withColumn("run", F.col("run").cast("long"))

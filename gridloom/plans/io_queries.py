@@ -51,9 +51,9 @@ def src05(t):
     return t.region
 
 
-@query("src06_dated_polygons", "SELECT o_orderkey, o_orderdate::DATE AS date FROM orders WHERE o_orderkey % 10 = 0")
+@query("src06_dated_polygons", "SELECT o_orderkey, o_orderdate::DATE AS date FROM orders")
 def src06(t):
-    text = t.orders.where("o_orderkey % 10 = 0").select("o_orderkey", F.date_format("o_orderdate", "dd-MM-yyyy HH:mm").alias("from_time"))
+    text = t.orders.select("o_orderkey", F.date_format("o_orderdate", "dd-MM-yyyy HH:mm").alias("from_time"))
     return I.dated(text, "from_time").select("o_orderkey", "date")
 
 

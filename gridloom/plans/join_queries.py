@@ -67,13 +67,13 @@ def jn06(t):
 
 @query(
     "jn07_cascaded_match",
-    "WITH f AS (SELECT event_id, user_id, user_id % 7 AS grp, ts::DATE AS d FROM events WHERE event_type = 'signup' AND event_id % 5 = 0), y AS (SELECT event_id AS dry_id, user_id, user_id % 7 AS grp, ts::DATE AS dd FROM events WHERE event_type = 'purchase' AND event_id % 97 = 0), "
+    "WITH f AS (SELECT event_id, user_id, user_id % 7 AS grp, ts::DATE AS d FROM events WHERE event_type = 'signup'), y AS (SELECT event_id AS dry_id, user_id, user_id % 7 AS grp, ts::DATE AS dd FROM events WHERE event_type = 'purchase'), "
     "k AS (SELECT f.event_id, dry_id, CASE WHEN f.user_id = y.user_id THEN 1 WHEN f.grp = y.grp THEN 2 ELSE 3 END AS level, row_number() OVER (PARTITION BY f.event_id ORDER BY CASE WHEN f.user_id = y.user_id THEN 1 WHEN f.grp = y.grp THEN 2 ELSE 3 END, abs(date_diff('day', dd, d)), dry_id) AS nth FROM f, y) SELECT event_id, dry_id, level FROM k WHERE nth = 1",
 )
 def jn07(t):
     base = t.events.select("event_id", "user_id", F.pmod("user_id", F.lit(7)).alias("grp"), F.to_date("ts").alias("d"), "event_type")
-    flood = base.where("event_type = 'signup' AND event_id % 5 = 0").drop("event_type")
-    dry = base.where("event_type = 'purchase' AND event_id % 97 = 0").select(F.col("event_id").alias("dry_id"), "user_id", "grp", F.col("d").alias("dd"))
+    flood = base.where("event_type = 'signup'").drop("event_type")
+    dry = base.where("event_type = 'purchase'").select(F.col("event_id").alias("dry_id"), "user_id", "grp", F.col("d").alias("dd"))
     return joins.cascaded_match(flood, dry, [["user_id"], ["grp"], []], "d", "dd", ["dry_id"], ["dry_id"]).select("event_id", "dry_id", "level")
 
 
@@ -119,7 +119,7 @@ def jn12(t):
 def jn13(t):
     _, q = _pts(t)
     towns = t.nation.select(F.col("n_nationkey").alias("tid"), "n_name", (F.col("n_nationkey") * 4.0).alias("x"), (F.col("n_nationkey") * 3.0).alias("y"))
-    hit = joins.nearest_points(q, towns, "qid", "tid").join(F.broadcast(towns.select("tid", "n_name")), "tid")
+    hit = joins.nearest_points(q, towns, "qid", "tid").join(towns.select("tid", "n_name"), "tid")
     return hit.select("qid", F.when(F.col("dist") <= 5, F.col("n_name")).otherwise("none").alias("place"))
 
 
@@ -148,7 +148,15 @@ def jn15(t):
     return joins.rasterize(_triangles(t), "id")
 
 
-@query("jn16_clip_segments")
+_PARTS = _TRI + ", g AS (SELECT id, 0 AS part, x1 AS a, y1 AS b, x2 AS c, y2 AS d FROM p UNION ALL SELECT id, 1, x2, y2, x3, y3 FROM p UNION ALL SELECT id, 2, x3, y3, x1, y1 FROM p), l AS (SELECT *, c - a AS dx, d - b AS dy FROM g)"
+
+
+@query(
+    "jn16_clip_segments",
+    _PARTS + """, t AS (SELECT *, greatest(0, CASE WHEN dx > 0 THEN (10 - a) / dx ELSE 0 END, CASE WHEN dx < 0 THEN (30 - a) / dx ELSE 0 END, CASE WHEN dy > 0 THEN (5 - b) / dy ELSE 0 END, CASE WHEN dy < 0 THEN (15 - b) / dy ELSE 0 END) AS s,
+    least(1, CASE WHEN dx < 0 THEN (10 - a) / dx ELSE 1 END, CASE WHEN dx > 0 THEN (30 - a) / dx ELSE 1 END, CASE WHEN dy < 0 THEN (5 - b) / dy ELSE 1 END, CASE WHEN dy > 0 THEN (15 - b) / dy ELSE 1 END) AS e FROM l WHERE NOT (dx = 0 AND a NOT BETWEEN 10 AND 30) AND NOT (dy = 0 AND b NOT BETWEEN 5 AND 15))
+    SELECT id, part, round(a + s * dx, 6) AS x1, round(b + s * dy, 6) AS y1, round(a + e * dx, 6) AS x2, round(b + e * dy, 6) AS y2 FROM t WHERE s < e""",
+)
 def jn16(t):
     rings = _triangles(t).withColumn("pts", F.concat("ring", F.slice("ring", 1, 1)))
     cut = joins.clip_segments(joins.segments(rings, "id"), 10, 5, 30, 15)
@@ -156,17 +164,15 @@ def jn16(t):
 
 
 _SEG = _TRI + ", g AS (SELECT id, x1 AS a, y1 AS b, x2 AS c, y2 AS d FROM p UNION ALL SELECT id, x2, y2, x3, y3 FROM p UNION ALL SELECT id, x3, y3, x1, y1 FROM p)"
-_DIST = _SEG + ", q AS (SELECT c_custkey AS qid, c_custkey * 3 % 101 * 1.0 AS x, c_acctbal / 100 AS y FROM customer WHERE c_custkey % 50 = 0), k AS (SELECT qid, x, y, a, b, c, d, least(greatest(((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2), 0), 1) AS t FROM q, g) SELECT qid, round(min(sqrt((x - a - t * (c - a)) ** 2 + (y - b - t * (d - b)) ** 2)), 6) AS dist FROM k GROUP BY 1"
+_DIST = _SEG + ", q AS (SELECT c_custkey AS qid, c_custkey * 3 % 101 * 1.0 AS x, c_acctbal / 100 AS y FROM customer), k AS (SELECT qid, x, y, a, b, c, d, least(greatest(((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2), 0), 1) AS t FROM q, g) SELECT qid, round(min(sqrt((x - a - t * (c - a)) ** 2 + (y - b - t * (d - b)) ** 2)), 6) AS dist FROM k GROUP BY 1"
 
 
 @query("jn17_exact_line_distance", _DIST)
 def jn17(t):
-    """Spot checks: a stated set of points against all lines."""
     rings = _triangles(t).withColumn("pts", F.concat("ring", F.slice("ring", 1, 1)))
     segs = joins.segments(rings, "id")
     _, q = _pts(t)
-    spot = q.where("qid % 50 = 0")
-    return spot.join(F.broadcast(segs), F.lit(True)).groupBy("qid").agg(R(F.min(joins.segment_distance(F.col("x"), F.col("y"))), "dist"))
+    return joins.line_distance(q, segs, "qid").select("qid", R("dist"))
 
 
 @query("jn18_neighbour_sums", DEM + " SELECT a.r, a.c, count(*) AS n, sum(b.z) AS total FROM dem a JOIN dem b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND NOT (a.r = b.r AND a.c = b.c) GROUP BY 1, 2")

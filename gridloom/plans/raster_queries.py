@@ -89,7 +89,12 @@ def rf08(t):
     return focal.median3(t.dem, "z").select("r", "c", "z")
 
 
-@query("rf09_gaussian")
+@query(
+    "rf09_gaussian",
+    DEM + """, w0 AS (SELECT i - 8 AS o, exp(-0.5 * ((i - 8) / 2.0) ** 2) AS w FROM range(17) x(i)), w AS (SELECT o, w / (SELECT sum(w) FROM w0) AS w FROM w0), m AS (SELECT max(r) + 1 AS n FROM dem),
+    a0 AS (SELECT r, c, w, ((c + o) % 100 + 100) % 100 AS j FROM dem, w), a AS (SELECT a0.r, a0.c, sum(a0.w * dem.z) AS z FROM a0 JOIN dem ON dem.r = a0.r AND dem.c = least(j, 99 - j) GROUP BY 1, 2),
+    b0 AS (SELECT r, c, w, n, ((r + o) % (2 * n) + 2 * n) % (2 * n) AS j FROM a, w, m) SELECT b0.r, b0.c, round(sum(b0.w * a.z), 6) AS z FROM b0 JOIN a ON a.c = b0.c AND a.r = least(j, 2 * n - 1 - j) GROUP BY 1, 2""",
+)
 def rf09(t):
     return focal.gaussian(t.dem, ["z"], 2.0).select("r", "c", R("z"))
 
@@ -108,13 +113,8 @@ def rf11(t):
     return runs.select("r", F.explode(F.sequence("first", "last")).alias("c"))
 
 
-@query("rf12_nearest_resample", DEM + ", t AS (SELECT r, c FROM dem WHERE r < 20) SELECT t.r, t.c, dem.z FROM t LEFT JOIN dem ON dem.r = floor((t.r + 0.5) / 1.5) AND dem.c = floor((t.c + 0.5) / 1.5)")
+@query("rf12_nearest_resample", DEM + " SELECT t.r, t.c, dem.z FROM dem t LEFT JOIN dem ON dem.r = floor((t.r + 0.5) / 1.5) AND dem.c = floor((t.c + 0.5) / 1.5)")
 def rf12(t):
-    return resample.nearest_resample(t.dem, t.dem.where("r < 20").select("r", "c"), 1.5, ["z"])
-
-
-@query("rf12_nearest_resample_whole", DEM + " SELECT t.r, t.c, dem.z FROM dem t LEFT JOIN dem ON dem.r = floor((t.r + 0.5) / 1.5) AND dem.c = floor((t.c + 0.5) / 1.5)")
-def rf12w(t):
     return resample.nearest_resample(t.dem, t.dem.select("r", "c"), 1.5, ["z"])
 
 
@@ -156,7 +156,15 @@ def rf16(t):
     return resample.fill_nearest(t.dem, "z", F.pmod("z", F.lit(3.0)) != 0).select("r", "c", "z")
 
 
-@query("rf17_line_density")
+#: The sides of the triangles of nations, and their lengths.
+_SIDES = "WITH p AS (SELECT n_nationkey AS id, n_nationkey * 2 + 0.3 AS x1, n_nationkey + 0.2 AS y1, n_nationkey * 2 + 9.4 AS x2, n_nationkey + 2.7 AS y2, n_nationkey * 2 + 4.1 AS x3, n_nationkey + 8.8 AS y3 FROM nation), g AS (SELECT id, x1::DOUBLE AS a, y1::DOUBLE AS b, x2::DOUBLE AS c, y2::DOUBLE AS d FROM p UNION ALL SELECT id, x2, y2, x3, y3 FROM p UNION ALL SELECT id, x3, y3, x1, y1 FROM p), l AS (SELECT *, sqrt((c - a) ** 2 + (d - b) ** 2) AS len FROM g)"
+
+
+@query(
+    "rf17_line_density",
+    _SIDES + """, q AS (SELECT *, greatest(ceil(len / 0.1), 1) AS n FROM l), s AS (SELECT floor(b + (d - b) * (i + 0.5) / n)::INT AS r, floor(a + (c - a) * (i + 0.5) / n)::INT AS c, sum(len / n) AS len FROM q, range(200) x(i) WHERE i < n GROUP BY 1, 2),
+    o AS (SELECT i - 4 AS dr, j - 4 AS dc FROM range(9) a(i), range(9) b(j) WHERE (i - 4) ** 2 + (j - 4) ** 2 <= 16) SELECT (r + dr)::INT AS r, (c + dc)::INT AS c, round(sum(len) / (pi() * 16), 6) AS density FROM s, o GROUP BY 1, 2""",
+)
 def rf17(t):
     from .join_queries import _triangles
 
@@ -164,7 +172,10 @@ def rf17(t):
     return density.disk_density(density.lattice_lengths(segs, 1.0, 0.1), 4, 1.0).select("r", "c", R("density"))
 
 
-@query("rf18_distance_raster")
+@query(
+    "rf18_distance_raster",
+    _SIDES + ", dem AS (SELECT p_partkey AS cell, p_partkey % 50 + 0.5 AS x, floor(p_partkey / 50) + 0.5 AS y FROM part), q AS (SELECT *, greatest(ceil(len / 0.5), 1) AS n FROM l), t AS (SELECT DISTINCT a + (c - a) * i / n AS x, b + (d - b) * i / n AS y FROM q, range(60) z(i) WHERE i <= n) SELECT cell, round(min(sqrt((dem.x - t.x) ** 2 + (dem.y - t.y) ** 2)), 6) AS dist FROM dem, t GROUP BY 1",
+)
 def rf18(t):
     from .join_queries import _triangles
 

@@ -148,7 +148,24 @@ def ag18b(t):
     return t.samples.join(ra, "f1").join(rb, "f2").agg(R(F.corr("a", "b"), "rho"))
 
 
-@query("ag19_vif")
+def _det3(i: tuple[int, ...]) -> str:
+    """The determinant of the correlations of three columns."""
+    a, b, c = (f"r{i[x]}{i[y]}" for x, y in ((0, 1), (0, 2), (1, 2)))
+    return f"(1 + 2 * {a} * {b} * {c} - {a} * {a} - {b} * {b} - {c} * {c})"
+
+
+_R = {(i, j): f"corr(f{i}, f{j}) AS r{i}{j}" for i in range(1, 5) for j in range(i + 1, 5)}
+#: The determinant of all four, by its first row.
+_DET4 = (
+    f"({_det3((2, 3, 4))} - r12 * (r12 * (1 - r34 * r34) - r23 * (r13 - r34 * r14) + r24 * (r13 * r34 - r14))"
+    " + r13 * (r12 * (r23 - r34 * r24) - (r13 - r34 * r14) + r24 * (r13 * r24 - r23 * r14)) - r14 * (r12 * (r23 * r34 - r24) - (r13 * r34 - r14) + r23 * (r13 * r24 - r23 * r14)))"
+)
+
+
+@query(
+    "ag19_vif",
+    SAMPLES + f", m AS (SELECT {', '.join(_R.values())} FROM samples) " + " UNION ALL ".join(f"SELECT 'f{k}' AS name, round({_det3(tuple(x for x in range(1, 5) if x != k))} / {_DET4}, 6) AS vif FROM m" for k in range(1, 5)),
+)
 def ag19(t):
     return stats.vif(t.samples, ["f1", "f2", "f3", "f4"]).withColumn("vif", F.round("vif", 6))
 

@@ -30,14 +30,20 @@ def user_sessions(events: DataFrame, gap: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def run_once(spark: SparkSession, folder: str, table: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All that is there now through a stream, its last state as a table in the shared folder."""
+def run_once(spark: SparkSession, folder: str, table: str, plan: Callable[[DataFrame], DataFrame], keys: list[str], mode: str = "update") -> DataFrame:
+    """All that is there now through a stream, as a table in the shared folder: of each key the row that came last.
+
+    mode: "update" gives windows as they stand, "append" only those that the watermark has closed. Either way the state
+    of windows behind the watermark is dropped.
+    """
     path = f"{shared_dir(spark)}/{uuid.uuid4()}"
     out = plan(source(spark, folder, table))
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
 
-    q = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+    rest = [c for c in out.columns if c not in keys]
+    rows = spark.read.schema(out.withColumn("epoch", F.lit(0)).schema).parquet(f"{path}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("__last")).select(*keys, "__last.*")

@@ -14,7 +14,7 @@ from test_oracles import duck, rows  # noqa: F401
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["gr07_level_fill_whole", "gr08_accumulation_whole", "gr09_weighted_accumulation_whole", "gr11_height_above_drainage_whole", "gr14_route_flow", "cp06_route_flow"])
+@pytest.mark.parametrize("name", ["gr07_level_fill", "gr08_accumulation", "gr09_weighted_accumulation", "gr11_height_above_drainage", "gr14_route_flow", "cp06_route_flow"])
 def test_every_cell_has_a_row(spark, name):
     cells = Tables(spark, FOLDER).part.count()
     assert catalog.QUERIES[name](spark, FOLDER).count() == cells
@@ -31,7 +31,7 @@ def test_preprocess_covers_every_row(spark):
     assert catalog.QUERIES["cp05_preprocess"](spark, FOLDER).first()["valid"] >= seen
 
 
-@pytest.mark.parametrize("name", ["gr10_receivers_whole", "gr12_share_to_receiver_whole", "gr13_mass_balance_whole", "gr15_edge_inflow_whole", "rf12_nearest_resample_whole"])
+@pytest.mark.parametrize("name", ["gr07_level_fill", "gr10_receivers", "gr11_height_above_drainage", "gr12_share_to_receiver", "gr13_mass_balance", "gr15_edge_inflow", "rf12_nearest_resample"])
 def test_whole_query_equals_sql(spark, duck, name):  # noqa: F811
     got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
     assert rows(got) == rows(duck.execute(catalog.ORACLES[name]).df())

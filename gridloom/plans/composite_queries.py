@@ -141,7 +141,7 @@ def stream_windows(t):
 @query(
     "st_user_sessions",
     "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 DAY THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e), "
-    "k AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 2 DAY AS b, count(*) AS n FROM s GROUP BY user_id, nth) SELECT user_id, epoch(a)::BIGINT AS start, n FROM k WHERE b <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
+    "k AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 2 DAY AS b, count(*) AS n FROM s GROUP BY user_id, nth) SELECT user_id, floor(epoch(a))::BIGINT AS start, n FROM k WHERE b <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
 )
 def stream_sessions(t):
     """Sessions that the watermark has closed."""

@@ -172,7 +172,7 @@ def jn17(t):
     rings = _triangles(t).withColumn("pts", F.concat("ring", F.slice("ring", 1, 1)))
     segs = joins.segments(rings, "id")
     _, q = _pts(t)
-    return joins.line_distance(q, segs, "qid").select("qid", R("dist"))
+    return joins.line_distance(q, segs, "qid").select("qid", R(F.col("dist"), "dist"))
 
 
 @query("jn18_neighbour_sums", DEM + " SELECT a.r, a.c, count(*) AS n, sum(b.z) AS total FROM dem a JOIN dem b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND NOT (a.r = b.r AND a.c = b.c) GROUP BY 1, 2")

@@ -162,7 +162,7 @@ _SIDES = "WITH p AS (SELECT n_nationkey AS id, n_nationkey * 2 + 0.3 AS x1, n_na
 
 @query(
     "rf17_line_density",
-    _SIDES + """, q AS (SELECT *, greatest(ceil(len / 0.1), 1) AS n FROM l), s AS (SELECT floor(b + (d - b) * (i + 0.5) / n)::INT AS r, floor(a + (c - a) * (i + 0.5) / n)::INT AS c, sum(len / n) AS len FROM q, range(200) x(i) WHERE i < n GROUP BY 1, 2),
+    _SIDES + """, q AS (SELECT *, greatest(ceil(len / 0.1), 1) AS n FROM l), s AS (SELECT floor(b + (d - b) * ((i + 0.5) / n))::INT AS r, floor(a + (c - a) * ((i + 0.5) / n))::INT AS c, sum(len / n) AS len FROM q, range(200) x(i) WHERE i < n GROUP BY 1, 2),
     o AS (SELECT i - 4 AS dr, j - 4 AS dc FROM range(9) a(i), range(9) b(j) WHERE (i - 4) ** 2 + (j - 4) ** 2 <= 16) SELECT (r + dr)::INT AS r, (c + dc)::INT AS c, round(sum(len) / (pi() * 16), 6) AS density FROM s, o GROUP BY 1, 2""",
 )
 def rf17(t):

@@ -52,7 +52,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     kind = dict(edges.dtypes)["a"]
     while n := edges.count():
         if n <= FEW_EDGES:
-            pointers = cut(edges.groupBy(F.lit(0)).applyInArrow(_least_nodes, f"node {kind}, label {kind}"))
+            pointers = cut(edges.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(_least_nodes, f"node {kind}, label {kind}"))
             return pointers if labels is None else cut(jump(labels, pointers))
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         near = cut(ends.groupBy("node").agg(F.min("other").alias("__least"), F.count("*").alias("n")))

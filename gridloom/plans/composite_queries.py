@@ -61,18 +61,22 @@ def cp07(t):
 
 @query("cp08_protocols")
 def cp08(t):
-    s = t.samples.dropDuplicates(["id"]).withColumn("fold", P.fold_of_unseen(F.col("block"), 2))
+    from .model_queries import _rows
+
+    s = _rows(t).withColumn("fold", P.fold_of_unseen(F.col("block"), 2))
     out = M.run_protocols(s, M.plain(M.Recipe(("f1", "f2"), rounds=2, depth=2)), "y", "event", "fold", [1996], [1999], folds=2, which=("spatial", "strict"))
     return M.summary(out).select("protocol", R("auc_mean", d=4), R("auc_sd", d=4))
 
 
 @query("cp09_model_factory")
 def cp09(t):
-    s = t.samples.dropDuplicates(["id"])
-    r = M.Recipe(("f1", "f2"), rounds=2, depth=2)
-    made = {"standard": M.plain(r), "naive": M.weighted_unlabelled(r)}
-    parts = [f(s.where("event < 1998"), s.where("event = 1999")).agg(F.lit(n).alias("kind"), F.count("*").alias("n")) for n, f in made.items()]
-    return parts[0].unionByName(parts[1])
+    """The four kinds of models, each judged on rows of a later year."""
+    from .model_queries import _rows
+
+    s, r = _rows(t), M.Recipe(("f1", "f2"), rounds=2, depth=2)
+    made = {"standard": M.plain(r), "naive": M.weighted_unlabelled(r), "labelled_share": M.labelled_share(r, "block"), "bagged": M.bagged_unlabelled(r, ["id"], 2)}
+    parts = [metrics.classification(f(s.where("event < 1998"), s.where("event = 1999")), "score", F.col("y") == 1).select(F.lit(n).alias("kind"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), R("auc", d=4)) for n, f in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("cp10_hotspots", "WITH c AS (SELECT floor(c_custkey / 100)::BIGINT AS block, c_acctbal AS w FROM customer), b AS (SELECT block, sum(w) AS weight, quantile_cont(w, 0.5) AS median FROM c GROUP BY 1) SELECT block, round(weight, 2) AS weight, round(median, 4) AS median FROM b WHERE weight >= 1000 ORDER BY weight DESC, block LIMIT 12")
@@ -124,11 +128,17 @@ def cp16(t):
     return metrics.contingency(t.dem, S.hazard_tier(h) >= 2, F.col("z") < 12)
 
 
-@query("cp17_dataset_report", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'events', count(*) FROM events")
+@query(
+    "cp17_dataset_report",
+    "SELECT 'documents' AS name, 'ok' AS status, count(*) AS n, round(count(text) / count(*), 6) AS valid, 'live' AS provenance FROM documents UNION ALL SELECT 'events', 'ok', count(*), round(count(value) / count(*), 6), 'synthetic' FROM events "
+    "UNION ALL SELECT 'pages', 'ok', count(*), round(count(html) / count(*), 6), 'unknown' FROM pages UNION ALL SELECT 'tides', 'failed', 0, NULL, 'unknown'",
+)
 def cp17(t):
-    from ..operators.quality import audit
-
-    return audit({"documents": (t.documents, "doc_id"), "pages": (t.pages, "page_id"), "events": (t.events, "event_id")}).select("name", "n")
+    demos = {
+        "documents": (lambda: t.documents, "text", "fetched 1 file"), "events": (lambda: t.events, "value", "no key: SYNTHETIC fallback"), "pages": (lambda: t.pages, "html", ""),
+        "tides": (lambda: t.spark.read.parquet(f"{t.folder}/tides.parquet"), "level", ""),
+    }
+    return C.dataset_report(t.spark, demos).withColumn("valid", F.round("valid", 6))
 
 
 @query("st_stream_windows", "SELECT event_type, date_trunc('day', ts)::DATE AS start, count(*) AS n FROM events GROUP BY 1, 2")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import components, focal, joins, resample, routing, stats
 from ..operators import timeseries as T
+from ..operators.quality import audit, provenance
 
 
 def route_flow(cells: DataFrame, dx: float, dy: float, basin: str | None = None) -> DataFrame:
@@ -105,3 +109,23 @@ def dual_impact(cells: DataFrame, susceptibility: str, base: str, scenario: str,
     floor_ = F.greatest(F.col(base), F.lit(1e-6))
     out = cells.withColumns({"pct_more_water": (F.col(scenario) - F.col(base)) * 100.0 / floor_, "class": S.digitise(F.col(susceptibility), breaks)})
     return out.withColumn("impact", S.impact_class(F.col("class") >= 4, F.col("pct_more_water") >= more_water))
+
+
+def dataset_report(spark: SparkSession, demos: dict[str, tuple[Callable[[], DataFrame], str, str]]) -> DataFrame:
+    """(name, status, n, valid, provenance): every dataset's reader run by itself, one that fails not stopping the others.
+
+    demos: name: (reader, a column that should have values, what the reader said).
+    """
+    found, failed = {}, []
+    for name, (read, column, _) in demos.items():
+        try:
+            df = read()
+            df.select(column)
+            found[name] = df, column
+        except AnalysisException:
+            failed.append(name)
+    said = spark.createDataFrame([(n, x[2]) for n, x in demos.items()], "name string, log string")
+    rows = spark.createDataFrame([(n, "failed", 0, None) for n in failed], "name string, status string, n long, valid double")
+    if found:
+        rows = rows.unionByName(audit(found).select("name", F.lit("ok").alias("status"), "n", "valid"))
+    return rows.join(said, "name").select("name", "status", "n", "valid", provenance(F.col("log")).alias("provenance"))

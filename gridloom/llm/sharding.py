@@ -18,7 +18,7 @@ from .common import table, uniform
 LAW = "rows"
 N_SHARDS = 24
 #: A shard of more rows than this is permuted by several tasks.
-ROWS_PER_TASK = 2_000_000
+ROWS_PER_TASK = 250_000
 #: A table of more bytes than this is joined by an exchange, not broadcast.
 MAX_BROADCAST_BYTES = 64 << 20
 CHANGED = "input partitions changed between the two readings; checkpoint the input"

@@ -49,7 +49,7 @@ _HINT = re.compile(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_SPACE = re.compile(r"\s+")
 
 
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure table dl".split())

@@ -35,14 +35,18 @@ _TOKEN = re.compile(r"[\w+/.\-]+(?:={1,2}(?!\w))?|[^\w\s]")
 # Names of keys that a secret follows, and names that a plain value follows.
 _SECRET_NAME = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|signing|encryption|license)[_-]?key|credential|bearer|(?:^|[_.\-])o?auth(?:$|[_.\-]|orization)")
 _PLAIN_NAME = re.compile(r"user|login|name|mail|host|port|path|file|url|date|time|version|lang|color|colour|title|size|count|checksum|(?:^|[_.\-])(?:id|key)(?:$|[_.\-])")
+#: What any of these names holds; most tokens hold none of it.
+_ANY_NAME = re.compile("pass|pwd|secret|token|key|credential|bearer|auth|user|login|name|mail|host|port|path|file|url|date|time|version|lang|colo|title|size|count|checksum|id")
 #: Documents worth fitting on hold one of these, in lower case.
 _WORTH = ("password", "passwd", "secret", "token", "api_key", "apikey", "akia")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every base match, by start, then kind as listed."""
-    found = []
+    found, low = [], text.lower()
     for kind, (rx, holds) in BASE.items():
+        if kind == "assign" and not any(k in low for k in ("passw", "secret", "token", "api")):
+            continue
         if kind == "hex" and not _HEX_LONG.search(text) or kind == "access" and "AKIA" not in text:
             continue
         found += [(m.start(), m.end(), kind) for m in rx.finditer(text) if holds(m)]
@@ -59,14 +63,16 @@ def value_spans(text: str) -> list[tuple[int, int]]:
 
 def shape(token: str) -> str:
     """What a token looks like: the kinds of its characters, its length and how evenly it uses them."""
-    if len(token) == 1 and not token.isalnum():
+    n = len(token)
+    if n == 1 and not token.isalnum():
         return "sym"
+    length = f"{n // 4 if n < 24 else 6 + min(n, 64) // 16}{'v' * (len(set(token)) > 0.45 * min(n, 24))}"
+    wide = "" if token.isascii() else "w"
+    if token.isalpha() and (token.islower() or token.isupper()):
+        return f"{'l' if token.islower() else 'U'}{wide}{length}"
     lower, upper, digit = any(map(str.islower, token)), any(map(str.isupper, token)), any(map(str.isdigit, token))
-    other, wide = any(c in "+/_.=-" for c in token.rstrip(".")), not token.isascii()
-    n = len(token)
-    distinct = len(set(token)) / min(n, 24)
-    only_hex = all(c in "0123456789abcdef" for c in token)
-    return f"{'l' * lower}{'U' * upper}{'d' * digit}{'o' * other}{'w' * wide}{'x' * (only_hex and digit)}{min(n, 64) // 4 if n < 24 else 6 + min(n, 64) // 16}{'v' * (distinct > 0.45)}"
+    other, only_hex = any(c in "+/_.=-" for c in token.rstrip(".")), digit and not set(token).difference("0123456789abcdef")
+    return f"{'l' * lower}{'U' * upper}{'d' * digit}{'o' * other}{wide}{'x' * only_hex}{length}"
 
 
 def word(token: str) -> str:
@@ -75,13 +81,16 @@ def word(token: str) -> str:
         return token
     if len(token) > 40:
         return "-"
-    t = token.lower().strip("._-=")
+    t = token.lower()
+    if not _ANY_NAME.search(t):
+        return "-"
+    t = t.strip("._-=")
     return "secret" if _SECRET_NAME.search(t) else "plain" if _PLAIN_NAME.search(t) else "-"
 
 
 def flag_of(token: str, name: str) -> int:
     """A token's part in the file feature: 2 for the name of a secret, 1 for a mix of letters and digits."""
-    return 2 * (name == "secret") + (len(token) > 8 and any(map(str.isdigit, token)) and any(map(str.isalpha, token)))
+    return 2 * (name == "secret") + (len(token) > 8 and not token.isalpha() and any(map(str.isdigit, token)) and any(map(str.isalpha, token)))
 
 
 def file_feature(tokens: list[str]) -> int:
@@ -300,7 +309,7 @@ class Tagger:
     A look is all that the field sees of a token: its shape, its word and its part in the file feature.
     """
 
-    MAX_KNOWN = 200_000
+    MAX_KNOWN = 400_000
 
     def __init__(self, field: Field):
         self.field = field

@@ -28,8 +28,8 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps.
 
-    Null and empty texts are kept (they are an end mark alone), repeated rows go or stay together, extra columns stay as they
-    are, and an empty table stays empty.
+    Null and empty texts are judged by their end mark alone, so they go where hardly a trusted text is empty; repeated rows
+    go or stay together, extra columns stay as they are, and an empty table stays empty.
     """
     return without(docs, classify(docs, table(spark, sf_dir, "labels")).where("not kept"))
 

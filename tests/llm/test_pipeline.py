@@ -79,6 +79,9 @@ def test_stages_keep_columns_of_any_name_and_stand_empty_tables(spark, tmp_path)
             got = {r.doc_id: r for r in out.collect()}
             assert all((r.n_removed, r.text_hash, r.keep, r["a.b"], r["__row"]) == (2, "h", True, 3, 4) for r in got.values()), stage
             if name == "full":
+                if stage == "quality classifier":
+                    assert set(range(13)) | {15} <= got.keys() and (13 in got) == (14 in got)
+                    continue
                 assert got[13].text is None and got[14].text == "" and got[3].n_lines == (1 if stage == "n-gram Jaccard join" else got[3].n_lines), stage
                 assert (12 in got, 15 in got) == ((False, False) if stage == "n-gram Jaccard join" else (stage != "line dedup", True)), stage
             else:

@@ -309,7 +309,7 @@ class Tagger:
     A look is all that the field sees of a token: its shape, its word and its part in the file feature.
     """
 
-    MAX_KNOWN = 400_000
+    MAX_KNOWN = 1_000_000
 
     def __init__(self, field: Field):
         self.field = field
@@ -336,9 +336,9 @@ class Tagger:
     def tag(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """For each text the spans tagged B or I, best path over the whole text."""
         ids, ends = [0] * PAD, []
-        known, look_of = self.known, self.look_of
+        get, look_of = self.known.get, self.look_of
         for text in texts:
-            ids += [known[t] if t in known else look_of(t) for t in _TOKEN.findall(text)]
+            ids += [get(t) or look_of(t) for t in _TOKEN.findall(text)]  # no look is 0
             ends.append(len(ids))
             ids += [0] * PAD
         ids_ = np.asarray(ids, np.int32)

@@ -22,7 +22,7 @@ def duck():
 
 
 def rows(df):
-    cell = lambda v: "" if v is None or v != v else f"{v:.5f}" if isinstance(v, float) else str(v)
+    cell = lambda v: "" if v is None or v != v else f"{v:.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(cell(r[c]) for c in sorted(df.columns)) for r in df.astype(object).to_dict("records"))
 
 

@@ -15,8 +15,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain, groupby
+from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PORTION = 1 << 20
 #: Units remembered by a task: characters in all, and the longest.
 REMEMBERED, LONGEST = 1 << 23, 64
+#: Units of more characters are merged through a heap.
+SHORT = 40
 #: Texts of an Arrow batch that are encoded together.
 ROWS = 64
 
@@ -185,29 +189,56 @@ class Model:
         self._units = None if inner else re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|.", re.DOTALL)
         # what each id decodes to: bytes, the id of the unknown piece its own mark, control pieces nothing
         self.written = [self.unknown_text.encode() if kind == UNKNOWN else b"" if kind == CONTROL else bytes([int(t[3:5], 16)]) if kind == BYTE else t.replace(SPACE, " ").encode() for t, kind in zip(self.texts, self.types)]
-        self._known: dict[str, tuple] = {}
+        self._control = np.array([kind == CONTROL for kind in self.types])
+        self._known: dict[str, tuple[bytes, bytes]] = {}
         self._size = 0
 
-    def merge(self, unit: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    def merge(self, unit: str) -> tuple[list[int], list[int]]:
         """Ids of a unit's pieces, and how many of its characters each stands for; of a character in bytes the last has it."""
+        ids, sizes = [], []
+        for part in self._merged_short(unit) if len(unit) <= SHORT else self._merged_long(unit):
+            if part in self.ids:
+                ids.append(self.ids[part])
+                sizes.append(len(part))
+            elif self.byte_fallback:
+                raw = part.encode()
+                ids += [self.bytes[b] for b in raw]
+                sizes += [0] * (len(raw) - 1) + [len(part)]
+            else:
+                ids.append(self.unknown)
+                sizes.append(len(part))
+        return ids, sizes
+
+    def _merged_short(self, unit: str) -> list[str]:
+        """The best pair again and again, the first of equals, by scanning what is left."""
+        parts, get, never = list(unit), self.rank.get, float("inf")
+        ranks = [get(a + b, never) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == never:
+                break
+            k = ranks.index(best)
+            parts[k] += parts.pop(k + 1)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get(parts[k - 1] + parts[k], never)
+            if k < len(ranks):
+                ranks[k] = get(parts[k] + parts[k + 1], never)
+        return parts
+
+    def _merged_long(self, unit: str) -> list[str]:
+        """The same by a heap of pairs, for units of any length."""
         parts: list[str | None] = list(unit)
         left, right = list(range(-1, len(unit) - 1)), list(range(1, len(unit) + 1))
-        rank, heap = self.rank, []
-
-        def offer(a: int, b: int) -> None:
-            both = parts[a] + parts[b]
-            if both in rank:
-                heap.append((rank[both], a, len(both)))
-
-        for k in range(len(unit) - 1):
-            offer(k, k + 1)
+        rank = self.rank
+        heap = [(rank[a + b], k, len(a + b)) for k, (a, b) in enumerate(zip(unit, unit[1:])) if a + b in rank]
         heapq.heapify(heap)
         while heap:
             _, a, size = heapq.heappop(heap)
             if parts[a] is None or right[a] >= len(unit):
                 continue
             b = right[a]
-            if len(parts[a]) + len(parts[b]) != size or parts[a] + parts[b] not in rank:
+            if len(parts[a]) + len(parts[b]) != size:  # one of the two has grown since
                 continue
             parts[a] += parts[b]
             parts[b] = None
@@ -215,36 +246,19 @@ class Model:
             if right[b] < len(unit):
                 left[right[b]] = a
             for x, y in ((left[a], a), (a, right[a])):
-                if x >= 0 and y < len(unit):
-                    both = parts[x] + parts[y]
-                    if both in rank:
-                        heapq.heappush(heap, (rank[both], x, len(both)))
-        ids, sizes = [], []
-        for part in parts:
-            if part is None:
-                continue
-            if part in self.ids:
-                ids.append(self.ids[part])
-                sizes.append(len(part))
-            elif self.byte_fallback:
-                raw = part.encode()
-                ids += [self.bytes[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(part)]
-            else:
-                ids.append(self.unknown)
-                sizes.append(len(part))
-        return tuple(ids), tuple(sizes)
-
-    def _unit(self, unit: str) -> tuple:
-        found = self._known.get(unit)
-        if found is None:
-            found = self.merge(unit)
-            if len(unit) <= LONGEST:
-                if self._size > REMEMBERED:
-                    self._known.clear()
-                    self._size = 0
-                self._known[unit] = found
-                self._size += len(unit)
+                if x >= 0 and y < len(unit) and (both := parts[x] + parts[y]) in rank:
+                    heapq.heappush(heap, (rank[both], x, len(both)))
+        return [p for p in parts if p is not None]
+
+    def _unit(self, unit: str) -> tuple[bytes, bytes]:
+        """Ids and sizes of a unit not seen yet, as bytes of int32."""
+        found = tuple(array("i", x).tobytes() for x in self.merge(unit))
+        if len(unit) <= LONGEST:
+            if self._size > REMEMBERED:
+                self._known.clear()
+                self._size = 0
+            self._known[unit] = found
+            self._size += len(unit)
         return found
 
     def _portions(self, text: str) -> Iterator[list[str]]:
@@ -266,13 +280,13 @@ class Model:
     def encode(self, text: str, end: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the text's pieces and the source bytes that each begins and ends at, with the end mark if wanted."""
         written, where = self.normalizer.normalize(text)
-        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         get, make = self._known.get, self._unit
         for units in self._portions(written):
             found = [get(u) or make(u) for u in units]
-            ids.append(np.fromiter(chain.from_iterable(f[0] for f in found), np.int32))
-            sizes.append(np.fromiter(chain.from_iterable(f[1] for f in found), np.int64))
-        all_ids, ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+            for kept, k in ((ids, 0), (sizes, 1)):
+                kept.append(np.frombuffer(b"".join(map(itemgetter(k), found)), np.int32))
+        all_ids, ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes), dtype=np.int64)
         if not self.byte_fallback:  # pieces unknown one after the other are one
             unknown = all_ids == self.unknown
             last = ~(unknown & np.append(unknown[1:], False))
@@ -284,9 +298,13 @@ class Model:
             all_ids = np.append(all_ids, np.int32(self.end))
         return all_ids, begins, ends
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text that the ids stand for; bytes that are no UTF-8 become a replacement character each."""
-        runs = [list(run) for control, run in groupby(ids, lambda i: self.types[i] == CONTROL) if not control]  # bytes do not join across these
+        ids = np.asarray(ids, np.int64)
+        marks = np.flatnonzero(self._control[ids])
+        runs = [run for run in np.split(ids, marks)]  # bytes do not join across control pieces
+        runs = [(run[1:] if k else run).tolist() for k, run in enumerate(runs)]
+        runs = [run for run in runs if run]
         if not runs:
             return ""
         first = self._text(self._without_prefix(runs[0]))
@@ -387,7 +405,9 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", keep: list[str] | No
 
     def values(ids: pa.Array) -> list[pa.Array]:
         coded = _registered(raw)
-        return [pa.array([coded.decode(i or []) for i in ids.to_pylist()], pa.string())]
+        flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        none = ids.is_null().to_pylist()
+        return [pa.array(["" if gone else coded.decode(flat[a:b]) for gone, a, b in zip(none, at, at[1:])], pa.string())]
 
     return _mapped(df, ids_col, "decoded string", keep, values)
 

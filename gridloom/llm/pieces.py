@@ -18,7 +18,6 @@ import struct
 from array import array
 from collections.abc import Callable, Iterator
 from itertools import accumulate
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters of normalised text that are split into units at a time.
 PORTION = 1 << 20
 #: Units remembered by a task: characters in all, and the longest.
-REMEMBERED, LONGEST = 1 << 23, 64
+REMEMBERED, LONGEST = 1 << 22, 64
 #: Units of more characters are merged through a heap.
 SHORT = 40
 #: Texts of an Arrow batch that are encoded together.
@@ -190,24 +189,28 @@ class Model:
         # what each id decodes to: bytes, the id of the unknown piece its own mark, control pieces nothing
         self.written = [self.unknown_text.encode() if kind == UNKNOWN else b"" if kind == CONTROL else bytes([int(t[3:5], 16)]) if kind == BYTE else t.replace(SPACE, " ").encode() for t, kind in zip(self.texts, self.types)]
         self._control = np.array([kind == CONTROL for kind in self.types])
-        self._known: dict[str, tuple[bytes, bytes]] = {}
+        self._is_byte = np.array([kind == BYTE for kind in self.types])
+        self._continues = np.array([kind == BYTE and w[0] & 0xC0 == 0x80 for kind, w in zip(self.types, self.written)])
+        self._lengths = np.array([1 if kind == UNKNOWN else len(t) for kind, t in zip(self.types, self.texts)])
+        self._known: dict[str, bytes] = {}
         self._size = 0
 
-    def merge(self, unit: str) -> tuple[list[int], list[int]]:
-        """Ids of a unit's pieces, and how many of its characters each stands for; of a character in bytes the last has it."""
-        ids, sizes = [], []
+    def merge(self, unit: str) -> list[int]:
+        """Ids of a unit's pieces; a character that is no piece is written in bytes, or unknown."""
+        ids: list[int] = []
         for part in self._merged_short(unit) if len(unit) <= SHORT else self._merged_long(unit):
             if part in self.ids:
                 ids.append(self.ids[part])
-                sizes.append(len(part))
             elif self.byte_fallback:
-                raw = part.encode()
-                ids += [self.bytes[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(part)]
+                ids += [self.bytes[b] for b in part.encode()]
             else:
                 ids.append(self.unknown)
-                sizes.append(len(part))
-        return ids, sizes
+        return ids
+
+    def _sizes(self, ids: np.ndarray) -> np.ndarray:
+        """How many characters each id stands for; of a character in bytes the last has it."""
+        follows = np.append(self._continues[ids][1:], False)
+        return np.where(self._is_byte[ids], ~follows, self._lengths[ids])
 
     def _merged_short(self, unit: str) -> list[str]:
         """The best pair again and again, the first of equals, by scanning what is left."""
@@ -250,9 +253,9 @@ class Model:
                     heapq.heappush(heap, (rank[both], x, len(both)))
         return [p for p in parts if p is not None]
 
-    def _unit(self, unit: str) -> tuple[bytes, bytes]:
-        """Ids and sizes of a unit not seen yet, as bytes of int32."""
-        found = tuple(array("i", x).tobytes() for x in self.merge(unit))
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit not seen yet, as bytes of int32."""
+        found = array("i", self.merge(unit)).tobytes()
         if len(unit) <= LONGEST:
             if self._size > REMEMBERED:
                 self._known.clear()
@@ -280,13 +283,10 @@ class Model:
     def encode(self, text: str, end: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the text's pieces and the source bytes that each begins and ends at, with the end mark if wanted."""
         written, where = self.normalizer.normalize(text)
-        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         get, make = self._known.get, self._unit
-        for units in self._portions(written):
-            found = [get(u) or make(u) for u in units]
-            for kept, k in ((ids, 0), (sizes, 1)):
-                kept.append(np.frombuffer(b"".join(map(itemgetter(k), found)), np.int32))
-        all_ids, ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes), dtype=np.int64)
+        ids = [np.frombuffer(b"".join([get(u) or make(u) for u in units]), np.int32) for units in self._portions(written)]
+        all_ids = np.concatenate([np.zeros(0, np.int32), *ids])
+        ends = np.cumsum(self._sizes(all_ids), dtype=np.int64)
         if not self.byte_fallback:  # pieces unknown one after the other are one
             unknown = all_ids == self.unknown
             last = ~(unknown & np.append(unknown[1:], False))

@@ -1,8 +1,7 @@
 """Tree ensembles on sample tables: fitting, protocols, ablation, positive-unlabelled designs, importance, scenarios.
 
-MLlib grows depth-wise trees by logistic loss; leaf-wise growth, ridge terms on leaves and constraints inside the
-trees are not offered there, so scores differ from those of other libraries. Monotone scores are an isotonic
-envelope over a fitted model.
+Two kinds of boosted trees: boosting.py's, grown leaf by leaf with ridge, constraints and categories, and MLlib's,
+depth-wise by logistic loss, beside its forests.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from . import metrics, sampling
+from . import boosting, metrics, sampling
 
 
 @dataclass(frozen=True)
@@ -71,6 +70,11 @@ def plain(recipe: Recipe) -> FitPredict:
     return lambda train, test: scores(fit(train, recipe), test)
 
 
+def leafwise(what: boosting.Boosting) -> FitPredict:
+    """The same with trees grown leaf by leaf."""
+    return lambda train, test: boosting.fit(train, what).scores(test)
+
+
 def weighted_unlabelled(recipe: Recipe, negative_weight: float = 0.5) -> FitPredict:
     """Unlabelled rows count as negatives of less weight."""
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -167,19 +171,11 @@ def tuned(df: DataFrame, test: DataFrame, recipe: Recipe, grid: list[dict]) -> D
     return df.sparkSession.createDataFrame([(*r, r is best) for r in rows], "setting string, auc double, size int, best boolean")
 
 
-def monotone(train: DataFrame, test: DataFrame, feature: str, score: str = "score") -> DataFrame:
-    """test with its score replaced by the isotonic fit of the training scores on a feature, so it never falls with it."""
-    iso = IsotonicRegression(labelCol=score, featuresCol="__f", predictionCol="__p")
-    vec = VectorAssembler(inputCols=[feature], outputCol="__f")
-    model = Pipeline(stages=[vec, iso]).fit(train)
-    return model.transform(test).withColumn(score, F.col("__p")).select(*test.columns)
-
-
-def develop_and_count(model: PipelineModel, df: DataFrame, change: dict[str, Column], tolerance: float = 1e-9) -> DataFrame:
+def develop_and_count(model: PipelineModel | boosting.Model, df: DataFrame, change: dict[str, Column], tolerance: float = 1e-9) -> DataFrame:
     """(n, safer, riskier): cells whose score falls or rises when features are changed."""
-    before = scores(model, df, "__a")
-    keep = [F.col(c) for c in df.columns]
-    after = scores(model, before.withColumns(change), "__b")
+    score = model.scores if isinstance(model, boosting.Model) else lambda d, name: scores(model, d, name)
+    before = score(df, "__a")
+    after = score(before.withColumns(change), "__b")
     d = F.col("__b") - F.col("__a")
     return after.agg(F.count("*").alias("n"), F.avg((d < -tolerance).cast("int")).alias("safer"), F.avg((d > tolerance).cast("int")).alias("riskier"))
 

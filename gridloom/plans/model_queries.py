@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import boosting as B
 from ..operators import metrics, ranking
 from ..operators import models as M
 from ..operators import sampling as P
@@ -14,6 +15,7 @@ R = lambda c, n=None, d=4: F.round(c, d).alias(n or c)
 SAMPLES = sql_with("samples")
 FEATURES = ("f1", "f2", "f3", "f4")
 RECIPE = M.Recipe(FEATURES, rounds=4, depth=3)
+LEAFWISE = B.Boosting(FEATURES, rounds=3, leaves=8, rate=0.3)
 
 
 def _rows(t):
@@ -95,8 +97,27 @@ def sm10(t):
 
 @query("ml01_boosted_trees")
 def ml01(t):
-    model, _, test = _model(t)
-    return ranking.auc(M.scores(model, test), "score", F.col("y") == 1).select("n_pos", "n_neg", R("auc"))
+    train, test = _split(t)
+    return ranking.auc(M.leafwise(LEAFWISE)(train, test), "score", F.col("y") == 1).select("n_pos", "n_neg", R("auc"))
+
+
+#: Each split of the root of a first tree: sums up to a value, of gradients p - y and hessians p (1 - p) in whole steps, with ridge 1.
+_GAINS_SQL = SAMPLES + """, p AS (SELECT avg(y)::DOUBLE AS p FROM samples),
+  steps AS (SELECT unnest([0, 1, 2]) AS feature, unnest([f1, f3, f4]) AS x, round((p - y) * 16777216)::BIGINT AS g, round(p * (1 - p) * 16777216)::BIGINT AS h FROM samples, p),
+  sums AS (SELECT feature, x, sum(g) AS g, sum(h) AS h, count(*) AS n FROM steps GROUP BY ALL),
+  lefts AS (SELECT feature, dense_rank() OVER (PARTITION BY feature ORDER BY x) AS last, sum(g) OVER w / 16777216 AS lg, sum(h) OVER w / 16777216 AS lh, sum(n) OVER w AS n_left,
+              sum(g) OVER a / 16777216 AS ag, sum(h) OVER a / 16777216 AS ah, sum(n) OVER a AS n FROM sums WINDOW w AS (PARTITION BY feature ORDER BY x), a AS (PARTITION BY feature))
+  SELECT feature::INT AS feature, last::INT AS last, n_left::BIGINT AS n_left, round(lg * lg / (lh + 1) + (ag - lg) * (ag - lg) / (ah - lh + 1) - ag * ag / (ah + 1), 4) AS gain
+  FROM lefts WHERE n_left >= 20 AND n - n_left >= 20"""
+
+
+@query("ml01_split_gains", _GAINS_SQL)
+def ml01_gains(t):
+    what = B.Boosting(("f1", "f3", "f4"))
+    rows = B.binned(t.samples, what, B.quantise(t.samples, what))
+    p = F.lit(rows.agg(F.avg("y")).first()[0])
+    hist = B.histograms(rows, F.lit(0), len(what.features), p - F.col("y"), p * (1 - p))
+    return B.split_gains(hist, what).select("feature", "last", "n_left", R("gain"))
 
 
 @query("ml02_early_stopping")
@@ -134,18 +155,24 @@ def ml06(t):
 
 @query("ml07_monotone")
 def ml07(t):
-    model, train, test = _model(t)
-    flat = M.monotone(M.scores(model, train), M.scores(model, test), "f1")
-    return flat.groupBy("f1").agg(R(F.avg("score"), "score", 6))
+    """Cells that get safer or riskier when two features grow, with trees left free and trees that may not fall in them."""
+    train, test = _split(t)
+    variants = {"free": LEAFWISE, "constrained": B.Boosting(FEATURES, rounds=3, leaves=8, rate=0.3, monotone={"f1": 1, "f3": 1})}
+    grown = {"f1": F.col("f1") + 10, "f3": F.col("f3") + 0.02}
+    parts = [M.develop_and_count(B.fit(train, what), test, grown).select(F.lit(name).alias("variant"), "n", R("safer"), R("riskier")) for name, what in variants.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query("ml08_categorical")
 def ml08(t):
-    from pyspark.ml.feature import VectorAssembler, VectorIndexer
-
-    x = VectorAssembler(inputCols=["f1", "kind"], outputCol="x").transform(_rows(t).withColumn("kind", (F.col("event") - 1995).cast("double")))
-    m = VectorIndexer(inputCol="x", outputCol="ix", maxCategories=8).fit(x)
-    return t.spark.createDataFrame([(int(k), len(v)) for k, v in m.categoryMaps.items()], "feature int, categories int")
+    """Areas under the ROC curve with a category of eight kinds, as an unordered feature and as a number."""
+    kinds = _rows(t).withColumn("kind", F.pmod(F.col("id") * 5 + F.col("y") * F.pmod(F.col("id"), F.lit(3)), F.lit(8)).cast("int"))
+    train, test = kinds.where("event < 1999"), kinds.where("event >= 1999")
+    parts = [
+        ranking.auc(M.leafwise(B.Boosting(("f1", "kind"), rounds=2, leaves=4, rate=0.3, categorical=c))(train, test), "score", F.col("y") == 1).select(F.lit(name).alias("design"), "n_pos", R("auc"))
+        for name, c in (("unordered", ("kind",)), ("number", ()))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query("ml09_importance")
@@ -163,8 +190,8 @@ def ml10(t):
 
 @query("ml11_stress_test")
 def ml11(t):
-    model, _, test = _model(t)
-    return M.develop_and_count(model, test, {"f1": F.col("f1") + 10}).select("n", R("safer"), R("riskier"))
+    train, test = _split(t)
+    return M.develop_and_count(B.fit(train, LEAFWISE), test, {"f1": F.col("f1") + 10}).select("n", R("safer"), R("riskier"))
 
 
 @query("ml12_response_curve")
@@ -197,7 +224,7 @@ def ml15(t):
 @query("mt10_protocols")
 def mt10(t):
     s = _rows(t).withColumn("fold", P.fold_of_unseen(F.col("block"), 2))
-    out = M.run_protocols(s, M.plain(M.Recipe(FEATURES, rounds=2, depth=2)), "y", "event", "fold", [1995, 1996, 1997], [1999, 2000], folds=2)
+    out = M.run_protocols(s, M.leafwise(B.Boosting(FEATURES, rounds=1, leaves=4, rate=0.3)), "y", "event", "fold", [1995, 1996, 1997], [1999, 2000], folds=2)
     return out.select("protocol", "part", *[R(c) for c in ("accuracy", "f1", "auc")])
 
 

@@ -10,6 +10,7 @@ length of the segment so that the bound is 1 at least: no match within the budge
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,21 +48,31 @@ def q_of(length: int) -> int:
     return min(Q, length // (budget_of(length) + 1))
 
 
-def lower(text: str) -> str:
-    """Lower case of the same length, so positions stay."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+@cache
+def folding() -> np.ndarray:
+    """By code point its lower case, whatever stands beside it, and a space for every white-space character.
+
+    A code point whose lower case is longer stays; the final sigma is a sigma, so that it does not matter where a word ends.
+    """
+    table = np.arange(0x110000, dtype=np.uint32)
+    for point in range(0x110000):
+        c = chr(point)
+        low = c.lower()
+        if c.isspace():
+            table[point] = 32
+        elif low != c and len(low) == 1:
+            table[point] = ord(low)
+    table[0x3C2] = 0x3C3
+    return table
 
 
 def codes(text: str) -> np.ndarray:
-    """Code points, every white-space character as a space."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    points[(points - np.uint32(9) < 5) | (points == 0x85) | (points == 0xA0)] = 32
-    return points
+    """Code points of the text, folded one by one."""
+    return folding()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def normal(text: str) -> np.ndarray:
-    return codes(lower(text.replace("￿", " ")))
+    return codes(text.replace("￿", " "))
 
 
 def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
@@ -210,7 +221,7 @@ class Index:
         def done() -> None:
             joined = _GAP.join(t for _, t in held)
             starts = np.cumsum([0] + [len(t) + len(_GAP) for _, t in held])
-            points = codes(lower(joined))
+            points = codes(joined)
             for grams in self.grams:
                 for item, start, edits, a, b in grams.matches(points):
                     k = int(np.searchsorted(starts, a, "right")) - 1

@@ -12,6 +12,26 @@ WINDOW = 3
 BLANK = " \t\x0b\x0c\r"
 
 
+def _once(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of rows (__row, __id, __th) that share an id and text the first, and the others, None if there are none.
+
+    Equal rows are counted before anything is exchanged, so it does not matter how many there are.
+    """
+    keyed = rows.withColumn("__ih", F.xxhash64("__id"))
+    keys = ["__ih", "__th"]
+    counts = cut(keyed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
+    if counts.isEmpty():
+        return rows, None
+    marked = salted_join(keyed, counts.withColumn("__twice", F.lit(True)).drop("n"), keys, hot_keys(counts, keys, "n"), F.monotonically_increasing_id(), "left")
+    groups = cut(marked.where("__twice").groupBy("__row", "__id", "__th").agg(F.count("*").alias("__n")))
+    first = groups.groupBy(F.col("__id").alias("__fid"), F.col("__th").alias("__fth")).agg(F.min("__row").alias("__first"))
+    both = groups.join(first, F.col("__id").eqNullSafe(F.col("__fid")) & F.col("__th").eqNullSafe(F.col("__fth")))
+    is_first = F.col("__row").eqNullSafe(F.col("__first"))
+    one = both.where(is_first).select(*rows.columns)
+    more = both.withColumn("__n", F.col("__n") - is_first.cast("long")).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    return marked.where("__twice IS NULL").select(*rows.columns).unionByName(one), more.select(*rows.columns)
+
+
 def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """df with the lines dropped from the text that lie in a later occurrence of a repeated window.
 
@@ -21,14 +41,16 @@ def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows merged. A dropped line so always has an earlier copy that stays.
 
     Adds n_lines and n_removed (long; input columns of these names are replaced). A null text stays null, with
-    0 lines; texts of fewer lines than the window stay as they are; very long ones are read whole; rows with the same id and text are one
-    document and are treated alike; a null id is an id that sorts first. All other columns are kept.
+    0 lines; texts of fewer lines than the window stay as they are; very long ones are read whole; of rows with the same
+    id and text one, the first by its other columns, is the document and the others are later occurrences from their
+    first line to their last; a null id is an id that sorts first. All other columns are kept.
     """
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__th"),
     )
     lines = F.split(F.col(f"__row.`{text_col}`"), "\n").alias("__lines")  # only the text itself is exchanged
+    rows, again = _once(rows)
 
     def at(i):
         lines = [F.get("__lines", i + k) for k in range(window)]
@@ -37,9 +59,10 @@ def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             (F.btrim(F.concat_ws("", *lines), F.lit(BLANK)) != "").alias("solid"),
         )
 
+    whole = F.transform(F.sequence(F.lit(0), F.size("__lines") - window), at)
     windows = (
         rows.select("__id", "__th", lines).where(F.size("__lines") >= window)
-        .select("__id", "__th", F.inline(F.transform(F.sequence(F.lit(0), F.size("__lines") - window), at)))
+        .select("__id", "__th", F.inline(whole))
         .where("solid").drop("solid")
         .withColumn("__me", F.struct("__id", "__th", "at"))
     )
@@ -47,6 +70,10 @@ def dedup_line_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     later = salted_join(windows, repeated.drop("n"), ["h1", "h2"], hot_keys(repeated, ["h1", "h2"], "n"), F.col("__me")).where("__me != __first")
     covered = later.groupBy(F.col("__id").alias("__cid"), F.col("__th").alias("__cth")).agg(F.collect_set("at").alias("__starts"))
     joined = rows.join(covered, F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__th") == F.col("__cth")), "left").withColumn("__lines", lines)
+    if again is not None:  # every window of theirs occurs before
+        starts = F.when(F.size("__lines") >= window, F.transform(F.filter(whole, lambda w: w["solid"]), lambda w: w["at"]))
+        theirs = again.withColumn("__lines", lines)
+        joined = joined.select("__row", "__lines", "__starts").unionByName(theirs.select("__row", "__lines", F.when(F.size(starts) > 0, starts).alias("__starts")))
     n = F.greatest(F.size("__lines"), F.lit(0))  # size of null is -1 or null
     gone = F.flatten(F.transform("__starts", lambda s: F.array(*[s + k for k in range(window)])))
     left = F.when(F.col("__starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone))

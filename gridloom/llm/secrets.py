@@ -29,7 +29,15 @@ CRF = "crf"
 #: What the field is fitted on, at most: documents (those first by a hash), windows of a document, windows in all, tokens of a window.
 FIT_DOCS, FIT_OF_DOC, FIT_WINDOWS, FIT_TOKENS = 600, 16, 3000, 40
 FIT_ROUNDS, RATE, RIDGE = 40, 0.5, 1e-4
+#: Documents without a base secret that plain windows come from, at most, of each kind of text (PLAIN_KINDS); windows of each.
+PLAIN_DOCS, PLAIN_OF_DOC = 120, 3
+#: Share of the fitting documents whose windows are held out, to choose the margin that a span needs.
+HELD_OUT = 5
+#: A false span weighs as much as so many lost ones in that choice.
+FALSE_COST = 5
 O, B, I = 0, 1, 2
+#: Spans of fewer characters are none.
+LEAST = 6
 
 _TOKEN = re.compile(r"[\w+/.\-]+(?:={1,2}(?!\w))?|[^\w\s]")
 # Names of keys that a secret follows, and names that a plain value follows.
@@ -113,6 +121,15 @@ class Field:
         a = moves[:, :, None] + moves[None, :, :]  # [before, at, after] as before->at, at->after
         self.bound = float(max((a[p, y, q] - a[p, O, q]) for p in range(3) for q in range(3) for y in (B, I)))
 
+        #: What the best path has to gain by a span for it to count.
+        self.margin = 0.0
+
+    def emissions(self, looks: list[tuple[str, str]]) -> np.ndarray:
+        """[token, label] of a window: what its templates add up to."""
+        at = lambda k, kind: "#" if not 0 <= k < len(looks) else looks[k][kind == "w"]
+        zero = np.zeros(3)
+        return np.array([sum((self.weights.get((kind, off, at(k + off, kind)), zero) for kind, off in TEMPLATES), zero) for k in range(len(looks))])
+
     def emissions_of(self, token: str) -> np.ndarray:
         """[template, label]: what the token adds at each place that looks at it."""
         s, w = shape(token), word(token)
@@ -218,15 +235,24 @@ _JOINTS = (["="], [":"], ["=", '"'], [":", '"'], ["=", "'"], [":", "'"], ["=", "
 _MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
+STYLES = ("password", "mixed", "hex", "upper", "digits", "signed", "symbols", "lines", "bare")
+
+
 def value(rng: random.Random, style: str) -> list[str]:
-    """Tokens of a secret: a password, a key of mixed case, one in hexadecimal, a password with symbols, lines of a key."""
+    """Tokens of a secret: a password, a key of mixed case, one in hexadecimal, in capitals, digits, a signed token, a password with symbols, lines of a key."""
     draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     if style == "password":
-        return [draw("abcdefghijklmnopqrstuvwxyz", rng.randrange(4, 9)) + draw("0123456789", rng.randrange(1, 5))] if rng.random() < 0.5 else [draw(_MIXED, rng.randrange(8, 17)) + draw("0123456789", 2)]
+        return [draw("abcdefghijklmnopqrstuvwxyz", rng.randrange(4, 14)) + draw("0123456789", rng.randrange(1, 5))] if rng.random() < 0.5 else [draw(_MIXED, rng.randrange(8, 17)) + draw("0123456789", 2)]
     if style == "mixed":
         return [draw(_MIXED + rng.choice(["", "+/", "-_"]), rng.randrange(28, 72)) + rng.choice(["", "", "="])]
     if style == "hex":
         return [draw("0123456789abcdef", rng.choice([16, 20, 22, 32, 40, 64]))]
+    if style == "upper":
+        return [draw(rng.choice(["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]), rng.randrange(16, 65))]
+    if style == "digits":
+        return [draw("0123456789", rng.randrange(6, 13))]
+    if style == "signed":
+        return [".".join(["eyJ" + draw(_MIXED, rng.randrange(15, 60)), draw(_MIXED + "-_", rng.randrange(20, 90)), draw(_MIXED + "-_", rng.randrange(30, 60))])]
     if style == "symbols":
         return [x for k in range(rng.randrange(2, 4)) for x in ([rng.choice("!@#$%&*")] if k else []) + [draw(_MIXED, rng.randrange(2, 7))]]
     return [draw(_MIXED + "+/", 64) for _ in range(rng.randrange(2, 5))]
@@ -257,7 +283,7 @@ def variants(tokens: list[str], labels: list[int], rng: random.Random) -> list[t
         j += 1
     start = next((k for k in range(max(0, i - 4), i) if word(tokens[k]) == "secret"), i)
     out = []
-    for style in ("password", "mixed", "hex", "symbols", "lines", "bare"):
+    for style in STYLES:
         joint = rng.choice([x for x in _JOINTS if style != "symbols" or x[-1] in "\"'"])
         if style == "bare":
             part, head = value(rng, "mixed"), [rng.choice(plain)] * (rng.random() < 0.5)
@@ -275,8 +301,21 @@ def variants(tokens: list[str], labels: list[int], rng: random.Random) -> list[t
     return out
 
 
-def fitting_sample(df: DataFrame, id_col: str, text_col: str) -> list[tuple[list[tuple[str, str]], list[int], int]]:
-    """At most FIT_WINDOWS labelled windows, variants included, of the first FIT_DOCS documents (by a hash) that hold secret-like text.
+def planted(tokens: list[str], labels: list[int], rng: random.Random) -> list[tuple[list[str], list[int]]]:
+    """A plain window as it is, with a decoy, and with a made-up secret put in somewhere."""
+    base = [O] * len(tokens)
+    at = rng.randrange(len(tokens) + 1)
+    made = variants(tokens[:at] + ["x"] + tokens[at:], base[:at] + [B] + base[at:], rng)
+    return [(tokens, base), made[rng.randrange(len(STYLES))], made[len(STYLES)]]
+
+
+#: Kinds of text that plain windows come from alike, so that rare kinds are among them: much in capitals, many symbols or digits, others.
+PLAIN_KINDS = (r"\p{Lu}", r"[^\p{L}\s]")
+
+
+def fitting_sample(df: DataFrame, id_col: str, text_col: str) -> list[tuple[list[tuple[str, str]], list[int], int, bool]]:
+    """Labelled windows, and whether each is held out: at most FIT_WINDOWS, variants included, of the first FIT_DOCS documents
+    (by a hash) that hold secret-like text, and planted() windows of the first PLAIN_DOCS of each kind of text.
 
     The hashes are picked first, so that no task is sent more than their texts."""
     text = F.col(f"`{text_col}`")
@@ -285,31 +324,84 @@ def fitting_sample(df: DataFrame, id_col: str, text_col: str) -> list[tuple[list
     for name in _WORTH:
         worth = worth | F.contains(F.lower("text"), F.lit(name))
     first = [r["h"] for r in hashed.where(worth).select("h").distinct().orderBy("h").limit(FIT_DOCS).collect()]
+    share = lambda rx: F.regexp_count("text", F.lit(rx)) / F.greatest(F.length("text"), F.lit(1))
+    kind = F.when(share(PLAIN_KINDS[0]) > 0.2, 0).when(share(PLAIN_KINDS[1]) > 0.1, 1).otherwise(2)
+    other = hashed.where("text is not null and text != ''").select(kind.alias("kind"), "h").distinct()
+    # by kind the least of another hash: the ends of an aggregate of bounded size, so the texts are read once
+    least = lambda k: other.where(F.col("kind") == k).orderBy(F.xxhash64(F.lit(7), "h")).limit(PLAIN_DOCS)
+    plain = [r["h"] for r in least(0).unionByName(least(1)).unionByName(least(2)).collect()]
 
     def cutout(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"h": [], "i": [], "shapes": [], "words": [], "labels": [], "kind": []}
         for h, text in zip(cols["h"], cols["text"]):
             rng = random.Random(h)
-            own = windows_of(text)[:FIT_OF_DOC]
-            for i, (tokens, labels) in enumerate([*own, *(v for w in own for v in variants(*w, rng))]):
+            windows: list[tuple[list[str], list[int]]] = []
+            if h in secret_hashes:
+                own = windows_of(text)[:FIT_OF_DOC]
+                windows += [*own, *(v for w in own for v in variants(*w, rng))]
+            if h in plain_hashes and not value_spans(text):
+                windows += [x for w in some_windows(text, rng) for x in planted(*w, rng)]
+            for i, (tokens, labels) in enumerate(windows):
                 looks = looks_of(tokens[: FIT_TOKENS + 24])
                 for name, x in zip(out, (h, i, [a for a, _ in looks], [b for _, b in looks], labels[: FIT_TOKENS + 24], file_feature(tokens))):
                     out[name].append(x)
         return out
 
-    of_first = hashed.where(F.col("h").isin(first)) if first else hashed.limit(0)
-    one = of_first.groupBy("h").agg(F.min("text").alias("text"))  # of repeated rows one
-    rows = map_rows(one, cutout, "h long, i int, shapes array<string>, words array<string>, labels array<int>, kind int").orderBy("i", "h").limit(FIT_WINDOWS).collect()
-    return [(list(zip(r["shapes"], r["words"])), list(r["labels"]), r["kind"]) for r in rows]
+    secret_hashes, plain_hashes = set(first), set(plain)
+    every = [*secret_hashes | plain_hashes]
+    picked = hashed.where(F.col("h").isin(every)) if every else hashed.limit(0)
+    one = picked.groupBy("h").agg(F.min("text").alias("text"))  # of repeated rows one
+    cut_out = map_rows(one, cutout, "h long, i int, shapes array<string>, words array<string>, labels array<int>, kind int")
+    rows = cut_out.orderBy("i", "h").limit(FIT_WINDOWS + 9 * PLAIN_DOCS * PLAIN_OF_DOC).collect()
+    return [(list(zip(r["shapes"], r["words"])), list(r["labels"]), r["kind"], r["h"] % HELD_OUT == 0) for r in rows]
+
+
+def some_windows(text: str, rng: random.Random) -> list[tuple[list[str], list[int]]]:
+    """PLAIN_OF_DOC windows at random of a text without a secret."""
+    tokens = _TOKEN.findall(text)
+    starts = range(0, len(tokens), FIT_TOKENS)
+    return [(tokens[at : at + FIT_TOKENS], [O] * len(tokens[at : at + FIT_TOKENS])) for at in rng.sample(starts, min(len(starts), PLAIN_OF_DOC))]
+
+
+def segments(scores: np.ndarray, moves: np.ndarray) -> list[tuple[int, int, list[int], float]]:
+    """(first, end, labels, margin) of what the best path tags: by how much it beats leaving the tokens out."""
+    path, out, i = viterbi(scores, moves), [], 0
+    while i < len(path):
+        if path[i] == O:
+            i += 1
+            continue
+        j = i
+        while j < len(path) and path[j] != O:
+            j += 1
+        steps = [O] * (i > 0) + path[i:j] + [O] * (j < len(path))
+        margin = sum(scores[t, path[t]] - scores[t, O] for t in range(i, j)) + sum(moves[a, b] - moves[O, O] for a, b in zip(steps, steps[1:]))
+        out.append((i, j, path[i:j], float(margin)))
+        i = j
+    return out
+
+
+def learned(sample: list[tuple[list[tuple[str, str]], list[int], int, bool]]) -> Field:
+    """The field fitted on the windows that are not held out, with the margin that does best on those that are."""
+    field = fit([x[:3] for x in sample if not x[3]])
+    real, false = [], []
+    for looks, labels, kind, held in sample:
+        if held and looks:
+            for i, j, _, margin in segments(field.emissions(looks) + field.files[kind], field.moves):
+                (real if any(labels[i:j]) else false).append(margin)
+    # the least margin of least cost
+    cost = lambda m: FALSE_COST * sum(x >= m for x in false) + sum(x < m for x in real)
+    field.margin = min([0.0, *(x + 1e-6 for x in false)], key=lambda m: (cost(m), m))
+    return field
 
 
 class Tagger:
-    """Tags whole texts; keeps which look each distinct token has, up to a bounded number of tokens.
+    """Tags whole texts; keeps which look each distinct token has, up to a bounded size of all.
 
     A look is all that the field sees of a token: its shape, its word and its part in the file feature.
     """
 
-    MAX_KNOWN = 1_000_000
+    #: About the bytes that known tokens may take.
+    MAX_KNOWN = 64_000_000
 
     def __init__(self, field: Field):
         self.field = field
@@ -317,11 +409,19 @@ class Tagger:
         pad = np.stack([field.weights.get((kind, off, "#"), zero) for kind, off in TEMPLATES]).astype(np.float32)
         self.known: dict[str, int] = {}
         self.looks: dict[tuple[str, str, int], int] = {}
-        self.rows, self.flags = [pad], [0]
+        self.rows, self.flags, self.may = [pad], [0], [False]
+        self.size = 0
+        # the most that neighbours and the text add to B and to I over O
+        self.most = np.zeros(3)
+        for template in TEMPLATES[2:]:
+            of = [w - w[O] for (kind, off, _), w in field.weights.items() if (kind, off) == template]
+            self.most += np.maximum(np.max(of, axis=0), 0) if of else 0
+        self.most += (field.files - field.files[:, :1]).max(0)
 
     def look_of(self, token: str) -> int:
-        if len(self.known) >= self.MAX_KNOWN:
+        if self.size > self.MAX_KNOWN:
             self.known.clear()
+            self.size = 0
         w = word(token)
         flag = flag_of(token, w)
         look = shape(token), w, flag
@@ -330,11 +430,15 @@ class Tagger:
             i = self.looks[look] = len(self.rows)
             self.rows.append(self.field.emissions_of(token))
             self.flags.append(flag)
-        self.known[token] = i
+            own = self.rows[-1][:2].sum(0)
+            self.may.append(bool((own - own[O] + self.most)[1:].max() > -self.field.bound - 1e-2))
+        if len(token) <= 100:
+            self.known[token] = i
+            self.size += len(token) + 50
         return i
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int]]]:
-        """For each text the spans tagged B or I, best path over the whole text."""
+        """For each text the spans that the best path over it tags by the margin at least, cut at white space outside quotes."""
         ids, ends = [0] * PAD, []
         get, look_of = self.known.get, self.look_of
         for text in texts:
@@ -343,39 +447,40 @@ class Tagger:
             ids += [0] * PAD
         ids_ = np.asarray(ids, np.int32)
         table_, flags = np.stack(self.rows), np.asarray(self.flags, np.int8)
-        e = np.zeros((len(ids_), 3), np.float32)
+        starts = np.array([PAD] + [x + PAD for x in ends[:-1]], np.int64)
+        # only tokens whose look may win, whatever their neighbours and the text are, get their sums
+        may = np.flatnonzero(np.asarray(self.may)[ids_])
+        e = np.zeros((len(may), 3), np.float32)
         for k, (_, off) in enumerate(TEMPLATES):
-            e += table_[:, k][np.roll(ids_, -off)]
-        flag = flags[ids_]
-        starts = [PAD] + [x + PAD for x in ends[:-1]]
-        for a, b in zip(starts, ends):
-            if b > a:
-                f = flag[a:b]
-                e[a:b] += self.field.files[2 * int((f & 2).any()) + int((f & 1).any())]
+            e += table_[:, k][ids_[may + off]]
+        of = np.searchsorted(starts, may, "right") - 1
+        bits = np.array([2 * int((flags[ids_[a:b]] & 2).any()) + int((flags[ids_[a:b]] & 1).any()) for a, b in zip(starts.tolist(), ends)], np.int64)
+        e += self.field.files[bits[of]]
         open_ = (e[:, 1:].max(1) - e[:, 0]) > -self.field.bound - 1e-3
-        out = []
-        for text, a, b in zip(texts, starts, ends):
-            at = np.flatnonzero(open_[a:b])
-            spans: list[tuple[int, int]] = []
-            if len(at):
-                labels = {}
-                for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    # both neighbours of a run are O on the best path, or the text's ends
-                    lo, hi = max(run[0] - 1, 0), min(run[-1] + 2, b - a)
-                    s = e[a + lo : a + hi].astype(np.float64)
-                    if lo < run[0]:
-                        s[0] = (0, -1e9, -1e9)
-                    if hi > run[-1] + 1:
-                        s[-1] = (0, -1e9, -1e9)
-                    labels |= {lo + i: y for i, y in enumerate(viterbi(s, self.field.moves)) if y != O}
-                if labels:
-                    found = [m.span() for m in _TOKEN.finditer(text)]
-                    for i in sorted(labels):
-                        if labels[i] == I and i - 1 in labels and spans:
-                            spans[-1] = spans[-1][0], found[i][1]
-                        else:
-                            spans.append(found[i])
-            out.append(spans)
+        may, e, of = may[open_], e[open_], of[open_]
+        tagged: dict[int, list[tuple[int, int, list[int]]]] = {}
+        for run in np.split(np.arange(len(may)), np.flatnonzero((np.diff(may) > 1) | (np.diff(of) > 0)) + 1) if len(may) else []:
+            i = int(of[run[0]])
+            # both neighbours of a run are O on the best path, or the text's ends
+            before, after = may[run[0]] > starts[i], may[run[-1]] + 1 < ends[i]
+            outside = np.array([[0, -1e9, -1e9]])
+            s = np.concatenate([outside[: int(before)], e[run].astype(np.float64), outside[: int(after)]])
+            first = int(may[run[0]] - starts[i]) - int(before)
+            for a, b, labels, margin in segments(s, self.field.moves):
+                if margin >= self.field.margin:
+                    tagged.setdefault(i, []).append((first + a, first + b, labels))
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for i, parts in tagged.items():
+            found = [m.span() for m in _TOKEN.finditer(texts[i])]
+            for a, b, labels in parts:
+                quoted = a > 0 and texts[i][found[a - 1][0]] in "\"'" and found[a - 1][1] == found[a][0]
+                spans: list[tuple[int, int]] = []
+                for k, y in zip(range(a, b), labels):
+                    if y == I and spans and (quoted or spans[-1][1] == found[k][0]):
+                        spans[-1] = spans[-1][0], found[k][1]
+                    else:
+                        spans.append(found[k])
+                out[i] += [x for x in spans if x[1] - x[0] >= LEAST]
         return out
 
 
@@ -384,12 +489,13 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Kinds: assign, access and hex (the base patterns, every match), crf (what the field tags elsewhere: spans
     that touch no base span). The field is fitted on a bounded sample labelled by the base patterns and on variants of
-    its windows, see fitting_sample; it is applied to every whole text, very long ones too. Where no text holds a base
-    secret it has nothing to learn from and tags nothing. A null or empty text has no spans; repeated rows are tagged
+    its windows, and on windows of plain documents, as they are and with made-up secrets, see fitting_sample; a fifth of
+    the documents is held out to choose the margin that a span needs. It is applied to every whole text, very long ones
+    too; a small or one-sided table gives it few windows, and fewer finds. Spans end at white space outside quotes. A null or empty text has no spans; repeated rows are tagged
     alike; a null id is kept; other columns of df are not read. An empty df gives no rows.
     """
     kind = dict(df.dtypes)[id_col]
-    field = fit(fitting_sample(df, id_col, text_col))
+    field = learned(fitting_sample(df, id_col, text_col))
     model = df.sparkSession.sparkContext.broadcast(field)  # bounded: weights of a few hundred shapes and words
     held: list[Tagger] = []
 

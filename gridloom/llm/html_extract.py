@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections.abc import Container
 
 import numpy as np
 import xxhash
@@ -46,23 +47,31 @@ _HINT = re.compile(
     r"comment|comments|disqus|replies|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|widget)(?:$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[^<]+|<", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+# Quotes matter only right after a sign of equality; "<!-->" is a whole comment.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*+)?)*+)(>|\Z)|[^<]+|<",
+    re.S,
+)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _SPACE = re.compile(r"\s+")
 
 
+#: Names that, whole, tell what a block of text in an article is.
+_SURE = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion newsletter cookie-notice".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 th dt caption".split())
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure table dl".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup tt u var".split())
 
 
 class Node:
-    """An element: apart (its text is none, by element or role; inherited), hinted (by its name), main (in an article; inherited)."""
+    """An element: apart (its text is none, by element or role; inherited), hinted (by a part of its name), sure (by a whole name), main (in an article; inherited)."""
 
-    __slots__ = ("tag", "up", "kids", "text", "raw", "apart", "hinted", "main", "link", "shape")
+    __slots__ = ("tag", "up", "kids", "text", "raw", "apart", "hinted", "sure", "main", "link", "shape")
 
-    def __init__(self, tag: str, up: int, raw: bool, apart: bool, hinted: bool, main: bool, link: bool):
-        self.tag, self.up, self.kids, self.text, self.raw, self.apart, self.hinted, self.main, self.link, self.shape = tag, up, [], [], raw, apart, hinted, main, link, -1
+    def __init__(self, tag: str, up: int, raw: bool, apart: bool, hinted: bool, sure: bool, main: bool, link: bool):
+        self.tag, self.up, self.kids, self.text, self.raw, self.apart, self.hinted, self.sure, self.main, self.link, self.shape = tag, up, [], [], raw, apart, hinted, sure, main, link, -1
 
 
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -71,8 +80,9 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     Tags that HTML lets stand open (p, li, td ...) are closed as HTML says; what is open at the end is closed
     there; an unfinished tag at the end is no text. Elements without content are no nodes.
     """
-    nodes = [Node("#root", -1, False, False, False, False, False)]
+    nodes = [Node("#root", -1, False, False, False, False, False, False)]
     stack, pieces, text, at = [(0, "#root")], [], page or "", 0
+    open_: dict[str, int] = {}  # open elements by name, so that a stray end tag costs nothing
     while at < len(text):
         m = _TOKEN.match(text, at)
         at, tag = m.end(), m[2]
@@ -87,30 +97,34 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in _BLOCK:
             pieces.append((stack[-1][0], "\n"))
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == tag:
-                    del stack[i:]
-                    break
+            if open_.get(tag):
+                close(stack, open_, {tag}, ())
             continue
         if tag in _CLOSES_P:
-            close(stack, {"p"}, _SCOPE)
+            close(stack, open_, {"p"}, _SCOPE)
         elif tag == "body":
-            close(stack, {"head"}, {"body"})
+            close(stack, open_, {"head"}, {"body"})
         if tag in _SIBLINGS:
-            close(stack, _SIBLINGS[tag], {"ul", "ol", "dl", "table", "select"} - {tag})
+            close(stack, open_, _SIBLINGS[tag], {"ul", "ol", "dl", "table", "select"} - {tag})
         if tag in _VOID:
             continue
-        attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[3])} if m[3] else {}
+        attrs: dict[str, str] = {}
+        for k, a, b, c in _ATTR.findall(m[3]) if m[3] else ():
+            attrs.setdefault(k.lower(), a or b or c)  # of an attribute given twice the first counts
         at_up = stack[-1][0]
         up = nodes[at_up]
         hints = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         top = tag in ("html", "body", "article", "main")
         apart = up.apart or tag in _APART or not top and attrs.get("role", "").lower() in _ROLES
         hinted = not top and len(hints) > 1 and bool(_HINT.search(hints))
+        sure = hinted and not _SURE.isdisjoint(hints.lower().split())
+        if hinted and tag in _TEXTUAL and up.main:  # "share-prices" or "notice" on a paragraph of an article say nothing
+            hinted = sure
         main = up.main or not apart and not hinted and (tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody")
-        node = Node(tag, at_up, up.raw or tag in _RAW or tag in ("head", "noscript", "template", "svg", "math", "object"), apart, hinted, main, up.link or tag == "a")
+        node = Node(tag, at_up, up.raw or tag in _RAW or tag in ("head", "noscript", "template", "svg", "math", "object"), apart, hinted, sure, main, up.link or tag == "a")
         up.kids.append(len(nodes))
         stack.append((len(nodes), tag))
+        open_[tag] = open_.get(tag, 0) + 1
         nodes.append(node)
         if tag in _RAW:
             end = _RAW_END[tag].search(text, at)
@@ -120,9 +134,14 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, pieces
 
 
-def close(stack: list[tuple[int, str]], tags: set[str], scope: frozenset[str] | set[str]) -> None:
+def close(stack: list[tuple[int, str]], open_: dict[str, int], tags: set[str], scope: Container[str]) -> None:
+    """Closes the innermost open element of these names, with all in it, unless one of the scope stands between."""
+    if not any(open_.get(t) for t in tags):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i][1] in tags:
+            for _, tag in stack[i:]:
+                open_[tag] -= 1
             del stack[i:]
             return
         if stack[i][1] in scope:
@@ -409,8 +428,11 @@ def content(nodes: list[Node], pieces: list[tuple[int, str]], found: list[int] |
             gone[i] |= u in wrapper["menus"]
             if u in wrapper["template"] and digest(squeeze(node.text)) in wrapper["template"][u]:
                 own[i] = False
-        large = bool(wrapper) and u in wrapper["large"]
+        # names take away containers, not what holds much of the article's text, nor its paragraphs
+        large = bool(wrapper) and (u in wrapper["large"] or inside[i] and node.tag in _TEXTUAL and not node.sure)
         gone[i] |= node.raw or names and (node.apart or node.hinted and not large)
+    if wrapper:
+        keep_headings(nodes, pieces, inside, gone, own)
     use = [a and not b and c for a, b, c in zip(inside, gone, own)]
     if names and any(use[i] and nodes[i].main and p.strip() for i, p in pieces):
         use = [x and node.main for x, node in zip(use, nodes)]
@@ -423,6 +445,25 @@ def content(nodes: list[Node], pieces: list[tuple[int, str]], found: list[int] |
     return squeeze(kept)
 
 
+def keep_headings(nodes: list[Node], pieces: list[tuple[int, str]], inside: list[bool], gone: list[bool], own: list[bool]) -> None:
+    """A heading in the article that all pages share stays if text of the page follows it before the next heading."""
+    shared = [i for i, node in enumerate(nodes) if not own[i] and inside[i] and not gone[i] and node.tag in _HEADINGS]
+    if not shared:
+        return
+    has = [False] * len(nodes)
+    for i, piece in pieces:
+        has[i] |= inside[i] and not gone[i] and own[i] and bool(piece.strip())
+    for i in range(len(nodes) - 1, 0, -1):
+        has[nodes[i].up] |= has[i]
+    wanted = set(shared)
+    for up in {nodes[i].up for i in shared}:
+        follows = False
+        for k in reversed(nodes[up].kids):
+            if k in wanted and follows:
+                own[k] = True
+            follows = has[k] or follows and nodes[k].tag not in _HEADINGS
+
+
 class Wrapper:
     """A host's slots and what was decided on them."""
 

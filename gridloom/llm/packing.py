@@ -15,6 +15,8 @@ from .common import WORD, n_blocks, table
 LENGTHS = (512, 1024, 2048, 4096)
 #: A sequence costs its length, a fixed part, and a part for attention that is as large as the length at this length.
 OVERHEAD, ATTENTION = 16, 16_384
+#: How many of the emptiest bins are packed again together, in turn, and how often.
+TAILS, AGAIN = (64, 24, 8, 4, 2), 4
 #: Documents that are packed together, on average; each block is packed by itself.
 BLOCK_ROWS = 20_000
 
@@ -25,12 +27,18 @@ def open_cost(length: int, load: int) -> float:
 
 
 def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each item, load of each bin, length of each bin) for sizes of 1 to max(lengths).
+    """(bin of each item, load of each bin, length of each bin) for sizes of 1 to max(lengths), the bins of opened_fit
+    downsized to the smallest length that holds their contents."""
+    where, load, _ = opened_fit(sizes, lengths)
+    return where, load, downsized(load, lengths)
+
+
+def opened_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each item, load of each bin, length that each bin was opened with).
 
     Items go from large to small (ties in their order) to the open bin with the least room that takes them,
     ties to the oldest bin. Where none does, a new bin opens: of the lengths that hold the item, the one that
-    costs least for each word it could be filled with from the items still to come. At the end every bin is
-    downsized to the smallest length that holds its contents.
+    costs least for each word it could be filled with from the items still to come.
     """
     lengths = tuple(sorted(lengths))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
@@ -50,7 +58,7 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list
         left -= size
         if load[b] < length[b]:
             insort(room, (length[b] - load[b], b))
-    return where, load, [next(x for x in lengths if x >= n) for n in load]
+    return where, load, length
 
 
 class Remaining:
@@ -125,12 +133,45 @@ def downsized(load: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[int]:
     return [next(x for x in sorted(lengths) if x >= n) for n in load]
 
 
+def total_cost(lengths: list[int]) -> float:
+    return sum(open_cost(n, 1) for n in lengths)
+
+
+def tries(sizes: list[int], lengths: tuple[int, ...]) -> list[tuple[list[int], list[int], list[int]]]:
+    """Packings with the lengths that bins were opened with: planned_fit, and opened_fit with all lengths, with all but the
+    smallest, and so on to the largest alone."""
+    return [planned_fit(sizes, lengths), *(opened_fit(sizes, lengths[k:]) for k in range(len(lengths)))]
+
+
 def joint_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """The cheapest of several packings, the bins of each downsized to their contents: planned_fit, and best_fit with all
-    lengths, with all but the smallest, and so on to the largest alone."""
+    """The cheapest of several packings, every bin downsized to its contents, and its emptiest bins packed again.
+
+    Of the bins with room left the emptiest are taken out, TAILS of them in turn, and their items are packed in every way
+    of tries(): bins open large, fill, shrink to what they hold, and the cheapest way stays, if it is cheaper than what
+    was there. That is done AGAIN times.
+    """
+    return opened_and_final(sizes, lengths)[:3]
+
+
+def opened_and_final(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int], list[int]]:
+    """joint_fit's bins, loads and lengths, and the lengths that the bins were opened with."""
     lengths = tuple(sorted(lengths))
-    tries = [planned_fit(sizes, lengths), *(best_fit(sizes, lengths[k:]) for k in range(len(lengths)))]
-    return min(((where, load, downsized(load, lengths)) for where, load, _ in tries), key=lambda x: sum(open_cost(n, 1) for n in x[2]))
+    price = lambda t: total_cost(downsized(t[1], lengths))
+    where, load, opened = min(tries(sizes, lengths), key=price)
+    for tail in TAILS * AGAIN:
+        final = downsized(load, lengths)
+        loose = sorted((b for b in range(len(load)) if load[b] < final[b]), key=lambda b: (load[b] / final[b], b))[:tail]
+        place = {b: k for k, b in enumerate(loose)}
+        items = [i for i, b in enumerate(where) if b in place]
+        new = min(tries([sizes[i] for i in items], lengths), key=price, default=None) if items else None
+        if new is None or price(new) >= total_cost([final[b] for b in loose]) - 1e-9:
+            continue
+        number = {b: k for k, b in enumerate(b for b in range(len(load)) if b not in place)}
+        where = [number.get(b, -1) for b in where]
+        for i, b in zip(items, new[0]):
+            where[i] = len(number) + b
+        load, opened = [load[b] for b in number] + new[1], [opened[b] for b in number] + new[2]
+    return where, load, downsized(load, lengths), opened
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -1,25 +1,20 @@
 """Focal operators on long grids (r, c, value): each cell from its neighbourhood.
 
-Windows along rows and along columns give neighbours with two exchanges of the grid, whatever the size of the
-neighbourhood; a separable operator is two such passes. Borders follow each operator's own rule.
+Neighbourhoods are array kernels over tiles with halos (tiles.py): one exchange of the grid, whatever the size of the
+neighbourhood. Borders follow each operator's own rule.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-
-
-def along_row():
-    return Window.partitionBy("r").orderBy("c")
-
-
-def along_col():
-    return Window.partitionBy("c").orderBy("r")
+from .ranking import quantiles
+from .tiles import Box, beside, over_tiles
 
 
 def neighbourhood(df: DataFrame, value: str = "z") -> DataFrame:
@@ -28,15 +23,17 @@ def neighbourhood(df: DataFrame, value: str = "z") -> DataFrame:
     Outside the border a value is what a straight line through the edge cell and the one inside it gives.
     """
 
-    def beside(v: str, w, step: int) -> Column:
-        side, other = (F.lag(v).over(w), F.lead(v).over(w)) if step < 0 else (F.lead(v).over(w), F.lag(v).over(w))
-        return F.coalesce(side, F.col(v) * 2 - other)
+    def kernel(box: Box, arrays: list[np.ndarray]) -> list[np.ndarray]:
+        z = arrays[0]
 
-    rows = df.withColumns({"__w": beside(value, along_row(), -1), "__e": beside(value, along_row(), 1)})
-    out = {"z4": F.col("__w"), "z5": F.col(value), "z6": F.col("__e")}
-    out |= {f"z{k}": beside(v, along_col(), -1) for k, v in ((1, "__w"), (2, value), (3, "__e"))}
-    out |= {f"z{k}": beside(v, along_col(), 1) for k, v in ((7, "__w"), (8, value), (9, "__e"))}
-    return rows.withColumns(out).drop("__w", "__e")
+        def side(a: np.ndarray, rows: int, cols: int) -> np.ndarray:
+            near = beside(a, rows, cols)
+            return np.where(np.isnan(near), 2 * a - beside(a, -rows, -cols), near)
+
+        middle = [side(z, 0, -1), z, side(z, 0, 1)]
+        return [*(side(a, -1, 0) for a in middle), *middle, *(side(a, 1, 0) for a in middle)]
+
+    return over_tiles(df, [value], 1, kernel, ", ".join(f"z{k} double" for k in range(1, 10)))
 
 
 def gradient(df: DataFrame, dx: Column | float, dy: Column | float, value: str = "z") -> DataFrame:
@@ -57,42 +54,45 @@ def curvatures(df: DataFrame, dx: Column | float, dy: Column | float, value: str
 def simple_gradient(df: DataFrame, dx: float, dy: float, value: str = "z") -> DataFrame:
     """df with gx and gy: central differences inside, one-sided ones at the border."""
 
-    def slope(w, step: float) -> Column:
-        a, b = F.lag(value).over(w), F.lead(value).over(w)
-        return F.when(a.isNotNull() & b.isNotNull(), (b - a) / (2 * step)).otherwise((F.coalesce(b, F.col(value)) - F.coalesce(a, F.col(value))) / step)
+    def kernel(box: Box, arrays: list[np.ndarray]) -> list[np.ndarray]:
+        z = arrays[0]
+
+        def slope(before: np.ndarray, after: np.ndarray, step: float) -> np.ndarray:
+            inside = ~np.isnan(before) & ~np.isnan(after)
+            return np.where(inside, (after - before) / (2 * step), (np.where(np.isnan(after), z, after) - np.where(np.isnan(before), z, before)) / step)
 
-    return df.withColumns({"gx": slope(along_row(), dx), "gy": slope(along_col(), dy)})
+        return [slope(beside(z, 0, -1), beside(z, 0, 1), dx), slope(beside(z, -1, 0), beside(z, 1, 0), dy)]
 
+    return over_tiles(df, [value], 1, kernel, "gx double, gy double")
 
-def _mirrored(df: DataFrame, values: list[str], k: int, w, weights: list[float]) -> DataFrame:
-    """The weighted sum of 2k + 1 cells along w; beyond the border the cells repeat in reverse, edge cell first."""
-    size, at = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.row_number().over(w) - 1
-    df = df.withColumns({"__n": size.cast("int"), "__i": at})
-    out = {}
-    for v in values:
-        near = F.collect_list(v).over(w.rowsBetween(-2 * k - 1, 2 * k + 1))
-        first = F.greatest(F.col("__i") - 2 * k - 1, F.lit(0))
-        total = F.lit(0.0)
-        for o, weight in zip(range(-k, k + 1), weights):
-            j = F.pmod(F.col("__i") + o, F.col("__n") * 2)
-            j = F.least(j, F.col("__n") * 2 - 1 - j)
-            total = total + F.get(F.col(f"__l_{v}"), j - first) * weight
-        df = df.withColumn(f"__l_{v}", near)
-        out[v] = total
-    return df.withColumns(out).drop("__n", "__i", *[f"__l_{v}" for v in values])
+
+def weighted(df: DataFrame, values: list[str], weights: list[float]) -> DataFrame:
+    """df with each value replaced by the weighted sum over a square of cells, by the same weights along rows and columns.
+
+    Beyond the border cells repeat in reverse, edge cell first.
+    """
+    k = len(weights) // 2
+
+    def kernel(box: Box, arrays: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for a in map(box.mirrored, arrays):
+            for rows, cols in ((0, 1), (1, 0)):
+                a = sum(w * beside(a, rows * o, cols * o) for o, w in zip(range(-k, k + 1), weights))
+            out.append(a)
+        return out
+
+    return over_tiles(df, values, k, kernel, ", ".join(f"`{v}` double" for v in values)).select(*df.columns)
 
 
 def box_mean(df: DataFrame, values: list[str], k: int) -> DataFrame:
     """df with each value replaced by its mean over (2k + 1) squared cells."""
-    w = [1 / (2 * k + 1)] * (2 * k + 1)
-    return _mirrored(_mirrored(df, values, k, along_row(), w), values, k, along_col(), w)
+    return weighted(df, values, [1 / (2 * k + 1)] * (2 * k + 1))
 
 
 def gaussian(df: DataFrame, values: list[str], sigma: float = 2.0, truncate: float = 4.0) -> DataFrame:
     k = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (o / sigma) ** 2) for o in range(-k, k + 1)]
-    w = [x / sum(raw) for x in raw]
-    return _mirrored(_mirrored(df, values, k, along_row(), w), values, k, along_col(), w)
+    return weighted(df, values, [x / sum(raw) for x in raw])
 
 
 def lee_filter(df: DataFrame, value: str, k: int = 2) -> DataFrame:
@@ -107,13 +107,11 @@ def lee_filter(df: DataFrame, value: str, k: int = 2) -> DataFrame:
 def median3(df: DataFrame, value: str) -> DataFrame:
     """df with the value replaced by the median of its 3 x 3 window; border cells count again for what is missing."""
 
-    def edge(v: str, w) -> tuple[Column, Column]:
-        return F.coalesce(F.lag(v).over(w), F.col(v)), F.coalesce(F.lead(v).over(w), F.col(v))
+    def kernel(box: Box, arrays: list[np.ndarray]) -> list[np.ndarray]:
+        a = box.mirrored(arrays[0])
+        return [np.sort(np.stack([beside(a, i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]), 0)[4]]
 
-    a, b = edge(value, along_row())
-    wide = df.withColumns({"__a": a, "__b": b})
-    columns = [F.col(v) for v in ("__a", value, "__b")] + [x for v in ("__a", value, "__b") for x in edge(v, along_col())]
-    return wide.withColumn("__nine", F.array(*columns)).withColumn(value, F.get(F.array_sort("__nine"), F.lit(4))).drop("__a", "__b", "__nine")
+    return over_tiles(df, [value], 1, kernel, f"`{value}` double").select(*df.columns)
 
 
 def dilate(mask: DataFrame, n: int) -> DataFrame:
@@ -123,22 +121,28 @@ def dilate(mask: DataFrame, n: int) -> DataFrame:
 
 
 def near(df: DataFrame, mask: Column, n: int, name: str) -> DataFrame:
-    """df with a boolean column: is a cell of the mask within n rows and columns? Separable maxima, for full grids."""
-    along = lambda w: w.rangeBetween(-n, n)
-    rows = df.withColumn("__m", F.max(mask.cast("int")).over(along(along_row())))
-    return rows.withColumn(name, F.max("__m").over(along(along_col())) == 1).drop("__m")
+    """df with a boolean column: is a cell of the mask within n rows and columns? Separable maxima."""
+
+    def kernel(box: Box, arrays: list[np.ndarray]) -> list[np.ndarray]:
+        a = np.nan_to_num(arrays[0])
+        for rows, cols in ((0, 1), (1, 0)):
+            a = np.max([np.nan_to_num(beside(a, rows * o, cols * o)) for o in range(-n, n + 1)], axis=0)
+        return [a]
+
+    found = over_tiles(df.withColumn("__m", mask.cast("double")), ["__m"], n, kernel, "__m double")
+    return found.withColumn(name, F.col("__m") == 1).drop("__m")
 
 
 def ensure_db(df: DataFrame, value: str) -> DataFrame:
     """df with the value in decibels: converted if it looks linear (nothing negative, median below 1)."""
-    s = df.agg(F.min(value).alias("low"), F.percentile(value, 0.5).alias("mid")).first()
-    linear = s["low"] is not None and s["low"] >= 0 and s["mid"] < 1
+    low, mid = quantiles(df, value, [0.0, 0.5])
+    linear = low is not None and low >= 0 and mid < 1
     return df.withColumn(value, S.linear_to_db(F.col(value))) if linear else df
 
 
 def preprocess(df: DataFrame, value: str, k: int = 2) -> DataFrame:
     """Decibels, smoothed on the linear scale; invalid cells take the median for it and are null again after it."""
     db = ensure_db(df, value).withColumn("__ok", F.col(value).isNotNull())
-    mid = db.agg(F.percentile(value, 0.5).alias("m")).first()["m"]
+    mid = quantiles(db, value, [0.5])[0]
     linear = db.withColumn(value, S.db_to_linear(F.coalesce(value, F.lit(mid))))
     return lee_filter(linear, value, k).withColumn(value, F.when(F.col("__ok"), S.linear_to_db(F.col(value)))).drop("__ok")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import auc, percentile_against
+from .ranking import auc, percentile_against, quantiles
 
 
 def contingency(df: DataFrame, found: Column, truth: Column, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def brier(df: DataFrame, score: str, label: Column) -> DataFrame:
 
 def calibration_bins(df: DataFrame, score: str, label: Column, bins: int = 10) -> DataFrame:
     """(bin, n, mean_score, mean_label) over quantile bins; values at an edge go up, the last bin is closed."""
-    edges = df.agg(F.percentile(score, [k / bins for k in range(bins + 1)]).alias("q")).first()["q"] or [0.0]
+    edges = [0.0 if e is None else e for e in quantiles(df, score, [k / bins for k in range(bins + 1)])]
     at = F.lit(-1)
     for e in edges:
         at = at + (F.col(score) >= e).cast("int")

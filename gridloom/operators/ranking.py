@@ -6,6 +6,8 @@ before it from the ranges' totals, a table of a few hundred rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,21 @@ def running_sums(df: DataFrame, value: str, sums: list[str], by: list[str] | Non
     return out.drop("__range", *[f"__off_{s}" for s in sums])
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of the values that are not null, between neighbours by a straight line; None if there is none.
+
+    Values are counted and dealt over ranges; only those at the wanted ranks leave the tasks, two a share at most.
+    """
+    counts = cut(running_sums(value_counts(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), "v"), "v", ["n"]))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"]
+    if not total:
+        return [None] * len(shares)
+    wanted = sorted({k for q in shares for at in [q * (total - 1)] for k in (math.floor(at), math.ceil(at))})
+    ranks = counts.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in wanted]), lambda k: (k >= F.col("before_n")) & (k < F.col("before_n") + F.col("n")))))
+    at = {r["k"]: r["v"] for r in ranks.select("k", "v").collect()}
+    return [at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in (q * (total - 1) for q in shares)]
+
+
 def value_counts(df: DataFrame, value: str, by: list[str] | None = None, **conditions: Column) -> DataFrame:
     """One row a value (and group) with n and a count for each condition."""
     return df.groupBy(*(by or []), value).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in conditions.items()])

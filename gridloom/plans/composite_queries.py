@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import agreement, focal, metrics
+from ..operators import agreement, focal, metrics, ranking
 from ..operators import models as M
 from ..operators import sampling as P
 from . import composites as C
@@ -118,7 +118,7 @@ def cp14(t):
 
 @query("cp15_town_risk", DEM + ", q AS (SELECT quantile_cont(z, 0.3) AS low FROM dem) SELECT CASE WHEN NOT c % 4 = 0 THEN 0 ELSE 1 + (z <= low)::INT + (c <= 20)::INT END AS risk, count(*) AS n FROM dem, q GROUP BY 1")
 def cp15(t):
-    low = t.dem.agg(F.percentile("z", 0.3).alias("q")).first()["q"]
+    low = ranking.quantiles(t.dem, "z", [0.3])[0]
     return t.dem.groupBy(S.growth_risk(F.col("c") % 4 == 0, F.col("z") <= low, F.col("c") <= 20).alias("risk")).agg(F.count("*").alias("n"))
 
 

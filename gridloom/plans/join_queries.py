@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import joins
+from ..operators import joins, ranking
+from ..operators.lineage import cut
 from .registry import query, sql_with
 
 R = lambda c, n, d=6: F.round(c, d).alias(n)
@@ -206,8 +207,9 @@ def jn22(t):
 @query("jn23_distance_distribution", _NEAR + "SELECT round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.9), 6) AS p90, round(avg((d <= 2)::INT), 6) AS within_2 FROM k WHERE nth = 1")
 def jn23(t):
     s, q = _pts(t)
-    d = joins.nearest_points(q, s, "qid", "sid").agg(F.percentile("dist", [0.5, 0.75, 0.9]).alias("p"), R(F.avg((F.col("dist") <= 2).cast("int")), "within_2"))
-    return d.select(*[R(F.get("p", F.lit(i)), n) for i, n in enumerate(("median", "p75", "p90"))], "within_2")
+    near = cut(joins.nearest_points(q, s, "qid", "sid"))
+    found = zip(("median", "p75", "p90"), ranking.quantiles(near, "dist", [0.5, 0.75, 0.9]))
+    return near.agg(R(F.avg((F.col("dist") <= 2).cast("int")), "within_2")).select(*[R(F.lit(x), n) for n, x in found], "within_2")
 
 
 @query("jn24_segments", _TRI + " SELECT id, 0 AS part, x1, y1, x2, y2 FROM p UNION ALL SELECT id, 1, x2, y2, x3, y3 FROM p UNION ALL SELECT id, 2, x3, y3, x1, y1 FROM p")

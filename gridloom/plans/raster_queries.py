@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import density, focal, grid, joins, resample
+from ..operators import density, focal, grid, joins, ranking, resample
 from .registry import query, sql_with
 
 R = lambda c, n=None, d=6: F.round(c, d).alias(n or c)
@@ -195,7 +195,7 @@ def rf19(t):
 
 @query("rf20_invariant_bias", PAIR + " SELECT r, c, round(b - (SELECT quantile_cont(b - a, 0.5) FROM img_pair WHERE ref), 6) AS b FROM img_pair")
 def rf20(t):
-    bias = t.img_pair.where("ref").agg(F.percentile(F.col("b") - F.col("a"), 0.5).alias("m")).first()["m"]
+    bias = ranking.quantiles(t.img_pair.where("ref").select((F.col("b") - F.col("a")).alias("d")), "d", [0.5])[0]
     return t.img_pair.select("r", "c", R(F.col("b") - F.lit(bias), "b"))
 
 

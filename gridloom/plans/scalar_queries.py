@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import ranking
 from .registry import query, sql_with
 
 R = lambda c, n, d=6: F.round(c, d).alias(n)
@@ -326,5 +327,5 @@ def pf15(t):
 
 @query("pf16_percentile_threshold", "SELECT p_partkey, p_size FROM part WHERE p_size <= (SELECT quantile_cont(p_size, 0.3) FROM part)")
 def pf16(t):
-    cut = t.part.agg(F.percentile("p_size", 0.3).alias("q")).first()["q"]
+    cut = ranking.quantiles(t.part, "p_size", [0.3])[0]
     return t.part.where(F.col("p_size") <= cut).select("p_partkey", "p_size")

@@ -9,7 +9,6 @@ fill without increments is a fixed point of joins.
 from __future__ import annotations
 
 import heapq
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +25,6 @@ TILE = 256
 SIDE_WIDTH, CORNER_WIDTH = 0.5, 0.354
 
 
-def fill_basin(z: np.ndarray, outlets: np.ndarray, epsilon: float = EPSILON) -> np.ndarray:
-    """z raised so that every cell drains to the border or an outlet: the lowest open cell goes on first, a queue
-    of cells being raised goes before it. NaN cells are walls."""
-    h, w = z.shape
-    out, done, queue, n = z.copy(), np.isnan(z), deque(), 0
-    seeds = [(i, j) for i in range(h) for j in range(w) if not done[i, j] and (i in (0, h - 1) or j in (0, w - 1) or outlets[i, j])]
-    heap = []
-    for i, j in seeds:
-        heap.append((out[i, j], n, i, j))
-        done[i, j] = True
-        n += 1
-    heapq.heapify(heap)
-    while heap or queue:
-        if queue:
-            i, j = queue.popleft()
-        else:
-            _, _, i, j = heapq.heappop(heap)
-        for a, b in OFFSETS:
-            r, c = i + a, j + b
-            if 0 <= r < h and 0 <= c < w and not done[r, c]:
-                done[r, c] = True
-                if out[r, c] <= out[i, j] + epsilon:
-                    out[r, c] = out[i, j] + epsilon
-                    queue.append((r, c))
-                else:
-                    heapq.heappush(heap, (out[r, c], n, r, c))
-                    n += 1
-    return out
-
-
 def _flood_tile(cells: pa.Table, halo: pa.Table, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(r, c, zf) of a tile's cells: the lowest level at which each drains to its seeds or to the halo; inf where it cannot yet."""
     r, c, z = (cells.column(k).to_numpy(zero_copy_only=False) for k in ("r", "c", "z"))

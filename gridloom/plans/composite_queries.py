@@ -8,6 +8,7 @@ from ..functions import scalar as S
 from ..operators import agreement, focal, metrics, ranking
 from ..operators import models as M
 from ..operators import sampling as P
+from ..operators.lineage import cut
 from . import composites as C
 from .registry import query, sql_with
 
@@ -86,12 +87,67 @@ def cp10(t):
     return C.hotspots(cells, "block", "weight", "value", 1000, 12, towns, 20.0).select("block", R("weight", d=2), R("median", d=4))
 
 
-@query("cp11_event_windows")
-def cp11(t):
+#: Windows of mapped days and of peaks: peaks in order of size, a list that grows while each is held or opens a window.
+_EVENTS_SQL = sql_with("daily", recursive=True) + """,
+  reg AS (SELECT x.d::DATE AS d, coalesce(mm, 0) AS mm FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM daily) x LEFT JOIN daily y ON x.d::DATE = y.d),
+  r3 AS (SELECT d, CASE WHEN count(*) OVER w = 3 THEN sum(mm) OVER w END AS s FROM reg WINDOW w AS (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), ok AS MATERIALIZED (SELECT d, s FROM r3 WHERE s IS NOT NULL),
+  md AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08),
+  ses AS (SELECT d, sum(CASE WHEN gap IS NULL OR gap > 14 THEN 1 ELSE 0 END) OVER (ORDER BY d) AS session FROM (SELECT d, date_diff('day', lag(d) OVER (ORDER BY d), d) AS gap FROM md)),
+  maps AS (SELECT 'map-' || strftime(min(d), '%Y%m%d') AS event, 'map' AS kind, min(d) - 10 AS s, max(d) + 10 AS e, count(*) AS n_maps FROM ses GROUP BY session),
+  pk AS (SELECT 1 AS nth, (SELECT [d] FROM ok ORDER BY s DESC, d LIMIT 1) AS ds UNION ALL
+         SELECT nth + 1, list_append(ds, (SELECT d FROM ok WHERE len(list_filter(pk.ds, lambda x: abs(date_diff('day', x, ok.d)) < 15)) = 0 ORDER BY s DESC, d LIMIT 1)) FROM pk WHERE nth < 10),
+  top AS (SELECT nth, ds[nth] AS d, ok.s AS mm FROM pk JOIN ok ON ok.d = ds[nth]),
+  held AS (SELECT nth, t.d, t.mm, arg_min(m.event, (m.s, m.event)) AS event FROM top t JOIN maps m ON t.d BETWEEN m.s AND m.e + 10 GROUP BY ALL),
+  lone AS (SELECT list(d ORDER BY nth) AS ds FROM top WHERE nth NOT IN (SELECT nth FROM held)),
+  fold AS (SELECT 0 AS i, []::DATE[] AS opened UNION ALL
+           SELECT i + 1, CASE WHEN len(list_filter(opened, lambda o: lone.ds[i + 1] BETWEEN o - 12 AND o + 20)) > 0 THEN opened ELSE list_append(opened, lone.ds[i + 1]) END FROM fold, lone WHERE i < len(lone.ds)),
+  rain AS (SELECT unnest(opened) AS d FROM (SELECT opened FROM fold ORDER BY i DESC LIMIT 1)),
+  own AS (SELECT event, arg_min(d, nth) AS peak_day, arg_min(mm, nth) AS mm FROM held GROUP BY event),
+  ev0 AS (SELECT event, kind, s, e, n_maps, peak_day, mm FROM maps LEFT JOIN own USING (event)
+          UNION ALL SELECT 'rain-' || strftime(r.d, '%Y%m%d'), 'rain', r.d - 12, r.d + 10, 0, r.d, ok.s FROM rain r JOIN ok ON ok.d = r.d),
+  ev AS (SELECT event, kind, s, e, n_maps, peak_day, coalesce(mm, (SELECT max(s) FROM ok WHERE d BETWEEN ev0.s - 5 AND ev0.e)) AS peak_mm,
+         coalesce((SELECT sum(mm) FROM reg WHERE date_trunc('month', d) = date_trunc('month', ev0.s)), 0) AS month_mm FROM ev0)"""
+
+_SCENES_SQL = _EVENTS_SQL + """,
+  sc AS (SELECT o_orderdate::DATE AS d, (o_custkey % 12)::INT AS orbit, count(*) AS n_frames, round(avg((o_orderkey % 10) / 9.0), 6) AS coverage, round(avg((o_orderkey * 7 % 10) / 9.0), 6) AS eta, sum(o_totalprice) AS area, round(avg((o_orderkey * 3 % 10) / 9.0), 6) AS agreement
+         FROM orders GROUP BY 1, 2),
+  dry AS (SELECT orbit, year(d) AS y, arg_min(d, (abs(date_diff('day', make_date(year(d), 2, 10), d)), d)) AS dry_day FROM sc WHERE month(d) IN (1, 2, 3) GROUP BY 1, 2),
+  es AS (SELECT ev.event, ev.kind, sc.d, sc.orbit, n_frames, coverage, eta, area, CASE WHEN kind = 'map' THEN agreement END AS agreement, dry_day FROM ev JOIN sc ON sc.d BETWEEN ev.s AND ev.e LEFT JOIN dry ON dry.orbit = sc.orbit AND dry.y = year(ev.s)),
+  why AS (SELECT *, concat_ws('; ', CASE WHEN dry_day IS NULL THEN 'no dry reference' END, CASE WHEN coverage < 0.3017 THEN 'coverage' END, CASE WHEN eta < 0.3017 THEN 'eta' END, CASE WHEN area < 50000 THEN 'area' END, CASE WHEN agreement < 0.5013 THEN 'agreement' END) AS reason FROM es),
+  et AS (SELECT *, CASE WHEN reason <> '' THEN 'rejected' WHEN agreement IS NULL THEN 'unverified' ELSE 'kept' END AS status FROM why)"""
+
+
+def _events(t):
     from ..operators.timeseries import regular_days
 
-    days = t.events.where("event_type = 'signup'").select(F.to_date("ts").alias("d"))
-    return C.event_windows(days, regular_days(t.daily, "d", "mm"), gap=2, pad=2, peaks=4).withColumn("peak_mm", F.round("peak_mm", 4))
+    days = t.lineitem.where("l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08").select(F.to_date("l_shipdate").alias("d"))
+    return C.event_windows(days, regular_days(t.daily, "d", "mm"))
+
+
+def _event_table(t, events):
+    key = F.col("o_orderkey")
+    share = lambda x: F.round(F.avg(F.pmod(x, F.lit(10)) / 9.0), 6)
+    scenes = t.orders.groupBy(F.to_date("o_orderdate").alias("d"), F.pmod("o_custkey", F.lit(12)).cast("int").alias("orbit")).agg(
+        F.count("*").alias("n_frames"), share(key).alias("coverage"), share(key * 7).alias("eta"), F.sum("o_totalprice").alias("area"), share(key * 3).alias("agreement"))
+    seen = C.event_scenes(events, scenes, [1, 2, 3], "02-10").withColumn("agreement", F.when(F.col("kind") == "map", F.col("agreement")))
+    return C.event_table(seen, 0.3017, 0.3017, 50000.0, 0.5013)
+
+
+@query("cp11_event_windows", _EVENTS_SQL + " SELECT event, kind, s AS start, e AS \"end\", n_maps::BIGINT AS n_maps, peak_day, round(peak_mm, 4) AS peak_mm, round(month_mm, 4) AS month_mm FROM ev")
+def cp11(t):
+    return _events(t).withColumns({c: F.round(c, 4) for c in ("peak_mm", "month_mm")})
+
+
+@query("cp11_event_table", _SCENES_SQL + " SELECT event, kind, d, orbit, n_frames, round(coverage, 6) AS coverage, dry_day, status, reason FROM et")
+def cp11_table(t):
+    return _event_table(t, _events(t)).select("event", "kind", "d", "orbit", "n_frames", R("coverage"), "dry_day", "status", "reason")
+
+
+@query("cp11_event_selection", _SCENES_SQL + """ SELECT ev.event, count(et.d) AS n_scenes, CASE WHEN count(*) FILTER (WHERE status = 'kept') > 0 THEN 'kept' WHEN count(*) FILTER (WHERE status = 'unverified') > 0 THEN 'unverified' ELSE 'rejected' END AS status,
+  arg_min(d, (-agreement, d, orbit)) FILTER (WHERE status = 'kept') AS selected_day, arg_min(orbit, (-agreement, d, orbit)) FILTER (WHERE status = 'kept') AS selected_orbit FROM ev LEFT JOIN et USING (event) GROUP BY ev.event""")
+def cp11_selection(t):
+    events = cut(_events(t))
+    return C.event_selection(events, _event_table(t, events)).select("event", "n_scenes", "status", "selected_day", "selected_orbit")
 
 
 @query("cp12_hybrid_imperviousness")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import components, focal, joins, resample, routing, stats
 from ..operators import timeseries as T
-from ..operators.quality import audit, provenance
+from ..operators.lineage import cut
+from ..operators.quality import audit, keep_rule, provenance
 
 
 def route_flow(cells: DataFrame, dx: float, dy: float, basin: str | None = None) -> DataFrame:
@@ -60,26 +61,64 @@ def label_pools(classes: DataFrame, envelope: DataFrame, least: int = 10, tolera
 
 
 def event_windows(map_days: DataFrame, series: DataFrame, gap: int = 14, pad: int = 10, peaks: int = 10, apart: int = 15) -> DataFrame:
-    """(event, kind, start, end, n_maps, peak_mm): sessions of mapped days, and rain peaks that fall in none of them.
+    """(event, kind, start, end, n_maps, peak_day, peak_mm, month_mm): sessions of mapped days, and rain peaks in none of them.
 
-    map_days: (d); series: (d, mm) regular days. Peaks are few; each goes, in order of size, to the first window
-    that holds it, windows of earlier peaks included, else it opens one.
+    map_days: (d); series: (d, mm) regular days. Of the `peaks` greatest three-day sums each belongs to the first window
+    that held it, or a pad after it, when its turn came, windows of greater peaks included; else it opened its own. A
+    window's peak is the greatest that belongs to it, else the greatest sum of its days and the five before.
     """
-    days = map_days.select(F.lit(0).alias("k"), "d").distinct()
-    maps = T.sessions(days, "d", ["k"], gap).groupBy("session").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n"))
-    events = [{"event": f"{r['a']:%Y-%m}_map", "kind": "map", "start": r["start"], "end": r["end"], "n_maps": r["n"]} for r in maps.withColumns({"start": F.date_sub("a", pad), "end": F.date_add("b", pad)}).orderBy("a").collect()]
-    import datetime as dt
-
-    r3 = T.rolling_sum(series, "d", "mm", 3)
-    for p in T.declustered_peaks(r3, "d", "rolling", peaks, apart).orderBy("nth").collect():
-        d, day = p["d"], dt.timedelta(days=1)
-        if not any(e["start"] <= d <= e["end"] + pad * day for e in events):
-            events.append({"event": f"{d:%Y-%m-%d}_rain", "kind": "rain", "start": d - (2 + pad) * day, "end": d + pad * day, "n_maps": 0})
-    spark = series.sparkSession
-    table = spark.createDataFrame(events, "event string, kind string, start date, end date, n_maps long")
-    # a day of slack for the sums that end after the window opens
-    most = joins.interval_join(r3.select("d", "rolling"), table.select("event", F.date_sub("start", 5).alias("s"), F.col("end").alias("e")), "d", "s", "e", days=32).groupBy("event").agg(F.max("rolling").alias("peak_mm"))
-    return table.join(most, "event", "left")
+    days = map_days.select(F.lit(0).alias("k"), "d").where("d is not null").distinct()
+    mapped = T.sessions(days, "d", ["k"], gap).groupBy("session").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n_maps"))
+    maps = cut(mapped.select(F.concat(F.lit("map-"), F.date_format("a", "yyyyMMdd")).alias("event"), F.lit("map").alias("kind"), F.date_sub("a", pad).alias("start"), F.date_add("b", pad).alias("end"), "n_maps"))
+    sums = cut(T.rolling_sum(series, "d", "mm", 3))
+    top = T.declustered_peaks(sums, "d", "rolling", peaks, apart)
+    in_map = joins.interval_join(top, maps.select("event", "start", F.date_add("end", pad).alias("until")), "d", "start", "until", days=32)
+    belongs = cut(in_map.groupBy("nth", "d", "rolling").agg(F.min_by("event", F.struct("start", "event")).alias("event")))
+    # the others in order of size, a list as long as the report: which of them open a window
+    rest = top.join(belongs.select("nth"), "nth", "left_anti").agg(F.sort_array(F.collect_list(F.struct("nth", "d", "rolling"))).alias("rest"))
+    within = lambda p: lambda o: (p["d"] >= F.date_sub(o["d"], 2 + pad)) & (p["d"] <= F.date_add(o["d"], 2 * pad))
+    none = F.slice("rest", 1, 0)
+    opened = rest.select(F.explode(F.aggregate("rest", none, lambda held, p: F.when(F.exists(held, within(p)), held).otherwise(F.concat(held, F.array(p))))).alias("p"))
+    name = F.concat(F.lit("rain-"), F.date_format("p.d", "yyyyMMdd"))
+    rain = opened.select(name.alias("event"), F.lit("rain").alias("kind"), F.date_sub("p.d", 2 + pad).alias("start"), F.date_add("p.d", pad).alias("end"), F.lit(0).cast("long").alias("n_maps"), F.col("p.d").alias("peak_day"), F.col("p.rolling").alias("own_mm"))
+    first = belongs.groupBy("event").agg(F.min_by(F.struct(F.col("d").alias("peak_day"), F.col("rolling").alias("own_mm")), "nth").alias("peak")).select("event", "peak.*")
+    events = maps.join(first, "event", "left").unionByName(rain)
+    most = joins.interval_join(sums.select("d", "rolling"), events.select("event", F.date_sub("start", 5).alias("s"), F.col("end").alias("e")), "d", "s", "e", days=32).groupBy("event").agg(F.max("rolling").alias("most"))
+    months = T.month_sums(series, "d", "mm").withColumnRenamed("mm", "month_mm")
+    found = events.join(most, "event", "left").withColumn("month", F.trunc("start", "MM")).join(months, "month", "left")
+    return found.select("event", "kind", "start", "end", "n_maps", "peak_day", F.coalesce("own_mm", "most").alias("peak_mm"), F.coalesce("month_mm", F.lit(0.0)).alias("month_mm"))
+
+
+def event_scenes(events: DataFrame, scenes: DataFrame, dry_months: list[int], dry_target: str) -> DataFrame:
+    """Each scene of each event's window with dry_day, the scene of its orbit in the dry months of the event's year nearest to
+    the target day ('MM-dd'; of two equally near ones the earlier), null if there is none.
+
+    events: event, kind, start, end; scenes: d, orbit and figures, one row a day and orbit.
+    """
+    seen = joins.interval_join(scenes, events.select("event", "kind", "start", "end"), "d", "start", "end", days=32).withColumn("year", F.year("start")).drop("start", "end")
+    dry = scenes.where(F.month("d").isin(dry_months)).select("orbit", F.year("d").alias("year"), F.col("d").alias("dry"))
+    off = F.abs(F.datediff("dry", F.to_date(F.concat_ws("-", "year", F.lit(dry_target)))))
+    nearest = dry.groupBy("orbit", "year").agg(F.min_by("dry", F.struct(off, "dry")).alias("dry_day"))
+    return seen.join(nearest, ["orbit", "year"], "left").drop("year")
+
+
+def event_table(scenes: DataFrame, least_coverage: float, least_eta: float, least_area: float, least_agreement: float) -> DataFrame:
+    """event_scenes with status and reason by the keep rule: figures coverage, eta, area, agreement (null: no map to hold it against)."""
+    failures = {
+        "no dry reference": F.col("dry_day").isNull(), "coverage": F.col("coverage") < least_coverage, "eta": F.col("eta") < least_eta, "area": F.col("area") < least_area,
+        "agreement": F.coalesce(F.col("agreement") < least_agreement, F.lit(False)),
+    }
+    return keep_rule(scenes, failures, F.col("agreement").isNull())
+
+
+def event_selection(events: DataFrame, table: DataFrame) -> DataFrame:
+    """events with n_scenes, status and the scene selected: of those kept the one of best agreement (ties: day, orbit)."""
+    of = table.groupBy("event").agg(
+        F.count("*").alias("n_scenes"), F.min(F.when(F.col("status") == "kept", F.struct((-F.col("agreement")).alias("less"), "d", "orbit"))).alias("best"),
+        F.max((F.col("status") == "unverified").cast("int")).alias("open"),
+    )
+    status = F.when(F.col("best").isNotNull(), "kept").when(F.col("open") == 1, "unverified").otherwise("rejected")
+    return events.join(of, "event", "left").select(*events.columns, F.coalesce("n_scenes", F.lit(0)).cast("long").alias("n_scenes"), status.alias("status"), F.col("best.d").alias("selected_day"), F.col("best.orbit").alias("selected_orbit"))
 
 
 def hybrid_imperviousness(anchor: DataFrame, cube: DataFrame, first: int, last: int, on: float) -> DataFrame:

@@ -33,7 +33,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters of normalised text that are split into units at a time.
 PORTION = 1 << 20
 #: Units remembered by a task: characters in all, and the longest.
-REMEMBERED, LONGEST = 1 << 22, 64
+REMEMBERED, LONGEST = 6_000_000, 64
 #: Units of more characters are merged through a heap.
 SHORT = 40
 #: Texts of an Arrow batch that are encoded together.
@@ -189,6 +189,8 @@ class Model:
         # what each id decodes to: bytes, the id of the unknown piece its own mark, control pieces nothing
         self.written = [self.unknown_text.encode() if kind == UNKNOWN else b"" if kind == CONTROL else bytes([int(t[3:5], 16)]) if kind == BYTE else t.replace(SPACE, " ").encode() for t, kind in zip(self.texts, self.types)]
         self._control = np.array([kind == CONTROL for kind in self.types])
+        #: Neighbouring characters that some piece holds.
+        self._pairs = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
         self._is_byte = np.array([kind == BYTE for kind in self.types])
         self._continues = np.array([kind == BYTE and w[0] & 0xC0 == 0x80 for kind, w in zip(self.types, self.written)])
         self._lengths = np.array([1 if kind == UNKNOWN else len(t) for kind, t in zip(self.types, self.texts)])
@@ -254,8 +256,14 @@ class Model:
         return [p for p in parts if p is not None]
 
     def _unit(self, unit: str) -> bytes:
-        """Ids of a unit not seen yet, as bytes of int32."""
-        found = array("i", self.merge(unit)).tobytes()
+        """Ids of a unit not seen yet, as bytes of int32: of its parts, if it has neighbours that no piece joins."""
+        pairs = self._pairs
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in pairs]
+        if cuts:
+            parts = [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])]
+            found = b"".join([self._known.get(p) or self._unit(p) for p in parts])
+        else:
+            found = array("i", self.merge(unit)).tobytes()
         if len(unit) <= LONGEST:
             if self._size > REMEMBERED:
                 self._known.clear()

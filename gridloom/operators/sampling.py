@@ -15,8 +15,12 @@ DEALT = 10_000
 
 
 def draw(keys: list[str], seed: int) -> Column:
-    """A uniform number in [0, 1) of the keys and the seed."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11).cast("double") * F.lit(2.0**-53)
+    """A number in [0, 1): the first 13 hexadecimal digits of the md5 of '<seed>:<key>:<key>...', over 16 to the 13th.
+
+    Any engine can draw it again, so SQL repeats a sample row for row.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
 
 
 def first_by_hash(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import boosting as B
 from ..operators import metrics, ranking
 from ..operators import models as M
 from ..operators import sampling as P
-from .registry import query, sql_with
+from .registry import draw_sql, query, sql_with
 
 R = lambda c, n=None, d=4: F.round(c, d).alias(n or c)
 SAMPLES = sql_with("samples")
@@ -34,26 +34,28 @@ def _model(t):
     return M.fit(train, RECIPE), train, test
 
 
-@query("sm01_balanced", SAMPLES + ", u AS (SELECT DISTINCT id, max(y) OVER (PARTITION BY id) AS y FROM samples) SELECT y, (SELECT count(*) FROM u WHERE u.y = 1) AS n FROM (SELECT DISTINCT y FROM u)")
+@query("sm01_balanced", SAMPLES + f", u AS (SELECT id, max(y) AS y FROM samples GROUP BY id), n AS (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY {draw_sql('id')}, id) AS nth FROM u) SELECT id, y FROM n WHERE y = 1 OR nth <= (SELECT count(*) FROM u WHERE y = 1)")
 def sm01(t):
     u = t.samples.groupBy("id").agg(F.max("y").alias("y"))
-    return P.balanced(u, "y", ["id"]).groupBy("y").agg(F.count("*").alias("n"))
+    return P.balanced(u, "y", ["id"]).select("id", "y")
 
 
-@query("sm02_fixed_n", "SELECT 100::BIGINT AS n, 100::BIGINT AS distinct_cells")
+@query("sm02_fixed_n", sql_with("dem") + f" SELECT r, c, z FROM dem ORDER BY {draw_sql('r', 'c')}, r, c LIMIT 100")
 def sm02(t):
-    return P.first_by_hash(t.dem, ["r", "c"], 100).agg(F.count("*").alias("n"), F.count_distinct("r", "c").alias("distinct_cells"))
+    return P.first_by_hash(t.dem, ["r", "c"], 100)
 
 
-@query("sm03_stratified_split", "SELECT c_nationkey, floor(count(*) * 0.7)::BIGINT AS train, count(*) AS n FROM customer GROUP BY 1")
+_BY_NATION = f"WITH x AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY {draw_sql('c_custkey')}, c_custkey) AS nth, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) "
+
+
+@query("sm03_stratified_split", _BY_NATION + "SELECT c_custkey, c_nationkey, nth <= floor(n * 0.7::DOUBLE) AS train FROM x")
 def sm03(t):
-    s = P.stratified_split(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey", ["c_custkey"])
-    return s.groupBy("c_nationkey").agg(F.count_if("train").alias("train"), F.count("*").alias("n"))
+    return P.stratified_split(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey", ["c_custkey"])
 
 
-@query("sm04_stratified_folds", "WITH x AS (SELECT c_nationkey, (row_number() OVER (PARTITION BY c_nationkey) - 1) % 5 AS fold FROM customer) SELECT c_nationkey, fold::INT AS fold, count(*) AS n FROM x GROUP BY 1, 2")
+@query("sm04_stratified_folds", _BY_NATION + "SELECT c_custkey, c_nationkey, ((nth - 1) % 5)::INT AS fold FROM x")
 def sm04(t):
-    return P.stratified_folds(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey", ["c_custkey"]).groupBy("c_nationkey", "fold").agg(F.count("*").alias("n"))
+    return P.stratified_folds(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey", ["c_custkey"])
 
 
 @query("sm05_group_folds")
@@ -67,12 +69,12 @@ def sm05u(t):
     return t.samples.select("block").distinct().withColumn("fold", P.fold_of_unseen(F.col("block")))
 
 
-@query("sm06_bags", "SELECT k::INT AS bag, 50::BIGINT AS n FROM range(4) x(k)")
+@query("sm06_bags", f"SELECT p_partkey, bag FROM (SELECT p_partkey, k::INT AS bag, row_number() OVER (PARTITION BY k ORDER BY {draw_sql('p_partkey', 'k')}, p_partkey) AS nth FROM part, range(4) x(k)) WHERE nth <= 50")
 def sm06(t):
-    return P.bags(t.part.select("p_partkey"), ["p_partkey"], 4, 50).groupBy("bag").agg(F.count("*").alias("n"))
+    return P.bags(t.part.select("p_partkey"), ["p_partkey"], 4, 50).select("p_partkey", "bag")
 
 
-@query("sm07_block_hold_out")
+@query("sm07_block_hold_out", SAMPLES + f", b AS (SELECT block, row_number() OVER (ORDER BY {draw_sql('block')}, block) AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT block FROM samples WHERE y = 1)) SELECT block FROM b WHERE nth <= greatest(1, round(n * 0.2))")
 def sm07(t):
     return P.held_out_blocks(t.samples, "block", "y")
 
@@ -84,9 +86,9 @@ def sm08(t):
     return d.agg(F.count("*").alias("draws"), R(F.percentile("auc_a", 0.025), "low"), R(F.percentile("auc_a", 0.975), "high"), R(F.avg((F.col("auc_b") > F.col("auc_a")).cast("int")), "b_wins"))
 
 
-@query("sm09_permutation", "SELECT count(*) AS n, sum(p_size)::BIGINT AS total FROM part")
+@query("sm09_permutation", f"WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY {draw_sql('p_partkey')}, p_partkey) AS nth FROM part), b AS (SELECT p_size, row_number() OVER (ORDER BY {draw_sql('p_partkey', seed=43)}, p_partkey) AS nth FROM part) SELECT p_partkey, p_size FROM a JOIN b USING (nth)")
 def sm09(t):
-    return P.permuted(t.part.select("p_partkey", "p_size"), "p_size", ["p_partkey"]).agg(F.count("*").alias("n"), F.sum("p_size").alias("total"))
+    return P.permuted(t.part.select("p_partkey", "p_size"), "p_size", ["p_partkey"])
 
 
 @query("sm10_temporal_split", SAMPLES + " SELECT CASE WHEN event IN (1995, 1996) THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM samples WHERE event IN (1995, 1996, 1998, 2000) GROUP BY 1")

@@ -107,6 +107,11 @@ def sql_with(*names: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}" + ", ".join(f"{n} AS ({_SQL[n]})" for n in names)
 
 
+def draw_sql(*keys: str, seed: int = 42) -> str:
+    """SQL for the whole number that sampling.draw makes of the keys and a seed."""
+    return f"('0x' || substr(md5('{seed}:' || " + " || ':' || ".join(keys) + "), 1, 13))::BIGINT"
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     """Registers a function of Tables as a query, with SQL for the same rows where SQL can express it."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import metrics, ranking, resample, stats
-from .registry import query, sql_with
+from .registry import draw_sql, query, sql_with
 
 R = lambda c, n, d=6: F.round(c, d).alias(n)
 IMG, DEM, PAIR, SAMPLES, AGREE, CUBE = (sql_with(x) for x in ("img", "dem", "img_pair", "samples", "agree", "cube"))
@@ -281,7 +281,7 @@ def so06(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n")).where("n >= 600")
 
 
-@query("so07_random_subset")
+@query("so07_random_subset", sql_with("dem") + f" SELECT r, c, z FROM dem WHERE z > 25 ORDER BY {draw_sql('r', 'c')}, r, c LIMIT 35")
 def so07(t):
     from ..operators.sampling import first_by_hash
 

@@ -10,7 +10,7 @@ from ..operators import models as M
 from ..operators import sampling as P
 from ..operators.lineage import cut
 from . import composites as C
-from .registry import query, sql_with
+from .registry import draw_sql, query, sql_with
 
 R = lambda c, n=None, d=6: F.round(c, d).alias(n or c)
 DEM = sql_with("dem")
@@ -31,11 +31,34 @@ def cp02(t):
     return C.flood_map(_pair(t), "wet", "dry").groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("cp03_label_dataset", sql_with("samples") + " SELECT y, CASE WHEN y = 1 THEN 'pos' ELSE 'neg' END AS kind, count(*) AS n FROM samples WHERE event >= 1996 GROUP BY 1, 2")
+#: Shipments of each cell and year: how much, which share came back, and the commonest line status, null in cells and years with few.
+_YEARLY_SQL = "yearly AS (SELECT floor(l_partkey / 50)::INT AS r, (l_partkey % 50)::INT AS c, year(l_shipdate)::INT AS year, sum(l_quantity) AS v, round(avg((l_returnflag = 'R')::INT), 6) AS back, CASE WHEN count(*) > 2 THEN CASE WHEN max(l_linestatus) = 'O' THEN 1 ELSE 2 END + (sum(l_quantity) > 120)::INT END AS klass FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _yearly(t):
+    k = F.col("l_partkey")
+    open_ = F.when(F.max("l_linestatus") == "O", 1).otherwise(2) + (F.sum("l_quantity") > 120).cast("int")
+    return t.lineitem.groupBy(F.floor(k / 50).cast("int").alias("r"), F.pmod(k, F.lit(50)).cast("int").alias("c"), F.year("l_shipdate").alias("year")).agg(
+        F.sum("l_quantity").alias("v"), R(F.avg((F.col("l_returnflag") == "R").cast("int")), "back"), F.when(F.count("*") > 2, open_).alias("klass"))
+
+
+@query("cp03_label_dataset", DEM + ", " + _YEARLY_SQL + f""", ev AS (SELECT 'e' || year AS event, r, c, v, back FROM yearly WHERE year IN (1996, 1998, 2000)),
+  pool AS (SELECT event, r, c FROM ev WHERE back >= 0.5), more AS (SELECT event, r, c FROM ev WHERE v > 200 EXCEPT SELECT event, r, c FROM pool),
+  pos AS (SELECT *, 'pool' AS src FROM pool UNION ALL SELECT *, 'polygon' FROM more),
+  neg AS (SELECT event, r, c, row_number() OVER (PARTITION BY event ORDER BY {draw_sql('event', 'r', 'c')}, event, r, c) AS nth FROM (SELECT event, r, c FROM ev WHERE back = 0 EXCEPT SELECT event, r, c FROM pos)),
+  rnd AS (SELECT event, r, c FROM ev JOIN dem USING (r, c) WHERE z > 45),
+  al AS (SELECT event, r, c, 'pos' AS kind, src, true AS is_pos FROM pos UNION ALL SELECT n.event, r, c, 'neg', 'neg', false FROM neg n WHERE nth <= (SELECT count(*) FROM pos p WHERE p.event = n.event)
+         UNION ALL SELECT event, r, c, 'rnd', 'rnd', (event, r, c) IN (SELECT (event, r, c) FROM pos) FROM rnd),
+  pl AS (SELECT al.*, ev.v, floor(al.r / 10)::BIGINT || '_' || floor(al.c / 10)::BIGINT AS block FROM al LEFT JOIN ev USING (event, r, c))
+  SELECT event, r, c, kind, src, is_pos, round(v, 4) AS v, block, CASE WHEN block IN ('0_0', '1_1') THEN 4 ELSE (split_part(block, '_', 1)::BIGINT + split_part(block, '_', 2)::BIGINT) % 5 END::INT AS fold FROM pl""")
 def cp03(t):
-    pos = t.samples.where("y = 1 AND event >= 1996").withColumn("kind", F.lit("pos"))
-    neg = t.samples.where("y = 0 AND event >= 1996").withColumn("kind", F.lit("neg"))
-    return pos.unionByName(neg).groupBy("y", "kind").agg(F.count("*").alias("n"))
+    ev = cut(_yearly(t).where(F.col("year").isin(1996, 1998, 2000)).select(F.concat(F.lit("e"), "year").alias("event"), "r", "c", "v", "back"))
+    pools = ev.select("event", "r", "c", F.when(F.col("back") >= 0.5, "pos").when(F.col("back") == 0, "neg").alias("pool"))
+    block = F.concat_ws("_", F.floor(F.col("r") / 10).cast("string"), F.floor(F.col("c") / 10).cast("string"))
+    folds = t.spark.createDataFrame([("0_0", 4), ("1_1", 4)], "block string, fold int")
+    random_cells = ev.join(t.dem.where("z > 45").select("r", "c"), ["r", "c"], "left_semi")
+    found = C.label_dataset(pools, ev.where("v > 200"), random_cells, ev.select("event", "r", "c", "v"), block, folds)
+    return found.select("event", "r", "c", "kind", "src", "is_pos", R("v", d=4), "block", "fold")
 
 
 @query("cp04_land_matrix", DEM + " SELECT r, c, z, p_retailprice AS price FROM dem JOIN part ON p_partkey = r * 50 + c WHERE z > 5")
@@ -156,14 +179,26 @@ def cp12(t):
     return C.hybrid_imperviousness(anchor, t.cube, 1995, 2001, 20.0).select("r", "year", R("share"))
 
 
-@query("cp13_feature_stack", DEM + ", g AS (SELECT r, c, z, z % 9 <> 0 AS ok FROM dem) SELECT count(*) AS cells, count(*) FILTER (WHERE NOT ok) AS filled FROM g")
+_STACK_SQL = DEM + ", " + _YEARLY_SQL + """, es AS (SELECT 'first' AS event, 1996 AS year UNION ALL SELECT 'second', 1999),
+  st AS (SELECT event, d.r, d.c, d.z, y.v, y.v - b.v AS since, y.klass AS own FROM es CROSS JOIN dem d LEFT JOIN yearly y ON y.r = d.r AND y.c = d.c AND y.year = es.year LEFT JOIN yearly b ON b.r = d.r AND b.c = d.c AND b.year = 1995),
+  nb AS (SELECT g.event, g.r, g.c, arg_min(o.own, (sqrt((g.r - o.r) ** 2 + (g.c - o.c) ** 2), o.r, o.c)) AS klass FROM st g JOIN st o ON o.event = g.event AND g.own IS NULL AND o.own IS NOT NULL GROUP BY 1, 2, 3),
+  full_ AS (SELECT st.event, st.r, st.c, z, v, since, coalesce(own, nb.klass) AS klass FROM st LEFT JOIN nb ON nb.event = st.event AND nb.r = st.r AND nb.c = st.c)"""
+
+
+def _stack(t):
+    return C.feature_stack(t.dem, _yearly(t).drop("back"), {"first": 1996, "second": 1999}, 1995)
+
+
+@query("cp13_feature_stack", _STACK_SQL + " SELECT event, r, c, z, round(v, 4) AS v, round(since, 4) AS since, klass FROM full_")
 def cp13(t):
-    from ..operators.resample import fill_nearest
+    return _stack(t).select("event", "r", "c", "z", R("v", d=4), R("since", d=4), "klass")
+
 
-    ok = F.pmod("z", F.lit(9.0)) != 0
-    full = fill_nearest(t.dem.withColumn("z", F.when(ok, F.col("z"))), "z", F.col("z").isNotNull())
-    gaps = t.dem.agg(F.count_if(~ok).alias("filled")).first()["filled"]
-    return full.where("z IS NOT NULL").agg(F.count("*").alias("cells")).withColumn("filled", F.lit(gaps).cast("long"))
+@query("cp13_stack_checks", _STACK_SQL + """, l AS (UNPIVOT (SELECT event, z::VARCHAR AS z, coalesce(v::VARCHAR, '') AS v, coalesce(since::VARCHAR, '') AS since, coalesce(klass::VARCHAR, '') AS klass FROM full_) ON z, v, since, klass INTO NAME feature VALUE x),
+  k AS (SELECT event, feature, try_cast(x AS DOUBLE) AS x, CASE feature WHEN 'z' THEN 1 WHEN 'v' THEN 0 WHEN 'since' THEN -150 ELSE 0 END AS low, CASE feature WHEN 'z' THEN 50 WHEN 'v' THEN 300 WHEN 'since' THEN 150 ELSE 8 END AS high FROM l),
+  s AS (SELECT event, feature, count(*) FILTER (WHERE x IS NULL) AS gaps, count(*) FILTER (WHERE x < low OR x > high) AS out_of_range FROM k GROUP BY 1, 2) SELECT *, gaps = 0 AND out_of_range = 0 AS passed FROM s""")
+def cp13_checks(t):
+    return C.stack_checks(_stack(t), {"z": (1, 50), "v": (0, 300), "since": (-150, 150), "klass": (0, 8)})
 
 
 @query("cp14_dual_impact", DEM + ", x AS (SELECT r, c, z / 51 AS s, z AS base, z + c / 10.0 AS scen FROM dem), k AS (SELECT (1 + (s >= 0.2)::INT + (s >= 0.4)::INT + (s >= 0.6)::INT + (s >= 0.8)::INT) >= 4 AS prone, (scen - base) * 100 / greatest(base, 1e-6) >= 5 AS more_ FROM x) SELECT more_::INT * 2 + prone::INT AS impact, count(*) AS n FROM k GROUP BY 1")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import components, focal, joins, resample, routing, stats
+from ..operators import components, focal, joins, resample, routing, sampling, stats
 from ..operators import timeseries as T
 from ..operators.lineage import cut
 from ..operators.quality import audit, keep_rule, provenance
@@ -121,6 +122,55 @@ def event_selection(events: DataFrame, table: DataFrame) -> DataFrame:
     return events.join(of, "event", "left").select(*events.columns, F.coalesce("n_scenes", F.lit(0)).cast("long").alias("n_scenes"), status.alias("status"), F.col("best.d").alias("selected_day"), F.col("best.orbit").alias("selected_orbit"))
 
 
+def feature_stack(static: DataFrame, yearly: DataFrame, events: dict[str, int], base_year: int) -> DataFrame:
+    """(event, r, c, static columns, v, since, klass): the layers of each event, one row a cell.
+
+    static: (r, c, ...); yearly: (r, c, year, v, klass); events: name -> year. v: the year's value, since: its change from the
+    base year (null where either is missing); klass: the year's class, of the nearest cell that has one where it is missing.
+    """
+    base = yearly.where(F.col("year") == base_year).select("r", "c", F.col("v").alias("__v0"))
+    parts = []
+    for name, year in events.items():
+        cells = static.join(yearly.where(F.col("year") == year).select("r", "c", "v", "klass"), ["r", "c"], "left").join(base, ["r", "c"], "left")
+        cells = cells.withColumn("since", F.col("v") - F.col("__v0")).drop("__v0")
+        parts.append(resample.fill_nearest(cells, "klass", F.col("klass").isNotNull()).withColumn("event", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stack_checks(stack: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """(event, feature, gaps, out_of_range, passed): missing values, and values beyond what the feature may be."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for f, (a, b) in ranges.items()]))
+    x = F.col("f.x")
+    bad = x.isNull() | F.isnan(x)
+    found = stack.select("event", each.alias("f")).groupBy("event", F.col("f.feature").alias("feature")).agg(
+        F.count_if(bad).alias("gaps"), F.count_if(~bad & ((x < F.col("f.low")) | (x > F.col("f.high")))).alias("out_of_range")
+    )
+    return found.withColumn("passed", (F.col("gaps") == 0) & (F.col("out_of_range") == 0))
+
+
+def label_dataset(pools: DataFrame, detailed: DataFrame, random_cells: DataFrame, layers: DataFrame, block: Column, folds: DataFrame) -> DataFrame:
+    """(event, kind, src, r, c, layers, is_pos, block, fold): the labelled cells of all events.
+
+    pools: (event, r, c, pool) with pool pos or neg; detailed: (event, r, c) of cells inside detailed reference polygons, positive
+    too; random_cells: (event, r, c), flagged anew; layers: (event, r, c, ...); block: an expression over r and c; folds:
+    (block, fold), unlisted blocks take the fold of the unseen. Of the negatives that are not in a polygon as many are drawn as
+    the event has positives.
+    """
+    own = pools.where("pool = 'pos'").select("event", "r", "c").distinct()
+    more = detailed.select("event", "r", "c").distinct().join(own, ["event", "r", "c"], "left_anti")
+    positive = cut(own.withColumn("src", F.lit("pool")).unionByName(more.withColumn("src", F.lit("polygon"))))
+    wanted = positive.groupBy("event").agg(F.count("*").alias("__n"))
+    negative = pools.where("pool = 'neg'").select("event", "r", "c").distinct().join(positive.select("event", "r", "c"), ["event", "r", "c"], "left_anti")
+    drawn = sampling.hash_ranks(negative, ["event", "r", "c"], ["event"]).join(wanted, "event").where(F.col("rank") <= F.col("__n"))
+    flags = positive.select("event", "r", "c", F.lit(True).alias("is_pos"))
+    again = random_cells.select("event", "r", "c").distinct().join(flags, ["event", "r", "c"], "left").withColumn("is_pos", F.coalesce("is_pos", F.lit(False)))
+    rows = positive.select("event", "r", "c", F.lit("pos").alias("kind"), "src", F.lit(True).alias("is_pos"))
+    rows = rows.unionByName(drawn.select("event", "r", "c", F.lit("neg").alias("kind"), F.lit("neg").alias("src"), F.lit(False).alias("is_pos")))
+    rows = rows.unionByName(again.select("event", "r", "c", F.lit("rnd").alias("kind"), F.lit("rnd").alias("src"), "is_pos"))
+    placed = rows.join(layers, ["event", "r", "c"], "left").withColumn("block", block).join(folds, "block", "left")
+    return placed.withColumn("fold", F.coalesce("fold", sampling.fold_of_unseen(F.col("block"))))
+
+
 def hybrid_imperviousness(anchor: DataFrame, cube: DataFrame, first: int, last: int, on: float) -> DataFrame:
     """(r, year, share): a yearly source, gaps filled and flickers voted out, scaled onto an anchor map (r, share)."""
     series = T.year_array(cube, ["r"], "year", "v", first, last)

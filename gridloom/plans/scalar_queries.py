@@ -159,8 +159,10 @@ def sc23(t):
 
 @query("sc24_f_quantile")
 def sc24(t):
-    rows = [(d, S.f_quantile(1 - 1e-3, d, d), S.f_quantile(1e-3, d, d)) for d in (10.0, 50.0, 200.0)]
-    return t.spark.createDataFrame(rows, "dof double, upper double, lower double")
+    """Limits of the change test for each class of the image: degrees of freedom from the class's looks in 5 x 5 cells."""
+    looks = t.img_pair.groupBy("ref").agg((F.pow(F.avg(F.col("a") + 1), F.lit(2.0)) / F.var_pop(F.col("a") + 1)).alias("looks"))
+    limits = F.udf(lambda d: (S.f_quantile(1 - 1e-3, d, d), S.f_quantile(1e-3, d, d)), "upper double, lower double")  # a row a class
+    return looks.select("ref", (F.col("looks") * 50.0).alias("dof")).withColumn("q", limits("dof")).select("ref", R("dof", "dof"), R("q.upper", "upper"), R("q.lower", "lower"))
 
 
 @query("sc25_ratio", PAIR + " SELECT r, c, round(abs(a) / greatest(abs(b), 1e-6), 4) AS ratio FROM img_pair")

@@ -19,8 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Has Hadoop's file system remove a folder when the driver ends."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again: no later job recomputes or loses its rows."""
+    """df written as a table in the shared folder and read again: no later job recomputes or loses its rows.
+
+    The table is removed when the application ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
+    removed_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

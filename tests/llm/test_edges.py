@@ -3,11 +3,12 @@
 import sys
 from pathlib import Path
 
+import public_tokenizers
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 from fixtures import documents, frame  # noqa: E402
-from gridloom.llm import decontaminate, html_extract, kneser_ney, line_dedup, ngram_jaccard, packing, quality_rules, secrets, sharding, toxicity  # noqa: E402
+from gridloom.llm import decontaminate, html_extract, importance, kneser_ney, line_dedup, ngram_jaccard, packing, pieces, quality_rules, secrets, sharding, spelling, toxicity  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -31,6 +32,8 @@ OPERATORS = {
     "quality": lambda s, d: kneser_ney.classify(d, labels(s)),
     "packing": lambda s, d: packing.pack(d),
     "lines": lambda s, d: line_dedup.dedup_line_windows(d),
+    "importance": lambda s, d: importance.resample(d, bench(s)),
+    "pieces": lambda s, d: pieces.decode(pieces.encode(d, public_tokenizers.path("piece_bpe_32k.model")), public_tokenizers.path("piece_bpe_32k.model")),
     "pages": lambda s, d: html_extract.extract_main_text(d.withColumn("url", F.col("source")), "doc_id", "url", "text"),
 }
 
@@ -57,3 +60,28 @@ def test_without_labels_or_items(spark):
     assert decontaminate.find_benchmark(df, bench(spark).limit(0)).count() == 0
     found = decontaminate.find_benchmark(df, bench(spark)).select("doc_id", "item_id").distinct().collect()
     assert {(5, 1), (5, 4)} <= {tuple(r) for r in found} and all(r.item_id in (1, 4) for r in found)
+
+
+def by_key(df, *cols):
+    return sorted(((r.doc_id, *(r[c] for c in cols)) for r in df.collect()), key=str)
+
+
+def test_values_on_nulls_empties_repeats_and_clashing_names(spark):
+    """What nulls, empties and repeats give, value by value; columns of clashing names change nothing."""
+    rows = documents()
+    df = frame(spark, rows)
+    bare = df.select("doc_id", "text")
+    empty = [(r[0], r[1]) for r in rows if not r[1]]
+    for operate, cols, want in (
+        (lambda d: secrets.find_secrets(d), ["spans"], ([],)),
+        (lambda d: importance.resample(d, bench(spark)), ["n_features", "weight"], (0, 0)),
+        (lambda d: pieces.encode(d, public_tokenizers.path("piece_bpe_32k.model")), ["ids", "starts", "ends"], ([2], [0], [0])),
+    ):
+        got = by_key(operate(df), *cols)
+        assert got == by_key(operate(bare), *cols)
+        for i in {i for i, _ in empty} - {i for i, t in ((r[0], r[1]) for r in rows) if t}:
+            assert {str(g[1:]) for g in got if g[0] == i} == {str(want)}
+    twice = [i for i, *_ in by_key(line_dedup.dedup_line_windows(df), "n_removed") if i == rows[3][0]]
+    assert len(twice) == 3  # each repeated row has its row
+    # spelling reads the same words whatever else there is
+    assert sorted(map(tuple, spelling.spelling_variants(df).collect()), key=str) == sorted(map(tuple, spelling.spelling_variants(bare).collect()), key=str)

@@ -38,7 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of repeated three-line windows; those left with no word go.
 
     n_chars, where there is one, follows the text. Null texts and texts in which nothing repeats stay as they are, empty ones
-    too; repeated rows are cleaned alike; all other columns stay, whatever their names; an empty table stays empty.
+    too; of repeated rows one is the document, the others, of three lines or more, have nothing left and go; all other
+    columns stay, whatever their names; an empty table stays empty.
     """
     cleaned = dedup_line_windows(docs.select(F.struct("*").alias("__whole"), "doc_id", "text"))
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")

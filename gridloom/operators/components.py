@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .grid import join_cells
 from .lineage import cut
 
 TILE = 512
@@ -21,7 +22,7 @@ def neighbours(df: DataFrame, value: str = "z") -> DataFrame:
     """(r, c, value, k, r2, c2, value2) for each cell and each of its up to eight neighbours; k numbers the direction."""
     around = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("dr"), F.lit(b).alias("dc")) for k, (a, b) in enumerate(OFFSETS)])
     out = df.select("r", "c", value, F.inline(around)).withColumns({"r2": F.col("r") + F.col("dr"), "c2": F.col("c") + F.col("dc")}).drop("dr", "dc")
-    return out.join(df.select(F.col("r").alias("r2"), F.col("c").alias("c2"), F.col(value).alias(f"{value}2")), ["r2", "c2"])
+    return join_cells(out, df.select(F.col("r").alias("r2"), F.col("c").alias("c2"), F.col(value).alias(f"{value}2")), on=("r2", "c2"))
 
 
 def _label_tile(table: pa.Table) -> pa.Table:

@@ -112,7 +112,10 @@ def web_mercator_tile(lon: Column, lat: Column, zoom: int) -> tuple[Column, Colu
     """(x, y) of the map tile that holds a point."""
     n = float(2**zoom)
     x = F.floor((lon + 180.0) / 360.0 * n)
-    y = F.floor((F.lit(1.0) - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2.0 * n)
+    t = F.tan(F.radians(lat))
+    # asinh without cancelling: Spark's is minus infinity far below 0, and coarse next to it
+    north = F.signum(t) * F.log1p(F.abs(t) + t * t / (F.sqrt(t * t + 1.0) + 1.0))
+    y = F.floor((F.lit(1.0) - north / math.pi) / 2.0 * n)
     return x.cast("int"), y.cast("int")
 
 

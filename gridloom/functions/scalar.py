@@ -14,7 +14,7 @@ TAN_SLOPE_MIN = 0.001
 CN_IMPERVIOUS = 98.0
 # Decibels of digital numbers; hazard weights, reaches (m) and tiers; retention (mm) and wet curve numbers.
 DN_FACTOR, DN_OFFSET = 20.0, 55.0
-HAZARD_LOW, HAZARD_WATER, HAZARD_DENSITY = 0.45, 0.35, 0.20
+HAZARD_LOW, HAZARD_WATER, HAZARD_DENSITY = 0.45, 0.35, 1 / 5
 LOW_REACH, WATER_REACH = 18.0, 600.0
 TIER_2, TIER_3 = 0.35, 0.55
 RETENTION, RETENTION_OFFSET, INITIAL_LOSS, LATER_LOSS = 25400.0, 254.0, 0.2, 0.8
@@ -212,7 +212,8 @@ def cagr(first: Column, last: Column, years: Column | float) -> Column:
 def hazard_index(elevation: Column, lowest: Column, water_m: Column, density: Column) -> Column:
     low = F.lit(1.0) - clip((elevation - lowest) / LOW_REACH, 0.0, 1.0)
     near = F.lit(1.0) - clip(water_m / WATER_REACH, 0.0, 1.0)
-    return low * HAZARD_LOW + near * HAZARD_WATER + density * HAZARD_DENSITY
+    # a fifth by division: the product with 0.2 is off by a bit, which decides ties at a tier's limit
+    return low * HAZARD_LOW + near * HAZARD_WATER + density / (1 / HAZARD_DENSITY)
 
 
 def hazard_tier(index: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .lineage import cut
 from .skew import hot_keys, salted_join
 
+#: Targets that a query of nearest_points() compares itself with in one row, on average at most.
+LISTED = 4096
 #: So many rounds of upstream() are kept as one table.
 MERGE_ROUNDS = 16
 
@@ -71,6 +73,8 @@ def nearest_points(queries: DataFrame, targets: DataFrame, id_col: str, target_i
     k-th distance is no more than the ring's reach, else it goes on to a ring twice as wide. exclude: a condition
     on (id, target id) of pairs that don't count. cell: the bucket's width; by default such that a bucket holds a
     few targets on average. If no ring of the targets' extent settles a query, it keeps the targets it has.
+    With k = 1 and nothing excluded, it is the cells that queries lie in that look around, once each, and queries take
+    the targets of their cell as a list: no row a pair is made, sorted or exchanged.
     """
     box = targets.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)]).first()
     if not box["n"]:
@@ -79,9 +83,10 @@ def nearest_points(queries: DataFrame, targets: DataFrame, id_col: str, target_i
     area = max(box["max_x"] - box["min_x"], extent / 1000) * max(box["max_y"] - box["min_y"], extent / 1000)
     cell = cell or max(math.sqrt(area / box["n"] * 4 * k), extent / 4096)
     cx, cy = F.floor(F.col("x") / cell).cast("long"), F.floor(F.col("y") / cell).cast("long")
-    if k == 1 and exclude is None:  # of targets at one place only the first can be nearest
+    alone = k == 1 and exclude is None
+    if alone:  # of targets at one place only the first can be nearest
         targets = targets.groupBy("x", "y").agg(F.min(target_id).alias(target_id))
-    spots = targets.select(F.col(target_id), F.col("x").alias("__tx"), F.col("y").alias("__ty"), cx.alias("__gx"), cy.alias("__gy"))
+    spots = cut(targets.select(F.col(target_id), F.col("x").alias("__tx"), F.col("y").alias("__ty"), cx.alias("__gx"), cy.alias("__gy")))
     open_, done, radius = queries.select(F.col(id_col), "x", "y"), None, 1
     reach = math.ceil(extent / cell) + 1
     # queries outside the targets' box are moved to its edge for bucketing; the distance is the true one
@@ -90,19 +95,27 @@ def nearest_points(queries: DataFrame, targets: DataFrame, id_col: str, target_i
         qy = F.least(F.greatest(F.col("y"), F.lit(box["min_y"])), F.lit(box["max_y"]))
         gap = F.hypot(F.col("x") - qx, F.col("y") - qy)
         rings = F.sequence(F.lit(-radius), F.lit(radius))
+        around = lambda d: d.withColumn("__dx", F.explode(rings)).withColumn("__dy", F.explode(rings)).withColumns({"__gx": F.col("__ox") + F.col("__dx"), "__gy": F.col("__oy") + F.col("__dy")}).join(spots, ["__gx", "__gy"])
         seen = open_.withColumns({"__gap": gap, "__ox": F.floor(qx / cell).cast("long"), "__oy": F.floor(qy / cell).cast("long")})
-        seen = seen.withColumn("__dx", F.explode(rings)).withColumn("__dy", F.explode(rings)).withColumns({"__gx": F.col("__ox") + F.col("__dx"), "__gy": F.col("__oy") + F.col("__dy")})
-        pairs = seen.join(spots, ["__gx", "__gy"])
-        if exclude is not None:
-            pairs = pairs.where(~exclude)
-        d = F.hypot(F.col("x") - F.col("__tx"), F.col("y") - F.col("__ty"))
-        one = F.struct(d.alias("dist"), F.col(target_id).alias(target_id))
-        if k == 1:
-            best = pairs.groupBy(id_col).agg(F.array(F.min(one)).alias("__best"))
+        d = lambda tx, ty: F.hypot(F.col("x") - tx, F.col("y") - ty).alias("dist")
+        if alone:
+            near = cut(around(seen.select("__ox", "__oy").distinct()).select("__ox", "__oy", "__tx", "__ty", target_id))
+            most = near.groupBy("__ox", "__oy").count().agg(F.max("count")).first()[0] or 0
+            parts = -(-most // LISTED)
+            lists = near.groupBy("__ox", "__oy", F.pmod(F.xxhash64("__tx", "__ty"), F.lit(max(parts, 1))).alias("__part")).agg(F.collect_list(F.struct("__tx", "__ty", target_id)).alias("__near"))
+            one = F.array_min(F.transform("__near", lambda t: F.struct(d(t["__tx"], t["__ty"]), t[target_id].alias(target_id))))
+            best = seen.join(lists.hint("shuffle_hash"), ["__ox", "__oy"], "left").select(id_col, "x", "y", "__gap", one.alias("__one"))
+            if parts > 1:
+                best = best.groupBy(id_col, "x", "y", "__gap").agg(F.min("__one").alias("__one"))
+            found = cut(best.select(id_col, "x", "y", "__gap", F.when(F.col("__one").isNotNull(), F.array("__one")).alias("__best")))
         else:
+            pairs = around(seen)
+            if exclude is not None:
+                pairs = pairs.where(~exclude)
+            one = F.struct(d(F.col("__tx"), F.col("__ty")), F.col(target_id).alias(target_id))
             first_k = pairs.select(id_col, one.alias("__o")).withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy("__o"))).where(F.col("__n") <= k)
             best = first_k.groupBy(id_col).agg(F.array_sort(F.collect_list("__o")).alias("__best"))
-        found = cut(open_.join(best, id_col, "left").withColumn("__gap", gap))
+            found = cut(open_.join(best, id_col, "left").withColumn("__gap", gap))
         # a target outside the ring is further than radius cells from the moved point, and the way there makes an obtuse angle with the move
         limit = F.hypot(F.col("__gap"), F.lit(radius * cell))
         settled = (F.size("__best") >= k) & (F.get("__best", F.lit(k - 1))["dist"] <= limit) if radius < reach else F.lit(True)

@@ -59,5 +59,5 @@ def fill_nearest(df: DataFrame, value: str, valid: Column, ties: str = "id") ->
     width = 1 << 20
     cells = df.withColumns({ties: F.col("r").cast("long") * width + F.col("c"), "x": F.col("c").cast("double"), "y": F.col("r").cast("double")})
     good = cells.where(valid).select(F.col(ties).alias("__src"), F.col(value).alias("__v"), "x", "y")
-    hit = nearest_points(cells.where(~F.coalesce(valid, F.lit(False))), good, ties, "__src").select(ties, "__src").join(good.select("__src", "__v"), "__src")
-    return cells.join(hit.drop("__src"), ties, "left").withColumn(value, F.when(valid, F.col(value)).otherwise(F.col("__v"))).drop(ties, "x", "y", "__v")
+    hit = nearest_points(cells.where(~F.coalesce(valid, F.lit(False))), good, ties, "__src").select(ties, "__src").join(good.select("__src", "__v").hint("merge"), "__src")
+    return cells.join(hit.drop("__src").hint("merge"), ties, "left").withColumn(value, F.when(valid, F.col(value)).otherwise(F.col("__v"))).drop(ties, "x", "y", "__v")

@@ -99,10 +99,13 @@ def nearest_points(queries: DataFrame, targets: DataFrame, id_col: str, target_i
         seen = open_.withColumns({"__gap": gap, "__ox": F.floor(qx / cell).cast("long"), "__oy": F.floor(qy / cell).cast("long")})
         d = lambda tx, ty: F.hypot(F.col("x") - tx, F.col("y") - ty).alias("dist")
         if alone:
-            near = cut(around(seen.select("__ox", "__oy").distinct()).select("__ox", "__oy", "__tx", "__ty", target_id))
+            extents = [f(c).alias(f"__{n}{c}") for c in "xy" for n, f in (("a", F.min), ("b", F.max))]
+            asked = ["__ox", "__oy", "__ax", "__bx", "__ay", "__by"]
+            near = cut(around(seen.groupBy("__ox", "__oy").agg(*extents)).select(*asked, "__tx", "__ty", target_id))
             most = near.groupBy("__ox", "__oy").count().agg(F.max("count")).first()[0] or 0
             parts = -(-most // LISTED)
-            lists = near.groupBy("__ox", "__oy", F.pmod(F.xxhash64("__tx", "__ty"), F.lit(max(parts, 1))).alias("__part")).agg(F.collect_list(F.struct("__tx", "__ty", target_id)).alias("__near"))
+            lists = near.groupBy(*asked, F.pmod(F.xxhash64("__tx", "__ty"), F.lit(max(parts, 1))).alias("__part")).agg(F.collect_list(F.struct("__tx", "__ty", target_id)).alias("__near"))
+            lists = _rivals(lists).select("__ox", "__oy", "__near")
             one = F.array_min(F.transform("__near", lambda t: F.struct(d(t["__tx"], t["__ty"]), t[target_id].alias(target_id))))
             best = seen.join(lists.hint("shuffle_hash"), ["__ox", "__oy"], "left").select(id_col, "x", "y", "__gap", one.alias("__one"))
             if parts > 1:
@@ -129,6 +132,22 @@ def nearest_points(queries: DataFrame, targets: DataFrame, id_col: str, target_i
             return done
 
 
+def _rivals(lists: DataFrame) -> DataFrame:
+    """lists with only those targets of `__near` that may be nearest to a place in the box from (__ax, __ay) to (__bx, __by).
+
+    One target is nearest to the box's middle. Which of it and another is nearer changes along a straight line, so another
+    that is further from all four corners is further everywhere in the box; what rounding could make equal is kept.
+    """
+    square = lambda at, t: (at[0] - t["__tx"]) * (at[0] - t["__tx"]) + (at[1] - t["__ty"]) * (at[1] - t["__ty"])
+    middle = [(F.col(f"__a{c}") + F.col(f"__b{c}")) / 2 for c in "xy"]
+    corners = [(F.col(f"__{i}x"), F.col(f"__{j}y")) for i in "ab" for j in "ab"]
+    first = F.array_min(F.transform("__near", lambda t: F.struct(square(middle, t).alias("d"), t["__tx"].alias("__tx"), t["__ty"].alias("__ty"))))
+    out = lists.withColumn("__first", first).withColumn("__reach", F.array(*[square(at, F.col("__first")) for at in corners]))
+    slack = F.array_max("__reach") * 1e-12
+    out = out.withColumn("__reach", F.transform("__reach", lambda d: d + slack))
+    return out.withColumn("__near", F.filter("__near", lambda t: reduce(lambda a, b: a | b, [square(at, t) <= F.get("__reach", F.lit(i)) for i, at in enumerate(corners)])))
+
+
 def line_distance(queries: DataFrame, segs: DataFrame, id_col: str, cell: float | None = None) -> DataFrame:
     """(id, dist): each query's distance from the nearest of all segments (x1, y1)-(x2, y2). Queries have x and y, and an id each.
 

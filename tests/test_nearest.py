@@ -26,3 +26,15 @@ def test_no_row_a_pair_is_sorted(spark, monkeypatch):
     points = [(k, float(k % 7), float(k % 5)) for k in range(30)]
     found = joins.nearest_points(spark.createDataFrame(points, "q long, x double, y double"), spark.createDataFrame(points, "s long, x double, y double"), "q", "s")
     assert found.count() == 30 and [p for p in plans if "min(struct(dist" in p] == []
+
+
+def test_only_rivals_are_compared(spark):
+    """Every query far outside compared itself with all targets."""
+    rng = np.random.default_rng(2)
+    box = (3.0, 4.0, 20.0, 900.0)  # x from, to, y from, to
+    near = [(float(x), float(y), k) for k, (x, y) in enumerate(rng.random((300, 2)) * 9)]
+    df = spark.createDataFrame([(*box, near)], "__ax double, __bx double, __ay double, __by double, __near array<struct<__tx: double, __ty: double, s: int>>")
+    left = {t["s"] for t in joins._rivals(df).first()["__near"]}
+    places = [(x, y) for x in np.linspace(3, 4, 21) for y in np.linspace(20, 900, 200)]
+    assert {min((math.hypot(x - a, y - b), s) for a, b, s in near)[1] for x, y in places} <= left
+    assert len(left) < 30

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .lineage import cut
 from .ranking import quantiles
 from .tiles import Box, beside, over_tiles
 
@@ -98,7 +99,7 @@ def gaussian(df: DataFrame, values: list[str], sigma: float = 2.0, truncate: flo
 def lee_filter(df: DataFrame, value: str, k: int = 2) -> DataFrame:
     """df with the value smoothed where its local variance is near that of the noise (the mean of all local variances)."""
     local = box_mean(df.withColumns({"__m": F.col(value), "__s": F.col(value) * F.col(value)}), ["__m", "__s"], k)
-    local = local.withColumn("__v", F.greatest(F.col("__s") - F.col("__m") * F.col("__m"), F.lit(0.0)))
+    local = cut(local.withColumn("__v", F.greatest(F.col("__s") - F.col("__m") * F.col("__m"), F.lit(0.0))))  # read for the noise and for the result
     noise = local.agg(F.avg("__v").alias("n")).first()["n"] or 0.0
     weight = F.coalesce(F.try_divide(F.col("__v"), F.col("__v") + noise), F.lit(0.0))
     return local.withColumn(value, F.col("__m") + weight * (F.col(value) - F.col("__m"))).drop("__m", "__s", "__v")
@@ -133,16 +134,23 @@ def near(df: DataFrame, mask: Column, n: int, name: str) -> DataFrame:
     return found.withColumn(name, F.col("__m") == 1).drop("__m")
 
 
-def ensure_db(df: DataFrame, value: str) -> DataFrame:
-    """df with the value in decibels: converted if it looks linear (nothing negative, median below 1)."""
+def _in_db(df: DataFrame, value: str) -> tuple[DataFrame, float | None, bool]:
+    """df with the value in decibels, the median of what it was, and whether it was converted."""
     low, mid = quantiles(df, value, [0.0, 0.5])
     linear = low is not None and low >= 0 and mid < 1
-    return df.withColumn(value, S.linear_to_db(F.col(value))) if linear else df
+    return df.withColumn(value, S.linear_to_db(F.col(value))) if linear else df, mid, linear
+
+
+def ensure_db(df: DataFrame, value: str) -> DataFrame:
+    """df with the value in decibels: converted if it looks linear (nothing negative, median below 1)."""
+    return _in_db(df, value)[0]
 
 
 def preprocess(df: DataFrame, value: str, k: int = 2) -> DataFrame:
     """Decibels, smoothed on the linear scale; invalid cells take the median for it and are null again after it."""
-    db = ensure_db(df, value).withColumn("__ok", F.col(value).isNotNull())
-    mid = quantiles(db, value, [0.5])[0]
+    db, mid, converted = _in_db(cut(df), value)  # read for the quantiles, the borders and the filter
+    db = db.withColumn("__ok", F.col(value).isNotNull())
+    if converted:
+        mid = quantiles(db, value, [0.5])[0]
     linear = db.withColumn(value, S.db_to_linear(F.coalesce(value, F.lit(mid))))
     return lee_filter(linear, value, k).withColumn(value, F.when(F.col("__ok"), S.linear_to_db(F.col(value)))).drop("__ok")

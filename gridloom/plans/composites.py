@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import components, focal, joins, resample, routing, sampling, stats
 from ..operators import timeseries as T
+from ..operators.grid import join_cells
 from ..operators.lineage import cut
 from ..operators.quality import audit, keep_rule, provenance
 
@@ -27,14 +28,14 @@ def flood_map(pair: DataFrame, wet: str, dry: str, steep: Column | None = None,
 
     Each image is smoothed and gets a threshold of its own; patches of new water below `least` cells are dry.
     """
-    seen = focal.preprocess(focal.preprocess(pair, wet), dry)
+    seen = cut(focal.preprocess(focal.preprocess(pair, wet), dry))  # read for two thresholds, the patches and the classes
     t_wet, t_dry = (stats.otsu(seen.select(F.col(x).alias("v")), "v", low, high).first()["threshold"] for x in (wet, dry))
     water, before = F.col(wet) < t_wet, F.col(dry) < t_dry
     ok = F.lit(True) if steep is None else ~steep
     new = seen.withColumns({"__new": F.coalesce(water & ~before & ok, F.lit(False)), "__ref": F.coalesce(water & before, F.lit(False)), "__valid": F.col(wet).isNotNull() & F.col(dry).isNotNull()})
     kept = components.without_small(new.where("__new").select("r", "c"), least).select("r", "c", F.lit(True).alias("__kept"))
     klass = F.when(~F.col("__valid"), F.lit(None)).when(F.col("__kept"), 1).when(F.col("__ref"), 2).otherwise(0)
-    return new.join(kept, ["r", "c"], "left").select("r", "c", klass.cast("int").alias("class"))
+    return join_cells(new, kept, "left").select("r", "c", klass.cast("int").alias("class"))
 
 
 def label_pools(classes: DataFrame, envelope: DataFrame, least: int = 10, tolerance: int = 2) -> DataFrame:

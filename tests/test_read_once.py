@@ -1,6 +1,7 @@
 """What costs much is worked out once and written, however many passes read it."""
 
 import numpy as np
+from gridloom.operators import boosting, metrics, ranking
 from gridloom.plans import composites
 from pyspark.sql import functions as F
 from test_large_grids import plan_of
@@ -17,3 +18,15 @@ def test_smoothed_images_of_a_flood_map_are_written(spark, monkeypatch):
     assert "InArrow" not in plan_of(masks[0])
     rows = {(x.r, x.c): x["class"] for x in got.collect()}
     assert len(rows) == 600 and all((v is None) == (c == 3) for (_, c), v in rows.items())
+
+
+def test_figures_of_a_classification_come_from_one_count(spark):
+    """Scores were worked out for the contingency table and again for the areas."""
+    df = spark.range(500).selectExpr("IF(id % 11 = 0, null, id % 8 / 8D) AS s", "id % 3 AS g", "IF(id % 13 = 0, null, id % 5 > 2) AS y")
+    got = metrics.classification(df, "s", F.col("y"), by=["g"])
+    assert "Range" not in plan_of(got)
+    want = {r.g: r for r in metrics.contingency(df, F.col("s") >= 0.5, F.col("y"), ["g"]).collect()}
+    areas = {r.g: r.auc for r in ranking.auc(df, "s", F.col("y"), ["g"]).collect()}
+    for r in got.collect():
+        w = want[r.g]
+        assert r.auc == areas[r.g] and abs(r.accuracy - (w.tp + w.tn) / (w.tp + w.fp + w.fn + w.tn)) < 1e-12 and abs(r.specificity - w.tn / (w.tn + w.fp)) < 1e-12

@@ -20,6 +20,17 @@ def test_smoothed_images_of_a_flood_map_are_written(spark, monkeypatch):
     assert len(rows) == 600 and all((v is None) == (c == 3) for (_, c), v in rows.items())
 
 
+def test_models_of_one_table_share_its_bins(spark, monkeypatch):
+    """A fit with constraints wrote and binned the same rows as the fit without."""
+    df = spark.range(2000).selectExpr("id % 7 AS x", "int(id % 7 * 31 % 5 > id % 3) AS y")
+    whats = [boosting.Boosting(("x",), rounds=2, leaves=4), boosting.Boosting(("x",), rounds=2, leaves=4, monotone={"x": 1})]
+    alone = [boosting.fit(df, what) for what in whats]
+    written, cut = [], boosting.cut
+    monkeypatch.setattr(boosting, "cut", lambda df: written.append(1) or cut(df))
+    both = boosting.fits(df, whats)
+    assert len(written) == 2 and [m.trees for m in both] == [m.trees for m in alone] and both[0].trees != both[1].trees
+
+
 def test_figures_of_a_classification_come_from_one_count(spark):
     """Scores were worked out for the contingency table and again for the areas."""
     df = spark.range(500).selectExpr("IF(id % 11 = 0, null, id % 8 / 8D) AS s", "id % 3 AS g", "IF(id % 13 = 0, null, id % 5 > 2) AS y")
